@@ -1 +1,171 @@
+"""Training, prediction and external scoring."""
 
+from __future__ import annotations
+
+import hashlib
+
+from pyspark.sql import functions as F
+
+from commentlab.operators.external import score_external
+from commentlab.operators.metrics import RATES, language_metrics
+from commentlab.operators.sampling import split_rows
+from commentlab.operators.threshold import apply_thresholds, best_threshold
+from commentlab.plans.external import run_external
+from commentlab.plans.train import fit_all, prepare, score_splits, train_and_predict
+from commentlab.queries.base import (
+    COMMENTS,
+    LANGUAGES,
+    SPLIT,
+    auc_sql,
+    comments,
+    counts_sql,
+    documents,
+    query,
+    scored,
+    six,
+    sweep_sql,
+)
+from commentlab.queries.sampling import TUNED
+from commentlab.session import new_path
+from commentlab.scale import literal_table
+from commentlab.sources.writers import load_models, save_models
+
+METRIC_SQL = ", ".join(
+    f'round({c}, 6) AS {c}' for c in ("roc_auc", "f1", '"precision"', "recall", "accuracy")
+)
+
+
+def _tuned(spark, sf):
+    rows = scored(spark, sf).select("lang", "id", "y_true", "y_prob")
+    parts = split_rows(rows, ["lang"])
+    val = parts.filter(F.col("split") == "val")
+    return parts, val, best_threshold(val, ["lang"])
+
+
+@query(
+    "evaluate_val",
+    f"""WITH {TUNED}, decided AS (
+  SELECT vals.*, CAST(y_prob >= best_threshold AS INTEGER) AS y_pred FROM vals JOIN best USING (lang)
+), {counts_sql('decided', 'lang')}, {auc_sql('decided', 'lang')}
+SELECT lang, {METRIC_SQL}, round(best_threshold, 6) AS best_threshold
+FROM counts JOIN aucs USING (lang) JOIN best USING (lang)""",
+)
+def _(spark, sf):
+    _, val, best = _tuned(spark, sf)
+    metrics = language_metrics(apply_thresholds(val, best, ["lang"]))
+    joined = metrics.withColumnRenamed("language", "lang").join(best, "lang")
+    return joined.select("lang", *[six(c).alias(c) for c in [*RATES[1:], "best_threshold"]])
+
+
+@query(
+    "predict_test",
+    f"""WITH {TUNED}
+SELECT lang, id, y_true, round(y_prob, 6) AS y_prob,
+  CAST(y_prob >= best_threshold AS INTEGER) AS y_pred, round(best_threshold, 6) AS best_threshold
+FROM parted JOIN best USING (lang) WHERE split = 'test'""",
+)
+def _(spark, sf):
+    parts, _, best = _tuned(spark, sf)
+    decided = apply_thresholds(parts.filter(F.col("split") == "test"), best, ["lang"])
+    return decided.select(
+        "lang", "id", "y_true", six("y_prob").alias("y_prob"), "y_pred", six("best_threshold").alias("best_threshold")
+    )
+
+
+def open_stand_in():
+    """A scorer without a model: the leading digits of the text's hash."""
+
+    def predict(texts: list[str]) -> dict[str, list[float]]:
+        digits = [hashlib.md5(t.encode()).hexdigest()[:6] for t in texts]
+        return {"toxicity": [int(d, 16) / 16777216 for d in digits]}
+
+    return predict
+
+
+STAND_IN = "CAST(('0x' || substr(md5(comment_text), 1, 6)) AS BIGINT)::DOUBLE / 16777216"
+
+
+@query(
+    "score_external",
+    f"""WITH docs AS (SELECT doc_id AS id, lang, text AS comment_text FROM documents)
+SELECT id, lang, round({STAND_IN}, 6) AS y_prob FROM docs""",
+)
+def _(spark, sf):
+    rows = score_external(documents(spark, sf), open_stand_in)
+    return rows.select("id", "lang", six("y_prob").alias("y_prob"))
+
+
+def all_splits(spark, sf):
+    """Labelled documents in train / val / test."""
+    return split_rows(comments(spark, sf).select("lang", "id", "comment_text", "toxic"), ["lang"])
+
+
+@query(
+    "run_external",
+    f"""WITH {COMMENTS}, {SPLIT.format(source='comments')}, rated AS (
+  SELECT lang, split, id, toxic AS y_true, {STAND_IN} AS y_prob FROM parted WHERE split <> 'train'
+), vals AS (SELECT * FROM rated WHERE split = 'val'), {sweep_sql('vals', 'f1', '0.1::DOUBLE')},
+decided AS (
+  SELECT rated.*, CAST(y_prob >= best_threshold AS INTEGER) AS y_pred
+  FROM rated JOIN best USING (lang) WHERE split = 'test'
+), {counts_sql('decided', 'lang')}, {auc_sql('decided', 'lang')}
+SELECT lang, n AS n_samples, {METRIC_SQL} FROM counts JOIN aucs USING (lang)""",
+)
+def _(spark, sf):
+    run = run_external(all_splits(spark, sf), open_stand_in, LANGUAGES)
+    return run.metrics.select(
+        F.col("language").alias("lang"), "n_samples", *[six(c).alias(c) for c in RATES[1:]]
+    )
+
+
+def _fitted(spark, sf):
+    cleaned = prepare(all_splits(spark, sf), False, LANGUAGES)
+    models, errors = fit_all(cleaned, LANGUAGES)
+    return cleaned, models, errors
+
+
+@query("train_lr")
+def _(spark, sf):
+    _, models, errors = _fitted(spark, sf)
+    rows = []
+    for lang in LANGUAGES:
+        fitted = models[lang].stages[-1] if lang in models else None
+        rows.append(
+            (
+                lang,
+                fitted.numFeatures if fitted else None,
+                fitted.summary.totalIterations if fitted else None,
+                float(fitted.intercept) if fitted else None,
+                errors.get(lang),
+            )
+        )
+    schema = "lang string, n_features int, iterations int, intercept double, error string"
+    return literal_table(spark, rows, schema)
+
+
+@query("score_lr")
+def _(spark, sf):
+    cleaned, models, _ = _fitted(spark, sf)
+    return score_splits(cleaned, models).select("lang", "split", "id", "y_true", "y_prob")
+
+
+@query("model_roundtrip")
+def _(spark, sf):
+    cleaned, models, _ = _fitted(spark, sf)
+    folder = new_path(spark, "models")
+    settings = literal_table(
+        spark, [(lang, 0.5, False) for lang in models], "lang string, best_threshold double, use_stopwords boolean"
+    )
+    save_models(models, settings, folder)
+    loaded = load_models(spark.read.parquet(f"{folder}/settings"), folder)
+    before = score_splits(cleaned, models).withColumnRenamed("y_prob", "before")
+    after = score_splits(cleaned, loaded).withColumnRenamed("y_prob", "after")
+    joined = before.join(after.select("lang", "id", "after"), ["lang", "id"])
+    return joined.groupBy("lang").agg(
+        F.count("*").alias("n"), F.max(F.abs(F.col("before") - F.col("after"))).alias("max_difference")
+    )
+
+
+@query("run_all_languages")
+def _(spark, sf):
+    return train_and_predict(all_splits(spark, sf), [*LANGUAGES, "it"]).summary

@@ -1 +1,228 @@
+"""Readers, writers and profiles, each over files that Spark writes from the given tables."""
 
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from commentlab.operators import profile as p
+from commentlab.operators.sampling import split_rows
+from commentlab.operators.threshold import apply_thresholds, best_threshold
+from commentlab.plans.train import summarise
+from commentlab.queries.base import (
+    COMMENTS,
+    LANGUAGES,
+    SPLIT,
+    auc_sql,
+    comments,
+    counts_sql,
+    documents,
+    query,
+    scored,
+    scored_sql,
+    six,
+    sweep_sql,
+    table,
+)
+from commentlab.session import new_path
+from commentlab.sources import readers as r
+from commentlab.sources import writers as w
+
+
+def split_comments(spark, sf):
+    rows = comments(spark, sf).select("lang", "id", "comment_text", "toxic")
+    return split_rows(rows, ["lang"])
+
+
+@query(
+    "load_splits",
+    f"""WITH {COMMENTS}, {SPLIT.format(source='comments')}
+SELECT lang, split, id, comment_text, toxic FROM parted""",
+)
+def _(spark, sf):
+    folder = new_path(spark, "splits")
+    w.write_splits(split_comments(spark, sf), folder, LANGUAGES)
+    loaded, _ = r.load_splits(spark, folder, LANGUAGES)
+    return loaded.withColumn("id", F.col("id").cast("long"))
+
+
+@query(
+    "load_split_defaults",
+    """SELECT lang, 'test' AS split, row_number() OVER (PARTITION BY lang ORDER BY doc_id) - 1 AS id,
+  text AS comment_text, -1 AS toxic
+FROM documents""",
+)
+def _(spark, sf):
+    folder = new_path(spark, "unlabelled")
+    docs = documents(spark, sf)
+    for lang in LANGUAGES:
+        own = docs.filter(F.col("lang") == lang).orderBy("id").select("comment_text")
+        w.write_table(own, f"{folder}/{lang}/test.csv")
+    loaded, _ = r.load_splits(spark, folder, LANGUAGES, ["test"])
+    return loaded.withColumn("id", F.col("id").cast("long"))
+
+
+DECIDED = f"""
+{scored_sql()}, {sweep_sql('scored')}, decided AS (
+  SELECT lang, id, y_true, y_prob, CAST(y_prob >= best_threshold AS INTEGER) AS y_pred, best_threshold
+  FROM scored JOIN best USING (lang)
+)"""
+DECIDED_SQL = f"""WITH {DECIDED}
+SELECT 'baseline' AS run_tag, lang, id, y_true, round(y_prob, 6) AS y_prob, y_pred,
+  round(best_threshold, 6) AS best_threshold FROM decided"""
+
+
+def decided(spark, sf):
+    rows = scored(spark, sf).select("lang", "id", "y_true", "y_prob")
+    return apply_thresholds(rows, best_threshold(rows, ["lang"]), ["lang"])
+
+
+def _stored(df):
+    return df.select(
+        "run_tag",
+        "lang",
+        F.col("id").cast("long").alias("id"),
+        "y_true",
+        six("y_prob").alias("y_prob"),
+        "y_pred",
+        six("best_threshold").alias("best_threshold"),
+    )
+
+
+@query("load_predictions", DECIDED_SQL)
+def _(spark, sf):
+    folder = new_path(spark, "prediction-files")
+    w.write_prediction_files(decided(spark, sf), folder, "baseline", LANGUAGES)
+    return _stored(r.load_predictions(spark, folder, "baseline"))
+
+
+@query("write_predictions", DECIDED_SQL)
+def _(spark, sf):
+    folder = new_path(spark, "predictions")
+    w.write_predictions(decided(spark, sf), folder, "baseline")
+    return _stored(r.load_predictions(spark, folder, "baseline", fmt="parquet"))
+
+
+@query(
+    "discover_languages",
+    """SELECT DISTINCT lang FROM documents WHERE source LIKE 'src1%'
+UNION SELECT DISTINCT concat(lang, '_', source) FROM documents WHERE source NOT LIKE 'src1%'""",
+)
+def _(spark, sf):
+    one = F.col("source").like("src1%")
+    tag = F.when(one, F.col("lang")).otherwise(F.concat_ws("_", "lang", "source"))
+    names = table(spark, sf, "documents").select(F.concat(F.lit("baseline_"), tag, F.lit(".csv")).alias("name"))
+    others = names.select(F.concat(F.lit("other_"), F.col("name")).alias("name"))
+    return r.languages_of_names(names.unionByName(others), "baseline")
+
+
+@query(
+    "filter_languages",
+    "SELECT lang, count(*) AS n FROM documents WHERE lang IN ('en', 'fr') GROUP BY lang",
+)
+def _(spark, sf):
+    wanted = r.choose_languages(["en", "fr", "en"], LANGUAGES)
+    docs = table(spark, sf, "documents").select("lang")
+    return docs.filter(F.col("lang").isin(wanted)).groupBy("lang").agg(F.count("*").alias("n"))
+
+
+@query(
+    "scan_parquet_columns",
+    "SELECT lang, count(*) AS n, max(n_chars) AS longest FROM documents GROUP BY lang",
+)
+def _(spark, sf):
+    shards = r.scan_columns(spark, f"{sf}/documents.parquet", ["lang", "n_chars"])
+    return shards.groupBy("lang").agg(F.count("*").alias("n"), F.max("n_chars").alias("longest"))
+
+
+@query(
+    "translated_union",
+    f"WITH {COMMENTS} SELECT lang, id, comment_text, toxic FROM comments",
+)
+def _(spark, sf):
+    folder = new_path(spark, "translated")
+    rows = comments(spark, sf).select("lang", "id", "comment_text", "toxic")
+    manifest = {}
+    for lang in LANGUAGES:
+        manifest[lang] = f"{folder}/{lang}_train.csv"
+        w.write_table(rows.filter(F.col("lang") == lang).drop("lang"), manifest[lang])
+    corpora = r.translated_union(spark, manifest)
+    return corpora.select(
+        "lang", F.col("id").cast("long").alias("id"), "comment_text", F.col("toxic").cast("int").alias("toxic")
+    )
+
+
+@query(
+    "default_threshold",
+    f"""WITH {scored_sql()}, stored AS (
+  SELECT *, CASE lang WHEN 'de' THEN '0.6' WHEN 'en' THEN 'x' WHEN 'fr' THEN '0.7' END AS cell
+  FROM scored
+)
+SELECT lang, id, CASE WHEN cell IS NULL THEN 0
+  ELSE CAST(y_prob >= coalesce(TRY_CAST(cell AS DOUBLE), 0.5::DOUBLE) AS INTEGER) END AS y_pred
+FROM stored""",
+)
+def _(spark, sf):
+    lang = F.col("lang")
+    cell = F.when(lang == "de", "0.6").when(lang == "en", "x").when(lang == "fr", "0.7")
+    rows = scored(spark, sf).select("lang", "id", "y_true", "y_prob", cell.alias("best_threshold"))
+    return r.resolve_predictions(rows).select("lang", "id", "y_pred")
+
+
+SUMMARY_SQL = f"""WITH {scored_sql()}, {SPLIT.format(source='scored')},
+vals AS (SELECT lang, id, y_true, y_prob FROM parted WHERE split = 'val'),
+{sweep_sql('vals')}, decided AS (
+  SELECT p.lang, p.split, y_true, y_prob, CAST(y_prob >= best_threshold AS INTEGER) AS y_pred
+  FROM parted p JOIN best USING (lang) WHERE split <> 'train'
+), {counts_sql('decided', 'lang, split')}, {auc_sql('decided', 'lang, split')},
+both_parts AS (SELECT * FROM counts JOIN aucs USING (lang, split)),
+wide AS (
+  SELECT v.lang, v.roc_auc AS val_roc_auc, v.f1 AS val_f1, v."precision" AS val_precision,
+    v.recall AS val_recall, t.roc_auc AS test_roc_auc, t.f1 AS test_f1,
+    t."precision" AS test_precision, t.recall AS test_recall
+  FROM both_parts v JOIN both_parts t ON v.lang = t.lang AND v.split = 'val' AND t.split = 'test'
+)
+SELECT lang AS language, round_even(val_roc_auc, 4) AS val_roc_auc, round_even(val_f1, 4) AS val_f1,
+  round_even(val_precision, 4) AS val_precision, round_even(val_recall, 4) AS val_recall,
+  round_even(test_roc_auc, 4) AS test_roc_auc, round_even(test_f1, 4) AS test_f1,
+  round_even(test_precision, 4) AS test_precision, round_even(test_recall, 4) AS test_recall,
+  round_even(best_threshold, 4) AS best_threshold, NULL::VARCHAR AS error
+FROM wide JOIN best USING (lang)
+UNION ALL SELECT 'it', NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, 'not found'"""
+
+
+@query("run_summary", SUMMARY_SQL)
+def _(spark, sf):
+    from commentlab.plans.train import evaluate
+
+    rows = scored(spark, sf).select("lang", "id", "y_true", "y_prob")
+    parts = split_rows(rows, ["lang"]).filter(F.col("split") != "train")
+    tuned = best_threshold(parts.filter(F.col("split") == "val"), ["lang"])
+    thresholds = tuned.select("lang", "best_threshold")
+    errors = {"it": "not found"}
+    return summarise(evaluate(parts, thresholds), thresholds, [*LANGUAGES, "it"], errors)
+
+
+PROFILED = {
+    "id": "bigint", "comment_text": "string", "lang": "string", "source": "string",
+    "n_chars": "bigint", "quality": "int", "toxic": "int",
+}
+
+
+def _profile_sql() -> str:
+    rows = " UNION ALL ".join(
+        f"""SELECT {i} AS position, '{c}' AS "column", '{kind}' AS dtype, count(*) AS n_rows,
+  count(*) - count({c}) AS n_null, {'NULL::DOUBLE' if kind == 'string' else f'round(avg({c}), 6)'} AS mean
+FROM comments"""
+        for i, (c, kind) in enumerate(PROFILED.items())
+    )
+    return f"WITH {COMMENTS} {rows}"
+
+
+@query("profile_table", _profile_sql())
+def _(spark, sf):
+    return p.profile_table(comments(spark, sf)).withColumn("mean", six("mean"))
+
+
+@query("profile_files")
+def _(spark, sf):
+    return p.profile_files(spark, sf, "*.parquet").drop("path")
