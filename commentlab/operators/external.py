@@ -8,7 +8,6 @@ from numbers import Number
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 BATCH = 32
 SCORE_KEY = "toxicity"
@@ -34,20 +33,18 @@ def score_external(
     out: str = "y_prob",
     batch_size: int = BATCH,
 ) -> DataFrame:
-    """Add the model's score to every row. The model is opened once per task; rows keep their
-    order and their partition. Also works on a streaming DataFrame."""
-    schema = T.StructType([*df.schema.fields, T.StructField(out, T.DoubleType())])
+    """Add the model's score to every row, in the order and partition it is in.
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        predict = open_model()
-        for frame in frames:
-            texts = frame[text_col].fillna("").tolist()
-            yield frame.assign(**{out: predict_batches(predict, texts, batch_size)})
-
-    return df.mapInPandas(run, schema)
+    Only the text goes to Python and only the score comes back. The model is opened once per
+    task. Also works on a streaming DataFrame.
+    """
 
+    def run(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        predict = open_model()
+        for batch in texts:
+            scores = predict_batches(predict, batch.fillna("").tolist(), batch_size)
+            yield pd.Series(scores, dtype="float64")
 
-def with_scores(df: DataFrame, open_model: Callable[[], Predict], **options) -> DataFrame:
-    """Like ``score_external`` without carrying the text on."""
-    text_col = options.get("text_col", "comment_text")
-    return score_external(df, open_model, **options).drop(F.col(text_col))
+    # Marked as not repeatable, so that a filter on the score does not run the model twice.
+    scorer = F.pandas_udf(run, "double").asNondeterministic()
+    return df.withColumn(out, scorer(F.col(text_col)))

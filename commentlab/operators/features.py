@@ -2,14 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pyarrow as pa
 from pyspark import keyword_only
 from pyspark.ml import PipelineModel, Transformer
 from pyspark.ml.feature import CountVectorizer, ElementwiseProduct, Normalizer
-from pyspark.ml.linalg import Vectors
+from pyspark.ml.linalg import Vectors, VectorUDT
 from pyspark.ml.param.shared import HasInputCol, HasOutputCol
 from pyspark.ml.util import DefaultParamsReadable, DefaultParamsWritable
 from pyspark.sql import DataFrame
@@ -17,11 +15,14 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from commentlab.scale import join_small, top_k
+from commentlab.session import materialise
 
 # Settings of the TF-IDF features.
 MIN_DF, MAX_DF, MAX_FEATURES = 3, 0.95, 200_000
 # Between language and term in a vocabulary of several languages; no token contains it.
 MARK = "\x01"
+# A vocabulary is capped per language; this many terms in all are held on every executor.
+MAX_VOCABULARY = 4_000_000
 
 
 def term_counts(df: DataFrame, grams: str, keep: list[str]) -> DataFrame:
@@ -71,12 +72,17 @@ def vocabulary(
     """lang, term, df, cf, n_docs of the kept terms: the most frequent ones per language,
     ties by term.
 
-    A histogram over the counts finds the count at which a language's cap falls, so that only
+    The text is analysed once: what the frequency limits leave is written and read again. A
+    histogram over the counts finds the count at which a language's cap falls, so that only
     terms with that count or more are ranked.
     """
     sizes = df.groupBy("lang").agg(F.count("*").alias("n_docs"))
-    kept = join_small(term_stats(df, grams), sizes, ["lang"]).filter(
-        (F.col("df") >= min_df) & (F.col("df") <= F.lit(max_df) * F.col("n_docs"))
+    frequent = term_stats(df, grams).filter(F.col("df") >= min_df)
+    kept = materialise(
+        join_small(frequent, sizes, ["lang"]).filter(
+            F.col("df") <= F.lit(max_df) * F.col("n_docs")
+        ),
+        "terms",
     )
     above = W.partitionBy("lang").orderBy(F.desc("cf"))
     cut = (
@@ -96,25 +102,22 @@ def inverse_frequency(n_docs, df):
     return F.log((1 + n_docs) / (1 + df)) + 1
 
 
-def _log_counts(column: str):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            at = batch.schema.get_field_index(column)
-            vector = batch.column(at)
-            values = vector.field("values")
-            flat = pa.array(1.0 + np.log(values.values.to_numpy()))
-            logged = pa.ListArray.from_arrays(values.offsets, flat, type=values.type)
-            parts = [logged if f.name == "values" else vector.field(f.name) for f in vector.type]
-            swapped = pa.StructArray.from_arrays(parts, fields=list(vector.type))
-            yield batch.set_column(at, batch.schema.field(at), swapped)
-
-    return run
+def _log_values(vectors: pa.Array) -> pa.Array:
+    """1 + ln(value) for the stored values of a batch of sparse vectors."""
+    values = vectors.field("values")
+    flat = pa.array(1.0 + np.log(values.values.to_numpy()))
+    logged = pa.ListArray.from_arrays(values.offsets, flat, type=values.type)
+    parts = [logged if f.name == "values" else vectors.field(f.name) for f in vectors.type]
+    return pa.StructArray.from_arrays(parts, fields=list(vectors.type))
 
 
 class SublinearCounts(
     Transformer, HasInputCol, HasOutputCol, DefaultParamsReadable, DefaultParamsWritable
 ):
-    """Replaces each count of a sparse vector by 1 + ln(count), whole batches at a time."""
+    """Replaces each count of a sparse vector by 1 + ln(count), whole batches at a time.
+
+    Only the vectors visit Python; the other columns stay where they are.
+    """
 
     @keyword_only
     def __init__(self, *, inputCol: str | None = None, outputCol: str | None = None):
@@ -122,22 +125,22 @@ class SublinearCounts(
         self._set(**self._input_kwargs)
 
     def _transform(self, dataset: DataFrame) -> DataFrame:
-        out = self.getOutputCol()
-        copied = dataset.withColumn(out, F.col(self.getInputCol()))
-        return copied.mapInArrow(_log_counts(out), copied.schema)
+        logged = F.arrow_udf(_log_values, VectorUDT())
+        return dataset.withColumn(self.getOutputCol(), logged(self.getInputCol()))
 
 
 def vectorizer(terms: DataFrame, grams: str = "grams", features: str = "features") -> PipelineModel:
     """Stages that turn a term array into an L2-normed TF-IDF vector.
 
-    ``terms`` holds term, df and n_docs; it is capped per language by ``vocabulary``, which
-    bounds what the driver and the executors keep of it.
+    ``terms`` holds term, df and n_docs; it is capped per language by ``vocabulary``, and its
+    size is checked here, as the driver and the executors keep it.
     """
-    rows = terms.select(
-        "term", inverse_frequency(F.col("n_docs"), F.col("df")).alias("idf")
-    ).toArrow()
+    weight = inverse_frequency(F.col("n_docs"), F.col("df")).alias("idf")
+    rows = terms.select("term", weight).limit(MAX_VOCABULARY + 1).toArrow()
     if rows.num_rows == 0:
         raise ValueError("empty vocabulary: no terms left after the frequency limits")
+    if rows.num_rows > MAX_VOCABULARY:
+        raise ValueError(f"more than {MAX_VOCABULARY} terms: lower max_features")
     listed = terms.sparkSession.createDataFrame(rows)
     one_each = listed.select(F.array("term").alias(grams))
     counter = CountVectorizer(
@@ -166,13 +169,18 @@ def tfidf_terms(df: DataFrame, grams: str, terms: DataFrame, keep: list[str]) ->
     stages = vectorizer(marked, "_marked", "_vector")
     own = F.transform(F.col(grams), lambda t: F.concat(lang, F.lit(MARK), t))
     vectors = stages.transform(df.select(*keep, own.alias("_marked")))
+    order = stages.stages[0].vocabulary
     names = df.sparkSession.createDataFrame(
-        [(i, t.split(MARK, 1)[1]) for i, t in enumerate(stages.stages[0].vocabulary)],
-        "_index int, term string",
+        pa.table(
+            {
+                "_index": pa.array(range(len(order)), pa.int32()),
+                "term": [term.split(MARK, 1)[1] for term in order],
+            }
+        )
     )
     plain = F.unwrap_udt("_vector")
     weights = F.arrays_zip(
         plain["indices"].alias("_index"), plain["values"].alias("weight")
     )
     long = vectors.select(*keep, F.explode(weights).alias("_w")).select(*keep, "_w.*")
-    return join_small(long, names, ["_index"], max_rows=2_000_000).select(*keep, "term", "weight")
+    return long.join(F.broadcast(names), "_index").select(*keep, "term", "weight")

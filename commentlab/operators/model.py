@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.ml import PipelineModel
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.functions import vector_to_array
@@ -12,7 +14,8 @@ from commentlab.operators.features import vectorizer
 from commentlab.session import materialise
 
 # Settings of the fit.
-MAX_ITER, SEED = 2000, 42
+MAX_ITER = 2000
+ROWS_PER_TASK = 4096
 
 
 def class_weights(df: DataFrame, keys: list[str], label: str = "toxic") -> DataFrame:
@@ -58,7 +61,9 @@ def fit_language(
         tol=tol,
         family="binomial",
     )
-    return PipelineModel([*stages.stages, solver.fit(materialise(vectors, "vectors"))])
+    # Small inputs need few tasks per iteration; large ones keep the splits of the scan.
+    rows = materialise(vectors, "vectors").coalesce(math.ceil(n / ROWS_PER_TASK))
+    return PipelineModel([*stages.stages, solver.fit(rows)])
 
 
 def score(df: DataFrame, model: PipelineModel, out: str = "y_prob") -> DataFrame:

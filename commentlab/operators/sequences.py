@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from commentlab.scale import join_small
+from commentlab.operators.features import MARK, MAX_VOCABULARY
+from commentlab.scale import bounded, join_small
 
 # Sequence length and the ids of padding and of unknown words.
 LENGTH, PAD, UNKNOWN, FIRST_WORD = 128, 0, 1, 2
@@ -23,24 +26,58 @@ def word_ids(terms: DataFrame) -> DataFrame:
     return terms.select("lang", "term", (rank + FIRST_WORD - 1).alias("word_id"))
 
 
+def _look_up(rows: DataFrame, words: DataFrame) -> DataFrame:
+    """Word ids in place of ``_tokens``, batch by batch against a shared word table."""
+    table = words.select(F.concat("lang", F.lit(MARK), "term").alias("word"), "word_id").toArrow()
+    shared = rows.sparkSession.sparkContext.broadcast(
+        (table.column("word").combine_chunks(), table.column("word_id").combine_chunks())
+    )
+
+    def ids_of(tokens: pa.Array) -> pa.Array:
+        words, ids = shared.value
+        found = pc.index_in(tokens.flatten(), value_set=words)
+        known = pc.fill_null(pc.take(ids, found), UNKNOWN).cast(pa.int32())
+        lengths = pc.fill_null(pc.list_value_length(tokens), 0).to_numpy(zero_copy_only=False)
+        offsets = pa.array([0, *lengths.cumsum()], pa.int32())
+        return pa.ListArray.from_arrays(offsets, known)
+
+    marked = F.transform("_tokens", lambda t: F.concat(F.col("lang"), F.lit(MARK), t))
+    return rows.withColumn("_ids", F.arrow_udf(ids_of, "array<int>")(marked))
+
+
+def _join_ids(rows: DataFrame, words: DataFrame, ident: str) -> DataFrame:
+    """The same through a shuffle, for word tables too large to share."""
+    places = F.posexplode_outer("_tokens").alias("_at", "term")
+    found = join_small(rows.select("lang", ident, places), words, ["lang", "term"], "left")
+    word = F.coalesce(F.col("word_id"), F.lit(UNKNOWN)).cast("int")
+    entry = F.when(F.col("_at").isNotNull(), F.struct("_at", word.alias("w")))
+    ordered = F.sort_array(F.collect_list(entry))
+    return found.groupBy("lang", ident).agg(F.transform(ordered, lambda x: x["w"]).alias("_ids"))
+
+
 def pack_sequences(
-    df: DataFrame, tokens: str, ids: DataFrame, ident: str = "id", length: int = LENGTH
+    df: DataFrame,
+    tokens: str,
+    ids: DataFrame,
+    ident: str = "id",
+    length: int = LENGTH,
+    max_words: int = MAX_VOCABULARY,
 ) -> DataFrame:
     """lang, id, input_word_ids, input_mask, all_segment_id of the given length.
 
-    The length is the operator's: later tokens are cut off and short texts are padded. Tokens
-    past it are dropped before the lookup, so at most ``length`` rows per text move.
+    The length is the operator's: later tokens are cut off and short texts are padded. Up to
+    ``max_words`` words the ids are found where the row is, without a shuffle.
     """
-    places = F.posexplode_outer(F.slice(tokens, 1, length)).alias("_at", "term")
-    looked = join_small(df.select("lang", ident, places), ids, ["lang", "term"], "left")
-    word = F.coalesce(F.col("word_id"), F.lit(UNKNOWN))
-    ordered = F.sort_array(F.collect_list(F.when(F.col("_at").isNotNull(), F.struct("_at", word.alias("w")))))
-    packed = looked.groupBy("lang", ident).agg(F.transform(ordered, lambda x: x["w"]).alias("_w"))
+    rows = df.select("lang", ident, F.slice(tokens, 1, length).alias("_tokens"))
+    words = ids.select("lang", "term", "word_id")
+    shared = bounded(words, max_words)
+    found = _look_up(rows, shared) if shared is not None else _join_ids(rows, words, ident)
     fill = F.array_repeat(F.lit(PAD), length)
-    return packed.select(
+    ones = F.transform("_ids", lambda _: F.lit(1))
+    return found.select(
         "lang",
         ident,
-        F.slice(F.concat("_w", fill), 1, length).alias("input_word_ids"),
-        F.slice(F.concat(F.transform("_w", lambda _: F.lit(1)), fill), 1, length).alias("input_mask"),
+        F.slice(F.concat("_ids", fill), 1, length).alias("input_word_ids"),
+        F.slice(F.concat(ones, fill), 1, length).alias("input_mask"),
         fill.alias("all_segment_id"),
     )

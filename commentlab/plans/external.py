@@ -8,7 +8,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from commentlab.operators.external import BATCH, Predict, with_scores
+from commentlab.operators.external import BATCH, Predict, score_external
 from commentlab.operators.metrics import labelled_groups, language_metrics, macro_row
 from commentlab.operators.threshold import apply_thresholds, tune_threshold
 from commentlab.scale import join_small, literal_table
@@ -39,10 +39,9 @@ def run_external(
     """
     languages = unique(languages)
     wanted = splits.filter(F.col("lang").isin(languages) & F.col("split").isin("val", "test"))
+    rated = score_external(wanted, open_model, batch_size=batch_size)
     scored = materialise(
-        with_scores(wanted, open_model, batch_size=batch_size).withColumnRenamed("toxic", "y_true"),
-        "scored",
-        ["lang", "split"],
+        rated.drop("comment_text").withColumnRenamed("toxic", "y_true"), "scored", ["lang", "split"]
     )
     if threshold is None:
         thresholds = tune_threshold(scored.filter(F.col("split") == "val"), ["lang"])

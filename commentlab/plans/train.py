@@ -17,7 +17,7 @@ from commentlab.operators.features import MAX_DF, MAX_FEATURES, MIN_DF, vocabula
 from commentlab.operators.metrics import language_metrics
 from commentlab.operators.model import MAX_ITER, fit_language, score
 from commentlab.operators.threshold import apply_thresholds, best_threshold
-from commentlab.scale import literal_table
+from commentlab.scale import literal_table, spread
 from commentlab.session import materialise
 from commentlab.sources.readers import unique
 
@@ -66,7 +66,8 @@ def fit_all(
     Vocabulary and class counts of all languages come from one job each; the fits are
     distributed jobs of their own, a few of them under way at a time.
     """
-    grams = analyze(cleaned, "comment_text", "grams")
+    spark = cleaned.sparkSession
+    grams = analyze(spread(cleaned), "comment_text", "grams")
     train = grams.filter(F.col("split") == "train")
     terms = materialise(
         vocabulary(train, "grams", min_df, max_df, max_features), "vocabulary", ["lang"]
@@ -94,7 +95,7 @@ def fit_all(
             return lang, None, str(error)
 
     with ThreadPoolExecutor(max_workers=max(1, parallelism)) as pool:
-        done = list(pool.map(inheritable_thread_target(attempt), languages))
+        done = list(pool.map(inheritable_thread_target(spark)(attempt), languages))
     return (
         {lang: model for lang, model, _ in done if model is not None},
         {lang: error for lang, _, error in done if error is not None},

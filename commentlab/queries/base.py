@@ -43,9 +43,13 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spread(docs.select(F.col("doc_id").alias("id"), "lang", F.col("text").alias("comment_text")))
 
 
-def comments(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The labelled documents: id, comment_text, lang, source, n_chars, quality, toxic."""
-    docs = table(spark, sf_dir, "documents").withColumnsRenamed(
+def comments(spark: SparkSession, sf_dir: str, wide: bool = False) -> DataFrame:
+    """The labelled documents: id, comment_text, lang, source, n_chars, quality, toxic.
+
+    ``wide`` spreads a small table over the cores for work on the texts.
+    """
+    docs = table(spark, sf_dir, "documents")
+    docs = (spread(docs) if wide else docs).withColumnsRenamed(
         {"doc_id": "id", "text": "comment_text"}
     )
     labels = table(spark, sf_dir, "labels").withColumnRenamed("doc_id", "id")

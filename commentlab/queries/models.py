@@ -97,7 +97,8 @@ def _(spark, sf):
 
 def all_splits(spark, sf):
     """Labelled documents in train / val / test."""
-    return split_rows(comments(spark, sf).select("lang", "id", "comment_text", "toxic"), ["lang"])
+    rows = comments(spark, sf, wide=True).select("lang", "id", "comment_text", "toxic")
+    return split_rows(rows, ["lang"])
 
 
 @query(

@@ -46,20 +46,24 @@ def work_dir(spark: SparkSession) -> str:
 
 
 def new_path(spark: SparkSession, name: str) -> str:
-    return f"{work_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    """A fresh path in the shared folder, under a folder of this application."""
+    app = spark.sparkContext.applicationId
+    return f"{work_dir(spark)}/commentlab/{app}/{name}-{uuid.uuid4().hex}"
 
 
 def materialise(df: DataFrame, name: str, partition_by: list[str] | None = None) -> DataFrame:
     """Write ``df`` once to the shared folder and read it back.
 
     Cuts the lineage, so a lost executor costs a re-read instead of a re-computation, and
-    lets several consumers share one expensive result.
+    lets several consumers share one expensive result. Partitioned tables are rebalanced
+    first: files of even size instead of one per task and partition, however skewed they are.
     """
     spark = df.sparkSession
     path = new_path(spark, name)
-    writer = df.write.mode("error")
     if partition_by:
-        writer = writer.partitionBy(*partition_by)
-    writer.parquet(path)
+        even = df.hint("rebalance", *partition_by)
+        even.write.mode("error").partitionBy(*partition_by).parquet(path)
+    else:
+        df.write.mode("error").parquet(path)
     # Partition columns come back last and typed by the given schema, not by inference.
     return spark.read.schema(df.schema).parquet(path).select(*df.columns)

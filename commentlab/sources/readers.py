@@ -222,11 +222,13 @@ def load_predictions(
     run_tag: str,
     languages: list[str] | None = None,
     fmt: str = "csv",
+    multiline: bool = True,
 ) -> DataFrame:
     """Predictions of a run: run_tag, lang, id and the roles of every language file.
 
     Reads ``{folder}/{run_tag}_{lang}.csv``, or for other formats the table partitioned by
-    run_tag and lang, of which only the wanted partitions are touched.
+    run_tag and lang, of which only the wanted partitions are touched. Files without line
+    breaks inside cells are split over many tasks with ``multiline`` off.
     """
     if fmt != "csv":
         table = read_table(spark, folder, fmt).filter(F.col("run_tag") == run_tag)
@@ -239,7 +241,7 @@ def load_predictions(
     parts = []
     for lang in choose_languages(languages):
         path = f"{folder}/{run_tag}_{lang}.csv"
-        df = resolve_predictions(read_csv(spark, path, need_id=True))
+        df = resolve_predictions(read_csv(spark, path, multiline, need_id=True))
         parts.append(
             df.drop("run_tag", "lang")
             .withColumn("id", F.col("id").cast("string"))

@@ -6,6 +6,8 @@ from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from commentlab.session import materialise
+
 PREDICTIONS = ["id", "y_true", "y_prob", "y_pred", "best_threshold"]
 
 
@@ -33,17 +35,22 @@ def write_predictions(df: DataFrame, folder: str, run_tag: str, fmt: str = "parq
 def write_prediction_files(
     df: DataFrame, folder: str, run_tag: str, languages: list[str]
 ) -> None:
-    """``{folder}/{run_tag}_{lang}.csv`` per language, for readers that expect that layout."""
+    """``{folder}/{run_tag}_{lang}.csv`` per language, for readers that expect that layout.
+
+    The rows are worked out once; each language's file is a copy of its own partition.
+    """
+    stored = materialise(df.select("lang", *PREDICTIONS), "by-language", ["lang"])
     for lang in languages:
-        one = df.filter(F.col("lang") == lang).select(*PREDICTIONS)
+        one = stored.filter(F.col("lang") == lang).select(*PREDICTIONS)
         _writer(one, "csv", "overwrite").save(f"{folder}/{run_tag}_{lang}.csv")
 
 
 def write_splits(df: DataFrame, folder: str, languages: list[str], fmt: str = "csv") -> None:
-    """``{folder}/{lang}/{split}.{fmt}`` per language and split."""
+    """``{folder}/{lang}/{split}.{fmt}`` per language and split, from one pass over the rows."""
+    stored = materialise(df, "by-split", ["lang", "split"])
     for lang in languages:
         for split in ("train", "val", "test"):
-            own = df.filter((F.col("lang") == lang) & (F.col("split") == split))
+            own = stored.filter((F.col("lang") == lang) & (F.col("split") == split))
             _writer(own.drop("lang", "split"), fmt, "overwrite").save(f"{folder}/{lang}/{split}.{fmt}")
 
 
@@ -52,8 +59,8 @@ def write_table(df: DataFrame, path: str, fmt: str = "csv") -> None:
 
 
 def write_error_sample(df: DataFrame, folder: str, run_tag: str, fmt: str = "csv") -> None:
-    """The bounded error sample, one partition per (run_tag, lang)."""
-    rows = df.withColumn("run_tag", F.lit(run_tag))
+    """The bounded error sample, false positives first, one partition per (run_tag, lang)."""
+    rows = df.withColumn("run_tag", F.lit(run_tag)).orderBy("lang", F.desc("error_type"))
     (
         _writer(rows, fmt, "overwrite")
         .option("partitionOverwriteMode", "dynamic")
