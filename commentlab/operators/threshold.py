@@ -8,7 +8,7 @@ from pyspark.sql.window import Window as W
 
 from commentlab.functions.columns import DEFAULT_THRESHOLD, binarize
 from commentlab.operators.metrics import ratio
-from commentlab.scale import join_small
+from commentlab.scale import join_small, literal_table
 
 # The grid of the sweep.
 GRID_MIN, GRID_MAX, GRID_STEPS = 0.1, 0.9, 81
@@ -127,7 +127,24 @@ def tune_threshold(
     )
 
 
-def apply_thresholds(df: DataFrame, thresholds: DataFrame, keys: list[str]) -> DataFrame:
-    """Attach each group's threshold and the decision it gives."""
-    joined = join_small(df, thresholds.select(*keys, "best_threshold"), keys)
-    return joined.withColumn("y_pred", binarize(F.col("y_prob"), F.col("best_threshold")))
+def apply_thresholds(
+    df: DataFrame, thresholds: DataFrame, keys: list[str], default: float = DEFAULT_THRESHOLD
+) -> DataFrame:
+    """Attach each group's threshold and the decision it gives.
+
+    A group without a threshold, such as one with nothing to tune on, gets the default.
+    """
+    joined = join_small(df, thresholds.select(*keys, "best_threshold"), keys, "left")
+    filled = joined.withColumn("best_threshold", F.coalesce("best_threshold", F.lit(default)))
+    return filled.withColumn("y_pred", binarize(F.col("y_prob"), F.col("best_threshold")))
+
+
+def for_languages(
+    thresholds: DataFrame, languages: list[str], default: float = DEFAULT_THRESHOLD
+) -> DataFrame:
+    """(lang, best_threshold) for each of the languages, tuned or not."""
+    listed = literal_table(thresholds.sparkSession, [(lang,) for lang in languages], "lang string")
+    joined = listed.join(thresholds, "lang", "left")
+    return joined.select(
+        "lang", F.coalesce("best_threshold", F.lit(default)).alias("best_threshold")
+    )

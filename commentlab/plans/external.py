@@ -10,7 +10,12 @@ from pyspark.sql import functions as F
 
 from commentlab.operators.external import BATCH, Predict, score_external
 from commentlab.operators.metrics import labelled_groups, language_metrics, macro_row
-from commentlab.operators.threshold import apply_thresholds, tune_threshold
+from commentlab.operators.threshold import (
+    GRID_MIN,
+    apply_thresholds,
+    for_languages,
+    tune_threshold,
+)
 from commentlab.scale import join_small, literal_table
 from commentlab.session import materialise
 from commentlab.sources.readers import unique
@@ -44,7 +49,8 @@ def run_external(
         rated.drop("comment_text").withColumnRenamed("toxic", "y_true"), "scored", ["lang", "split"]
     )
     if threshold is None:
-        thresholds = tune_threshold(scored.filter(F.col("split") == "val"), ["lang"])
+        tuned = tune_threshold(scored.filter(F.col("split") == "val"), ["lang"])
+        thresholds = for_languages(tuned, languages, GRID_MIN)
     else:
         rows = [(lang, float(threshold)) for lang in languages]
         thresholds = literal_table(splits.sparkSession, rows, "lang string, best_threshold double")

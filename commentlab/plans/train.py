@@ -16,7 +16,7 @@ from commentlab.functions.text import analyze, clean_text, remove_stopwords, sto
 from commentlab.operators.features import MAX_DF, MAX_FEATURES, MIN_DF, vocabulary
 from commentlab.operators.metrics import language_metrics
 from commentlab.operators.model import MAX_ITER, fit_language, score
-from commentlab.operators.threshold import apply_thresholds, best_threshold
+from commentlab.operators.threshold import apply_thresholds, best_threshold, for_languages
 from commentlab.scale import literal_table, spread
 from commentlab.session import materialise
 from commentlab.sources.readers import unique
@@ -154,7 +154,7 @@ def train_and_predict(
     scored = materialise(score_splits(cleaned, models), "scored", ["lang", "split"])
     val = scored.filter(F.col("split") == "val")
     if find_threshold:
-        thresholds = best_threshold(val, ["lang"]).select("lang", "best_threshold")
+        thresholds = for_languages(best_threshold(val, ["lang"]), list(models))
     else:
         rows = [(lang, DEFAULT_THRESHOLD) for lang in models]
         thresholds = literal_table(splits.sparkSession, rows, "lang string, best_threshold double")

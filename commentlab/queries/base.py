@@ -147,6 +147,15 @@ def counts_sql(source: str, keys: str, out: str = "counts") -> str:
 )"""
 
 
+def tuned_sql(default: str = "0.5::DOUBLE") -> str:
+    """CTE ``tuned``: the best threshold of every language, tuned or not."""
+    return f"""
+tuned AS (
+  SELECT lang, coalesce(best_threshold, {default}) AS best_threshold
+  FROM (SELECT DISTINCT lang FROM parted) LEFT JOIN best USING (lang)
+)"""
+
+
 def sweep_sql(source: str, metric: str = "f1", default: str = "0.5::DOUBLE") -> str:
     """CTE ``best`` (lang, best_threshold, best_score) by trying every threshold."""
     value = {

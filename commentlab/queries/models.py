@@ -24,6 +24,7 @@ from commentlab.queries.base import (
     scored,
     six,
     sweep_sql,
+    tuned_sql,
 )
 from commentlab.queries.sampling import TUNED
 from commentlab.session import new_path
@@ -45,10 +46,10 @@ def _tuned(spark, sf):
 @query(
     "evaluate_val",
     f"""WITH {TUNED}, decided AS (
-  SELECT vals.*, CAST(y_prob >= best_threshold AS INTEGER) AS y_pred FROM vals JOIN best USING (lang)
+  SELECT vals.*, CAST(y_prob >= best_threshold AS INTEGER) AS y_pred FROM vals JOIN tuned USING (lang)
 ), {counts_sql('decided', 'lang')}, {auc_sql('decided', 'lang')}
 SELECT lang, {METRIC_SQL}, round(best_threshold, 6) AS best_threshold
-FROM counts JOIN aucs USING (lang) JOIN best USING (lang)""",
+FROM counts JOIN aucs USING (lang) JOIN tuned USING (lang)""",
 )
 def _(spark, sf):
     _, val, best = _tuned(spark, sf)
@@ -62,7 +63,7 @@ def _(spark, sf):
     f"""WITH {TUNED}
 SELECT lang, id, y_true, round(y_prob, 6) AS y_prob,
   CAST(y_prob >= best_threshold AS INTEGER) AS y_pred, round(best_threshold, 6) AS best_threshold
-FROM parted JOIN best USING (lang) WHERE split = 'test'""",
+FROM parted JOIN tuned USING (lang) WHERE split = 'test'""",
 )
 def _(spark, sf):
     parts, _, best = _tuned(spark, sf)
@@ -106,9 +107,9 @@ def all_splits(spark, sf):
     f"""WITH {COMMENTS}, {SPLIT.format(source='comments')}, rated AS (
   SELECT lang, split, id, toxic AS y_true, {STAND_IN} AS y_prob FROM parted WHERE split <> 'train'
 ), vals AS (SELECT * FROM rated WHERE split = 'val'), {sweep_sql('vals', 'f1', '0.1::DOUBLE')},
-decided AS (
+{tuned_sql('0.1::DOUBLE')}, decided AS (
   SELECT rated.*, CAST(y_prob >= best_threshold AS INTEGER) AS y_pred
-  FROM rated JOIN best USING (lang) WHERE split = 'test'
+  FROM rated JOIN tuned USING (lang) WHERE split = 'test'
 ), {counts_sql('decided', 'lang')}, {auc_sql('decided', 'lang')}
 SELECT lang, n AS n_samples, {METRIC_SQL} FROM counts JOIN aucs USING (lang)""",
 )

@@ -17,6 +17,7 @@ from commentlab.queries.base import (
     six,
     sweep_sql,
     table,
+    tuned_sql,
 )
 from commentlab.queries.metrics import TAGGED
 from commentlab.scale import literal_table
@@ -137,4 +138,4 @@ def _(spark, sf):
 TUNED = f"""
 {predictions_sql()}, {SPLIT.format(source='pred')},
 vals AS (SELECT lang, id, y_true, y_prob FROM parted WHERE split = 'val'),
-{sweep_sql('vals')}"""
+{sweep_sql('vals')}, {tuned_sql()}"""

@@ -6,8 +6,8 @@ from pyspark.sql import functions as F
 
 from commentlab.operators import profile as p
 from commentlab.operators.sampling import split_rows
-from commentlab.operators.threshold import apply_thresholds, best_threshold
-from commentlab.plans.train import summarise
+from commentlab.operators.threshold import apply_thresholds, best_threshold, for_languages
+from commentlab.plans.train import evaluate, summarise
 from commentlab.queries.base import (
     COMMENTS,
     LANGUAGES,
@@ -22,6 +22,7 @@ from commentlab.queries.base import (
     six,
     sweep_sql,
     table,
+    tuned_sql,
 )
 from commentlab.session import new_path
 from commentlab.sources import readers as r
@@ -170,34 +171,33 @@ def _(spark, sf):
 
 SUMMARY_SQL = f"""WITH {scored_sql()}, {SPLIT.format(source='scored')},
 vals AS (SELECT lang, id, y_true, y_prob FROM parted WHERE split = 'val'),
-{sweep_sql('vals')}, decided AS (
+{sweep_sql('vals')}, {tuned_sql()}, decided AS (
   SELECT p.lang, p.split, y_true, y_prob, CAST(y_prob >= best_threshold AS INTEGER) AS y_pred
-  FROM parted p JOIN best USING (lang) WHERE split <> 'train'
+  FROM parted p JOIN tuned USING (lang) WHERE split <> 'train'
 ), {counts_sql('decided', 'lang, split')}, {auc_sql('decided', 'lang, split')},
 both_parts AS (SELECT * FROM counts JOIN aucs USING (lang, split)),
 wide AS (
-  SELECT v.lang, v.roc_auc AS val_roc_auc, v.f1 AS val_f1, v."precision" AS val_precision,
+  SELECT l.lang, v.roc_auc AS val_roc_auc, v.f1 AS val_f1, v."precision" AS val_precision,
     v.recall AS val_recall, t.roc_auc AS test_roc_auc, t.f1 AS test_f1,
     t."precision" AS test_precision, t.recall AS test_recall
-  FROM both_parts v JOIN both_parts t ON v.lang = t.lang AND v.split = 'val' AND t.split = 'test'
+  FROM (SELECT lang FROM tuned) l LEFT JOIN both_parts v ON v.lang = l.lang AND v.split = 'val'
+    LEFT JOIN both_parts t ON t.lang = l.lang AND t.split = 'test'
 )
 SELECT lang AS language, round_even(val_roc_auc, 4) AS val_roc_auc, round_even(val_f1, 4) AS val_f1,
   round_even(val_precision, 4) AS val_precision, round_even(val_recall, 4) AS val_recall,
   round_even(test_roc_auc, 4) AS test_roc_auc, round_even(test_f1, 4) AS test_f1,
   round_even(test_precision, 4) AS test_precision, round_even(test_recall, 4) AS test_recall,
   round_even(best_threshold, 4) AS best_threshold, NULL::VARCHAR AS error
-FROM wide JOIN best USING (lang)
+FROM wide JOIN tuned USING (lang)
 UNION ALL SELECT 'it', NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, 'not found'"""
 
 
 @query("run_summary", SUMMARY_SQL)
 def _(spark, sf):
-    from commentlab.plans.train import evaluate
-
     rows = scored(spark, sf).select("lang", "id", "y_true", "y_prob")
     parts = split_rows(rows, ["lang"]).filter(F.col("split") != "train")
     tuned = best_threshold(parts.filter(F.col("split") == "val"), ["lang"])
-    thresholds = tuned.select("lang", "best_threshold")
+    thresholds = for_languages(tuned, LANGUAGES)
     errors = {"it": "not found"}
     return summarise(evaluate(parts, thresholds), thresholds, [*LANGUAGES, "it"], errors)
 
