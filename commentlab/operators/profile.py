@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from urllib.parse import quote
 
 import pandas as pd
 from pyarrow import fs
@@ -41,8 +42,10 @@ def example_rows(df: DataFrame, n: int = 5) -> DataFrame:
 
 
 def _open(path: str):
-    uri = path.replace("file:/", "file:///", 1) if not path.startswith("file:///") else path
-    system, inner = fs.FileSystem.from_uri(uri)
+    scheme, rest = path.split(":", 1)
+    # The listing gives "file:/x" and plain characters; a URI wants "file:///x" and escapes.
+    root = "//" if scheme == "file" and not rest.startswith("//") else ""
+    system, inner = fs.FileSystem.from_uri(f"{scheme}:{root}{quote(rest, safe='/:@')}")
     return system.open_input_stream(inner)
 
 
@@ -55,7 +58,7 @@ def _digest(path: str) -> str:
 
 
 def profile_files(spark: SparkSession, folder: str, pattern: str = "*") -> DataFrame:
-    """path, name, size_bytes, modified, sha256 of every file under a folder.
+    """path, name, size_bytes, modified, sha256 of every non-empty file under a folder.
 
     Only the listing goes through the reader. A digest is sequential by nature, so each file
     is streamed by one task in blocks of fixed size, and files are spread over the tasks.
