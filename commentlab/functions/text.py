@@ -35,16 +35,22 @@ STOPWORD_LISTS = {
 }
 
 
+def _remove(text: Column, pattern: str, *signs: str) -> Column:
+    """Delete the matches; texts without one of the signs every match has skip the regex."""
+    present = reduce(Column.__or__, [F.contains(text, F.lit(s)) for s in signs])
+    return F.when(present, F.regexp_replace(text, pattern, "")).otherwise(text)
+
+
 def remove_urls(text: Column) -> Column:
-    return F.regexp_replace(text, URL, "")
+    return _remove(text, URL, "http", "www.")
 
 
 def remove_mentions(text: Column) -> Column:
-    return F.regexp_replace(text, MENTION, "")
+    return _remove(text, MENTION, "@")
 
 
 def remove_hashtags(text: Column) -> Column:
-    return F.regexp_replace(text, HASHTAG, "")
+    return _remove(text, HASHTAG, "#")
 
 
 def squeeze_spaces(text: Column) -> Column:

@@ -1,10 +1,11 @@
 """Exact ROC-AUC with mid-rank ties, grouped, for any number of rows per group.
 
 Rows are first counted per (group, score), so repeated scores collapse before the shuffle.
-The counts are then range-partitioned by (group, score): keys are nearly unique by now, so the
-parts are even however the rows are spread over groups and scores. Each part reports its totals
-and its own share of the rank sum; a window over those few part rows adds what lies in lower
-parts. No group is ever sorted in one task.
+The counts are then range-partitioned by score: scores are nearly unique by now, so the parts
+are even however the rows are spread over groups and scores. Each part reports its totals per
+group and its own share of the rank sums; a window over those few part rows adds what lies in
+lower parts. No group is ever sorted in one task, and coarser groupings of the same rows (all
+languages together) come out of the same pass.
 """
 
 from __future__ import annotations
@@ -52,8 +53,8 @@ def _pair_sum(pos: np.ndarray, neg: np.ndarray, below: int) -> int:
 class _Part:
     """Running totals of one group inside one range partition."""
 
-    def __init__(self, key: tuple, width: int, pairs: list[tuple[int, int]]):
-        self.key, self.pairs = key, pairs
+    def __init__(self, width: int, pairs: list[tuple[int, int]]):
+        self.pairs = pairs
         self.first: float | None = None
         self.sums = [0] * width
         self.ranks = [0] * len(pairs)
@@ -76,84 +77,93 @@ class _Part:
             self.ranks[i] += _pair_sum(counts[:, pos], counts[:, neg], self.sums[neg])
         self.sums = [a + int(b) for a, b in zip(self.sums, counts.sum(axis=0))]
 
-    def row(self) -> tuple:
+    def totals(self) -> tuple:
         self._fold(self.counts)
-        return (*self.key, self.first, *self.sums, *map(Decimal, self.ranks))
-
-
-def _part_rows(keys: list[str], counts: list[str], pairs: list[tuple[int, int]], schema: pa.Schema):
-    def batch_of(rows: list[tuple]) -> pa.RecordBatch:
-        columns = zip(*rows) if rows else [[] for _ in schema]
-        return pa.RecordBatch.from_arrays(
-            [pa.array(list(c), f.type) for c, f in zip(columns, schema)], schema=schema
-        )
-
+        return (self.first, *self.sums, *map(Decimal, self.ranks))
+
+
+def _groups(batch: pa.RecordBatch, keys: list[str]) -> Iterator[tuple[tuple, np.ndarray]]:
+    """Each key of the batch with the places of its rows, in order."""
+    code = np.zeros(batch.num_rows, dtype=np.int64)
+    for key in keys:
+        encoded = batch.column(key).dictionary_encode()
+        own = encoded.indices.fill_null(len(encoded.dictionary)).to_numpy()
+        code = code * (len(encoded.dictionary) + 1) + own
+    for value in np.unique(code):
+        places = np.flatnonzero(code == value)
+        yield tuple(batch.column(k)[int(places[0])].as_py() for k in keys), places
+
+
+def _part_rows(
+    sets: list[list[str]],
+    keys: list[str],
+    counts: list[str],
+    pairs: list[tuple[int, int]],
+    schema: pa.Schema,
+):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part: _Part | None = None
-        done: list[tuple] = []
+        parts: dict[tuple, _Part] = {}
         for batch in batches:
-            n = batch.num_rows
-            if n == 0:
+            if batch.num_rows == 0:
                 continue
             score = batch.column("_score").to_numpy()
             values = np.column_stack([batch.column(c).to_numpy() for c in counts])
-            change = np.zeros(n, dtype=bool)
-            change[0] = True
-            for key in keys:
-                codes = batch.column(key).dictionary_encode().indices.fill_null(-1).to_numpy()
-                change[1:] |= codes[1:] != codes[:-1]
-            edges = [*np.flatnonzero(change), n]
-            for a, b in zip(edges[:-1], edges[1:]):
-                key = tuple(batch.column(k)[int(a)].as_py() for k in keys)
-                if part is None or part.key != key:
-                    if part is not None:
-                        done.append(part.row())
-                    part = _Part(key, len(counts), pairs)
-                part.add(score[a:b], values[a:b])
-            if len(done) > 10_000:
-                yield batch_of(done)
-                done = []
-        if part is not None:
-            done.append(part.row())
-        yield batch_of(done)
+            for number, own in enumerate(sets):
+                for key, places in _groups(batch, own):
+                    part = parts.setdefault((number, key), _Part(len(counts), pairs))
+                    part.add(score[places], values[places])
+        rows = []
+        for (number, key), part in parts.items():
+            named = dict(zip(sets[number], key))
+            rows.append((number, *[named.get(k) for k in keys], *part.totals()))
+        columns = zip(*rows) if rows else [[] for _ in schema]
+        arrays = [pa.array(list(c), f.type) for c, f in zip(columns, schema)]
+        yield pa.RecordBatch.from_arrays(arrays, schema=schema)
 
     return run
 
 
 def rank_totals(
-    counted: DataFrame, keys: list[str], counts: list[str], pairs: dict[str, tuple[str, str]]
+    counted: DataFrame,
+    keys: list[str],
+    counts: list[str],
+    pairs: dict[str, tuple[str, str]],
+    sets: list[list[str]] | None = None,
 ) -> DataFrame:
     """Totals of ``counts`` per group, and one AUC column per named (positive, negative) pair.
 
-    An AUC is NULL if a class is empty or if the group has unusable scores (``n_bad``).
+    ``sets`` lists the groupings wanted, each some of ``keys``; ``_set`` numbers them in the
+    result. An AUC is NULL if a class is empty or if the group has unusable scores (``n_bad``).
+    The number of groups is taken to be moderate: every part holds one state per group.
     """
     spark = counted.sparkSession
     counts = [*counts, "n_bad"]
     index = [(counts.index(p), counts.index(n)) for p, n in pairs.values()]
     ranks = [f"_rank_{i}" for i in range(len(index))]
-    key_fields = [counted.schema[k] for k in keys]
+    big = T.DecimalType(38, 0)
     out = T.StructType(
-        [T.StructField(f.name, f.dataType) for f in key_fields]
+        [T.StructField("_set", T.IntegerType())]
+        + [T.StructField(k, counted.schema[k].dataType) for k in keys]
         + [T.StructField("_first", T.DoubleType())]
         + [T.StructField(c, T.LongType()) for c in counts]
-        + [T.StructField(r, T.DecimalType(38, 0)) for r in ranks]
+        + [T.StructField(r, big) for r in ranks]
     )
     arrow_schema = spark.createDataFrame([], out).toArrow().schema
     parts = (
         counted.select(*keys, "_score", *counts)
-        .repartitionByRange(*keys, "_score")
-        .sortWithinPartitions(*keys, "_score")
-        .mapInArrow(_part_rows(keys, counts, index, arrow_schema), out)
+        .repartitionByRange("_score")
+        .sortWithinPartitions("_score")
+        .mapInArrow(_part_rows(sets or [keys], keys, counts, index, arrow_schema), out)
     )
-    big = T.DecimalType(38, 0)
-    lower = W.partitionBy(*keys).orderBy("_first").rowsBetween(W.unboundedPreceding, -1)
+    group = ["_set", *keys]
+    lower = W.partitionBy(*group).orderBy("_first").rowsBetween(W.unboundedPreceding, -1)
     for rank, (pos, neg) in zip(ranks, index):
         before = F.coalesce(F.sum(F.col(counts[neg])).over(lower), F.lit(0)).cast("decimal(19,0)")
         doubled = F.col(counts[pos]).cast("decimal(19,0)") * before * 2
         parts = parts.withColumn(f"{rank}_lower", doubled.cast(big))
-    totals = parts.groupBy(*keys).agg(
+    totals = parts.groupBy(*group).agg(
         *[F.sum(c).alias(c) for c in counts],
-        *[F.sum((F.col(r) + F.col(f"{r}_lower")).cast("decimal(38,0)")).alias(r) for r in ranks],
+        *[F.sum((F.col(r) + F.col(f"{r}_lower")).cast(big)).cast(big).alias(r) for r in ranks],
     )
     for name, rank, (pos, neg) in zip(pairs, ranks, index):
         p, n = F.col(counts[pos]).cast("double"), F.col(counts[neg]).cast("double")

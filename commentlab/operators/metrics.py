@@ -104,23 +104,17 @@ def _scoped_metrics(
         counted = counted.unionByName(
             none.select("lang", F.lit(float("-inf")).alias("_score"), *zeros)
         )
-    scopes = [F.struct(F.lit(0).alias("kind"), F.col("lang").alias("language"))]
-    if micro:
-        scopes.append(F.struct(F.lit(1).alias("kind"), F.lit(MICRO).alias("language")))
-    scoped = counted.withColumn("_scope", F.explode(F.array(*scopes))).select(
-        *keys, "_scope.*", "_score", *counts, "n_bad"
-    )
-    totals = rank_totals(
-        scoped, [*keys, "kind", "language"], list(counts), {"roc_auc": ("pos", "neg")}
-    )
+    own = [*keys, "lang"]
+    sets = [own, keys] if micro else [own]
+    totals = rank_totals(counted, own, list(counts), {"roc_auc": ("pos", "neg")}, sets)
     filled = totals.withColumns(
         {"fn": F.col("pos") - F.col("tp"), "tn": F.col("neg") - F.col("fp")}
     )
     rates = decision_rates()
     return filled.select(
         *keys,
-        "kind",
-        "language",
+        F.col("_set").alias("kind"),
+        F.when(F.col("_set") == 1, MICRO).otherwise(F.col("lang")).alias("language"),
         F.col("n").alias("n_samples"),
         ratio(F.col("pos"), F.col("n")).alias("positive_rate"),
         "roc_auc",

@@ -89,9 +89,9 @@ def split_rows(
         "_train": F.floor(size * train / 100),
         "_val": F.floor(size * (train + val) / 100),
     }
-    h = hashed(ident, seed)
+    h = F.col("_hash")
     name = F.when(h <= F.col("_train"), "train").when(h <= F.col("_val"), "val").otherwise("test")
-    placed = _with_limits(df, group, ident, seed, cuts)
+    placed = _with_limits(df, group, ident, seed, cuts).withColumn("_hash", hashed(ident, seed))
     return placed.withColumn("split", name).select(*df.columns, "split")
 
 

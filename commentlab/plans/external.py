@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from commentlab.operators.external import BATCH, Predict, score_external
@@ -18,7 +18,8 @@ from commentlab.operators.threshold import (
 )
 from commentlab.scale import join_small, literal_table
 from commentlab.session import materialise
-from commentlab.sources.readers import unique
+from commentlab.sources.readers import load_splits, unique
+from commentlab.sources.writers import write_prediction_files, write_predictions
 
 
 @dataclass
@@ -62,3 +63,31 @@ def run_external(
     return ExternalRun(
         scored, thresholds, predictions, metrics, macro_row(metrics, skip_undefined=False)
     )
+
+
+def score_folder(
+    spark: SparkSession,
+    data_dir: str,
+    open_model: Callable[[], Predict],
+    languages: list[str],
+    run_tag: str,
+    pred_dir: str | None = None,
+    threshold: float | None = None,
+    batch_size: int = BATCH,
+    text_col: str = "comment_text",
+    label_col: str = "toxic",
+    fmt: str = "csv",
+) -> ExternalRun:
+    """Score ``{data_dir}/{lang}/val`` and ``test`` and write the predictions of the run.
+
+    A missing file raises.
+    """
+    splits, _ = load_splits(
+        spark, data_dir, languages, ("val", "test"), fmt, text_col=text_col, label_col=label_col
+    )
+    run = run_external(splits, open_model, languages, threshold, batch_size)
+    if pred_dir and fmt == "csv":
+        write_prediction_files(run.predictions, pred_dir, run_tag, unique(languages))
+    elif pred_dir:
+        write_predictions(run.predictions, pred_dir, run_tag, fmt)
+    return run

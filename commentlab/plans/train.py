@@ -8,7 +8,7 @@ from functools import reduce
 
 from pyspark import inheritable_thread_target
 from pyspark.ml import PipelineModel
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from commentlab.functions.columns import DEFAULT_THRESHOLD
@@ -19,8 +19,17 @@ from commentlab.operators.model import MAX_ITER, fit_language, score
 from commentlab.operators.threshold import apply_thresholds, best_threshold, for_languages
 from commentlab.scale import literal_table, spread
 from commentlab.session import materialise
-from commentlab.sources.readers import unique
-
+from commentlab.sources.readers import load_splits, unique
+from commentlab.sources.writers import (
+    save_models,
+    write_prediction_files,
+    write_predictions,
+    write_table,
+)
+
+# The languages and the run name used when none are given.
+LANGUAGES = ["en", "es", "fr", "de", "it", "pt", "ru", "tr"]
+RUN_TAG = "baseline"
 SUMMARY = [
     "val_roc_auc", "val_f1", "val_precision", "val_recall",
     "test_roc_auc", "test_f1", "test_precision", "test_recall",
@@ -163,3 +172,34 @@ def train_and_predict(
     predictions = apply_thresholds(scored.filter(F.col("split") == "test"), thresholds, ["lang"])
     summary = summarise(metrics, thresholds, languages, failed)
     return Run(models, failed, scored, thresholds, predictions, metrics, summary)
+
+
+def train_folder(
+    spark: SparkSession,
+    data_dir: str,
+    languages: list[str] | None = None,
+    pred_dir: str | None = None,
+    model_dir: str | None = None,
+    run_tag: str = RUN_TAG,
+    use_stopwords: bool = False,
+    fmt: str = "csv",
+    **options,
+) -> Run:
+    """Train from ``{data_dir}/{lang}/{split}.{fmt}`` and write what has a place to go.
+
+    A language with a missing file, or one that cannot be fitted, shows up in the summary with
+    its error. Predictions go to one file per language, or with another ``fmt`` to a
+    partitioned table; models, thresholds and the summary go to ``model_dir``.
+    """
+    languages = unique(languages or LANGUAGES)
+    splits, missing = load_splits(spark, data_dir, languages, fmt=fmt, strict=False)
+    run = train_and_predict(splits, languages, use_stopwords, missing, **options)
+    if pred_dir and fmt == "csv":
+        write_prediction_files(run.predictions, pred_dir, run_tag, list(run.models))
+    elif pred_dir:
+        write_predictions(run.predictions, pred_dir, run_tag, fmt)
+    if model_dir:
+        settings = run.thresholds.withColumn("use_stopwords", F.lit(use_stopwords))
+        save_models(run.models, settings, model_dir)
+        write_table(run.summary, f"{model_dir}/{run_tag}_results_summary.csv")
+    return run

@@ -131,6 +131,8 @@ def load_splits(
     splits: Iterable[str] = SPLITS,
     fmt: str = "csv",
     strict: bool = True,
+    text_col: str = "comment_text",
+    label_col: str = "toxic",
 ) -> tuple[DataFrame, dict[str, str]]:
     """All splits of all languages, and the languages left out with the reason.
 
@@ -140,7 +142,10 @@ def load_splits(
     missing: dict[str, str] = {}
     for lang in unique(languages):
         try:
-            parts += [load_split(spark, folder, lang, split, fmt=fmt) for split in splits]
+            parts += [
+                load_split(spark, folder, lang, split, text_col, label_col, fmt)
+                for split in splits
+            ]
         except FileNotFoundError as error:
             if strict:
                 raise
