@@ -61,10 +61,14 @@ def surrogate_id(df: DataFrame, group: list[str], position: str, out: str = "id"
 
     Positions are cut into blocks of at most ``BLOCK`` rows. Block sizes give each block its
     first ordinal; ranks are taken within blocks only, so no group is sorted in one task.
+    Ranking and joining use the same key, so the rows move once.
     """
-    blocks = df.withColumn("_block", F.floor(F.col(position) / F.lit(BLOCK)))
-    keys = [*group, "_block"]
-    before = W.partitionBy(*group).orderBy("_block").rowsBetween(W.unboundedPreceding, -1)
+    # As one struct, a NULL group equals itself in the join.
+    blocks = df.withColumns(
+        {"_group": F.struct(*group), "_block": F.floor(F.col(position) / F.lit(BLOCK))}
+    )
+    keys = ["_group", "_block"]
+    before = W.partitionBy("_group").orderBy("_block").rowsBetween(W.unboundedPreceding, -1)
     starts = (
         blocks.groupBy(*keys)
         .agg(F.count("*").alias("_n"))

@@ -164,7 +164,7 @@ def tfidf_terms(df: DataFrame, grams: str, terms: DataFrame, keep: list[str]) ->
     Terms are marked with their language, so one pass serves every language, and a row's
     weights are normed inside the row instead of by a shuffle on its id.
     """
-    lang = F.col("lang")
+    lang = F.coalesce("lang", F.lit(""))
     marked = terms.withColumn("term", F.concat(lang, F.lit(MARK), F.col("term")))
     stages = vectorizer(marked, "_marked", "_vector")
     own = F.transform(F.col(grams), lambda t: F.concat(lang, F.lit(MARK), t))

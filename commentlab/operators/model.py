@@ -9,6 +9,7 @@ from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window as W
 
 from commentlab.operators.features import vectorizer
 from commentlab.session import materialise
@@ -21,11 +22,9 @@ ROWS_PER_TASK = 4096
 def class_weights(df: DataFrame, keys: list[str], label: str = "toxic") -> DataFrame:
     """Balanced weights n / (classes * n_class) per group and class; at most two rows a group."""
     counts = df.groupBy(*keys, label).agg(F.count("*").alias("n"))
-    totals = counts.groupBy(*keys).agg(
-        F.sum("n").alias("_all"), F.count("*").alias("_classes")
-    )
-    weight = F.col("_all").cast("double") / (F.col("_classes") * F.col("n"))
-    return counts.join(totals, keys).select(*keys, label, "n", weight.alias("weight"))
+    own = W.partitionBy(*keys)
+    weight = F.sum("n").over(own).cast("double") / (F.count("*").over(own) * F.col("n"))
+    return counts.select(*keys, label, "n", weight.alias("weight"))
 
 
 def balanced_weight(label: str, n: int, n_pos: int) -> Column:

@@ -123,7 +123,7 @@ def stratified_sample(
     cap: int | None = 20_000,
     fraction: float = 0.05,
 ) -> DataFrame:
-    """Exactly the quota of each stratum, in hash order. No NULL strata."""
+    """Exactly the quota of each stratum, in hash order."""
     quotas = strata_quotas(df, strata, cap, fraction).select(*strata, "quota")
     sized = join_small(df, quotas, strata)
     # The quota is one value per stratum, so grouping by it as well changes nothing.

@@ -28,7 +28,8 @@ def word_ids(terms: DataFrame) -> DataFrame:
 
 def _look_up(rows: DataFrame, words: DataFrame) -> DataFrame:
     """Word ids in place of ``_tokens``, batch by batch against a shared word table."""
-    table = words.select(F.concat("lang", F.lit(MARK), "term").alias("word"), "word_id").toArrow()
+    lang = F.coalesce("lang", F.lit(""))
+    table = words.select(F.concat(lang, F.lit(MARK), "term").alias("word"), "word_id").toArrow()
     shared = rows.sparkSession.sparkContext.broadcast(
         (table.column("word").combine_chunks(), table.column("word_id").combine_chunks())
     )
@@ -41,7 +42,7 @@ def _look_up(rows: DataFrame, words: DataFrame) -> DataFrame:
         offsets = pa.array([0, *lengths.cumsum()], pa.int32())
         return pa.ListArray.from_arrays(offsets, known)
 
-    marked = F.transform("_tokens", lambda t: F.concat(F.col("lang"), F.lit(MARK), t))
+    marked = F.transform("_tokens", lambda t: F.concat(lang, F.lit(MARK), t))
     return rows.withColumn("_ids", F.arrow_udf(ids_of, "array<int>")(marked))
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
@@ -44,16 +46,24 @@ def join_small(
     The size is measured first. Up to ``max_rows`` rows the side is broadcast and ``big``
     does not move. Beyond that both sides are shuffled on the key plus a salt taken from the
     row's own hash, so that one hot key is spread over ``salts`` tasks. Both ways give the
-    same rows for inner, left, semi and anti joins.
+    same rows for inner, left, semi and anti joins. NULL keys match each other, as they do
+    when ``small`` comes from a grouping of ``big``.
     """
     local = bounded(small, max_rows)
     if local is not None:
-        return big.join(F.broadcast(local), on, how)
+        return _join_null_safe(big, F.broadcast(local), on, how)
     salted = big.withColumn("_salt", F.pmod(F.xxhash64(*big.columns), F.lit(salts)))
     copies = small.withColumn(
         "_salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(salts - 1).cast("long")))
     )
-    return salted.join(copies, [*on, "_salt"], how).drop("_salt")
+    return _join_null_safe(salted, copies, [*on, "_salt"], how).drop("_salt")
+
+
+def _join_null_safe(big: DataFrame, small: DataFrame, on: list[str], how: str) -> DataFrame:
+    theirs = {key: f"_small_{key}" for key in on}
+    same = [F.col(key).eqNullSafe(F.col(other)) for key, other in theirs.items()]
+    joined = big.join(small.withColumnsRenamed(theirs), reduce(Column.__and__, same), how)
+    return joined.drop(*theirs.values())
 
 
 def top_k(

@@ -64,6 +64,18 @@ def test_stratified_sample_takes_lowest_hashes(skewed):
         assert ids == every[: len(ids)]
 
 
+def test_rows_without_language_are_kept(spark):
+    df = spark.range(100).select("id", F.when(F.col("id") % 4 > 0, "en").alias("lang"))
+    sizes = {(r["lang"], r["split"]): r["count"] for r in s.split_rows(df, ["lang"]).groupBy("lang", "split").count().collect()}
+    assert sizes == {
+        (None, "train"): 20, (None, "val"): 2, (None, "test"): 3,
+        ("en", "train"): 60, ("en", "val"): 7, ("en", "test"): 8,
+    }
+    assert s.stratified_sample(df, ["lang"], fraction=0.2).filter("lang IS NULL").count() == 5
+    ids = surrogate_id(df.withColumnRenamed("id", "pos"), ["lang"], "pos")
+    assert ids.count() == 100 and ids.filter("lang IS NULL").agg(F.max("id")).first()[0] == 24
+
+
 def test_empty_quota(spark):
     rows = literal_table(spark, [(i, 0) for i in range(99)] + [(99, 1)], "id int, toxic int")
     got = s.stratified_sample(rows, ["toxic"], cap=10, fraction=0.05).collect()
