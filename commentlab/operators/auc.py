@@ -99,13 +99,17 @@ def _part_rows(
     keys: list[str],
     counts: list[str],
     pairs: list[tuple[int, int]],
-    schema: pa.Schema,
+    names: list[str],
 ):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parts: dict[tuple, _Part] = {}
+        types: list[pa.DataType] = []
         for batch in batches:
             if batch.num_rows == 0:
                 continue
+            own_types = [batch.schema.field(k).type for k in keys]
+            totals = [pa.float64(), *[pa.int64()] * len(counts), *[pa.decimal128(38, 0)] * len(pairs)]
+            types = [pa.int32(), *own_types, *totals]
             score = batch.column("_score").to_numpy()
             values = np.column_stack([batch.column(c).to_numpy() for c in counts])
             for number, own in enumerate(sets):
@@ -116,9 +120,9 @@ def _part_rows(
         for (number, key), part in parts.items():
             named = dict(zip(sets[number], key))
             rows.append((number, *[named.get(k) for k in keys], *part.totals()))
-        columns = zip(*rows) if rows else [[] for _ in schema]
-        arrays = [pa.array(list(c), f.type) for c, f in zip(columns, schema)]
-        yield pa.RecordBatch.from_arrays(arrays, schema=schema)
+        if rows:
+            columns = [pa.array(list(c), kind) for c, kind in zip(zip(*rows), types)]
+            yield pa.RecordBatch.from_arrays(columns, names=names)
 
     return run
 
@@ -136,7 +140,6 @@ def rank_totals(
     result. An AUC is NULL if a class is empty or if the group has unusable scores (``n_bad``).
     The number of groups is taken to be moderate: every part holds one state per group.
     """
-    spark = counted.sparkSession
     counts = [*counts, "n_bad"]
     index = [(counts.index(p), counts.index(n)) for p, n in pairs.values()]
     ranks = [f"_rank_{i}" for i in range(len(index))]
@@ -148,30 +151,33 @@ def rank_totals(
         + [T.StructField(c, T.LongType()) for c in counts]
         + [T.StructField(r, big) for r in ranks]
     )
-    arrow_schema = spark.createDataFrame([], out).toArrow().schema
     parts = (
         counted.select(*keys, "_score", *counts)
         .repartitionByRange("_score")
         .sortWithinPartitions("_score")
-        .mapInArrow(_part_rows(sets or [keys], keys, counts, index, arrow_schema), out)
+        .mapInArrow(_part_rows(sets or [keys], keys, counts, index, out.names), out)
     )
     group = ["_set", *keys]
     lower = W.partitionBy(*group).orderBy("_first").rowsBetween(W.unboundedPreceding, -1)
-    for rank, (pos, neg) in zip(ranks, index):
+
+    def with_lower(pos: int, neg: int) -> Column:
+        """Twice the pairs of this part's positives with the negatives of lower parts."""
         before = F.coalesce(F.sum(F.col(counts[neg])).over(lower), F.lit(0)).cast("decimal(19,0)")
-        doubled = F.col(counts[pos]).cast("decimal(19,0)") * before * 2
-        parts = parts.withColumn(f"{rank}_lower", doubled.cast(big))
+        return (F.col(counts[pos]).cast("decimal(19,0)") * before * 2).cast(big)
+
+    parts = parts.withColumns({f"{r}_lower": with_lower(*at) for r, at in zip(ranks, index)})
     totals = parts.groupBy(*group).agg(
         *[F.sum(c).alias(c) for c in counts],
         *[F.sum((F.col(r) + F.col(f"{r}_lower")).cast(big)).cast(big).alias(r) for r in ranks],
     )
-    for name, rank, (pos, neg) in zip(pairs, ranks, index):
+
+    def auc(rank: str, pos: int, neg: int) -> Column:
         p, n = F.col(counts[pos]).cast("double"), F.col(counts[neg]).cast("double")
         defined = (F.col("n_bad") == 0) & (p > 0) & (n > 0)
-        totals = totals.withColumn(
-            name, F.when(defined, F.col(rank).cast("double") / (F.lit(2.0) * p * n))
-        )
-    return totals.drop(*ranks)
+        return F.when(defined, F.col(rank).cast("double") / (F.lit(2.0) * p * n))
+
+    aucs = {name: auc(r, *at) for name, r, at in zip(pairs, ranks, index)}
+    return totals.withColumns(aucs).drop(*ranks)
 
 
 def roc_auc(
@@ -201,23 +207,20 @@ def subgroup_auc(
     df = df if keys else df.withColumn("_all", F.lit(0))
     group = keys or ["_all"]
     positive = F.col(label) == 1
-    counts: dict[str, Column] = {}
+    counts: dict[str, Column] = {"p": positive, "n": ~positive}
+    background: dict[str, Column] = {}
     pairs: dict[str, tuple[str, str]] = {}
     for i, member in enumerate(subgroups.values()):
         inside = F.coalesce(member, F.lit(False))
-        counts |= {
-            f"sp{i}": inside & positive,
-            f"sn{i}": inside & ~positive,
-            f"bp{i}": ~inside & positive,
-            f"bn{i}": ~inside & ~positive,
-        }
+        counts |= {f"sp{i}": inside & positive, f"sn{i}": inside & ~positive}
+        background |= {f"bp{i}": F.col("p") - F.col(f"sp{i}"), f"bn{i}": F.col("n") - F.col(f"sn{i}")}
         pairs |= {
             f"subgroup_auc{i}": (f"sp{i}", f"sn{i}"),
             f"bpsn_auc{i}": (f"bp{i}", f"sn{i}"),
             f"bnsp_auc{i}": (f"sp{i}", f"bn{i}"),
         }
-    counted = count_scores(df, group, score, counts)
-    totals = rank_totals(counted, group, list(counts), pairs)
+    counted = count_scores(df, group, score, counts).withColumns(background)
+    totals = rank_totals(counted, group, [*counts, *background], pairs)
     rows = F.explode(
         F.array(
             *[

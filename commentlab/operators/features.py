@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from commentlab.scale import join_small, top_k
+from commentlab.scale import bounded, join_small, top_k
 from commentlab.session import materialise
 
 # Settings of the TF-IDF features.
@@ -158,14 +158,28 @@ def vectorizer(terms: DataFrame, grams: str = "grams", features: str = "features
     )
 
 
+def _tfidf_by_join(df: DataFrame, grams: str, terms: DataFrame, keep: list[str]) -> DataFrame:
+    fields = list(dict.fromkeys([*keep, "lang"]))
+    found = join_small(term_counts(df, grams, fields), terms, ["lang", "term"])
+    idf = inverse_frequency(F.col("n_docs"), F.col("df"))
+    weighted = found.withColumn("_w", (1 + F.log("tf")) * idf)
+    norm = F.sqrt(F.sum(F.col("_w") * F.col("_w")).over(W.partitionBy(*fields)))
+    return weighted.select(*keep, "term", (F.col("_w") / norm).alias("weight"))
+
+
 def tfidf_terms(df: DataFrame, grams: str, terms: DataFrame, keep: list[str]) -> DataFrame:
     """Long form of the vectors of all languages: keep, term, weight.
 
     Terms are marked with their language, so one pass serves every language, and a row's
-    weights are normed inside the row instead of by a shuffle on its id.
+    weights are normed inside the row instead of by a shuffle on its id. A vocabulary of too
+    many languages to hold is joined instead; ``keep`` must then identify a row.
     """
+    terms = terms.select("lang", "term", "df", "n_docs")
+    held = bounded(terms, MAX_VOCABULARY)
+    if held is None:
+        return _tfidf_by_join(df, grams, terms, keep)
     lang = F.coalesce("lang", F.lit(""))
-    marked = terms.withColumn("term", F.concat(lang, F.lit(MARK), F.col("term")))
+    marked = held.withColumn("term", F.concat(lang, F.lit(MARK), F.col("term")))
     stages = vectorizer(marked, "_marked", "_vector")
     own = F.transform(F.col(grams), lambda t: F.concat(lang, F.lit(MARK), t))
     vectors = stages.transform(df.select(*keep, own.alias("_marked")))

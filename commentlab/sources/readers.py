@@ -94,7 +94,8 @@ def with_ordinal(scan: DataFrame, out: str = "id") -> DataFrame:
         .drop("_n")
     )
     ordinal = F.col("_start") + F.col("_pos") - F.col("_first")
-    return join_small(placed, blocks, ["_file", "_block"]).select(
+    # One row per block of 128 MB or so: still a small side for a very large table.
+    return join_small(placed, blocks, ["_file", "_block"], max_rows=1_000_000).select(
         *scan.columns, ordinal.alias(out)
     )
 

@@ -98,6 +98,18 @@ def test_long_form_and_vectors(df, corpus):
             assert {order[i]: x for i, x in enumerate(r["v"]) if x} == pytest.approx(want)
 
 
+def test_long_form_of_a_vocabulary_too_large_to_hold(df, monkeypatch):
+    vocab = f.vocabulary(df, "grams", 2, 0.9)
+
+    def weights():
+        long = f.tfidf_terms(df, "grams", vocab, ["id", "lang"]).collect()
+        return {(r["id"], r["lang"], r["term"]): r["weight"] for r in long}
+
+    held = weights()
+    monkeypatch.setattr(f, "MAX_VOCABULARY", 3)
+    assert weights() == pytest.approx(held) and held
+
+
 def test_unseen_terms_and_empty_rows(spark, df):
     stages = f.vectorizer(f.vocabulary(df, "grams").filter("lang = 'en'"))
     rows = spark.createDataFrame([(["nope"],), ([],)], "grams array<string>")
