@@ -22,7 +22,7 @@ MIN_DF, MAX_DF, MAX_FEATURES = 3, 0.95, 200_000
 # Between language and term in a vocabulary of several languages; no token contains it.
 MARK = "\x01"
 # A vocabulary is capped per language; this many terms in all are held on every executor.
-MAX_VOCABULARY = 4_000_000
+MAX_VOCABULARY = 2_000_000
 
 
 def term_counts(df: DataFrame, grams: str, keep: list[str]) -> DataFrame:

@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from commentlab.operators.errors import tag_errors
 from commentlab.operators.metrics import metrics_report
 from commentlab.operators.sampling import error_sample
-from commentlab.sources.readers import load_predictions
+from commentlab.sources.readers import load_predictions, prediction_status
 from commentlab.sources.writers import write_error_sample, write_table
 
 
@@ -21,8 +21,15 @@ def evaluate_run(
     fmt: str = "csv",
     strict: bool = False,
 ) -> tuple[DataFrame, DataFrame]:
-    """(report, error sample); both are also written when a place for them is given."""
-    predictions = load_predictions(spark, folder, run_tag, languages, fmt)
+    """(report, error sample); both are also written when a place for them is given.
+
+    ``strict`` raises on a missing language and on labels outside 0/1, which are otherwise
+    left out. A language whose file holds no rows has a row without samples.
+    """
+    if languages and fmt == "csv" and not strict:
+        status = prediction_status(spark, folder, run_tag, languages).filter("status = 'found'")
+        languages = [r["language"] for r in status.collect()]
+    predictions = load_predictions(spark, folder, run_tag, languages, fmt, strict=strict)
     report = metrics_report(predictions, languages=languages, strict=strict)
     sample = error_sample(tag_errors(predictions), ["lang"])
     if output:

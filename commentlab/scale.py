@@ -10,6 +10,8 @@ from pyspark.sql.window import Window as W
 
 # Rows a side may have before it is joined by shuffle instead of broadcast.
 SMALL_ROWS = 50_000
+# The same in bytes, for tables with long rows.
+SMALL_BYTES = 256 << 20
 # Spark prunes row_number() <= k before the shuffle up to this k
 # (spark.sql.optimizer.windowGroupLimitThreshold).
 GROUP_LIMIT = 1_000
@@ -28,7 +30,7 @@ def spread(df: DataFrame) -> DataFrame:
 def bounded(small: DataFrame, max_rows: int = SMALL_ROWS) -> DataFrame | None:
     """``small`` as a local relation if it has at most ``max_rows`` rows, else None."""
     table = small.limit(max_rows + 1).toArrow()
-    if table.num_rows > max_rows:
+    if table.num_rows > max_rows or table.nbytes > SMALL_BYTES:
         return None
     return small.sparkSession.createDataFrame(table, schema=small.schema)
 

@@ -222,6 +222,18 @@ def inconsistent_thresholds(predictions: DataFrame, keys: list[str]) -> DataFram
     return spread.filter(~F.col("lowest").eqNullSafe(F.col("highest")))
 
 
+def prediction_status(
+    spark: SparkSession, folder: str, run_tag: str, languages: list[str]
+) -> DataFrame:
+    """language, status: whether the run has a file for each of the languages."""
+    wanted = spark.createDataFrame([(lang,) for lang in unique(languages)], "lang string")
+    found = languages_of_names(file_names(spark, folder), run_tag)
+    joined = wanted.join(found.withColumn("status", F.lit("found")), "lang", "left")
+    return joined.select(
+        F.col("lang").alias("language"), F.coalesce("status", F.lit("missing")).alias("status")
+    )
+
+
 def load_predictions(
     spark: SparkSession,
     folder: str,
@@ -229,12 +241,14 @@ def load_predictions(
     languages: list[str] | None = None,
     fmt: str = "csv",
     multiline: bool = True,
+    strict: bool = True,
 ) -> DataFrame:
     """Predictions of a run: run_tag, lang, id and the roles of every language file.
 
     Reads ``{folder}/{run_tag}_{lang}.csv``, or for other formats the table partitioned by
-    run_tag and lang, of which only the wanted partitions are touched. Files without line
-    breaks inside cells are split over many tasks with ``multiline`` off.
+    run_tag and lang, of which only the wanted partitions are touched. A missing language
+    raises unless ``strict`` is off. Files without line breaks inside cells are split over
+    many tasks with ``multiline`` off.
     """
     if fmt != "csv":
         table = read_table(spark, folder, fmt).filter(F.col("run_tag") == run_tag)
@@ -247,12 +261,19 @@ def load_predictions(
     parts = []
     for lang in choose_languages(languages):
         path = f"{folder}/{run_tag}_{lang}.csv"
-        df = resolve_predictions(read_csv(spark, path, multiline, need_id=True))
+        try:
+            df = resolve_predictions(read_csv(spark, path, multiline, need_id=True))
+        except FileNotFoundError:
+            if strict:
+                raise
+            continue
         parts.append(
             df.drop("run_tag", "lang")
             .withColumn("id", F.col("id").cast("string"))
             .withColumns({"run_tag": F.lit(run_tag), "lang": F.lit(lang)})
         )
+    if not parts:
+        raise FileNotFoundError(f"no predictions of {run_tag} under {folder}")
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
 
 

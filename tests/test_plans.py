@@ -7,7 +7,7 @@ import pytest
 from commentlab.plans.evaluate import evaluate_run
 from commentlab.plans.external import score_folder
 from commentlab.plans.train import train_folder
-from commentlab.sources.readers import read_csv
+from commentlab.sources.readers import prediction_status, read_csv
 from commentlab.sources.writers import load_models
 
 
@@ -50,5 +50,11 @@ def test_score_then_evaluate(spark, folder, tmp_path):
     assert run.macro.first()["roc_auc"] == 1.0
     report, sample = evaluate_run(spark, f"{tmp_path}/p", "outside", ["en", "es"])
     assert [r["f1"] for r in report.collect()] == [1.0] * 4 and sample.count() == 0
+    report, _ = evaluate_run(spark, f"{tmp_path}/p", "outside", ["en", "tr"])
+    assert [r["language"] for r in report.collect()] == ["en", "macro", "micro"]
+    with pytest.raises(FileNotFoundError):
+        evaluate_run(spark, f"{tmp_path}/p", "outside", ["en", "tr"], strict=True)
+    status = prediction_status(spark, f"{tmp_path}/p", "outside", ["en", "tr"])
+    assert {r["language"]: r["status"] for r in status.collect()} == {"en": "found", "tr": "missing"}
     with pytest.raises(FileNotFoundError):
         score_folder(spark, str(folder), by_suffix(), ["en", "it"], "outside")
