@@ -2,11 +2,9 @@
 
 from __future__ import annotations
 
-from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 from functools import reduce
 
-from pyspark import inheritable_thread_target
 from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -18,7 +16,7 @@ from commentlab.operators.metrics import language_metrics
 from commentlab.operators.model import MAX_ITER, fit_language, score
 from commentlab.operators.threshold import apply_thresholds, best_threshold, for_languages
 from commentlab.scale import literal_table, spread
-from commentlab.session import materialise
+from commentlab.session import materialise, run_each
 from commentlab.sources.readers import load_splits, unique
 from commentlab.sources.writers import (
     save_models,
@@ -75,7 +73,6 @@ def fit_all(
     Vocabulary and class counts of all languages come from one job each; the fits are
     distributed jobs of their own, a few of them under way at a time.
     """
-    spark = cleaned.sparkSession
     grams = analyze(spread(cleaned), "comment_text", "grams")
     train = grams.filter(F.col("split") == "train")
     terms = materialise(
@@ -103,8 +100,7 @@ def fit_all(
         except Exception as error:  # one language's failure must not stop the others
             return lang, None, str(error)
 
-    with ThreadPoolExecutor(max_workers=max(1, parallelism)) as pool:
-        done = list(pool.map(inheritable_thread_target(spark)(attempt), languages))
+    done = run_each(cleaned.sparkSession, attempt, languages, parallelism)
     return (
         {lang: model for lang, model, _ in done if model is not None},
         {lang: error for lang, _, error in done if error is not None},

@@ -4,7 +4,10 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
 
+from pyspark import inheritable_thread_target
 from pyspark.sql import DataFrame, SparkSession
 
 _local_dirs: dict[str, str] = {}
@@ -51,6 +54,12 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{work_dir(spark)}/commentlab/{app}/{name}-{uuid.uuid4().hex}"
 
 
+def run_each(spark: SparkSession, work: Callable, items: list, parallelism: int = 4) -> list:
+    """``work(item)`` for each item, a few Spark jobs under way at a time."""
+    with ThreadPoolExecutor(max_workers=max(1, parallelism)) as pool:
+        return list(pool.map(inheritable_thread_target(spark)(work), items))
+
+
 def materialise(df: DataFrame, name: str, partition_by: list[str] | None = None) -> DataFrame:
     """Write ``df`` once to the shared folder and read it back.
 

@@ -6,7 +6,7 @@ from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from commentlab.session import materialise
+from commentlab.session import materialise, run_each
 
 PREDICTIONS = ["id", "y_true", "y_prob", "y_pred", "best_threshold"]
 
@@ -40,18 +40,25 @@ def write_prediction_files(
     The rows are worked out once; each language's file is a copy of its own partition.
     """
     stored = materialise(df.select("lang", *PREDICTIONS), "by-language", ["lang"])
-    for lang in languages:
+
+    def write(lang: str) -> None:
         one = stored.filter(F.col("lang") == lang).select(*PREDICTIONS)
         _writer(one, "csv", "overwrite").save(f"{folder}/{run_tag}_{lang}.csv")
 
+    run_each(df.sparkSession, write, languages)
+
 
 def write_splits(df: DataFrame, folder: str, languages: list[str], fmt: str = "csv") -> None:
     """``{folder}/{lang}/{split}.{fmt}`` per language and split, from one pass over the rows."""
     stored = materialise(df, "by-split", ["lang", "split"])
-    for lang in languages:
-        for split in ("train", "val", "test"):
-            own = stored.filter((F.col("lang") == lang) & (F.col("split") == split))
-            _writer(own.drop("lang", "split"), fmt, "overwrite").save(f"{folder}/{lang}/{split}.{fmt}")
+
+    def write(place: tuple[str, str]) -> None:
+        lang, split = place
+        own = stored.filter((F.col("lang") == lang) & (F.col("split") == split))
+        _writer(own.drop("lang", "split"), fmt, "overwrite").save(f"{folder}/{lang}/{split}.{fmt}")
+
+    places = [(lang, split) for lang in languages for split in ("train", "val", "test")]
+    run_each(df.sparkSession, write, places)
 
 
 def write_table(df: DataFrame, path: str, fmt: str = "csv") -> None:
