@@ -26,6 +26,14 @@ HEADLINE = [
 ]
 
 
+def scale_of(sf_dir: str) -> float | str:
+    name = Path(sf_dir).name
+    try:
+        return float(name.removeprefix("sf"))
+    except ValueError:
+        return name
+
+
 def main() -> None:
     sf_dir = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
     cpus = int(os.environ.get("BENCH_CPUS", os.cpu_count() or 8))
@@ -45,7 +53,7 @@ def main() -> None:
                 "value": round(sum(seconds.values()), 3),
                 "unit": "sec",
                 "queries": seconds,
-                "sf": Path(sf_dir).name.removeprefix("sf"),
+                "sf": scale_of(sf_dir),
                 "cpus": cpus,
             }
         )

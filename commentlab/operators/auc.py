@@ -183,9 +183,12 @@ def rank_totals(
 def roc_auc(
     df: DataFrame, keys: list[str], label: str = "y_true", score: str = "y_prob"
 ) -> DataFrame:
-    """keys, n_pos, n_neg, roc_auc."""
+    """keys, n_pos, n_neg, roc_auc. Rows without a 0/1 label count for neither class."""
     counted = count_scores(
-        df, keys, score, {"n_pos": F.col(label) == 1, "n_neg": F.col(label) != 1}
+        df.filter(F.col(label).isin(0, 1)),
+        keys,
+        score,
+        {"n_pos": F.col(label) == 1, "n_neg": F.col(label) == 0},
     )
     totals = rank_totals(counted, keys, ["n_pos", "n_neg"], {"roc_auc": ("n_pos", "n_neg")})
     return totals.select(*keys, "n_pos", "n_neg", "roc_auc")
@@ -204,6 +207,7 @@ def subgroup_auc(
     against background negatives. All of them come from one pass over the rows.
     """
     keys = keys or []
+    df = df.filter(F.col(label).isin(0, 1))
     df = df if keys else df.withColumn("_all", F.lit(0))
     group = keys or ["_all"]
     positive = F.col(label) == 1
