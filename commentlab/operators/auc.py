@@ -21,6 +21,8 @@ from pyspark.sql import types as T
 from pyspark.sql.window import Window as W
 
 EXACT_INT64 = 1 << 62
+# Counts a task holds at once.
+BATCH_VALUES = 1 << 22
 
 
 def usable_score(score: Column) -> Column:
@@ -89,11 +91,26 @@ def _groups(batch: pa.RecordBatch, keys: list[str]) -> Iterator[tuple[tuple, np.
         encoded = batch.column(key).dictionary_encode()
         own = encoded.indices.fill_null(len(encoded.dictionary)).to_numpy()
         code = code * (len(encoded.dictionary) + 1) + own
-    for value in np.unique(code):
-        places = np.flatnonzero(code == value)
+    order = np.argsort(code, kind="stable")
+    edges = np.flatnonzero(np.diff(code[order])) + 1
+    for places in np.split(order, edges):
         yield tuple(batch.column(k)[int(places[0])].as_py() for k in keys), places
 
 
+def _larger(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordBatch]:
+    """The same rows in batches of ``size`` or more, so that many groups cost little."""
+    held: list[pa.RecordBatch] = []
+    rows = 0
+    for batch in batches:
+        held.append(batch)
+        rows += batch.num_rows
+        if rows >= size:
+            yield pa.concat_batches(held)
+            held, rows = [], 0
+    if rows:
+        yield pa.concat_batches(held)
+
+
 def _part_rows(
     sets: list[list[str]],
     keys: list[str],
@@ -104,9 +121,7 @@ def _part_rows(
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parts: dict[tuple, _Part] = {}
         types: list[pa.DataType] = []
-        for batch in batches:
-            if batch.num_rows == 0:
-                continue
+        for batch in _larger(batches, BATCH_VALUES // len(counts)):
             own_types = [batch.schema.field(k).type for k in keys]
             totals = [pa.float64(), *[pa.int64()] * len(counts), *[pa.decimal128(38, 0)] * len(pairs)]
             types = [pa.int32(), *own_types, *totals]
