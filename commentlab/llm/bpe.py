@@ -250,18 +250,19 @@ class Encoder:
         self.ends = np.zeros(1 << 14, np.int64)  # ends[i] is where the ids of token i - 1 end
         self.count = 0
 
-    def _merged(self, new: list[str]) -> list[np.ndarray]:
-        return self.merger.merge([w.encode() for w in new])
+    def _merged(self, new: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all new tokens, one after another, and how many each has."""
+        merged = self.merger.merge([w.encode() for w in new])
+        return np.concatenate(merged), np.array([len(x) for x in merged], np.int64)
 
     def _learn(self, new: list[str]) -> None:
-        merged = self._merged(new)
-        lengths = np.array([len(x) for x in merged], np.int64)
+        merged, lengths = self._merged(new)
         total = self.ends[self.count]
         while len(self.ids) < total + lengths.sum():
             self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
         while len(self.ends) < self.count + len(new) + 1:
             self.ends = np.concatenate([self.ends, np.zeros_like(self.ends)])
-        self.ids[total : total + lengths.sum()] = np.concatenate(merged)
+        self.ids[total : total + lengths.sum()] = merged
         self.ends[self.count + 1 : self.count + len(new) + 1] = total + np.cumsum(lengths)
         for i, w in enumerate(new):
             self.known[w] = self.count + i

@@ -30,27 +30,63 @@ from pyspark.sql.window import Window
 from tokenizers import Tokenizer
 
 from commentlab.llm import common
-from commentlab.llm.bpe import Encoder, character_classes
+from commentlab.llm.bpe import Encoder, character_classes, gather
 from commentlab.session import materialise
 
 END = 2
 CAPACITY = 1024
 # Rows that one task ranks.
-RANKED = 200_000
+RANKED = 16_000
 
 
 class LibraryEncoder(Encoder):
-    """Ids by the tokenizers library, asked once per distinct pre-token."""
+    """Ids by the tokenizers library, which sees each distinct pre-token of a task once.
+
+    New pre-tokens go to the library as one text whose pre-tokens they are: those that begin with
+    U+0020 side by side, others with line feeds between them. The bytes of the ids tell where one
+    ends and the next begins.
+    """
 
     def __init__(self, path: str):
         self.kinds = character_classes()
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
+        self.width = np.zeros(self.tokenizer.get_vocab_size(), np.int64)  # bytes of each id
+        for token, i in self.tokenizer.get_vocab(with_added_tokens=False).items():
+            self.width[i] = len(token)  # byte-level vocabularies spell a byte as a character
         self._clear()
 
-    def _merged(self, new: list[str]) -> list[np.ndarray]:
-        found = self.tokenizer.encode_batch_fast(new, add_special_tokens=False)
-        return [np.array(x.ids, np.int64) for x in found]
+    def _ids(self, text: str) -> np.ndarray:
+        found = self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids
+        return np.array(found, np.int64)
+
+    def _merged(self, new: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        led = [i for i, w in enumerate(new) if w[0] == " " and not w[1:].isspace() and len(w) > 1]
+        lone = [i for i, w in enumerate(new) if not w[0].isspace()]
+        rest = [i for i, w in enumerate(new) if w.isspace()]
+        parts, lengths = [], []
+        for which, gap in ((led, ""), (lone, "\n")):
+            if which:
+                ids = self._ids(gap.join(new[i] for i in which))
+                ends = np.cumsum([len(new[i].encode()) + len(gap) for i in which])
+                # the ids before each pre-token's end; its line feed, if any, is the last of them
+                upto = np.searchsorted(np.cumsum(self.width[ids]), ends, side="right")
+                begin = np.concatenate([[0], upto[:-1]])
+                keep = np.ones(len(ids), bool)
+                if gap:
+                    keep[upto[:-1] - 1] = False
+                    upto = np.append(upto[:-1] - 1, len(ids))
+                parts.append(ids[keep])
+                lengths.append(upto - begin)
+        for i in rest:
+            parts.append(self._ids(new[i]))
+            lengths.append(np.array([len(parts[-1])]))
+        order = np.array(led + lone + rest, np.int64)
+        flat, many = np.concatenate(parts), np.concatenate(lengths)
+        ends = np.empty(len(new), np.int64)
+        size = np.empty(len(new), np.int64)
+        ends[order], size[order] = np.cumsum(many), many
+        return flat[gather(ends - size, size)], size
 
 
 def pieces(docs: DataFrame, vocabulary: str, doc_id: str = "doc_id", text: str = "text", capacity: int = CAPACITY, with_ids: bool = False) -> DataFrame:
