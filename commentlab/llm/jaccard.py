@@ -42,9 +42,9 @@ from commentlab.llm import common
 from commentlab.session import materialise
 
 # Coordinates of a point, and of the finer point of a set above LARGE shingles.
-COARSE, FINE, LARGE = 64, 256, 1024
+COARSE, FINE, LARGE = 64, 256, 512
 # Members of a bucket or family that one task handles at a time.
-BLOCK = 4096
+BLOCK = 1024
 # Points under one R-tree leaf.
 LEAF = 32
 # Members up to which a bucket's pairs are bounded directly.
