@@ -64,7 +64,7 @@ def _grams(n: int, letters: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     """Bucket of the n-gram at each byte; -1 where it would run past its own text."""
     h = np.full(len(letters), n, np.uint32) * np.uint32(0x165667B1)
     for j in range(n):
-        h[: len(letters) - j] += letters[j:] * _MULTIPLIERS[j]
+        h[: max(len(letters) - j, 0)] += letters[j:] * _MULTIPLIERS[j]
     h ^= h >> np.uint32(15)
     h *= np.uint32(0x2C1B3C6D)
     out = (h >> np.uint32(32 - BUCKET_BITS)).astype(np.int32)

@@ -233,3 +233,16 @@ def score(docs: DataFrame, trees: Trees, text: str = "text", at_least: float = 0
 
     schema = StructType([*docs.schema, StructField("_score", DoubleType()), StructField("_predicted", IntegerType())])
     return common.map_chunks(docs, text, Work, schema)
+
+
+def kept(docs: DataFrame, trees: Trees, text: str = "text", at_least: float = 0.3) -> DataFrame:
+    """The rows of ``docs`` that score ``at_least``, with all their columns whatever their names."""
+    at = docs.columns.index(text)
+
+    class Work:
+        @staticmethod
+        def prepare():
+            powers = common.Powers()
+            return lambda part: part.filter(pa.array(walk(trees, statistics(part.column(at), powers)) >= at_least))
+
+    return common.map_chunks(docs, text, Work, docs.schema)

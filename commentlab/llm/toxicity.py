@@ -320,13 +320,25 @@ def _platt(m: np.ndarray, t: np.ndarray) -> tuple[float, float]:
     return float(max(beta[0], 0.1)), float(beta[1])
 
 
+def probability(column: pa.Array, model: ToxicModel) -> np.ndarray:
+    """Platt's logistic of each text's margin."""
+    margin, _ = worst_words(column, model)
+    return 1 / (1 + np.exp(-np.clip(model.slope * margin + model.shift, -40, 40)))
+
+
+def kept(docs: DataFrame, model: ToxicModel, text: str = "text", below: float = 0.5) -> DataFrame:
+    """The rows of ``docs`` that score ``below``, with all their columns whatever their names."""
+    at = docs.columns.index(text)
+    work = lambda part: part.filter(pa.array(probability(part.column(at), model) < below))
+    return common.map_chunks(docs, text, work, docs.schema)
+
+
 def score(docs: DataFrame, model: ToxicModel, text: str = "text", at_least: float = 0.5) -> DataFrame:
     """``docs`` with ``_score`` and ``_predicted`` added, from each whole text."""
     at = docs.columns.index(text)
 
     def work(part):
-        margin, _ = worst_words(part.column(at), model)
-        p = 1 / (1 + np.exp(-np.clip(model.slope * margin + model.shift, -40, 40)))
+        p = probability(part.column(at), model)
         return pa.record_batch(
             [*part.columns, pa.array(p), pa.array((p >= at_least).astype(np.int32))],
             names=[*part.schema.names, "_score", "_predicted"],
