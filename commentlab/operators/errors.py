@@ -8,11 +8,11 @@ from pyspark.sql import functions as F
 from commentlab.functions.columns import error_type
 from commentlab.functions.text import tokenize
 from commentlab.scale import bounded, join_small
+from commentlab.session import materialise
 
 # Signs that stand in for letters, and a letter repeated three times or more.
 OBFUSCATED = r"\p{L}[*@$!0-9]+\p{L}"
-LETTERS = "abcdefghijklmnopqrstuvwxyz"
-STRETCHED = "|".join(f"{c}{{3,}}" for c in LETTERS)
+STRETCHED = r"(\p{L})\1{2,}"
 
 
 def tag_errors(df: DataFrame) -> DataFrame:
@@ -29,7 +29,7 @@ def union_errors(df: DataFrame) -> DataFrame:
     return fp.unionByName(fn)
 
 
-def _lexicon_hits(errors: DataFrame, text_col: str, lexicon: DataFrame, keys: list[str]) -> DataFrame:
+def _lexicon_hits(errors: DataFrame, text_col: str, lexicon: DataFrame) -> DataFrame:
     """``errors`` with ``hits``, the distinct lexicon categories found in the text."""
     words = F.array_distinct(tokenize(F.lower(F.col(text_col))))
     small = bounded(lexicon.select("lang", "category", "word").distinct())
@@ -47,13 +47,15 @@ def _lexicon_hits(errors: DataFrame, text_col: str, lexicon: DataFrame, keys: li
         joined = join_small(errors.withColumn("_words", words), lists, ["lang"], "left")
         hits = F.transform(found, lambda c: c["category"])
         return joined.withColumn("hits", hits).drop("_words", "_lists")
-    exploded = errors.select(*keys, F.explode(words).alias("word"))
+    # A stored number stands for each row: ids may be shared, languages NULL.
+    errors = materialise(errors.withColumn("_row", F.monotonically_increasing_id()), "errors")
+    exploded = errors.select("_row", "lang", F.explode(words).alias("word"))
     hits = (
         join_small(exploded, lexicon.select("lang", "category", "word"), ["lang", "word"])
-        .groupBy(*keys)
+        .groupBy("_row")
         .agg(F.collect_set("category").alias("hits"))
     )
-    joined = errors.join(hits, keys, "left")
+    joined = errors.join(hits, "_row", "left").drop("_row")
     return joined.withColumn("hits", F.coalesce("hits", F.array().cast("array<string>")))
 
 
@@ -61,7 +63,6 @@ def error_categories(
     errors: DataFrame,
     lexicon: DataFrame,
     text_col: str = "comment_text",
-    ident: str = "id",
 ) -> DataFrame:
     """Counts per (lang, error_type, category).
 
@@ -69,7 +70,7 @@ def error_categories(
     positive that is labelled toxic without a ``profanity`` word is profanity-free; disguised
     and stretched spellings are found by pattern. One text may fall into several categories.
     """
-    tagged = _lexicon_hits(errors, text_col, lexicon, ["lang", ident])
+    tagged = _lexicon_hits(errors, text_col, lexicon)
     text = F.lower(F.col(text_col))
     no_profanity = (F.col("y_true") == 1) & ~F.array_contains("hits", "profanity")
     patterns: dict[str, Column] = {

@@ -159,11 +159,13 @@ def vectorizer(terms: DataFrame, grams: str = "grams", features: str = "features
 
 
 def _tfidf_by_join(df: DataFrame, grams: str, terms: DataFrame, keep: list[str]) -> DataFrame:
-    fields = list(dict.fromkeys([*keep, "lang"]))
+    """The same through a shuffle; a stored number stands for each row."""
+    df = materialise(df.withColumn("_row", F.monotonically_increasing_id()), "grams")
+    fields = list(dict.fromkeys([*keep, "lang", "_row"]))
     found = join_small(term_counts(df, grams, fields), terms, ["lang", "term"])
     idf = inverse_frequency(F.col("n_docs"), F.col("df"))
     weighted = found.withColumn("_w", (1 + F.log("tf")) * idf)
-    norm = F.sqrt(F.sum(F.col("_w") * F.col("_w")).over(W.partitionBy(*fields)))
+    norm = F.sqrt(F.sum(F.col("_w") * F.col("_w")).over(W.partitionBy("_row")))
     return weighted.select(*keep, "term", (F.col("_w") / norm).alias("weight"))
 
 
@@ -172,13 +174,13 @@ def tfidf_terms(df: DataFrame, grams: str, terms: DataFrame, keep: list[str]) ->
 
     Terms are marked with their language, so one pass serves every language, and a row's
     weights are normed inside the row instead of by a shuffle on its id. A vocabulary of too
-    many languages to hold is joined instead; ``keep`` must then identify a row.
+    many languages to hold is joined instead, which gives the same rows.
     """
     terms = terms.select("lang", "term", "df", "n_docs")
     held = bounded(terms, MAX_VOCABULARY)
     if held is None:
         return _tfidf_by_join(df, grams, terms, keep)
-    lang = F.coalesce("lang", F.lit(""))
+    lang = F.coalesce("lang", F.lit(MARK))
     marked = held.withColumn("term", F.concat(lang, F.lit(MARK), F.col("term")))
     stages = vectorizer(marked, "_marked", "_vector")
     own = F.transform(F.col(grams), lambda t: F.concat(lang, F.lit(MARK), t))
@@ -188,7 +190,7 @@ def tfidf_terms(df: DataFrame, grams: str, terms: DataFrame, keep: list[str]) ->
         pa.table(
             {
                 "_index": pa.array(range(len(order)), pa.int32()),
-                "term": [term.split(MARK, 1)[1] for term in order],
+                "term": [term.rsplit(MARK, 1)[1] for term in order],
             }
         )
     )

@@ -153,13 +153,15 @@ def macro_row(
     """Unweighted means over languages; sample counts add up, the four counts stay empty.
 
     An undefined value is skipped, or makes its mean undefined if ``skip_undefined`` is off.
+    Languages without samples have no say.
     """
     keys = keys or []
     rates = [c for c in [*RATES, *ERROR_RATES] if c in per_language.columns]
 
     def mean(c: str) -> Column:
-        whole = F.when(F.count(c) == F.count("*"), F.avg(c))
-        return (F.avg(c) if skip_undefined else whole).alias(c)
+        own = F.when(F.col("n_samples") > 0, F.col(c))
+        whole = F.when(F.count(own) == F.count_if(F.col("n_samples") > 0), F.avg(own))
+        return (F.avg(own) if skip_undefined else whole).alias(c)
 
     means = per_language.groupBy(*keys).agg(
         F.lit(MACRO).alias("language"),
@@ -190,9 +192,10 @@ def metrics_report(
         F.array(place(0, F.col("language")), place(1, F.lit(MACRO)))
     )
     placed = rows.withColumn("_place", F.explode(own)).drop("language").select("*", "_place.*")
+    counts = (F.col("section") != 1) | (F.col("n_samples") > 0)
     report = placed.groupBy(*keys, "section", "language").agg(
         F.sum("n_samples").alias("n_samples"),
-        *[F.avg(c).alias(c) for c in [*RATES, *ERROR_RATES]],
+        *[F.avg(F.when(counts, F.col(c))).alias(c) for c in [*RATES, *ERROR_RATES]],
         *[F.when(F.col("section") != 1, F.sum(c)).alias(c) for c in COUNTS],
     )
     return report.select(*keys, "section", "language", *REPORT).orderBy(

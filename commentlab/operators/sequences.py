@@ -10,6 +10,7 @@ from pyspark.sql.window import Window as W
 
 from commentlab.operators.features import MARK, MAX_VOCABULARY
 from commentlab.scale import bounded, join_small
+from commentlab.session import materialise
 
 # Sequence length and the ids of padding and of unknown words.
 LENGTH, PAD, UNKNOWN, FIRST_WORD = 128, 0, 1, 2
@@ -28,7 +29,7 @@ def word_ids(terms: DataFrame) -> DataFrame:
 
 def _look_up(rows: DataFrame, words: DataFrame) -> DataFrame:
     """Word ids in place of ``_tokens``, batch by batch against a shared word table."""
-    lang = F.coalesce("lang", F.lit(""))
+    lang = F.coalesce("lang", F.lit(MARK))
     table = words.select(F.concat(lang, F.lit(MARK), "term").alias("word"), "word_id").toArrow()
     shared = rows.sparkSession.sparkContext.broadcast(
         (table.column("word").combine_chunks(), table.column("word_id").combine_chunks())
@@ -47,13 +48,17 @@ def _look_up(rows: DataFrame, words: DataFrame) -> DataFrame:
 
 
 def _join_ids(rows: DataFrame, words: DataFrame, ident: str) -> DataFrame:
-    """The same through a shuffle, for word tables too large to share."""
+    """The same through a shuffle, for word tables too large to share.
+
+    A stored number stands for each row, so that rows with equal or NULL ids stay apart.
+    """
+    rows = materialise(rows.withColumn("_row", F.monotonically_increasing_id()), "sequences")
     places = F.posexplode_outer("_tokens").alias("_at", "term")
-    found = join_small(rows.select("lang", ident, places), words, ["lang", "term"], "left")
+    found = join_small(rows.select("_row", "lang", ident, places), words, ["lang", "term"], "left")
     word = F.coalesce(F.col("word_id"), F.lit(UNKNOWN)).cast("int")
     entry = F.when(F.col("_at").isNotNull(), F.struct("_at", word.alias("w")))
     ordered = F.sort_array(F.collect_list(entry))
-    return found.groupBy("lang", ident).agg(F.transform(ordered, lambda x: x["w"]).alias("_ids"))
+    return found.groupBy("_row", "lang", ident).agg(F.transform(ordered, lambda x: x["w"]).alias("_ids"))
 
 
 def pack_sequences(

@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from commentlab.functions.columns import is_label
 from commentlab.operators.errors import tag_errors
 from commentlab.operators.metrics import metrics_report
 from commentlab.operators.sampling import error_sample
-from commentlab.sources.readers import load_predictions, prediction_status
+from commentlab.sources.readers import inconsistent_thresholds, load_predictions, prediction_status
 from commentlab.sources.writers import write_error_sample, write_table
 
 
@@ -26,10 +28,14 @@ def evaluate_run(
     ``strict`` raises on a missing language and on labels outside 0/1, which are otherwise
     left out. A language whose file holds no rows has a row without samples.
     """
-    if languages and fmt == "csv" and not strict:
-        status = prediction_status(spark, folder, run_tag, languages).filter("status = 'found'")
-        languages = [r["language"] for r in status.collect()]
+    if languages and not strict:
+        status = prediction_status(spark, folder, run_tag, languages, fmt)
+        languages = [r["language"] for r in status.filter("status = 'found'").collect()]
+        if not languages:
+            raise FileNotFoundError(f"no predictions of {run_tag} under {folder}")
     predictions = load_predictions(spark, folder, run_tag, languages, fmt, strict=strict)
+    if strict and (mixed := inconsistent_thresholds(predictions, ["lang"]).limit(20).collect()):
+        raise ValueError(f"more than one threshold: {[r['lang'] for r in mixed]}")
     report = metrics_report(predictions, languages=languages, strict=strict)
     sample = error_sample(tag_errors(predictions), ["lang"])
     if output:
@@ -37,3 +43,26 @@ def evaluate_run(
     if errors_dir:
         write_error_sample(sample, errors_dir, run_tag)
     return report, sample
+
+
+def evaluation_status(
+    spark: SparkSession, folder: str, run_tag: str, languages: list[str], fmt: str = "csv"
+) -> DataFrame:
+    """language, status, n_rows, n_invalid, n_thresholds of every wanted language.
+
+    Shows what a report that is not strict leaves out: missing languages, rows with labels
+    outside 0/1, and files that hold more than one threshold.
+    """
+    status = prediction_status(spark, folder, run_tag, languages, fmt)
+    found = [r["language"] for r in status.filter("status = 'found'").collect()]
+    counts = ["n_rows", "n_invalid", "n_thresholds"]
+    if not found:
+        return status.select("*", *[F.lit(0).cast("long").alias(c) for c in counts])
+    predictions = load_predictions(spark, folder, run_tag, found, fmt)
+    valid = F.coalesce(is_label(F.col("y_true")) & is_label(F.col("y_pred")), F.lit(False))
+    told = predictions.groupBy(F.col("lang").alias("language")).agg(
+        F.count("*").alias("n_rows"),
+        F.count_if(~valid).alias("n_invalid"),
+        F.count_distinct("best_threshold").alias("n_thresholds"),
+    )
+    return status.join(told, "language", "left").na.fill(0, counts)

@@ -18,7 +18,6 @@ class Query(NamedTuple):
 
 
 REGISTRY: dict[str, Query] = {}
-LANGUAGES = ["de", "en", "es", "fr"]
 
 
 def query(name: str, sql: str | None = None):
@@ -37,6 +36,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def languages(df: DataFrame) -> list[str]:
+    """The languages that occur, sorted; rows without one cannot have a file of their own."""
+    found = df.select("lang").filter(F.col("lang").isNotNull()).distinct()
+    return sorted(r["lang"] for r in found.collect())
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document as a comment: id, lang, comment_text."""
     docs = table(spark, sf_dir, "documents")

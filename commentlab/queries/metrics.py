@@ -10,6 +10,7 @@ from commentlab.operators import threshold as t
 from commentlab.operators.auc import roc_auc, subgroup_auc
 from commentlab.operators.errors import tag_errors, union_errors
 from commentlab.queries.base import (
+    comments,
     auc_sql,
     counts_sql,
     predictions,
@@ -229,11 +230,13 @@ def _gold_sides(spark, sf):
 
 @query(
     "pred_gold_join",
-    f"""WITH {predictions_sql()}, {GOLD_SIDES}
-SELECT lang, id, y_true, round(y_prob, 6) AS y_prob, y_pred FROM some_pred JOIN gold USING (lang, id)""",
+    f"""WITH {predictions_sql()}, gold AS (SELECT lang, id, toxic AS y_true FROM comments)
+SELECT lang, id, gold.y_true, round(y_prob, 6) AS y_prob, y_pred FROM pred JOIN gold USING (lang, id)""",
 )
 def _(spark, sf):
-    joined = m.join_gold(*_gold_sides(spark, sf))
+    rows = predictions(spark, sf)
+    gold = comments(spark, sf).select("lang", "id", F.col("toxic").alias("y_true"))
+    joined = m.join_gold(rows.select("lang", "id", "y_prob", "y_pred"), gold)
     return joined.select("lang", "id", "y_true", six("y_prob").alias("y_prob"), "y_pred")
 
 

@@ -14,7 +14,7 @@ from commentlab.plans.external import run_external
 from commentlab.plans.train import fit_all, prepare, score_splits, train_and_predict
 from commentlab.queries.base import (
     COMMENTS,
-    LANGUAGES,
+    languages,
     SPLIT,
     auc_sql,
     comments,
@@ -114,15 +114,15 @@ def all_splits(spark, sf):
 SELECT lang, n AS n_samples, {METRIC_SQL} FROM counts JOIN aucs USING (lang)""",
 )
 def _(spark, sf):
-    run = run_external(all_splits(spark, sf), open_stand_in, LANGUAGES)
+    run = run_external(all_splits(spark, sf), open_stand_in, languages(comments(spark, sf)))
     return run.metrics.select(
         F.col("language").alias("lang"), "n_samples", *[six(c).alias(c) for c in RATES[1:]]
     )
 
 
 def _fitted(spark, sf):
-    cleaned = prepare(all_splits(spark, sf), False, LANGUAGES)
-    models, errors = fit_all(cleaned, LANGUAGES)
+    cleaned = prepare(all_splits(spark, sf), False, languages(comments(spark, sf)))
+    models, errors = fit_all(cleaned, languages(comments(spark, sf)))
     return cleaned, models, errors
 
 
@@ -130,7 +130,7 @@ def _fitted(spark, sf):
 def _(spark, sf):
     _, models, errors = _fitted(spark, sf)
     rows = []
-    for lang in LANGUAGES:
+    for lang in languages(comments(spark, sf)):
         fitted = models[lang].stages[-1] if lang in models else None
         rows.append(
             (
@@ -170,4 +170,4 @@ def _(spark, sf):
 
 @query("run_all_languages")
 def _(spark, sf):
-    return train_and_predict(all_splits(spark, sf), [*LANGUAGES, "it"]).summary
+    return train_and_predict(all_splits(spark, sf), [*languages(comments(spark, sf)), "it"]).summary

@@ -107,6 +107,10 @@ LEXICON = [
 ]
 
 
+# Every small letter up to the end of Cyrillic, three times or more.
+STRETCHED_LETTERS = "|".join(c + "{3,}" for c in map(chr, range(0x61, 0x530)) if c.islower())
+
+
 @query(
     "error_categories",
     f"""WITH {TAGGED}, lexicon(lang, category, word) AS (VALUES {', '.join(map(str, LEXICON))}),
@@ -124,7 +128,7 @@ texts AS (
   UNION ALL SELECT lang, error_type, 'obfuscation' FROM texts
     WHERE regexp_matches(text, '\\p{{L}}[*@$!0-9]+\\p{{L}}')
   UNION ALL SELECT lang, error_type, 'spelling_noise' FROM texts
-    WHERE regexp_matches(text, '{'|'.join(c + '{3,}' for c in 'abcdefghijklmnopqrstuvwxyz')}')
+    WHERE regexp_matches(text, '{STRETCHED_LETTERS}')
 )
 SELECT lang, error_type, category, count(*) AS n FROM named GROUP BY ALL""",
 )

@@ -10,7 +10,7 @@ from commentlab.operators.threshold import apply_thresholds, best_threshold, for
 from commentlab.plans.train import evaluate, summarise
 from commentlab.queries.base import (
     COMMENTS,
-    LANGUAGES,
+    languages,
     SPLIT,
     auc_sql,
     comments,
@@ -41,8 +41,8 @@ SELECT lang, split, id, comment_text, toxic FROM parted""",
 )
 def _(spark, sf):
     folder = new_path(spark, "splits")
-    w.write_splits(split_comments(spark, sf), folder, LANGUAGES)
-    loaded, _ = r.load_splits(spark, folder, LANGUAGES)
+    w.write_splits(split_comments(spark, sf), folder, languages(comments(spark, sf)))
+    loaded, _ = r.load_splits(spark, folder, languages(comments(spark, sf)))
     return loaded.withColumn("id", F.col("id").cast("long"))
 
 
@@ -55,10 +55,11 @@ FROM documents""",
 def _(spark, sf):
     folder = new_path(spark, "unlabelled")
     docs = documents(spark, sf)
-    for lang in LANGUAGES:
+    known = languages(docs)
+    for lang in known:
         own = docs.filter(F.col("lang") == lang).orderBy("id").select("comment_text")
         w.write_table(own, f"{folder}/{lang}/test.csv")
-    loaded, _ = r.load_splits(spark, folder, LANGUAGES, ["test"])
+    loaded, _ = r.load_splits(spark, folder, known, ["test"])
     return loaded.withColumn("id", F.col("id").cast("long"))
 
 
@@ -92,7 +93,7 @@ def _stored(df):
 @query("load_predictions", DECIDED_SQL)
 def _(spark, sf):
     folder = new_path(spark, "prediction-files")
-    w.write_prediction_files(decided(spark, sf), folder, "baseline", LANGUAGES)
+    w.write_prediction_files(decided(spark, sf), folder, "baseline", languages(comments(spark, sf)))
     return _stored(r.load_predictions(spark, folder, "baseline"))
 
 
@@ -121,7 +122,7 @@ def _(spark, sf):
     "SELECT lang, count(*) AS n FROM documents WHERE lang IN ('en', 'fr') GROUP BY lang",
 )
 def _(spark, sf):
-    wanted = r.choose_languages(["en", "fr", "en"], LANGUAGES)
+    wanted = r.choose_languages(["en", "fr", "en"], languages(comments(spark, sf)))
     docs = table(spark, sf, "documents").select("lang")
     return docs.filter(F.col("lang").isin(wanted)).groupBy("lang").agg(F.count("*").alias("n"))
 
@@ -143,7 +144,7 @@ def _(spark, sf):
     folder = new_path(spark, "translated")
     rows = comments(spark, sf).select("lang", "id", "comment_text", "toxic")
     manifest = {}
-    for lang in LANGUAGES:
+    for lang in languages(comments(spark, sf)):
         manifest[lang] = f"{folder}/{lang}_train.csv"
         w.write_table(rows.filter(F.col("lang") == lang).drop("lang"), manifest[lang])
     corpora = r.translated_union(spark, manifest)
@@ -197,9 +198,9 @@ def _(spark, sf):
     rows = scored(spark, sf).select("lang", "id", "y_true", "y_prob")
     parts = split_rows(rows, ["lang"]).filter(F.col("split") != "train")
     tuned = best_threshold(parts.filter(F.col("split") == "val"), ["lang"])
-    thresholds = for_languages(tuned, LANGUAGES)
+    thresholds = for_languages(tuned, languages(comments(spark, sf)))
     errors = {"it": "not found"}
-    return summarise(evaluate(parts, thresholds), thresholds, [*LANGUAGES, "it"], errors)
+    return summarise(evaluate(parts, thresholds), thresholds, [*languages(comments(spark, sf)), "it"], errors)
 
 
 PROFILED = {

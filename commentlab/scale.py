@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
@@ -28,11 +29,19 @@ def spread(df: DataFrame) -> DataFrame:
 
 
 def bounded(small: DataFrame, max_rows: int = SMALL_ROWS) -> DataFrame | None:
-    """``small`` as a local relation if it has at most ``max_rows`` rows, else None."""
-    table = small.limit(max_rows + 1).toArrow()
-    if table.num_rows > max_rows or table.nbytes > SMALL_BYTES:
-        return None
-    return small.sparkSession.createDataFrame(table, schema=small.schema)
+    """``small`` as a local relation if it has at most ``max_rows`` rows, else None.
+
+    Rows and bytes are measured where the rows are; only a side within both bounds is fetched.
+    """
+    probe = small.limit(max_rows + 1).persist(StorageLevel.DISK_ONLY)
+    try:
+        size = F.sum(F.octet_length(F.to_json(F.struct("*")))) if small.columns else F.lit(0)
+        rows, size = probe.agg(F.count("*"), size).first()
+        if rows > max_rows or (size or 0) > SMALL_BYTES:
+            return None
+        return small.sparkSession.createDataFrame(probe.toArrow(), schema=small.schema)
+    finally:
+        probe.unpersist()
 
 
 def join_small(

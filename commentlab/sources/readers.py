@@ -223,11 +223,15 @@ def inconsistent_thresholds(predictions: DataFrame, keys: list[str]) -> DataFram
 
 
 def prediction_status(
-    spark: SparkSession, folder: str, run_tag: str, languages: list[str]
+    spark: SparkSession, folder: str, run_tag: str, languages: list[str], fmt: str = "csv"
 ) -> DataFrame:
-    """language, status: whether the run has a file for each of the languages."""
+    """language, status: whether the run has predictions for each of the languages."""
     wanted = spark.createDataFrame([(lang,) for lang in unique(languages)], "lang string")
-    found = languages_of_names(file_names(spark, folder), run_tag)
+    if fmt == "csv":
+        found = languages_of_names(file_names(spark, folder), run_tag)
+    else:
+        table = read_table(spark, folder, fmt).filter(F.col("run_tag") == run_tag)
+        found = table.select("lang").distinct()
     joined = wanted.join(found.withColumn("status", F.lit("found")), "lang", "left")
     return joined.select(
         F.col("lang").alias("language"), F.coalesce("status", F.lit("missing")).alias("status")
@@ -254,6 +258,11 @@ def load_predictions(
         table = read_table(spark, folder, fmt).filter(F.col("run_tag") == run_tag)
         if languages:
             table = table.filter(F.col("lang").isin(unique(languages)))
+            if strict:
+                status = prediction_status(spark, folder, run_tag, languages, fmt)
+                lost = [r["language"] for r in status.filter("status = 'missing'").collect()]
+                if lost:
+                    raise FileNotFoundError(f"no predictions of {run_tag} for {lost} under {folder}")
         return resolve_predictions(table)
     if not languages:
         found = languages_of_names(file_names(spark, folder), run_tag)

@@ -32,6 +32,13 @@ def write_predictions(df: DataFrame, folder: str, run_tag: str, fmt: str = "parq
     )
 
 
+def _all_listed(stored: DataFrame, columns: list[str], listed: list) -> None:
+    """Raises if ``stored`` holds rows for which no file is to be written."""
+    found = {tuple(r) for r in stored.select(*columns).distinct().limit(len(listed) + 1).collect()}
+    if left := sorted(found - set(listed), key=repr):
+        raise ValueError(f"rows without a file of their own: {left}")
+
+
 def write_prediction_files(
     df: DataFrame, folder: str, run_tag: str, languages: list[str]
 ) -> None:
@@ -40,6 +47,7 @@ def write_prediction_files(
     The rows are worked out once; each language's file is a copy of its own partition.
     """
     stored = materialise(df.select("lang", *PREDICTIONS), "by-language", ["lang"])
+    _all_listed(stored, ["lang"], [(lang,) for lang in languages])
 
     def write(lang: str) -> None:
         one = stored.filter(F.col("lang") == lang).select(*PREDICTIONS)
@@ -58,6 +66,7 @@ def write_splits(df: DataFrame, folder: str, languages: list[str], fmt: str = "c
         _writer(own.drop("lang", "split"), fmt, "overwrite").save(f"{folder}/{lang}/{split}.{fmt}")
 
     places = [(lang, split) for lang in languages for split in ("train", "val", "test")]
+    _all_listed(stored, ["lang", "split"], places)
     run_each(df.sparkSession, write, places)
 
 

@@ -25,13 +25,13 @@ def _labels(spark: SparkSession, sf_dir: str) -> DataFrame:
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the toxicity classifier does not reject."""
     model = toxicity.fit(docs, _labels(spark, sf_dir), ~common.is_fold("doc_id", 5, 0))
-    return toxicity.score(docs, model, at_least=TOXICITY).filter("_predicted = 0").select(*docs.columns)
+    return toxicity.kept(docs, model, below=TOXICITY)
 
 
 def drop_poor(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier does not reject."""
     trees = quality.fit(docs, _labels(spark, sf_dir), ~common.is_fold("doc_id", 5, 0))
-    return quality.score(docs, trees, at_least=QUALITY).filter("_predicted = 1").select(*docs.columns)
+    return quality.kept(docs, trees, at_least=QUALITY)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
