@@ -177,13 +177,19 @@ def whole_column(table: pa.Table, i: int) -> pa.Array:
     return pa.concat_arrays(table.column(i).chunks)
 
 
-def in_blocks(rows: DataFrame, key: str, member: str, block: int) -> DataFrame:
+def in_blocks(
+    rows: DataFrame, key: str, member: str, block: int, weight: str | None = None, block_weight: int = 1
+) -> DataFrame:
     """Rows with columns own, a, b added: a group within ``block`` once (0, 0), a larger one by block pairs.
 
-    Sizes come from a map-side combined count, so a hot group is never in one task.
+    With a ``weight`` column, blocks also hold about ``block_weight`` of it at most. Sizes come
+    from a map-side combined count, so a hot group is never in one task.
     """
-    sizes = rows.groupBy(key).agg(F.count("*").alias("_members"))
-    large = sizes.filter(F.col("_members") > block).withColumn("_blocks", F.ceil(F.col("_members") / block).cast("int"))
+    parts = F.ceil(F.count("*") / block)
+    if weight:
+        # blocks never outnumber the members
+        parts = F.greatest(parts, F.least(F.count("*"), F.ceil(F.sum(weight) / block_weight)))
+    large = rows.groupBy(key).agg(parts.cast("int").alias("_blocks")).filter("_blocks > 1")
     marked = rows.join(large.select(key, "_blocks"), key, "left")
     own = F.pmod(F.xxhash64(member, F.lit(11)), F.col("_blocks")).cast("int")
     pairs = F.when(F.col("_blocks").isNull(), F.array(F.lit(0))).otherwise(F.sequence(F.lit(0), F.col("_blocks") - 1))

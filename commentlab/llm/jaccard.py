@@ -18,8 +18,8 @@ decides speed, never results. The steps:
 5. per family, R-tree search and exact verification, skipping what is linked already; the
    components of the verified links are the result.
 
-Buckets and families above ``BLOCK`` members are cut into blocks, and every pair of blocks is a
-task of its own, so no group is held whole. All links between different texts count: a pair that
+Buckets and families above ``BLOCK`` members (families also above ``BLOCK_SHINGLES`` shingles) are
+cut into blocks, and every pair of blocks is a group of its own, so none is held whole. All links between different texts count: a pair that
 is not verified is one that other verified links connect already.
 
 Defined results: words are cut at ASCII white space after lower-casing A-Z; a text with fewer
@@ -43,8 +43,12 @@ from commentlab.session import materialise
 
 # Coordinates of a point, and of the finer point of a set above LARGE shingles.
 COARSE, FINE, LARGE = 64, 256, 512
-# Members of a bucket or family that one task handles at a time.
-BLOCK = 1024
+# Bytes of the finest points that a family task holds; their groups follow the size of its sets.
+FINEST_BYTES = 1 << 26
+# Members of a bucket or family that one task handles at a time, and shingles of a family.
+BLOCK, BLOCK_SHINGLES = 1024, 1 << 22
+# Shingles compared at a time.
+COMPARED = 1 << 19
 # Points under one R-tree leaf.
 LEAF = 32
 # Members up to which a bucket's pairs are bounded directly.
@@ -113,6 +117,23 @@ def fine_points(column: list[bytes | None]) -> np.ndarray:
     return np.where(raw == 255, 1 << 24, raw.astype(np.int32)).reshape(-1, FINE)
 
 
+def finest_points(sets: list[np.ndarray], sizes: np.ndarray) -> np.ndarray:
+    """Rows of exact counts over a quarter as many groups as the largest set has shingles.
+
+    With a few shingles a group, unrelated sets share few of them; points whose groups are full
+    look alike whatever they hold. The groups halve until the rows fit ``FINEST_BYTES``.
+    """
+    kind = np.uint16 if sizes.max() < 1 << 16 else np.int32
+    groups = 1 << max(8, int(sizes.max() // 4).bit_length())
+    while groups > FINE and len(sets) * groups * np.dtype(kind).itemsize > FINEST_BYTES:
+        groups //= 2
+    out = np.zeros((len(sets), groups), kind)
+    for row, own in zip(out, sets, strict=True):
+        if len(own) > LARGE:
+            row[:] = np.bincount((own & np.uint64(groups - 1)).astype(np.int64), minlength=groups)
+    return out
+
+
 def _alike(shared, a, b, num: int, den: int):
     """Whether sharing (at most) ``shared`` elements makes sets of these sizes alike enough."""
     shared = np.minimum(shared, np.minimum(a, b))
@@ -122,8 +143,8 @@ def _alike(shared, a, b, num: int, den: int):
 class Tree:
     """R-tree over points, packed bottom-up; search gives candidates among the living."""
 
-    def __init__(self, sizes: np.ndarray, coarse: np.ndarray, fine: np.ndarray, num: int, den: int):
-        self.sizes, self.coarse, self.fine, self.num, self.den = sizes, coarse, fine, num, den
+    def __init__(self, sizes: np.ndarray, coarse: np.ndarray, finer: list[np.ndarray], num: int, den: int):
+        self.sizes, self.coarse, self.finer, self.num, self.den = sizes, coarse, finer, num, den
         strips = max(1, int(np.sqrt(len(sizes) / LEAF)))
         by_size = np.argsort(sizes, kind="stable")
         axis = coarse.var(axis=0).argmax() if len(sizes) else 0
@@ -152,9 +173,9 @@ class Tree:
         b = self.sizes[found]
         found = found[(b * self.den >= n * self.num) & (b * self.num <= n * self.den)]
         found = found[self.enough(np.minimum(self.coarse[found], mine).sum(axis=1), n, self.sizes[found])]
-        if n > LARGE and len(found):
+        for points in self.finer if n > LARGE else ():
             large = self.sizes[found] > LARGE
-            bound = np.minimum(self.fine[found[large]], self.fine[x]).sum(axis=1)
+            bound = np.minimum(points[found[large]], points[x]).sum(axis=1, dtype=np.int64)
             keep = ~large
             keep[large] = self.enough(bound, n, self.sizes[found[large]])
             found = found[keep]
@@ -219,7 +240,7 @@ def bucket_links(rows: DataFrame, num: int, den: int) -> DataFrame:
                         yield pa.record_batch([pa.array(ids[x]), pa.array(ids[y])], names=["u", "v"])
             for g in np.flatnonzero(many > FEW):
                 own = slice(bounds[g], bounds[g + 1])
-                tree = Tree(sizes[own], coarse[own], fine[own] if len(fine) else fine, num, den)
+                tree = Tree(sizes[own], coarse[own], [fine[own]] if len(fine) else [], num, den)
                 edges = spanning(tree)
                 if edges:
                     yield _edges(ids[own], edges)
@@ -227,6 +248,14 @@ def bucket_links(rows: DataFrame, num: int, den: int) -> DataFrame:
     return rows.mapInArrow(run, "u long, v long").distinct()
 
 
+def alike(mine: np.ndarray, others: list[np.ndarray], num: int, den: int) -> np.ndarray:
+    """Which of the other sets are linked with this one, by counting what they share."""
+    sizes, every = np.array([len(x) for x in others], np.int64), np.concatenate(others)
+    at = np.minimum(np.searchsorted(mine, every), len(mine) - 1)
+    shared = np.add.reduceat((mine[at] == every).astype(np.int64), np.cumsum(sizes) - sizes)
+    return _alike(shared, len(mine), sizes, num, den)
+
+
 def family_links(rows: DataFrame, num: int, den: int) -> DataFrame:
     """(u, v) forests of verified links, from rows (family, a, b, class, shingles)."""
 
@@ -239,15 +268,16 @@ def family_links(rows: DataFrame, num: int, den: int) -> DataFrame:
                 sets = [np.frombuffer(x, np.uint64) for x in every_set[a:b].to_pylist()]
                 sizes = np.array([len(x) for x in sets], np.int64)
                 coarse = np.frombuffer(b"".join(point(x, COARSE) for x in sets), np.uint8).reshape(-1, COARSE)
-                fine = fine_points([point(x, FINE) if len(x) > LARGE else None for x in sets])
-                tree = Tree(sizes, np.where(coarse == 255, 1 << 24, coarse.astype(np.int32)), fine, num, den)
+                finer = []
+                if sizes.max() > LARGE:
+                    finer.append(fine_points([point(x, FINE) if len(x) > LARGE else None for x in sets]))
+                    finer.append(finest_points(sets, sizes))
+                tree = Tree(sizes, np.where(coarse == 255, 1 << 24, coarse.astype(np.int32)), finer, num, den)
 
                 def verify(x, found, sets=sets, sizes=sizes):
-                    every, mine = np.concatenate([sets[y] for y in found]), sets[x]
-                    at = np.minimum(np.searchsorted(mine, every), len(mine) - 1)
-                    offsets = np.concatenate([[0], np.cumsum(sizes[found])])
-                    shared = np.add.reduceat((mine[at] == every).astype(np.int64), offsets[:-1])
-                    return _alike(shared, sizes[x], sizes[found], num, den)
+                    mine, before = sets[x], np.cumsum(sizes[found]) - sizes[found]
+                    parts = np.split(found, np.flatnonzero(np.diff(before // COMPARED)) + 1)
+                    return np.concatenate([alike(mine, [sets[y] for y in part], num, den) for part in parts])
 
                 edges = spanning(tree, verify)
                 if edges:
@@ -336,7 +366,7 @@ def near_duplicates(
     buckets = buckets.repartition("key", "a", "b").sortWithinPartitions("key", "a", "b", "class")
     near = bucket_links(buckets.select("key", "a", "b", "class", "n", "coarse", "fine"), num, den)
     families = common.components(near, "families").withColumnsRenamed({"node": "class", "root": "family"})
-    families = materialise(families.join(classes.select("class", "least_id"), "class"), "family")
+    families = materialise(families.join(classes.select("class", "least_id", "n"), "class"), "family")
 
     class Reread:
         @staticmethod
@@ -354,7 +384,9 @@ def near_duplicates(
 
     ids = families.select(F.col("least_id").alias("doc_id")).distinct()
     sets = common.map_chunks(common.semi_by_id(rows, ids, "doc_id"), "text", Reread, "class long, shingles binary")
-    members = common.in_blocks(families.select("family", "class"), "family", "class", BLOCK).join(sets.dropDuplicates(["class"]), "class")
+    members = families.select("family", "class", "n")
+    members = common.in_blocks(members, "family", "class", BLOCK, "n", BLOCK_SHINGLES)
+    members = members.join(sets.dropDuplicates(["class"]), "class")
     members = members.repartition("family", "a", "b").sortWithinPartitions("family", "a", "b", "class")
     links = family_links(members.select("family", "a", "b", "class", "shingles"), num, den)
     linked = common.components(links, "links").join(

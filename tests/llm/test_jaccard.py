@@ -124,7 +124,7 @@ def test_tree_search_finds_all_that_reach_the_bound():
     coarse = rng.poisson(3, (300, jaccard.COARSE)).astype(np.int32)
     coarse[150:] = coarse[:150] + rng.poisson(0.1, (150, jaccard.COARSE))
     sizes = coarse.sum(axis=1).astype(np.int64)
-    tree = jaccard.Tree(sizes, coarse, np.zeros((0, jaccard.FINE), np.int32), 80, 100)
+    tree = jaccard.Tree(sizes, coarse, [], 80, 100)
     for x in range(0, 300, 7):
         bound = np.minimum(coarse, coarse[x]).sum(axis=1)
         want = np.flatnonzero(100 * bound >= 80 * (sizes + sizes[x] - bound))
@@ -156,6 +156,29 @@ def test_components(spark):
     assert common.components(spark.createDataFrame([], "u long, v long"), "t").count() == 0
 
 
+def test_finest_points_bound_what_sets_share():
+    rng = np.random.default_rng(7)
+    base = np.unique(rng.integers(0, 1 << 62, 9000).astype(np.uint64))
+    sets = [base[:6000], base[3000:], np.unique(rng.integers(0, 1 << 62, 5000).astype(np.uint64)), base[:600], base[:3]]
+    sizes = np.array([len(x) for x in sets])
+    points = jaccard.finest_points(sets, sizes)
+    assert not points[4].any() and points[0].sum() == len(sets[0])
+    for a in range(4):
+        for b in range(4):
+            bound = np.minimum(points[a], points[b]).sum(dtype=np.int64)
+            assert bound >= len(np.intersect1d(sets[a], sets[b]))
+    # unrelated long sets fall below the bar by their points alone
+    assert np.minimum(points[0], points[2]).sum() < 0.8 * 5000
+
+
+def test_alike_counts_shared_shingles_in_parts(monkeypatch, spark):
+    monkeypatch.setattr(jaccard, "COMPARED", 64)
+    monkeypatch.setattr(jaccard, "BLOCK_SHINGLES", 256)
+    long = prose(700, 1).split()
+    texts = [" ".join(long[:n]) for n in range(560, 701, 10)]
+    compare(jaccard.near_duplicates(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")), list(enumerate(texts)))
+
+
 def test_op2_against_brute_force(spark, sf_dir):
     from commentlab.llm.queries import QUERIES
 
