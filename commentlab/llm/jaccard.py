@@ -46,7 +46,7 @@ COARSE, FINE, LARGE = 64, 256, 512
 # Bytes of the finest points that a family task holds; their groups follow the size of its sets.
 FINEST_BYTES = 1 << 26
 # Members of a bucket or family that one task handles at a time, and shingles of a family.
-BLOCK, BLOCK_SHINGLES = 1024, 1 << 22
+BLOCK, BLOCK_SHINGLES = 1024, 1 << 23
 # Shingles compared at a time.
 COMPARED = 1 << 19
 # Points under one R-tree leaf.
