@@ -27,6 +27,7 @@ from commentlab.queries.base import (
     tuned_sql,
 )
 from commentlab.queries.sampling import TUNED
+from commentlab.queries.text import ANALYZED
 from commentlab.session import new_path
 from commentlab.scale import literal_table
 from commentlab.sources.writers import load_models, save_models
@@ -126,32 +127,70 @@ def _fitted(spark, sf):
     return cleaned, models, errors
 
 
-@query("train_lr")
+# Languages and whether their training rows have both classes, as a fit needs.
+FITTED = f"""{COMMENTS}, {SPLIT.format(source='comments')}, train AS (
+  SELECT lang, count(*) AS n, count(*) FILTER (toxic = 1) AS n_pos
+  FROM parted WHERE split = 'train' AND lang IS NOT NULL GROUP BY lang
+), fits AS (
+  SELECT lang, n_pos > 0 AND n_pos < n AS fitted, CASE WHEN NOT (n_pos > 0 AND n_pos < n) THEN
+    concat('the fit needs both classes, got ', n_pos, ' positive rows of ', n) END AS error
+  FROM train
+)"""
+
+
+@query(
+    "train_lr",
+    f"""WITH {FITTED}, {ANALYZED}, train_grams AS (
+  SELECT p.lang, p.id, a.grams FROM parted p JOIN analyzed a USING (id) WHERE split = 'train'
+), terms AS (
+  SELECT lang, term, count(DISTINCT id) AS df
+  FROM (SELECT lang, id, unnest(grams) AS term FROM train_grams) GROUP BY ALL
+), kept AS (
+  SELECT lang, least(count(*), 200000) AS n_terms
+  FROM terms JOIN train USING (lang) WHERE df >= 3 AND df <= 0.95::DOUBLE * n GROUP BY lang
+)
+SELECT lang, CASE WHEN fitted THEN CAST(n_terms AS INTEGER) END AS n_features,
+  CASE WHEN fitted THEN true END AS stationary, error
+FROM fits LEFT JOIN kept USING (lang)""",
+)
 def _(spark, sf):
-    _, models, errors = _fitted(spark, sf)
-    rows = []
-    for lang in languages(comments(spark, sf)):
-        fitted = models[lang].stages[-1] if lang in models else None
-        rows.append(
-            (
-                lang,
-                fitted.numFeatures if fitted else None,
-                fitted.summary.totalIterations if fitted else None,
-                float(fitted.intercept) if fitted else None,
-                errors.get(lang),
-            )
-        )
-    schema = "lang string, n_features int, iterations int, intercept double, error string"
-    return literal_table(spark, rows, schema)
-
-
-@query("score_lr")
+    """Vocabulary sizes, and whether the loss is stationary in the intercept.
+
+    At the minimum of the balanced loss, mean scores of the two classes add up to one.
+    """
+    cleaned, models, errors = _fitted(spark, sf)
+    sizes = [
+        (lang, models[lang].stages[-1].numFeatures if lang in models else None, errors.get(lang))
+        for lang in sorted({*models, *errors})
+    ]
+    sizes = literal_table(spark, sizes, "lang string, n_features int, error string")
+    score = lambda y: F.avg(F.when(F.col("y_true") == y, F.col("y_prob")))
+    balance = (
+        score_splits(cleaned, models, ("train",))
+        .groupBy("lang")
+        .agg((F.abs(score(0) + score(1) - 1) < 1e-3).alias("stationary"))
+    )
+    return sizes.join(balance, "lang", "left").select("lang", "n_features", "stationary", "error")
+
+
+@query(
+    "score_lr",
+    f"""WITH {FITTED}
+SELECT lang, split, id, toxic AS y_true, true AS is_probability
+FROM parted JOIN fits USING (lang) WHERE fitted AND split <> 'train'""",
+)
 def _(spark, sf):
     cleaned, models, _ = _fitted(spark, sf)
-    return score_splits(cleaned, models).select("lang", "split", "id", "y_true", "y_prob")
+    probability = F.coalesce(F.col("y_prob").between(0, 1), F.lit(False)).alias("is_probability")
+    return score_splits(cleaned, models).select("lang", "split", "id", "y_true", probability)
 
 
-@query("model_roundtrip")
+@query(
+    "model_roundtrip",
+    f"""WITH {FITTED}
+SELECT lang, count(*) AS n, 0::DOUBLE AS max_difference
+FROM parted JOIN fits USING (lang) WHERE fitted AND split <> 'train' GROUP BY lang""",
+)
 def _(spark, sf):
     cleaned, models, _ = _fitted(spark, sf)
     folder = new_path(spark, "models")
@@ -168,6 +207,16 @@ def _(spark, sf):
     )
 
 
-@query("run_all_languages")
+@query(
+    "run_all_languages",
+    f"""WITH {FITTED}
+SELECT lang AS language, fitted AS val_scored, fitted AS test_scored, error FROM fits
+UNION ALL SELECT 'it', false, false, 'no training rows for it'
+WHERE NOT EXISTS (FROM fits WHERE lang = 'it')""",
+)
 def _(spark, sf):
-    return train_and_predict(all_splits(spark, sf), [*languages(comments(spark, sf)), "it"]).summary
+    summary = train_and_predict(all_splits(spark, sf), [*languages(comments(spark, sf)), "it"]).summary
+    scored_in = lambda part: F.coalesce(F.col(f"{part}_f1").between(0, 1), F.lit(False))
+    return summary.select(
+        "language", scored_in("val").alias("val_scored"), scored_in("test").alias("test_scored"), "error"
+    )

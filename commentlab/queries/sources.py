@@ -224,6 +224,16 @@ def _(spark, sf):
     return p.profile_table(comments(spark, sf)).withColumn("mean", six("mean"))
 
 
-@query("profile_files")
+@query(
+    "profile_files",
+    """SELECT s_suppkey, CAST(strlen(s_name) + 1 AS BIGINT) AS size_bytes, sha256(concat(s_name, chr(10))) AS sha256
+FROM supplier""",
+)
 def _(spark, sf):
-    return p.profile_files(spark, sf, "*.parquet").drop("path")
+    """Digests of one written file per supplier."""
+    folder = new_path(spark, "files")
+    names = table(spark, sf, "supplier").select("s_suppkey", "s_name")
+    names.repartition("s_suppkey").write.partitionBy("s_suppkey").text(folder)
+    files = p.profile_files(spark, folder, "*.txt")
+    key = F.regexp_extract("path", r"s_suppkey=(\d+)/", 1).cast("long")
+    return files.select(key.alias("s_suppkey"), "size_bytes", "sha256")
