@@ -210,7 +210,10 @@ def _(spark, sf):
 @query(
     "run_all_languages",
     f"""WITH {FITTED}
-SELECT lang AS language, fitted AS val_scored, fitted AS test_scored, error FROM fits
+SELECT lang AS language, fitted AND has_val AS val_scored, fitted AND has_test AS test_scored, error
+FROM fits JOIN (
+  SELECT lang, bool_or(split = 'val') AS has_val, bool_or(split = 'test') AS has_test FROM parted GROUP BY lang
+) USING (lang)
 UNION ALL SELECT 'it', false, false, 'no training rows for it'
 WHERE NOT EXISTS (FROM fits WHERE lang = 'it')""",
 )
