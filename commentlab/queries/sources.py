@@ -5,17 +5,21 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from commentlab.operators import profile as p
-from commentlab.operators.sampling import split_rows
+from commentlab.operators.errors import tag_errors
+from commentlab.operators.metrics import metrics_report
+from commentlab.operators.sampling import error_sample, split_rows
 from commentlab.operators.threshold import apply_thresholds, best_threshold, for_languages
 from commentlab.plans.train import evaluate, summarise
 from commentlab.queries.base import (
     COMMENTS,
+    REGISTRY,
     languages,
     SPLIT,
     auc_sql,
     comments,
     counts_sql,
     documents,
+    predictions,
     query,
     scored,
     scored_sql,
@@ -24,6 +28,7 @@ from commentlab.queries.base import (
     table,
     tuned_sql,
 )
+from commentlab.queries.metrics import TAGGED, rounded
 from commentlab.session import new_path
 from commentlab.sources import readers as r
 from commentlab.sources import writers as w
@@ -237,3 +242,29 @@ def _(spark, sf):
     files = p.profile_files(spark, folder, "*.txt")
     key = F.regexp_extract("path", r"s_suppkey=(\d+)/", 1).cast("long")
     return files.select(key.alias("s_suppkey"), "size_bytes", "sha256")
+
+
+@query("write_metrics", REGISTRY["metrics_report"].sql)
+def _(spark, sf):
+    """The report as it comes back from its file."""
+    report, path = metrics_report(predictions(spark, sf)), new_path(spark, "metrics")
+    w.write_table(report, path)
+    return rounded(spark.read.csv(path, schema=report.schema, header=True))
+
+
+@query(
+    "write_error_sample",
+    f"""WITH {TAGGED}, ranked AS (
+  SELECT *, row_number() OVER (PARTITION BY lang, error_type ORDER BY md5(concat(id, ':0')), id) AS rk
+  FROM errors
+)
+SELECT 'run' AS run_tag, lang, error_type, id, y_true, y_pred FROM ranked WHERE rk <= 50""",
+)
+def _(spark, sf):
+    """The error sample as it comes back from its files."""
+    sample = error_sample(tag_errors(predictions(spark, sf)), ["lang"])
+    sample, folder = sample.select("lang", "error_type", "id", "y_true", "y_pred"), new_path(spark, "errors")
+    w.write_error_sample(sample, folder, "run")
+    types = {f.name: f.dataType.simpleString() for f in sample.schema} | {"run_tag": "string"}
+    order = ["error_type", "id", "y_true", "y_pred", "run_tag", "lang"]
+    return spark.read.csv(folder, schema=", ".join(f"{c} {types[c]}" for c in order), header=True)
