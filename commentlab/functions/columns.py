@@ -6,6 +6,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
+from commentlab.scale import join_small
+from commentlab.session import materialise
+
 # Accepted column names per role, in order of preference. "prediction" and
 # "pred" name probabilities.
 LABEL_NAMES = ["y_true", "label", "target", "toxic"]
@@ -14,8 +17,6 @@ DECISION_NAMES = ["y_pred", "pred_label", "prediction_binary"]
 # The threshold used when none is known, and the label of unlabelled rows.
 DEFAULT_THRESHOLD = 0.5
 UNLABELLED = -1
-# Rows per block when ordinals are assigned.
-BLOCK = 1 << 16
 
 
 def pick_column(columns: list[str], candidates: list[str], required: bool = True) -> str | None:
@@ -57,23 +58,22 @@ def error_type(y_true: Column, y_pred: Column) -> Column:
 
 
 def surrogate_id(df: DataFrame, group: list[str], position: str, out: str = "id") -> DataFrame:
-    """Ordinals 0..n-1 per group in the order of a unique integer ``position``.
+    """Ordinals 0..n-1 per group in the order of a unique ``position``, dense or sparse.
 
-    Positions are cut into blocks of at most ``BLOCK`` rows. Block sizes give each block its
-    first ordinal; ranks are taken within blocks only, so no group is sorted in one task.
-    Ranking and joining use the same key, so the rows move once.
+    Rows are sorted by ranges of group and position, so no group is sorted in one task, and
+    stored as they lie. How many rows of a group each range holds gives its first ordinal there.
     """
-    # As one struct, a NULL group equals itself in the join.
-    blocks = df.withColumns(
-        {"_group": F.struct(*group), "_block": F.floor(F.col(position) / F.lit(BLOCK))}
-    )
-    keys = ["_group", "_block"]
-    before = W.partitionBy("_group").orderBy("_block").rowsBetween(W.unboundedPreceding, -1)
+    ordered = df.repartitionByRange(*group, position).sortWithinPartitions(*group, position)
+    ordered = materialise(ordered.withColumn("_pos", F.monotonically_increasing_id()), "ordered")
+    # The upper bits of the number name the range.
+    placed = ordered.withColumn("_part", F.shiftright("_pos", 33))
+    before = W.partitionBy(*group).orderBy("_part").rowsBetween(W.unboundedPreceding, -1)
     starts = (
-        blocks.groupBy(*keys)
-        .agg(F.count("*").alias("_n"))
-        .select(*keys, F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
+        placed.groupBy(*group, "_part")
+        .agg(F.min("_pos").alias("_first"), F.count("*").alias("_n"))
+        .withColumn("_start", F.coalesce(F.sum("_n").over(before), F.lit(0)))
+        .drop("_n")
     )
-    rank = F.row_number().over(W.partitionBy(*keys).orderBy(position))
-    numbered = blocks.withColumn("_rank", rank).join(starts, keys)
-    return numbered.select(*df.columns, (F.col("_start") + F.col("_rank") - 1).alias(out))
+    ordinal = F.col("_start") + F.col("_pos") - F.col("_first")
+    numbered = join_small(placed, starts, [*group, "_part"])
+    return numbered.select(*df.columns, ordinal.alias(out))

@@ -1,9 +1,10 @@
 """Seeded samples and splits ordered by a hash of the row id, so the layout does not matter.
 
 Exact sizes need the hash of the k-th row of a group. It is found without sorting the group: a
-histogram over hash prefixes says which prefix holds it, and only the rows of that prefix are
-ranked. Every row is then placed by comparing its own hash, with no shuffle of the table.
-Rows that share an id share their place.
+histogram over hash prefixes says which prefix holds it, and only the hashes of that prefix are
+counted and ranked. Every row is then placed by comparing its own hash, with no shuffle of the
+table. Rows that share an id share their place, so sizes are exact up to the copies of the id at
+a cut; tie columns go into the hash and part them. A NULL id is hashed as its whole row.
 """
 
 from __future__ import annotations
@@ -22,19 +23,25 @@ def hashed(ident: str | Column, seed: int) -> Column:
     return F.md5(F.concat_ws(":", F.col(ident) if isinstance(ident, str) else ident, F.lit(seed)))
 
 
-def hash_limits(
-    df: DataFrame,
-    group: list[str],
-    ident: str,
-    seed: int,
-    cuts: dict[str, Column],
-) -> DataFrame:
-    """Per group and named cut, the hash of the row at that rank.
+def with_hash(df: DataFrame, ident: str, seed: int, tie: list[str] | None = None) -> DataFrame:
+    """``df`` with ``_hash``, which places a row: of its id, its tie columns if any, and the seed.
+
+    Whole rows are looked at only if there are NULL ids, so that other tables stay pruned to
+    the columns in use.
+    """
+    key = F.col(ident).cast("string")
+    if not df.filter(key.isNull()).isEmpty():
+        key = F.coalesce(key, F.to_json(F.struct(*df.columns)))
+    return df.withColumn("_hash", hashed(F.concat_ws(":", key, F.to_json(F.struct(*tie))) if tie else key, seed))
+
+
+def hash_limits(df: DataFrame, group: list[str], cuts: dict[str, Column]) -> DataFrame:
+    """Per group and named cut, the ``_hash`` of the row at that rank.
 
     A cut is an expression over the group size ``_size`` and the group columns. Rank 0 gives
     an empty hash, below every row.
     """
-    keyed = df.select(*group, hashed(ident, seed).alias("_hash"))
+    keyed = df.select(*group, "_hash")
     keyed = keyed.withColumn("_prefix", F.substring("_hash", 1, PREFIX))
     upto = W.partitionBy(*group).orderBy("_prefix")
     histogram = (
@@ -55,20 +62,24 @@ def hash_limits(
         .filter(first | holds)
         .select(*group, "_prefix", "cut", (F.col("rank") - F.col("_before")).alias("_rest"))
     )
+    # Counted by hash first: many rows of one id are one entry of the ranking.
     within = W.partitionBy(*group, "cut").orderBy("_hash")
-    ranked = join_small(keyed, hits, [*group, "_prefix"]).withColumn(
-        "_at", F.row_number().over(within)
+    ranked = (
+        join_small(keyed, hits, [*group, "_prefix"])
+        .groupBy(*group, "cut", "_rest", "_hash")
+        .agg(F.count("*").alias("_n"))
+        .withColumn("_at", F.sum("_n").over(within))
     )
-    return ranked.filter(F.col("_at") == F.greatest(F.col("_rest"), F.lit(1))).select(
+    rest = F.greatest(F.col("_rest"), F.lit(1))
+    reached = (F.col("_at") >= rest) & (F.col("_at") - F.col("_n") < rest)
+    return ranked.filter(reached).select(
         *group, "cut", F.when(F.col("_rest") <= 0, "").otherwise(F.col("_hash")).alias("limit")
     )
 
 
-def _with_limits(
-    df: DataFrame, group: list[str], ident: str, seed: int, cuts: dict[str, Column]
-) -> DataFrame:
+def _with_limits(df: DataFrame, group: list[str], cuts: dict[str, Column]) -> DataFrame:
     limits = (
-        hash_limits(df, group, ident, seed, cuts)
+        hash_limits(df, group, cuts)
         .groupBy(*group)
         .agg(*[F.max(F.when(F.col("cut") == c, F.col("limit"))).alias(c) for c in cuts])
     )
@@ -82,8 +93,12 @@ def split_rows(
     seed: int = 42,
     train: int = 80,
     val: int = 10,
+    tie: list[str] | None = None,
 ) -> DataFrame:
-    """``split`` = train / val / test with exact shares (percent, rounded down) per group."""
+    """``split`` = train / val / test with shares in percent, rounded down, per group.
+
+    Exact where the id, with the ``tie`` columns, is unique or NULL; copies stay together.
+    """
     size = F.col("_size")
     cuts = {
         "_train": F.floor(size * train / 100),
@@ -91,7 +106,7 @@ def split_rows(
     }
     h = F.col("_hash")
     name = F.when(h <= F.col("_train"), "train").when(h <= F.col("_val"), "val").otherwise("test")
-    placed = _with_limits(df, group, ident, seed, cuts).withColumn("_hash", hashed(ident, seed))
+    placed = _with_limits(with_hash(df, ident, seed, tie), group, cuts)
     return placed.withColumn("split", name).select(*df.columns, "split")
 
 
@@ -122,14 +137,15 @@ def stratified_sample(
     seed: int = 42,
     cap: int | None = 20_000,
     fraction: float = 0.05,
+    tie: list[str] | None = None,
 ) -> DataFrame:
-    """Exactly the quota of each stratum, in hash order."""
+    """The quota of each stratum, in hash order; copies of the id at the cut all come along."""
     quotas = strata_quotas(df, strata, cap, fraction).select(*strata, "quota")
-    sized = join_small(df, quotas, strata)
+    sized = join_small(with_hash(df, ident, seed, tie), quotas, strata)
     # The quota is one value per stratum, so grouping by it as well changes nothing.
     group = [*strata, "quota"]
-    placed = _with_limits(sized, group, ident, seed, {"_limit": F.col("quota")})
-    return placed.filter(hashed(ident, seed) <= F.col("_limit")).select(*df.columns)
+    placed = _with_limits(sized, group, {"_limit": F.col("quota")})
+    return placed.filter(F.col("_hash") <= F.col("_limit")).select(*df.columns)
 
 
 def error_sample(

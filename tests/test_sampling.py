@@ -5,7 +5,7 @@ import hashlib
 import pytest
 from pyspark.sql import functions as F
 
-from commentlab.functions.columns import BLOCK, surrogate_id
+from commentlab.functions.columns import surrogate_id
 from commentlab.operators import sampling as s
 from commentlab.operators.errors import error_categories, tag_errors, union_errors
 from commentlab.scale import literal_table
@@ -82,16 +82,29 @@ def test_empty_quota(spark):
     assert [r["toxic"] for r in got] == [0] * 5
 
 
-def test_surrogate_ids_are_dense(spark):
-    df = spark.range(3 * BLOCK // 2, numPartitions=5).select(
-        (F.col("id") * 5 + 1).alias("pos"), F.when(F.col("id") % 3 == 0, "a").otherwise("b").alias("lang")
+@pytest.mark.parametrize("pos", ["id * 5 + 1", "xxhash64(id)", "if(id < 5999, id, 1L << 62)"])
+def test_surrogate_ids_are_dense(spark, pos):
+    lang = F.when(F.col("id") % 3 == 0, "a").when(F.col("id") % 3 == 1, "b")
+    df = spark.range(6000, numPartitions=5).select(F.expr(pos).alias("pos"), lang.alias("lang"))
+    groups = {}
+    for r in surrogate_id(df, ["lang"], "pos").collect():
+        groups.setdefault(r["lang"], []).append((r["pos"], r["id"]))
+    assert len(groups) == 3
+    assert all([i for _, i in sorted(g)] == list(range(2000)) for g in groups.values())
+
+
+def test_null_and_shared_ids(spark):
+    """A NULL id is placed by its row; copies of an id stay together unless a tie key parts them."""
+    rows = spark.range(1000).select(
+        F.when(F.col("id") % 2 == 0, F.lit(7)).alias("id"), F.col("id").alias("n"), F.lit("x").alias("lang")
     )
-    got = surrogate_id(df, ["lang"], "pos")
-    summary = got.groupBy("lang").agg(F.count("*").alias("n"), F.min("id").alias("lo"), F.max("id").alias("hi"), F.count_distinct("id").alias("d"))
-    for r in summary.collect():
-        assert (r["lo"], r["hi"], r["d"]) == (0, r["n"] - 1, r["n"])
-    back = got.select("lang", F.max(F.struct("pos", "id")).over(__import__("pyspark").sql.Window.partitionBy("lang")).alias("m")).distinct()
-    assert all(r["m"]["id"] == {"a": BLOCK // 2 - 1, "b": BLOCK - 1}[r["lang"]] for r in back.collect())
+    nulls = s.split_rows(rows.filter("id IS NULL"), ["lang"])
+    assert {r["split"]: r["count"] for r in nulls.groupBy("split").count().collect()} == {"train": 400, "val": 50, "test": 50}
+    copies = s.split_rows(rows.filter("id = 7"), ["lang"])
+    assert copies.select("split").distinct().count() == 1 and copies.count() == 500
+    parted = s.split_rows(rows, ["lang"], tie=["n"])
+    assert {r["split"]: r["count"] for r in parted.groupBy("split").count().collect()} == {"train": 800, "val": 100, "test": 100}
+    assert s.stratified_sample(rows, ["lang"], cap=77, fraction=0.5, tie=["n"]).count() == 77
 
 
 @pytest.fixture(scope="module")
