@@ -8,11 +8,13 @@ from urllib.parse import quote
 
 import pandas as pd
 from pyarrow import fs
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 CHUNK = 1 << 23
+# Bytes up to which a file is read as one value.
+WHOLE_BYTES = 64 << 20
 
 
 def profile_table(df: DataFrame) -> DataFrame:
@@ -57,29 +59,58 @@ def _digest(path: str) -> str:
     return sha.hexdigest()
 
 
-def profile_files(spark: SparkSession, folder: str, pattern: str = "*") -> DataFrame:
-    """path, name, size_bytes, modified, sha256 of every non-empty file under a folder.
-
-    Only the listing goes through the reader. A digest is sequential by nature, so each file
-    is streamed by one task in blocks of fixed size, and files are spread over the tasks.
+def _empty_files(spark: SparkSession, folder: str, pattern: str) -> DataFrame:
+    """The files without bytes, which readers leave out; listed by the driver, as Spark lists too."""
+    root = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    listing = root.getFileSystem(spark._jsc.hadoopConfiguration()).listFiles(root, True)
+    matches = spark._jvm.org.apache.hadoop.fs.GlobFilter(pattern)
+    rows = []
+    while listing.hasNext():
+        status = listing.next()
+        path = status.getPath()
+        if status.getLen() == 0 and matches.accept(path) and not path.getName().startswith(("_", ".")):
+            rows.append((path.toString(), 0, status.getModificationTime(), hashlib.sha256().hexdigest()))
+    found = spark.createDataFrame(rows, "path string, size_bytes long, modified long, sha256 string")
+    return found.withColumn("modified", F.timestamp_millis("modified"))
+
+
+def _readable(size: Column) -> Column:
+    """A size in the largest unit of 1,024 that it reaches, with one decimal."""
+    text = F.concat(size.cast("string"), F.lit(" B"))
+    for power, unit in enumerate(["KB", "MB", "GB", "TB"], 1):
+        step = 1 << 10 * power
+        scaled = F.concat(F.format_string("%.1f", size / step), F.lit(f" {unit}"))
+        text = F.when(size >= step, scaled).otherwise(text)
+    return text
+
+
+def profile_files(
+    spark: SparkSession, folder: str, pattern: str = "*", whole: int = WHOLE_BYTES
+) -> DataFrame:
+    """path, name, size_bytes, size_human, modified, sha256 of every file under a folder.
+
+    Names that start with "_" or "." are not data and left out. Files of up to ``whole`` bytes
+    are read as one value and digested in the JVM, through the session's file systems. A digest
+    is sequential by nature, so a larger file is streamed by one task in blocks of fixed size.
     """
-    listing = (
+    scan = (
         spark.read.format("binaryFile")
         .option("recursiveFileLookup", True)
         .option("pathGlobFilter", pattern)
         .load(folder)
-        .select("path", "length", "modificationTime")
+        .withColumnsRenamed({"length": "size_bytes", "modificationTime": "modified"})
     )
+    facts = ["path", "size_bytes", "modified"]
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            yield pd.DataFrame({"path": frame["path"], "sha256": frame["path"].map(_digest)})
-
-    digests = listing.select("path").mapInPandas(run, "path string, sha256 string")
-    return listing.join(digests, "path").select(
-        "path",
-        F.element_at(F.split("path", "/"), -1).alias("name"),
-        F.col("length").alias("size_bytes"),
-        F.col("modificationTime").alias("modified"),
-        "sha256",
-    )
+            yield frame.assign(sha256=frame["path"].map(_digest))
+
+    fits = F.col("size_bytes") <= whole
+    small = scan.filter(fits).select(*facts, F.sha2("content", 256).alias("sha256"))
+    large = scan.filter(~fits).select(*facts)
+    large = large.mapInPandas(run, "path string, size_bytes long, modified timestamp, sha256 string")
+    files = small.unionByName(large).unionByName(_empty_files(spark, folder, pattern))
+    name = F.element_at(F.split("path", "/"), -1)
+    human = _readable(F.col("size_bytes"))
+    return files.select("path", name.alias("name"), "size_bytes", human.alias("size_human"), "modified", "sha256")

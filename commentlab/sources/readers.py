@@ -22,6 +22,7 @@ from commentlab.functions.columns import (
     stored_threshold,
 )
 from commentlab.scale import join_small
+from commentlab.session import run_each
 
 SPLITS = ("train", "val", "test")
 # Cell texts that mean "missing" in a comma-separated file.
@@ -44,8 +45,8 @@ def _found(df_of, what: str) -> DataFrame:
 def scan_csv(spark: SparkSession, path: str, multiline: bool = True) -> DataFrame:
     """A comma-separated file with a header, every column as text.
 
-    Files with line breaks inside cells cannot be split: turn large ones into Parquet once and
-    read that.
+    A file with line breaks inside cells is one task however large: turn large ones into Parquet
+    once (``csv_to_parquet``), or switch ``multiline`` off where no cell holds a line break.
     """
     reader = spark.read.option("header", True).option("multiLine", multiline)
     return _found(lambda: reader.option("quote", '"').option("escape", '"').csv(path), path)
@@ -66,14 +67,22 @@ def read_csv(
 
 
 def read_table(
-    spark: SparkSession, path: str, fmt: str = "csv", need_id: bool = False
+    spark: SparkSession, path: str, fmt: str = "csv", need_id: bool = False, multiline: bool = True
 ) -> DataFrame:
     if fmt == "csv":
-        return read_csv(spark, path, need_id=need_id)
+        return read_csv(spark, path, multiline, need_id)
     raw = _found(lambda: spark.read.format(fmt).load(path), path)
     return with_ordinal(raw) if need_id and "id" not in raw.columns else raw
 
 
+def csv_to_parquet(spark: SparkSession, source: str, target: str, multiline: bool = True) -> None:
+    """Write a comma-separated file as Parquet files of even size, with ids if it has none.
+
+    ``load_split`` reads ``{split}.parquet`` as it reads ``{split}.csv``, over many tasks.
+    """
+    read_csv(spark, source, multiline, need_id=True).hint("rebalance").write.parquet(target)
+
+
 def with_ordinal(scan: DataFrame, out: str = "id") -> DataFrame:
     """Ordinals 0..n-1 in the order of the files and of the rows in them.
 
@@ -108,10 +117,11 @@ def load_split(
     text_col: str = "comment_text",
     label_col: str = "toxic",
     fmt: str = "csv",
+    multiline: bool = True,
 ) -> DataFrame:
     """lang, split, id, text, label of one split; labels default to -1, ids to ordinals."""
     path = f"{folder}/{lang}/{split}.{fmt}"
-    df = read_table(spark, path, fmt, need_id=True)
+    df = read_table(spark, path, fmt, need_id=True, multiline=multiline)
     if text_col not in df.columns:
         raise KeyError(f"no text column {text_col} in {path}: {df.columns}")
     if label_col not in df.columns:
@@ -134,23 +144,30 @@ def load_splits(
     strict: bool = True,
     text_col: str = "comment_text",
     label_col: str = "toxic",
+    multiline: bool = True,
 ) -> tuple[DataFrame, dict[str, str]]:
     """All splits of all languages, and the languages left out with the reason.
 
-    A missing file raises when ``strict``; otherwise it leaves its whole language out.
+    A missing file raises when ``strict``; otherwise it leaves its whole language out. Headers
+    are read a few files at a time.
     """
-    parts: list[DataFrame] = []
-    missing: dict[str, str] = {}
-    for lang in unique(languages):
+    names = list(splits)
+
+    def load(lang: str) -> list[DataFrame] | FileNotFoundError:
         try:
-            parts += [
-                load_split(spark, folder, lang, split, text_col, label_col, fmt)
-                for split in splits
+            return [
+                load_split(spark, folder, lang, split, text_col, label_col, fmt, multiline)
+                for split in names
             ]
         except FileNotFoundError as error:
-            if strict:
-                raise
-            missing[lang] = str(error)
+            return error
+
+    wanted = unique(languages)
+    found = dict(zip(wanted, run_each(spark, load, wanted)))
+    missing = {lang: str(x) for lang, x in found.items() if isinstance(x, FileNotFoundError)}
+    if strict and missing:
+        raise next(x for x in found.values() if isinstance(x, FileNotFoundError))
+    parts = [df for lang, dfs in found.items() if lang not in missing for df in dfs]
     if not parts:
         raise FileNotFoundError(f"no complete language under {folder}")
     return reduce(DataFrame.unionByName, parts), missing
@@ -286,10 +303,12 @@ def load_predictions(
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
 
 
-def translated_union(spark: SparkSession, manifest: dict[str, str], fmt: str = "csv") -> DataFrame:
+def translated_union(
+    spark: SparkSession, manifest: dict[str, str], fmt: str = "csv", multiline: bool = True
+) -> DataFrame:
     """The corpora of a manifest lang -> path under one another, tagged with their language."""
     parts = [
-        read_table(spark, path, fmt).withColumn("lang", F.lit(lang))
+        read_table(spark, path, fmt, multiline=multiline).withColumn("lang", F.lit(lang))
         for lang, path in manifest.items()
     ]
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)

@@ -160,11 +160,32 @@ def test_profiles(spark, tmp_path):
     (tmp_path / "sub").mkdir()
     (tmp_path / "a b.csv").write_bytes(b"x" * 10)
     (tmp_path / "sub/c.csv").write_bytes(b"x" * 3)
-    files = {x["name"]: x for x in p.profile_files(spark, str(tmp_path), "*.csv").collect()}
-    assert len(files) == 2
-    for x in files.values():
-        data = b"x" * x["size_bytes"]
-        assert x["sha256"] == hashlib.sha256(data).hexdigest()
+    (tmp_path / "sub/none.csv").write_bytes(b"")
+    (tmp_path / "big.csv").write_bytes(b"x" * 2000)
+    for whole in (1 << 20, 5):
+        files = {x["name"]: x for x in p.profile_files(spark, str(tmp_path), "*.csv", whole).collect()}
+        assert {n: x["size_human"] for n, x in files.items()} == {
+            "a b.csv": "10 B", "c.csv": "3 B", "none.csv": "0 B", "big.csv": "2.0 KB"
+        }
+        for x in files.values():
+            data = b"x" * x["size_bytes"]
+            assert x["sha256"] == hashlib.sha256(data).hexdigest() and x["modified"] is not None
+
+
+def test_large_csv_over_many_tasks(spark, tmp_path, rows_of):
+    put(tmp_path / "en/train.csv", comment_text=["a\nb", 'say "hi"', None], toxic=[0, 1, 0])
+    r.csv_to_parquet(spark, f"{tmp_path}/en/train.csv", f"{tmp_path}/en/train.parquet")
+    texts = [r.load_split(spark, str(tmp_path), "en", "train", fmt=fmt) for fmt in ("csv", "parquet")]
+    assert rows_of(texts[0]) == rows_of(texts[1]) and texts[0].count() == 3
+    put(tmp_path / "es/train.csv", comment_text=[f"word {i} of a line" for i in range(5000)])
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "16384")
+    try:
+        split, _ = r.load_splits(spark, str(tmp_path), ["es"], ["train"], multiline=False)
+        whole, _ = r.load_splits(spark, str(tmp_path), ["es"], ["train"])
+        assert split.rdd.getNumPartitions() > whole.rdd.getNumPartitions()
+        assert rows_of(split) == rows_of(whole)
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
 
 
 def test_token_arrays(spark):
