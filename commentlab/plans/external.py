@@ -77,14 +77,16 @@ def score_folder(
     text_col: str = "comment_text",
     label_col: str = "toxic",
     fmt: str = "csv",
+    multiline: bool = True,
 ) -> ExternalRun:
     """Score ``{data_dir}/{lang}/val`` and ``test`` and write the predictions of the run.
 
     A missing file raises.
     """
     splits, _ = load_splits(
-        spark, data_dir, languages, ("val", "test"), fmt, text_col=text_col, label_col=label_col
-    )
+        spark, data_dir, languages, ("val", "test"), fmt,
+        text_col=text_col, label_col=label_col, multiline=multiline,
+    )
     run = run_external(splits, open_model, languages, threshold, batch_size)
     if pred_dir and fmt == "csv":
         write_prediction_files(run.predictions, pred_dir, run_tag, unique(languages))

@@ -179,16 +179,20 @@ def train_folder(
     run_tag: str = RUN_TAG,
     use_stopwords: bool = False,
     fmt: str = "csv",
+    multiline: bool = True,
     **options,
 ) -> Run:
     """Train from ``{data_dir}/{lang}/{split}.{fmt}`` and write what has a place to go.
 
     A language with a missing file, or one that cannot be fitted, shows up in the summary with
     its error. Predictions go to one file per language, or with another ``fmt`` to a
-    partitioned table; models, thresholds and the summary go to ``model_dir``.
+    partitioned table; models, thresholds and the summary go to ``model_dir``. With
+    ``multiline`` off, files without line breaks in cells are split over many tasks.
     """
     languages = unique(languages or LANGUAGES)
-    splits, missing = load_splits(spark, data_dir, languages, fmt=fmt, strict=False)
+    splits, missing = load_splits(
+        spark, data_dir, languages, fmt=fmt, strict=False, multiline=multiline
+    )
     run = train_and_predict(splits, languages, use_stopwords, missing, **options)
     if pred_dir and fmt == "csv":
         write_prediction_files(run.predictions, pred_dir, run_tag, list(run.models))
