@@ -24,7 +24,6 @@ import hashlib
 import html
 import re
 
-import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -71,6 +70,8 @@ CLOSED_BY = {
 TAG = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)", re.S)
 NAMES = re.compile(r"\b(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>\"']+))", re.I)
 WORDS = re.compile(r"[a-z]+")
+# The marks of a skeleton are no part of a label: unescaped code makes tags such as <b)>.
+MARKS = str.maketrans("(),", "[];")
 
 
 class Node:
@@ -90,6 +91,18 @@ def parse(page: str) -> Node:
     root = Node("", "", False)
     stack: list[tuple[str, Node]] = [("", root)]  # open elements; inline ones carry their block's node
     links, at = 0, 0
+    opened: dict[str, int] = {}  # open elements by tag
+    blocks: list[int] = []  # places of open block elements
+
+    def close(i):
+        nonlocal links
+        for tag, _ in stack[i:]:
+            opened[tag] -= 1
+            links -= tag == "a"
+        del stack[i:]
+        while blocks and blocks[-1] >= i:
+            blocks.pop()
+
     for found in TAG.finditer(page):
         if found.start() < at:
             continue
@@ -101,23 +114,16 @@ def parse(page: str) -> Node:
             continue
         tag = tag.lower()
         if found[1]:
-            for i in range(len(stack) - 1, 0, -1):
-                if stack[i][0] == tag:
-                    links -= sum(t == "a" for t, _ in stack[i:])
-                    del stack[i:]
-                    break
+            if opened.get(tag):
+                close(next(i for i in range(len(stack) - 1, 0, -1) if stack[i][0] == tag))
             continue
         if tag in RAW and not found[3].endswith("/"):
             end = re.compile(rf"</{re.escape(tag)}\b[^>]*(?:>|\Z)", re.I).search(page, at)
             at = end.end() if end else len(page)
             stack[-1][1].parts.append(Node(tag, tag, True))
             continue
-        while len(stack) > 1:  # elements that this one ends
-            i = next((i for i in range(len(stack) - 1, 0, -1) if stack[i][0] in CLOSED_BY or stack[i][0] not in INLINE), 0)
-            if not i or tag not in CLOSED_BY.get(stack[i][0], ()):
-                break
-            links -= sum(t == "a" for t, _ in stack[i:])
-            del stack[i:]
+        while blocks and tag in CLOSED_BY.get(stack[blocks[-1]][0], ()):  # elements that this one ends
+            close(blocks[-1])
         if tag in INLINE:
             noise, _ = _names(tag, found[3])
             if noise:
@@ -126,6 +132,7 @@ def parse(page: str) -> Node:
                 stack.append((tag, node))
             else:
                 stack.append((tag, stack[-1][1]))
+            opened[tag] = opened.get(tag, 0) + 1
             links += tag == "a"
         elif tag in VOID:
             stack[-1][1].parts.append((" ", False))
@@ -133,8 +140,9 @@ def parse(page: str) -> Node:
             noise, label = _names(tag, found[3])
             node = Node(tag, label, noise or tag in NOISE_TAGS)
             stack[-1][1].parts.append(node)
-            if not found[3].endswith("/") or tag not in VOID:
-                stack.append((tag, node))
+            opened[tag] = opened.get(tag, 0) + 1
+            blocks.append(len(stack))
+            stack.append((tag, node))
     if at < len(page):
         stack[-1][1].parts.append((page[at:], links > 0))
     return root
@@ -142,9 +150,10 @@ def parse(page: str) -> Node:
 
 def _names(tag: str, attributes: str) -> tuple[bool, str]:
     """Whether class, id or role tell of noise, and the element's label."""
+    label = tag.translate(MARKS)
     if "=" not in attributes:
-        return False, tag
-    noise, label = False, tag
+        return False, label
+    noise = False
     for name, *values in NAMES.findall(attributes):
         value = "".join(values).lower()
         if name.lower() == "role":
@@ -156,16 +165,49 @@ def _names(tag: str, attributes: str) -> tuple[bool, str]:
     return noise, label
 
 
-def skeleton(node: Node) -> str:
+def walk(root: Node) -> list[Node]:
+    """The nodes of a tree, each before those below it, in page order."""
+    out, todo = [], [root]
+    while todo:
+        node = todo.pop()
+        out.append(node)
+        todo.extend(part for part in reversed(node.parts) if isinstance(part, Node))
+    return out
+
+
+def shapes_of(root: Node) -> dict[Node, tuple[int, list[Node]]]:
+    """Per node a number that equal trees of labels share, and its children; runs of like siblings once."""
+    numbers: dict[tuple, int] = {}
+    out: dict[Node, tuple[int, list[Node]]] = {}
+    for node in reversed(walk(root)):
+        firsts, last = [], None
+        for part in node.parts:
+            if isinstance(part, Node):
+                if out[part][0] != last:
+                    firsts.append(part)
+                last = out[part][0]
+        key = node.label, *(out[child][0] for child in firsts)
+        out[node] = numbers.setdefault(key, len(numbers)), firsts
+    return out
+
+
+def skeleton(node: Node, shapes: dict | None = None) -> str:
     """The tree of labels below a node; runs of like siblings once."""
-    inner, last = [], None
-    for part in node.parts:
-        if isinstance(part, Node):
-            own = skeleton(part)
-            if own != last:
-                inner.append(own)
-            last = own
-    return f"{node.label}({','.join(inner)})" if inner else node.label
+    shapes = shapes or shapes_of(node)
+    out, todo = [], [node]
+    while todo:
+        part = todo.pop()
+        if isinstance(part, str):
+            out.append(part)
+            continue
+        out.append(part.label)
+        if firsts := shapes[part][1]:
+            out.append("(")
+            todo.append(")")
+            for k, child in enumerate(reversed(firsts)):
+                todo.extend([","] * (k > 0))
+                todo.append(child)
+    return "".join(out)
 
 
 def unfold(text: str) -> tuple:
@@ -193,36 +235,61 @@ def match(a: tuple, b: tuple) -> tuple[int, list]:
     """Simple tree matching: size of the largest match of two trees, and the matched children."""
     if a[0] != b[0]:
         return 0, []
-    n, m = len(a[1]), len(b[1])
-    best = np.zeros((n + 1, m + 1), np.int64)
-    inner = {}
+    # pairs of trees under way: the trees, their results so far, the pairs still to match, where the result goes
+    top: dict = {}
+    todo = [(a, b, {}, _alike(a, b), top, 0)]
+    while todo:
+        a, b, inner, left, to, key = todo[-1]
+        if left:
+            i, j = left.pop()
+            below = a[1][i], b[1][j]
+            todo.append((*below, {}, _alike(*below), inner, (i, j)))
+            continue
+        todo.pop()
+        to[key] = _best(len(a[1]), len(b[1]), inner)
+    return top[0]
+
+
+def _alike(a: tuple, b: tuple) -> list[tuple[int, int]]:
+    """Children of two trees that have one label."""
+    return [(i, j) for i, x in enumerate(a[1]) for j, y in enumerate(b[1]) if x[0] == y[0]]
+
+
+def _best(n: int, m: int, inner: dict) -> tuple[int, list]:
+    """Size and pairs of the best match of n and m children in order, from the matches of the pairs."""
+    best = [[0] * (m + 1) for _ in range(n + 1)]
     for i in range(n):
         for j in range(m):
-            inner[i, j] = match(a[1][i], b[1][j])
-            best[i + 1, j + 1] = max(best[i, j + 1], best[i + 1, j], best[i, j] + inner[i, j][0])
+            best[i + 1][j + 1] = max(best[i][j + 1], best[i + 1][j], best[i][j] + inner.get((i, j), (0,))[0])
     pairs, i, j = [], n, m
     while i and j:
-        if best[i, j] == best[i - 1, j]:
+        if best[i][j] == best[i - 1][j]:
             i -= 1
-        elif best[i, j] == best[i, j - 1]:
+        elif best[i][j] == best[i][j - 1]:
             j -= 1
         else:
             i, j = i - 1, j - 1
             pairs.append((i, j, inner[i, j][1]))
-    return int(best[n, m]) + 1, pairs[::-1]
+    return best[n][m] + 1, pairs[::-1]
 
 
-def _slots(own: tuple, wrapper: tuple, pairs: list, path: str) -> tuple:
-    """Slot names for the tree ``own``: the wrapper's place if matched, else one by label."""
-    to = {i: (j, inner) for i, j, inner in pairs}
-    out = []
-    for i, child in enumerate(own[1]):
-        if i in to:
-            j, inner = to[i]
-            out.append((child[0], _slots(child, wrapper[1][j], inner, f"{path}/{child[0]}:{j}")))
-        else:
-            out.append((child[0], _slots(child, ("", []), [], f"{path}/{child[0]}:+")))
-    return path, out
+def _number(*key) -> int:
+    """Eight bytes of a key's digest as a signed number."""
+    return int.from_bytes(hashlib.blake2b(repr(key).encode("utf-8", "replace"), digest_size=8).digest(), "big", signed=True)
+
+
+def _slots(own: tuple, wrapper: tuple, pairs: list) -> tuple:
+    """Slot numbers for the tree ``own``: the wrapper's place if matched, else one by label."""
+    top: tuple = (_number("", ""), [])
+    todo = [(own, wrapper, pairs, top)]
+    while todo:
+        own, wrapper, pairs, (slot, out) = todo.pop()
+        to = {i: (j, inner) for i, j, inner in pairs}
+        for i, child in enumerate(own[1]):
+            j, inner = to.get(i, ("+", []))
+            out.append((_number(slot, child[0], j), []))
+            todo.append((child, ("", []) if j == "+" else wrapper[1][j], inner, out[-1]))
+    return top
 
 
 class Aligner:
@@ -232,90 +299,77 @@ class Aligner:
         self.kept: dict[tuple[str, str], tuple] = {}
 
     def align(self, root: Node, wrapper: str) -> None:
-        own = skeleton(root)
+        shapes = shapes_of(root)
+        own = skeleton(root, shapes)
         if (own, wrapper) not in self.kept:
             if len(self.kept) > 5_000:
                 self.kept.clear()
             a, b = unfold(own), unfold(wrapper)
-            self.kept[own, wrapper] = _slots(a, b, match(a, b)[1], "")
-        self._give(root, self.kept[own, wrapper])
-
-    def _give(self, node: Node, slots: tuple) -> None:
-        node.slot, at, last = slots[0], -1, None
-        for part in node.parts:
-            if isinstance(part, Node):
-                own = skeleton(part)
-                at += own != last
-                last = own
-                self._give(part, slots[1][at][1])
+            self.kept[own, wrapper] = _slots(a, b, match(a, b)[1])
+        todo = [(root, self.kept[own, wrapper])]
+        while todo:
+            node, slots = todo.pop()
+            node.slot, at, last = slots[0], -1, None
+            for part in node.parts:
+                if isinstance(part, Node):
+                    at += shapes[part][0] != last
+                    last = shapes[part][0]
+                    todo.append((part, slots[1][at]))
 
 
 def clean(pieces: list[str]) -> str:
     return " ".join(html.unescape("".join(pieces)).split())
 
 
-def slots_of(root: Node) -> list[tuple[str, bool, list[tuple[str, bool]]]]:
+def slots_of(root: Node) -> list[tuple[int, bool, list[tuple[str, bool]]]]:
     """(slot, in an article, own text pieces) of every node that is not noise."""
-    out = []
-
-    def visit(node, inside):
+    out, todo = [], [(root, False)]
+    while todo:
+        node, inside = todo.pop()
         if node.noise:
-            return
+            continue
         inside = inside or node.tag in ("article", "main")
         own = [part for part in node.parts if not isinstance(part, Node)]
         if own:
             out.append((node.slot, inside, own))
-        for part in node.parts:
-            if isinstance(part, Node):
-                visit(part, inside)
-
-    visit(root, False)
+        todo.extend((part, inside) for part in reversed(node.parts) if isinstance(part, Node))
     return out
 
 
-def main_text(root: Node, template: frozenset[str]) -> str:
+def main_text(root: Node, template: frozenset[int]) -> str:
     """Text of the content blocks in page order, joined by one space."""
     blocks: list[str] = []
     article = _has_article(root)
-
-    def visit(node, inside):
+    todo = [(root, False, 0)]  # nodes under way: in an article, parts done
+    while todo:
+        node, inside, at = todo.pop()
         if node.noise:
-            return
+            continue
         inside = inside or node.tag in ("article", "main")
         speak = (inside or not article) and node.slot not in template
         held: list[str] = []
-        for part in node.parts:
-            if isinstance(part, Node):
-                if part.tag in INLINE and part.noise:
-                    continue
-                if held:
-                    blocks.append(clean(held))
-                    held = []
-                visit(part, inside)
-            elif speak:
-                held.append(part[0])
+        for k in range(at, len(node.parts)):
+            part = node.parts[k]
+            if not isinstance(part, Node):
+                if speak:
+                    held.append(part[0])
+            elif not (part.tag in INLINE and part.noise):
+                todo += [(node, inside, k + 1), (part, inside, 0)]
+                break
         if held:
             blocks.append(clean(held))
-
-    visit(root, False)
     return " ".join(b for b in blocks if b)
 
 
-def _has_article(node: Node) -> bool:
-    return not node.noise and (
-        node.tag in ("article", "main") or any(isinstance(p, Node) and _has_article(p) for p in node.parts)
-    )
-
-
-def _deep(work):
-    """Runs ``work`` with room for deeply nested pages."""
-    import sys
-
-    def run(batches):
-        sys.setrecursionlimit(max(sys.getrecursionlimit(), 20_000))
-        yield from work(batches)
-
-    return run
+def _has_article(root: Node) -> bool:
+    todo = [root]
+    while todo:
+        node = todo.pop()
+        if not node.noise:
+            if node.tag in ("article", "main"):
+                return True
+            todo.extend(part for part in node.parts if isinstance(part, Node))
+    return False
 
 
 def _with(rows: DataFrame, per_host: DataFrame) -> DataFrame:
@@ -345,7 +399,7 @@ def main_texts(pages: DataFrame, page_id: str = "page_id", url: str = "url", pag
                 )
 
     wrappers = (
-        rows.select("host", "html").mapInArrow(_deep(shapes), "host string, tree string, n long")
+        rows.select("host", "html").mapInArrow(shapes, "host string, tree string, n long")
         .groupBy("host", "tree").agg(F.sum("n").alias("n"))
         .groupBy("host").agg(F.max_by("tree", F.struct("n", "tree")).alias("wrapper"))
     )
@@ -371,14 +425,14 @@ def main_texts(pages: DataFrame, page_id: str = "page_id", url: str = "url", pag
                 names, slots, digests = zip(*counts, strict=True)
                 n, chars, linked, inside = zip(*counts.values(), strict=True)
                 yield pa.record_batch(
-                    [pa.array(names), pa.array(slots), pa.array(digests, pa.int64()), pa.array(n, pa.int64()),
+                    [pa.array(names), pa.array(slots, pa.int64()), pa.array(digests, pa.int64()), pa.array(n, pa.int64()),
                      pa.array(chars, pa.int64()), pa.array(linked, pa.int64()), pa.array(inside)],
                     names=["host", "slot", "digest", "n", "chars", "linked", "inside"],
                 )
 
     said = (
         _with(rows.select("host", "html"), wrappers).select("host", "html", "wrapper")
-        .mapInArrow(_deep(told), "host string, slot string, digest long, n long, chars long, linked long, inside boolean")
+        .mapInArrow(told, "host string, slot long, digest long, n long, chars long, linked long, inside boolean")
         .groupBy("host", "slot", "digest")
         .agg(*(F.sum(c).alias(c) for c in ("n", "chars", "linked")), F.max("inside").alias("inside"))
         .groupBy("host", "slot")
@@ -404,5 +458,5 @@ def main_texts(pages: DataFrame, page_id: str = "page_id", url: str = "url", pag
 
     return (
         _with(rows, known).select("page_id", "url", "html", "wrapper", "template")
-        .mapInArrow(_deep(extract), f"page_id {kind}, url string, text string, n_chars long")
+        .mapInArrow(extract, f"page_id {kind}, url string, text string, n_chars long")
     )

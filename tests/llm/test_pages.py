@@ -56,6 +56,17 @@ def test_deep_and_long_pages(pages):
     assert out[1]["text"] == "x" and out[2]["n_chars"] == len(prose(40_000, 1))
 
 
+def test_op10_odd_tags_and_very_deep_pages(pages):
+    deep = "<div>" * 50_000
+    rows = [
+        (1, "http://a.b/c", "<p>if (a <b) x> y</p><p>z</p>"), (2, "http://a.b/d", "<p>a</p><x(><q,(y>b</x(><p>c</p>"),
+        (3, "http://a.b/e", f"{deep}x"), (4, "http://a.b/f", f"<p>one</p>{deep}y{'</div>' * 50_000}<p>two"),
+        (5, "http://a.b/g", f"{'<b>' * 50_000}z{'</i></b>' * 50_000}"), (6, "http://a.b/h", f"<article>{deep}w"),
+    ]
+    out = {r["page_id"]: r["text"] for r in html_text.main_texts(pages(rows)).collect()}
+    assert out == {1: "if (a y z", 2: "a b c", 3: "x", 4: "one y two", 5: "z", 6: "w"}
+
+
 def test_simple_tree_matching():
     a = html_text.unfold("html(body(div,p,div(ul(li)),p))")
     b = html_text.unfold("html(body(p,div(ul(li)),footer))")
