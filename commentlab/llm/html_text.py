@@ -4,9 +4,12 @@ Every page becomes a tree of its block elements; runs of like siblings count as
 commonest tree of a host is its wrapper. Simple tree matching aligns each page with its host's
 wrapper, so that nodes of different pages that match share a slot. Over all pages of a host a
 slot whose text hardly changes is template, and so is one made of links; slots that vary hold the
-content. Elements and classes that by convention hold menus, headers, footers, sidebars, notices,
-adverts, forms, scripts, styles or comments are never content, and where a page has an article
-or main element, content lies within it and its slots are not called template for repeating.
+content. Elements that by convention hold menus, headers, footers, sidebars, adverts, forms,
+scripts, styles or comments are never content, nor are those whose whole class or id is a
+conventional name of such; html, body, main, articles, headings and what holds a page's only
+articles are not judged by their names. Names that content may have too (search, related, share)
+leave it to the slots. Where a page has an article or main element, content lies within it and its
+slots are not called template for repeating, unless such a name is on them.
 
 Counts are combined in tasks and added up by Spark; wrappers and slots are joined back to the
 pages (broadcast only when counted to be few), so a host with a third of all pages is no group of
@@ -51,11 +54,23 @@ NOISE_TAGS = frozenset(
     "svg math canvas object menu dialog title xmp noembed noframes".split()
 )
 NOISE_WORDS = frozenset(
-    "ad ads adv advert adverts advertisement advertising banner promo promotion sponsor sponsored cookie cookies consent "
-    "gdpr notice notices alert popup modal overlay menu nav navbar navigation sidebar sidenav breadcrumb breadcrumbs "
-    "footer masthead comment comments reply replies respond disqus share sharing social related recommended "
-    "newsletter subscribe subscription widget pagination pager toolbar login signup search".split()
+    "ad ads adv advert adverts advertisement advertising cookies gdpr nav navbar sidebar sidenav breadcrumb breadcrumbs "
+    "footer masthead comment comments reply replies disqus sponsored pagination pager".split()
 )
+# Not of inline elements, where these name parts of code and of dictionaries.
+BLOCKS_ONLY = frozenset("adv comment comments reply replies footer".split())
+# Words that content may be named by as well: two of them in a name are noise, one is for the slots to decide.
+DOUBTFUL_WORDS = frozenset(
+    "banner promo promotion sponsor cookie consent notice notices alert popup modal overlay menu navigation "
+    "respond share sharing social related recommended newsletter subscribe subscription widget toolbar login signup search".split()
+)
+# Words that may stand beside them in a name.
+PLACES = frozenset(
+    "area article articles bar block box button buttons container global header icon icons inner item items link links list mobile "
+    "outer post posts primary section site slot top bottom unit user wrap wrapper".split()
+)
+# Elements that no class or id makes noise.
+NEVER = frozenset("html body main article h1 h2 h3 h4 h5 h6".split())
 NOISE_ROLES = frozenset("navigation banner contentinfo complementary search form alert dialog menu menubar".split())
 CLOSED_BY = {
     "p": frozenset(
@@ -68,7 +83,8 @@ CLOSED_BY = {
 }
 
 TAG = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)", re.S)
-NAMES = re.compile(r"\b(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>\"']+))", re.I)
+ATTRIBUTES = re.compile(r"(?<![^\s\"'/])([^\s=\"'/>]+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>\"']+))")
+PARTS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|\d+|[^\W\d_]+")
 WORDS = re.compile(r"[a-z]+")
 # The marks of a skeleton are no part of a label: unescaped code makes tags such as <b)>.
 MARKS = str.maketrans("(),", "[];")
@@ -77,13 +93,14 @@ MARKS = str.maketrans("(),", "[];")
 class Node:
     """A block element: its label, children in order, and its own text by pieces.
 
-    ``parts`` holds child nodes and (text, in a link) pairs in page order.
+    ``parts`` holds child nodes and (text, in a link) pairs in page order. ``doubt``: 1 if its name
+    may be one of noise and the slots decide, 2 if it would be noise but for an article below it.
     """
 
-    __slots__ = ("label", "tag", "noise", "parts", "slot")
+    __slots__ = ("label", "tag", "noise", "doubt", "parts", "slot")
 
     def __init__(self, tag: str, label: str, noise: bool):
-        self.tag, self.label, self.noise, self.parts, self.slot = tag, label, noise, [], None
+        self.tag, self.label, self.noise, self.doubt, self.parts, self.slot = tag, label, noise, 0, [], None
 
 
 def parse(page: str) -> Node:
@@ -93,6 +110,7 @@ def parse(page: str) -> Node:
     links, at = 0, 0
     opened: dict[str, int] = {}  # open elements by tag
     blocks: list[int] = []  # places of open block elements
+    condemned: list[Node] = []  # by class or id
 
     def close(i):
         nonlocal links
@@ -125,8 +143,8 @@ def parse(page: str) -> Node:
         while blocks and tag in CLOSED_BY.get(stack[blocks[-1]][0], ()):  # elements that this one ends
             close(blocks[-1])
         if tag in INLINE:
-            noise, _ = _names(tag, found[3])
-            if noise:
+            named, by_class, by_id, _ = _names(tag, found[3])
+            if named or by_class == 2 or by_id == 2:
                 node = Node(tag, tag, True)
                 stack[-1][1].parts.append(node)
                 stack.append((tag, node))
@@ -137,32 +155,68 @@ def parse(page: str) -> Node:
         elif tag in VOID:
             stack[-1][1].parts.append((" ", False))
         else:
-            noise, label = _names(tag, found[3])
-            node = Node(tag, label, noise or tag in NOISE_TAGS)
+            named, by_class, by_id, label = _names(tag, found[3])
+            node = Node(tag, label, named or tag in NOISE_TAGS)
+            if by_class or by_id:
+                # an id within an article, or of a section, may be made from a headline
+                slug = tag == "section" or opened.get("article") or opened.get("main")
+                node.doubt = 1
+                if not node.noise and (by_class == 2 or (by_id == 2 and not slug)):
+                    node.noise = True
+                    condemned.append(node)
             stack[-1][1].parts.append(node)
             opened[tag] = opened.get(tag, 0) + 1
             blocks.append(len(stack))
             stack.append((tag, node))
     if at < len(page):
         stack[-1][1].parts.append((page[at:], links > 0))
+    if condemned and not _has_article(root):
+        _pardon(root, frozenset(condemned))
     return root
 
 
-def _names(tag: str, attributes: str) -> tuple[bool, str]:
-    """Whether class, id or role tell of noise, and the element's label."""
+def _pardon(root: Node, condemned: frozenset[Node]) -> None:
+    """Names are no proof where the only articles of a page are below them; its text is then not only in these."""
+    holds: set[Node] = set()
+    for node in reversed(walk(root)):
+        if (not node.noise or node in condemned) and (node.tag in ("article", "main") or not holds.isdisjoint(node.parts)):
+            holds.add(node)
+    for node in condemned & holds:
+        node.noise, node.doubt = False, 2
+
+
+def _named(token: str, inline: bool) -> int:
+    """What a whole class or id tells: 2 noise by convention, 1 doubtful, 0 nothing."""
+    words = [w.lower() for w in PARTS.findall(token)]
+    if inline and not BLOCKS_ONLY.isdisjoint(words):
+        return 0
+    joined = "".join(words)
+    if joined in NOISE_WORDS:
+        return 2
+    if joined in DOUBTFUL_WORDS:
+        return 1
+    sure = sum(w in NOISE_WORDS for w in words)
+    likely = sum(w in DOUBTFUL_WORDS for w in words)
+    if not sure + likely or any(not (w.isdigit() or w in NOISE_WORDS or w in DOUBTFUL_WORDS or w in PLACES) for w in words):
+        return 0
+    return 2 if sure or likely > 1 else 1
+
+
+def _names(tag: str, attributes: str) -> tuple[bool, int, int, str]:
+    """Whether the role tells of noise, what class and id tell, and the element's label."""
     label = tag.translate(MARKS)
     if "=" not in attributes:
-        return False, label
-    noise = False
-    for name, *values in NAMES.findall(attributes):
-        value = "".join(values).lower()
-        if name.lower() == "role":
-            noise |= value.strip() in NOISE_ROLES
-        else:
-            words = WORDS.findall(value)
-            noise |= not NOISE_WORDS.isdisjoint(words)
-            label += "." + "-".join(words)
-    return noise, label
+        return False, 0, 0, label
+    noise, told, inline = False, {"class": 0, "id": 0}, tag in INLINE
+    for name, *values in ATTRIBUTES.findall(attributes):
+        name, value = name.lower(), "".join(values)
+        if name == "role":
+            noise |= value.strip().lower() in NOISE_ROLES
+        elif name in told:
+            if tag not in NEVER:
+                told[name] = max([told[name], *(_named(t, inline) for t in value.split())])
+            label += "." + "-".join(WORDS.findall(value.lower()))
+    return noise, told["class"], told["id"], label
 
 
 def walk(root: Node) -> list[Node]:
@@ -322,17 +376,18 @@ def clean(pieces: list[str]) -> str:
 
 
 def slots_of(root: Node) -> list[tuple[int, bool, list[tuple[str, bool]]]]:
-    """(slot, in an article, own text pieces) of every node that is not noise."""
-    out, todo = [], [(root, False)]
+    """(slot, in an article and not doubtful, own text pieces) of every node that is not noise."""
+    out, todo = [], [(root, False, False)]
     while todo:
-        node, inside = todo.pop()
+        node, inside, doubt = todo.pop()
         if node.noise:
             continue
         inside = inside or node.tag in ("article", "main")
+        doubt = (doubt or node.doubt == 1) and node.tag not in ("article", "main")
         own = [part for part in node.parts if not isinstance(part, Node)]
         if own:
-            out.append((node.slot, inside, own))
-        todo.extend((part, inside) for part in reversed(node.parts) if isinstance(part, Node))
+            out.append((node.slot, inside and not doubt, own))
+        todo.extend((part, inside, doubt) for part in reversed(node.parts) if isinstance(part, Node))
     return out
 
 
@@ -365,7 +420,7 @@ def _has_article(root: Node) -> bool:
     todo = [root]
     while todo:
         node = todo.pop()
-        if not node.noise:
+        if not node.noise and node.doubt < 2:
             if node.tag in ("article", "main"):
                 return True
             todo.extend(part for part in node.parts if isinstance(part, Node))

@@ -56,6 +56,30 @@ def test_deep_and_long_pages(pages):
     assert out[1]["text"] == "x" and out[2]["n_chars"] == len(prose(40_000, 1))
 
 
+@pytest.mark.parametrize(
+    "page, text",
+    [
+        ("<body class='single comments-open has-sidebar'><article class='hentry comments-open'><p>x</p></article></body>", "x"),
+        ("<body class='search'><div id=content class='has-sidebar'><p>x</p></div><div class=sidebar>s</div></body>", "x"),
+        ("<article><section id='related-work'>r<h2 id='search'>s</h2></section><section id=comments><p>c</p></section></article>", "r s c"),
+        ("<p data-id='ad' data-class='sidebar' title='class=ad'>x</p><div class='x ad'>no</div><div class=adBox>no</div>", "x"),
+        ("<div id=sidebar><main>x</main></div><p>y</p>", "x y"),
+        ("<article>x</article><div id=comments><article>no</article></div>", "x"),
+        ("<article><pre>a <span class='token comment'># b</span></pre><div class='comment'>no</div><h1 class='banner'>T</h1></article>", "a # b T"),
+    ],
+)
+def test_op10_names_condemn_no_content(page, text):
+    assert text_of(page) == text
+
+
+def test_op10_slots_decide_doubtful_names(pages):
+    share = '<div class="share">Share this page</div><div class="related"><a href="/a">Other page {}</a></div>'
+    note = '<div class="notice">Note {}</div>'
+    rows = [(i, f"http://a.b/{i}", f"<article><p>{prose(9, i)}</p>{share.format(i)}{note.format(i)}</article>") for i in range(12)]
+    out = {r["page_id"]: r["text"] for r in html_text.main_texts(pages(rows)).collect()}
+    assert out == {i: f"{prose(9, i)} Note {i}" for i in range(12)}
+
+
 def test_op10_odd_tags_and_very_deep_pages(pages):
     deep = "<div>" * 50_000
     rows = [
