@@ -8,8 +8,9 @@ content. Elements that by convention hold menus, headers, footers, sidebars, adv
 scripts, styles or comments are never content, nor are those whose whole class or id is a
 conventional name of such; html, body, main, articles, headings and what holds a page's only
 articles are not judged by their names. Names that content may have too (search, related, share)
-leave it to the slots. Where a page has an article or main element, content lies within it and its
-slots are not called template for repeating, unless such a name is on them.
+leave it to the slots. Where a page has an article or main element, content lies within it, and
+links make template of its slots only under such a name. A slot's pages are the different pages of
+the host: copies, pages whose text before this judgement is one, count once.
 
 Counts are combined in tasks and added up by Spark; wrappers and slots are joined back to the
 pages (broadcast only when counted to be few), so a host with a third of all pages is no group of
@@ -17,7 +18,7 @@ its own in any task.
 
 Defined results: NULL or empty html gives an empty text; a NULL url is a host of its own; broken
 markup is read as far as it can be: an end tag without start is dropped, an unfinished tag at the
-end is markup; hosts with few pages are judged by conventions alone. Repeated rows count each.
+end is markup; hosts with few different pages are judged by conventions alone. Every row has its text.
 Columns other than id, url and html are not read.
 """
 
@@ -416,6 +417,11 @@ def main_text(root: Node, template: frozenset[int]) -> str:
     return " ".join(b for b in blocks if b)
 
 
+def page_number(root: Node) -> int:
+    """What pages of one main text share, before any slot is called template."""
+    return _number(main_text(root, frozenset()))
+
+
 def _has_article(root: Node) -> bool:
     todo = [root]
     while todo:
@@ -443,19 +449,17 @@ def main_texts(pages: DataFrame, page_id: str = "page_id", url: str = "url", pag
 
     def shapes(batches):
         for batch in batches:
-            counts: dict[tuple[str, str], int] = {}
+            seen = set()
             for name, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                key = name, skeleton(parse(text or ""))
-                counts[key] = counts.get(key, 0) + 1
-            if counts:
-                names, trees = zip(*counts, strict=True)
-                yield pa.record_batch(
-                    [pa.array(names), pa.array(trees), pa.array(list(counts.values()), pa.int64())], names=["host", "tree", "n"]
-                )
+                root = parse(text or "")
+                seen.add((name, skeleton(root), page_number(root)))
+            if seen:
+                names, trees, numbers = zip(*seen, strict=True)
+                yield pa.record_batch([pa.array(names), pa.array(trees), pa.array(numbers, pa.int64())], names=["host", "tree", "page"])
 
     wrappers = (
-        rows.select("host", "html").mapInArrow(shapes, "host string, tree string, n long")
-        .groupBy("host", "tree").agg(F.sum("n").alias("n"))
+        rows.select("host", "html").mapInArrow(shapes, "host string, tree string, page long").distinct()
+        .groupBy("host", "tree").agg(F.count("*").alias("n"))
         .groupBy("host").agg(F.max_by("tree", F.struct("n", "tree")).alias("wrapper"))
     )
     wrappers = materialise(wrappers, "wrappers")
@@ -463,37 +467,42 @@ def main_texts(pages: DataFrame, page_id: str = "page_id", url: str = "url", pag
     def told(batches):
         aligner = Aligner()
         for batch in batches:
-            counts: dict[tuple[str, str, int], list] = {}
+            seen: dict[tuple[str, int, int], tuple] = {}
             for name, text, wrapper in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 root = parse(text or "")
+                page = page_number(root)
                 aligner.align(root, wrapper)
-                for slot, inside, own in slots_of(root):
-                    said = clean([t for t, _ in own])
-                    if not said:
-                        continue
-                    digest = int.from_bytes(hashlib.blake2b(said.encode("utf-8", "replace"), digest_size=8).digest(), "big", signed=True)
-                    row = counts.setdefault((name, slot, digest), [0, 0, 0, inside])
-                    row[0] += 1
-                    row[1] += len(said)
-                    row[2] += len(clean([t for t, link in own if link]))
-            if counts:
-                names, slots, digests = zip(*counts, strict=True)
-                n, chars, linked, inside = zip(*counts.values(), strict=True)
+                own: dict[int, list] = {}
+                for slot, inside, parts in slots_of(root):
+                    said = clean([t for t, _ in parts])
+                    if said:
+                        row = own.setdefault(slot, [[], 0, 0, False])
+                        row[0].append(said)
+                        row[1] += len(said)
+                        row[2] += len(clean([t for t, link in parts if link]))
+                        row[3] |= inside
+                for slot, (texts, *others) in own.items():
+                    seen[name, slot, page] = _number(texts), *others
+            if seen:
+                names, slots, numbers = zip(*seen, strict=True)
+                digests, chars, linked, inside = zip(*seen.values(), strict=True)
                 yield pa.record_batch(
-                    [pa.array(names), pa.array(slots, pa.int64()), pa.array(digests, pa.int64()), pa.array(n, pa.int64()),
+                    [pa.array(names), pa.array(slots, pa.int64()), pa.array(numbers, pa.int64()), pa.array(digests, pa.int64()),
                      pa.array(chars, pa.int64()), pa.array(linked, pa.int64()), pa.array(inside)],
-                    names=["host", "slot", "digest", "n", "chars", "linked", "inside"],
+                    names=["host", "slot", "page", "digest", "chars", "linked", "inside"],
                 )
 
     said = (
         _with(rows.select("host", "html"), wrappers).select("host", "html", "wrapper")
-        .mapInArrow(told, "host string, slot long, digest long, n long, chars long, linked long, inside boolean")
+        .mapInArrow(told, "host string, slot long, page long, digest long, chars long, linked long, inside boolean")
+        .groupBy("host", "slot", "page")  # copies of a page count once
+        .agg(*(F.max(c).alias(c) for c in ("digest", "chars", "linked", "inside")))
         .groupBy("host", "slot", "digest")
-        .agg(*(F.sum(c).alias(c) for c in ("n", "chars", "linked")), F.max("inside").alias("inside"))
+        .agg(F.count("*").alias("n"), *(F.sum(c).alias(c) for c in ("chars", "linked")), F.max("inside").alias("inside"))
         .groupBy("host", "slot")
         .agg(F.count("*").alias("texts"), *(F.sum(c).alias(c) for c in ("n", "chars", "linked")), F.max("inside").alias("inside"))
     )
-    repeats = (F.col("n") >= LEAST_PAGES) & (F.col("texts") <= CONSTANT * F.col("n")) & ~F.col("inside")
+    repeats = (F.col("n") >= LEAST_PAGES) & (F.col("texts") <= CONSTANT * F.col("n"))
     template = said.filter(repeats | ((F.col("linked") > LINKS * F.col("chars")) & ~F.col("inside")))
     template = template.groupBy("host").agg(F.array_sort(F.collect_set("slot")).alias("template"))
     known = materialise(wrappers.join(template, "host", "left"), "templates")

@@ -116,6 +116,18 @@ def test_wrapper_tells_template_from_content(pages):
         assert len(out[i]) <= len(own) + len("only here ")
 
 
+def test_op10_copies_of_a_page_are_no_template(pages):
+    def page(i):
+        return f"<head><title>{i}</title></head><body><div>Site name</div><div><p>{prose(20, i)}</p></div></body>"
+
+    rows = [(i, f"http://c.d/{i}", page(max(i, 90))) for i in range(100)] + [(200 + i, "http://e.f/", page(7)) for i in range(8)]
+    rows += [(300 + i, f"http://g.h/{i}", f"<main><p>{prose(9, i % 8)}</p><div>Site words <b>here</b></div></main>") for i in range(40)]
+    out = {r["page_id"]: r["text"] for r in html_text.main_texts(pages(rows)).collect()}
+    assert all(out[i] == prose(20, max(i, 90)) for i in range(100))
+    assert all(out[200 + i] == f"Site name {prose(20, 7)}" for i in range(8))
+    assert all(out[300 + i] == prose(9, i % 8) for i in range(40))
+
+
 def test_repeated_articles_stay(pages):
     page = "<body><nav>m</nav><article><p>the very same words</p></article></body>"
     rows = [(i % 20, "http://h.example/x", page) for i in range(30)] + [(50, None, page), (51, None, None), (None, "nonsense", "")]
