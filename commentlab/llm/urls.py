@@ -3,15 +3,15 @@
 A list is a log of dated entries: a rule is blocked, allowed or removed on a day. Per rule each
 entry is valid from its day until the rule's next entry, so the log becomes disjoint validity
 intervals. A capture asks for the rules that could name it (its host, the domains above it, its
-host with the first path segments), and an as-of join keeps those valid on the day it was
-fetched. The most specific rule decides.
+host with the first path segments, as many as the list's longest rule has), and an as-of join keeps
+those valid on the day it was fetched. The most specific rule decides.
 
 Rules such as a top-level domain may name a third of all captures, so both sides carry a salt:
 captures their own hash, intervals a copy per salt. Verdicts are found once per distinct (url,
 day) and joined back, so repeated captures cost nothing and every row has its answer.
 
-Defined results: scheme, host and rules compare in lower case, paths as they are; port, query and
-fragment are ignored; entries of a rule on one day: remove yields to allow, allow to block;
+Defined results: scheme and host, also a rule's, compare in lower case, paths as they are; user
+names, passwords, port, query and fragment are ignored; entries of a rule on one day: remove yields to allow, allow to block;
 entries with a NULL rule, action or day are ignored; a capture with a NULL or unreadable url or a
 NULL day is not blocked; an empty list blocks nothing. Clashing names in other columns do no harm.
 """
@@ -23,8 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 SALTS = 16
-SEGMENTS = 2
-HOST = r"^[a-zA-Z][a-zA-Z0-9+.-]*://([^/?#:]+)"
+HOST = r"^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/?#]*@)?([^/?#:@]+)"
 PATH = r"^[a-zA-Z][a-zA-Z0-9+.-]*://[^/?#]*([^?#]*)"
 
 
@@ -33,8 +32,8 @@ def host(url: str | Column) -> Column:
     return F.coalesce(F.lower(F.regexp_extract(url, HOST, 1)), F.lit(""))
 
 
-def rules_of(url: str) -> Column:
-    """(rule, depth) of every rule that could name ``url``; deeper is more specific."""
+def rules_of(url: str, segments: Column) -> Column:
+    """(rule, depth) of every rule of up to ``segments`` path segments that could name ``url``; deeper is more specific."""
     labels = F.split(host(url), r"\.")
     domains = F.transform(
         F.sequence(F.lit(1), F.size(labels)),
@@ -43,7 +42,7 @@ def rules_of(url: str) -> Column:
         ),
     )
     parts = F.filter(F.split(F.regexp_extract(url, PATH, 1), "/"), lambda x: x != "")
-    steps = F.least(F.size(parts), F.lit(SEGMENTS))
+    steps = F.least(F.size(parts), segments)
     paths = F.transform(
         F.when(steps > 0, F.sequence(F.lit(1), steps)).otherwise(F.array().cast("array<int>")),
         lambda i: F.struct(
@@ -53,11 +52,17 @@ def rules_of(url: str) -> Column:
     return F.when(host(url) != "", F.concat(domains, paths)).otherwise(F.array().cast("array<struct<rule:string,depth:int>>"))
 
 
+def _rule(rule: Column) -> Column:
+    """A rule with its host in lower case."""
+    named = F.regexp_extract(rule, "^[^/]*", 0)
+    return F.concat(F.lower(named), F.substr(rule, F.length(named) + 1))
+
+
 def intervals(entries: DataFrame, rule: str = "rule", action: str = "action", day: str = "day") -> DataFrame:
     """rule, action, valid_from, valid_to (NULL: still valid) from the log of entries."""
     weight = F.when(F.col("action") == "block", 2).when(F.col("action") == "allow", 1).otherwise(0)
     log = (
-        entries.select(F.col(rule).alias("rule"), F.col(action).alias("action"), F.col(day).alias("valid_from"))
+        entries.select(_rule(F.col(rule)).alias("rule"), F.col(action).alias("action"), F.col(day).alias("valid_from"))
         .na.drop()
         .groupBy("rule", "valid_from")
         .agg(F.max_by("action", weight).alias("action"))
@@ -70,11 +75,14 @@ def intervals(entries: DataFrame, rule: str = "rule", action: str = "action", da
 def judge(captures: DataFrame, entries: DataFrame, url: str = "url", day: str = "day") -> DataFrame:
     """``captures`` with blocked, rule, valid_from, valid_to added."""
     distinct = captures.select(F.col(url).alias("_url"), F.col(day).alias("_day")).na.drop().distinct()
-    asked = distinct.select("_url", "_day", F.explode(rules_of("_url")).alias("_r")).select(
+    listed = intervals(entries)
+    slashes = F.length("rule") - F.length(F.replace("rule", F.lit("/")))
+    deepest = listed.agg(F.coalesce(F.max(slashes), F.lit(0)).alias("_segments"))
+    asked = distinct.crossJoin(F.broadcast(deepest)).select("_url", "_day", F.explode(rules_of("_url", F.col("_segments"))).alias("_r")).select(
         "_url", "_day", F.col("_r.rule").alias("rule"), F.col("_r.depth").alias("_depth"),
         F.pmod(F.xxhash64("_url", "_day"), F.lit(SALTS)).cast("int").alias("_salt"),
     )
-    listed = intervals(entries).withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    listed = listed.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     valid = (F.col("_day") >= F.col("valid_from")) & (F.col("valid_to").isNull() | (F.col("_day") < F.col("valid_to")))
     verdicts = (
         asked.join(listed, ["rule", "_salt"])

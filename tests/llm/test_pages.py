@@ -192,6 +192,25 @@ def test_validity(judge):
         assert r["_salt"] == "x"
 
 
+def test_op3_deep_upper_case_and_userinfo(judge):
+    log = [
+        ("a.example/1/2/3", "block", 1), ("a.example/1/2/3/4/5", "allow", 1), ("Bad.Example.COM", "block", 1),
+        ("Up.Example/X", "block", 1), ("up.example/X", "remove", 9), ("n.example/", "block", 1),
+    ]
+    cases = [
+        ("http://a.example/1/2", False, None), ("http://a.example/1/2/3", True, "a.example/1/2/3"),
+        ("http://a.example/1/2/3/4", True, "a.example/1/2/3"), ("http://a.example/1//2/3/4/5/6", False, "a.example/1/2/3/4/5"),
+        ("http://bad.example.com/", True, "bad.example.com"), ("http://user:pw@www.bad.example.com:80/", True, "bad.example.com"),
+        ("http://u@x@bad.example.com", True, "bad.example.com"), ("http://user@ok.example/@bad.example.com", False, None),
+        ("http://bad.example.com@ok.example/", False, None), ("http://up.example/X/y", True, "up.example/X"),
+        ("http://up.example/x", False, None), ("http://ok.example?a@bad.example.com", False, None),
+    ]
+    for r in judge([(i, u, 5, "x", "y") for i, (u, *_) in enumerate(cases)], log).collect():
+        assert (r["blocked"], r["rule"]) == cases[r["page_id"]][1:], cases[r["page_id"]]
+    after = judge([(1, "http://up.example/X", 9, "x", "y")], log).collect()
+    assert [r["blocked"] for r in after] == [False]  # both spellings are one rule
+
+
 def test_empty_list_and_table(judge):
     assert [r["blocked"] for r in judge([(1, "http://a.b", 1, "", "")], []).collect()] == [False]
     assert judge([], LOG).count() == 0
