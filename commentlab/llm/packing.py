@@ -30,7 +30,7 @@ from pyspark.sql.window import Window
 from tokenizers import Tokenizer
 
 from commentlab.llm import common
-from commentlab.llm.bpe import Encoder, character_classes, gather
+from commentlab.llm.bpe import SPACE, Encoder, character_classes, gather
 from commentlab.session import materialise
 
 END = 2
@@ -61,9 +61,15 @@ class LibraryEncoder(Encoder):
         return np.array(found, np.int64)
 
     def _merged(self, new: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        led = [i for i, w in enumerate(new) if w[0] == " " and not w[1:].isspace() and len(w) > 1]
-        lone = [i for i, w in enumerate(new) if not w[0].isspace()]
-        rest = [i for i, w in enumerate(new) if w.isspace()]
+        # white space is what the encoder's classes call so: str.isspace() has U+001C to U+001F as well
+        led, lone, rest = [], [], []
+        for i, w in enumerate(new):
+            if self.kinds[ord(w[0])] != SPACE:
+                lone.append(i)
+            elif w[0] == " " and len(w) > 1 and self.kinds[ord(w[1])] != SPACE:
+                led.append(i)
+            else:
+                rest.append(i)
         parts, lengths = [], []
         for which, gap in ((led, ""), (lone, "\n")):
             if which:

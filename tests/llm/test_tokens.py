@@ -109,6 +109,18 @@ def test_pieces_carry_the_library_ids(docs):
             assert r["ids_crc32"] == zlib.crc32(own.tobytes())
 
 
+def test_op5_ids_equal_the_library_on_control_characters():
+    tokenizer = Tokenizer.from_file(JSON)
+    tokenizer.encode_special_tokens = True
+    marks = [*"\x1c\x1d\x1e\x1f\x85\xa0", "\u2028", "\u3000", " ", ",", "--", "a", "7", "\n"]
+    texts = EDGE + hard_texts() + ["\x1c,", "\x1f--", " \x1d.", "a\x1e\x1e b"]
+    texts += ["".join(random.Random(i).choices(marks, k=30)) for i in range(300)]
+    together = packing.LibraryEncoder(JSON)
+    ids, bounds, _, _ = together.encode(pa.array(texts))
+    for i, t in enumerate(texts):
+        assert ids[bounds[i] : bounds[i + 1]].tolist() == tokenizer.encode(t).ids, repr(t)
+
+
 def test_repeated_rows_and_null_ids_are_documents(docs):
     rows = [(1, "a b c", "en")] * 5 + [(None, "a b c", "en")] * 2
     out = packing.pack(docs(rows), JSON).collect()
