@@ -251,18 +251,22 @@ def fit(docs: DataFrame, labels: DataFrame, usable: Column, label: str = "toxic"
     if len(rows.select(F.col("label") > 0).distinct().collect()) < 2:
         return empty
     model = _gram_weights(rows)
-    clean: dict[str, int] = {}
     for _ in range(ROUNDS):
         found = _pick(rows, model)
+        toxic_docs = sum(is_toxic for is_toxic, _ in found)
+        clean_docs = len(found) - toxic_docs
         positive: dict[str, int] = {}
+        clean: dict[str, int] = {}
         for is_toxic, picks in found:
             if is_toxic and picks:
                 positive[picks[0][0]] = positive.get(picks[0][0], 0) + 1
             for word, _s in picks if not is_toxic else ():
                 clean[word] = clean.get(word, 0) + 1
-        positive = {w: n for w, n in positive.items() if n > clean.get(w, 0)}
+        # words of a larger share of the toxic documents than of the clean ones
+        positive = {w: n for w, n in positive.items() if n * clean_docs > clean.get(w, 0) * toxic_docs}
+        clean = {w: n for w, n in clean.items() if w not in positive}
         if not positive or not clean:
-            return empty
+            break  # the last model stays
         order = lambda c: sorted(c, key=lambda w: (-c[w], w))
         good, bad = order(positive), order(clean)
         words = good + bad
@@ -273,7 +277,7 @@ def fit(docs: DataFrame, labels: DataFrame, usable: Column, label: str = "toxic"
         table, bias = nystroem_machine(words, y, weight, marks)
         model = ToxicModel(table, bias, 1.0, 0.0, True)
     margins = _pick(rows, model)
-    m = np.array([p[0][1] if p else min(bias, -1.0) for _, p in margins])
+    m = np.array([p[0][1] if p else min(model.bias, -1.0) for _, p in margins])
     t = np.array([x for x, _ in margins], float)
     slope, shift = _platt(m, t)
     return model._replace(slope=slope, shift=shift)

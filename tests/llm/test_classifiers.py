@@ -264,6 +264,18 @@ def test_toxicity_learns_and_tolerates_gaps(spark, docs):
     assert all(r["_predicted"] == (r["doc_id"] % 4 == 0) for r in held)
 
 
+def test_op9_learns_insults_that_clean_documents_quote(spark, docs):
+    rows, labels = toxic_table()
+    for i, (k, text, lang) in enumerate(rows):
+        if k % 4 and i % 2:  # 40 clean documents of 180 for each insult, 20 toxic ones of 60
+            rows[i] = (k, f"{text} {INSULTS[i % 3]}", lang)
+    model = toxicity.fit(docs(rows), labelled(spark, labels), F.lit(True))
+    assert model.fitted
+    got = {r["doc_id"]: r["_score"] for r in toxicity.score(docs(rows).select("doc_id", "text"), model).collect()}
+    quoted = {k for k, text, _ in rows if any(w in text for w in INSULTS)}
+    assert min(got[k] for k in quoted) > max(got[k] for k in got if k not in quoted)
+
+
 def test_toxicity_without_two_classes(spark, docs):
     for labels in ([], [(1, 1, 0, "x")], [(1, 1, 1, "x")]):
         model = toxicity.fit(docs([(1, "a few words", "en")]), labelled(spark, labels), F.lit(True))
