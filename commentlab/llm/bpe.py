@@ -11,9 +11,10 @@ neighbours all token boundaries of the public pattern follow without a regular e
 * ``'s 't 're 've 'm 'll 'd`` are tokens of their own if the apostrophe begins a match, that is, if
   its run is that one character and no U+0020 stands before it.
 
-Distinct tokens are merged once per task, all new ones of a chunk together: a padded matrix of
-symbols, the pair of least rank in each row merged per step. Ids keep their token's offset in
-the text, and decoding concatenates the bytes of the ids.
+Tokens are slices of the column's own bytes, which Arrow reduces to the distinct ones of a chunk;
+those not seen before by the worker are merged together: a padded matrix of symbols, the pair of
+least rank in each row merged per step. Ids keep their token's offset in the text, and decoding
+concatenates the bytes of the ids.
 
 Defined results: a NULL text is empty; empty texts have no ids; special tokens are ordinary text.
 Columns other than those asked for are not read.
@@ -27,6 +28,7 @@ import heapq
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -35,7 +37,10 @@ from pyspark.sql.types import BinaryType, StructField, StructType
 from commentlab.llm import common
 
 OTHER, LETTER, NUMBER, SPACE = 0, 1, 2, 3
-CACHE = 600_000
+# Distinct tokens that a worker remembers.
+CACHE = 1_000_000
+# Bytes of text encoded at a time.
+TEXT_BYTES = 1 << 21
 
 
 def character_classes() -> np.ndarray:
@@ -245,49 +250,51 @@ class Encoder:
         self._clear()
 
     def _clear(self) -> None:
-        self.known: dict[str, int] = {}
-        self.ids = np.zeros(1 << 16, np.int32)
-        self.ends = np.zeros(1 << 14, np.int64)  # ends[i] is where the ids of token i - 1 end
-        self.count = 0
+        self.known = pa.array([], pa.binary())
+        self.ids = np.zeros(0, np.int32)
+        self.ends = np.zeros(1, np.int64)  # ends[i] is where the ids of token i - 1 end
 
-    def _merged(self, new: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    def _merged(self, new: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all new tokens, one after another, and how many each has."""
-        merged = self.merger.merge([w.encode() for w in new])
+        merged = self.merger.merge(new)
         return np.concatenate(merged), np.array([len(x) for x in merged], np.int64)
 
-    def _learn(self, new: list[str]) -> None:
-        merged, lengths = self._merged(new)
-        total = self.ends[self.count]
-        while len(self.ids) < total + lengths.sum():
-            self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
-        while len(self.ends) < self.count + len(new) + 1:
-            self.ends = np.concatenate([self.ends, np.zeros_like(self.ends)])
-        self.ids[total : total + lengths.sum()] = merged
-        self.ends[self.count + 1 : self.count + len(new) + 1] = total + np.cumsum(lengths)
-        for i, w in enumerate(new):
-            self.known[w] = self.count + i
-        self.count += len(new)
+    def _learn(self, new: pa.Array) -> None:
+        merged, lengths = self._merged(new.to_pylist())
+        self.known = pa.concat_arrays([self.known, new])
+        self.ids = np.concatenate([self.ids, merged.astype(np.int32)])
+        self.ends = np.concatenate([self.ends, self.ends[-1] + np.cumsum(lengths)])
+
+    def _codes(self, tokens: pa.Array) -> np.ndarray:
+        """Number of each token among the known ones, after learning the new ones."""
+        told = tokens.dictionary_encode()
+        distinct = told.dictionary
+        if len(self.known) > CACHE:
+            self._clear()
+        found = pc.index_in(distinct, value_set=self.known)
+        if found.null_count:
+            n = len(self.known)
+            fresh = found.is_null()
+            self._learn(distinct.filter(fresh))
+            found = np.array(found.fill_null(-1))
+            found[np.asarray(fresh)] = np.arange(n, len(self.known))
+        return np.asarray(found)[np.asarray(told.indices)]
 
     def encode(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """Ids of all texts, the texts' bounds in them (n + 1), ids per token, tokens' places."""
-        texts = [x or "" for x in column.to_pylist()]
-        text = "".join(texts)
-        cp = np.frombuffer(text.encode("utf-32-le"), np.uint32)
-        first = np.concatenate([[0], np.cumsum([len(x) for x in texts])]).astype(np.int64)
+        data, offsets = common.text_bytes(column)
+        at = np.flatnonzero((data & 0xC0) != 0x80)  # where code points begin
+        if len(at) == len(data):
+            cp, first = data, offsets
+        else:
+            cp = np.frombuffer(data.tobytes().decode().encode("utf-32-le"), np.uint32)
+            first = np.searchsorted(at, offsets)
         starts = boundaries(cp, first, self.kinds)
         if not len(starts):
-            return np.zeros(0, np.int32), np.zeros(len(texts) + 1, np.int64), np.zeros(0, np.int64), starts
-        places = [*starts.tolist(), len(text)]
-        tokens = [text[a:b] for a, b in zip(places, places[1:], strict=False)]
-        if self.count > CACHE:
-            self._clear()
-        known = self.known
-        codes = [known.get(t, -1) for t in tokens]
-        if -1 in codes:
-            new = [t for t in dict.fromkeys(tokens) if t not in known]
-            self._learn(new)
-            codes = [known[t] for t in tokens]
-        codes = np.array(codes, np.int64)
+            return np.zeros(0, np.int32), np.zeros(len(column) + 1, np.int64), np.zeros(0, np.int64), starts
+        cuts = np.append(at[starts], len(data)).astype(np.int64)
+        tokens = pa.Array.from_buffers(pa.large_binary(), len(starts), [None, pa.py_buffer(cuts), pa.py_buffer(data)])
+        codes = self._codes(tokens.cast(pa.binary()) if len(data) < 1 << 31 else tokens)
         begin, per = self.ends[codes], self.ends[codes + 1] - self.ends[codes]
         ids = self.ids[gather(begin, per)]
         of_text = np.searchsorted(starts, first)
@@ -309,7 +316,7 @@ def encoded(docs: DataFrame, vocabulary: str, doc_id: str = "doc_id", text: str
     class Work:
         @staticmethod
         def prepare():
-            encoder = Encoder(ranks)
+            encoder = common.kept(("ranks", vocabulary), lambda: Encoder(ranks))
 
             def work(part):
                 ids, bounds, per, starts = encoder.encode(part.column(1))
@@ -328,7 +335,7 @@ def encoded(docs: DataFrame, vocabulary: str, doc_id: str = "doc_id", text: str
             return work
 
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
-    return common.map_chunks(rows, "text", Work, f"doc_id {kind}, ids array<int>, places array<long>", 1 << 20)
+    return common.map_chunks(rows, "text", Work, f"doc_id {kind}, ids array<int>, places array<long>", TEXT_BYTES)
 
 
 def decoded(rows: DataFrame, vocabulary: str, ids: str = "ids") -> DataFrame:
@@ -354,7 +361,7 @@ def digests(docs: DataFrame, vocabulary: str, doc_id: str = "doc_id", text: str
     class Work:
         @staticmethod
         def prepare():
-            encoder = Encoder(ranks)
+            encoder = common.kept(("ranks", vocabulary), lambda: Encoder(ranks))
             numbers = [b"%d " % i for i in range(encoder.merger.size)]
             digits = np.frombuffer(b"".join(numbers), np.uint8)
             place = np.concatenate([[0], np.cumsum([len(x) for x in numbers])])
@@ -381,4 +388,4 @@ def digests(docs: DataFrame, vocabulary: str, doc_id: str = "doc_id", text: str
 
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
     schema = f"doc_id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string"
-    return common.map_chunks(rows, "text", Work, schema, 1 << 20)
+    return common.map_chunks(rows, "text", Work, schema, TEXT_BYTES)

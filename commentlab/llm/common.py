@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+import sys
+from collections.abc import Callable, Hashable, Iterator
+from types import ModuleType
 
 import numpy as np
 import pyarrow as pa
@@ -17,6 +19,17 @@ CHUNK_BYTES = 1 << 18
 BROADCAST_ROWS = 1_000_000
 
 
+def kept(key: Hashable, make: Callable):
+    """What ``make`` gives, made once in the life of a Python worker and shared by its tasks.
+
+    Functions travel by value, so a global of theirs would be new in every task.
+    """
+    held = sys.modules.setdefault("_commentlab_kept", ModuleType("_commentlab_kept")).__dict__
+    if key not in held:
+        held[key] = make()
+    return held[key]
+
+
 def fold(doc_id: str | Column, n: int) -> Column:
     """crc32 of the id as text, modulo ``n``; NULL for a NULL id."""
     column = F.col(doc_id) if isinstance(doc_id, str) else doc_id

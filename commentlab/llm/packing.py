@@ -12,6 +12,8 @@ follows; what finds no gap opens sequences. Tasks then place every row by its ra
 length. Ranks come from counts per (length, bucket), so a length that holds most rows is spread
 over as many tasks as its rows need.
 
+Ids are those of the library's plain call: the string of an added token is that token.
+
 Defined results: a NULL text is an empty one, whose piece is the end token alone; every row, also a
 repeated one or one with a NULL id, is a document of its own; an empty table gives no rows.
 Columns other than id and text are not read.
@@ -24,13 +26,14 @@ from bisect import bisect_left, insort
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 from tokenizers import Tokenizer
 
 from commentlab.llm import common
-from commentlab.llm.bpe import SPACE, Encoder, character_classes, gather
+from commentlab.llm.bpe import SPACE, TEXT_BYTES, Encoder, character_classes, gather
 from commentlab.session import materialise
 
 END = 2
@@ -40,41 +43,63 @@ RANKED = 16_000
 
 
 class LibraryEncoder(Encoder):
-    """Ids by the tokenizers library, which sees each distinct pre-token of a task once.
+    """Ids by the tokenizers library, which sees each distinct pre-token of a worker once.
 
     New pre-tokens go to the library as one text whose pre-tokens they are: those that begin with
     U+0020 side by side, others with line feeds between them. The bytes of the ids tell where one
-    ends and the next begins.
+    ends and the next begins. A text that holds an added token of the vocabulary, as the string
+    of the end mark, goes to the library whole unless ``plain``, when such strings are ordinary.
     """
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, plain: bool = False):
         self.kinds = character_classes()
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
         self.width = np.zeros(self.tokenizer.get_vocab_size(), np.int64)  # bytes of each id
         for token, i in self.tokenizer.get_vocab(with_added_tokens=False).items():
             self.width[i] = len(token)  # byte-level vocabularies spell a byte as a character
+        self.whole = None if plain else Tokenizer.from_file(path)
+        self.added = [] if plain else [t.content for t in self.whole.get_added_tokens_decoder().values()]
+        self.ascii_space = frozenset(i for i in range(128) if self.kinds[i] == SPACE)
         self._clear()
 
-    def _ids(self, text: str) -> np.ndarray:
-        found = self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids
+    def encode(self, column: pa.Array):
+        """Ids and bounds as ever; places are not told (None) if a text holds an added token."""
+        ids, bounds, per, starts = super().encode(column)
+        held = np.zeros(len(column), bool)
+        for token in self.added:
+            held |= np.asarray(pc.match_substring(column, token).fill_null(False))
+        if not held.any():
+            return ids, bounds, per, starts
+        own = np.split(ids, bounds[1:-1])
+        for i in np.flatnonzero(held).tolist():
+            found = self.whole.encode(column[i].as_py(), add_special_tokens=False).ids
+            own[i] = np.array(found, np.int32)
+        return np.concatenate(own), np.concatenate([[0], np.cumsum([len(x) for x in own])]), None, None
+
+    def _ids(self, text: bytes) -> np.ndarray:
+        found = self.tokenizer.encode_batch_fast([text.decode()], add_special_tokens=False)[0].ids
         return np.array(found, np.int64)
 
-    def _merged(self, new: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    def _space(self, word: bytes) -> bool:
+        """Whether a word begins with white space as the encoder's classes call it."""
+        return word[0] in self.ascii_space if word[0] < 128 else self.kinds[ord(word.decode()[0])] == SPACE
+
+    def _merged(self, new: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         # white space is what the encoder's classes call so: str.isspace() has U+001C to U+001F as well
         led, lone, rest = [], [], []
         for i, w in enumerate(new):
-            if self.kinds[ord(w[0])] != SPACE:
+            if not self._space(w):
                 lone.append(i)
-            elif w[0] == " " and len(w) > 1 and self.kinds[ord(w[1])] != SPACE:
+            elif w[0] == 0x20 and len(w) > 1 and not self._space(w[1:]):
                 led.append(i)
             else:
                 rest.append(i)
         parts, lengths = [], []
-        for which, gap in ((led, ""), (lone, "\n")):
+        for which, gap in ((led, b""), (lone, b"\n")):
             if which:
-                ids = self._ids(gap.join(new[i] for i in which))
-                ends = np.cumsum([len(new[i].encode()) + len(gap) for i in which])
+                ids = self._ids(gap.join([new[i] for i in which]))
+                ends = np.cumsum([len(new[i]) + len(gap) for i in which])
                 # the ids before each pre-token's end; its line feed, if any, is the last of them
                 upto = np.searchsorted(np.cumsum(self.width[ids]), ends, side="right")
                 begin = np.concatenate([[0], upto[:-1]])
@@ -102,7 +127,7 @@ def pieces(docs: DataFrame, vocabulary: str, doc_id: str = "doc_id", text: str =
     class Work:
         @staticmethod
         def prepare():
-            encoder = LibraryEncoder(vocabulary)
+            encoder = common.kept(("library", vocabulary), lambda: LibraryEncoder(vocabulary))
 
             def work(part):
                 ids, bounds, _, _ = encoder.encode(part.column(1))
@@ -132,7 +157,7 @@ def pieces(docs: DataFrame, vocabulary: str, doc_id: str = "doc_id", text: str =
 
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
     schema = f"doc_id {kind}, piece int, start long, length long, ids_crc32 long" + ", ids array<int>" * with_ids
-    return common.map_chunks(rows, "text", Work, schema, 1 << 20)
+    return common.map_chunks(rows, "text", Work, schema, TEXT_BYTES)
 
 
 def supersteps(counts: dict[int, int], capacity: int = CAPACITY) -> np.ndarray:

@@ -50,12 +50,11 @@ def test_ids_equal_the_library(encoder, library):
 
 
 def test_every_character_splits_as_in_the_library(encoder, library):
-    every = [chr(c) for c in range(0x30000) if not 0xD800 <= c < 0xE000]
+    every = [chr(c) for c in range(0x110000) if not 0xD800 <= c < 0xE000]
     texts = ["".join(f"a{c} {c}1{c}{c}" for c in every[i : i + 500]) for i in range(0, len(every), 500)]
     ids, bounds, _, _ = encoder.encode(pa.array(texts))
     off = [i for i, t in enumerate(texts) if ids[bounds[i] : bounds[i + 1]].tolist() != library.encode_ordinary(t)]
-    # libraries may know a few characters of different Unicode versions
-    assert len(off) <= 0.02 * len(texts)
+    assert not off
 
 
 def test_long_strings_merge_as_short_ones(encoder, library):
@@ -93,8 +92,8 @@ def check_packing(rows, capacity):
 
 
 def test_pieces_carry_the_library_ids(docs):
-    tokenizer = Tokenizer.from_file(JSON)
-    tokenizer.encode_special_tokens = True
+    tokenizer = Tokenizer.from_file(JSON)  # as the contract calls it: added tokens count
+    assert tokenizer.encode("a <|endoftext|> b", add_special_tokens=False).ids == [64, 220, 50256, 275]
     texts = {1: prose(900, 2), 2: None, 3: "", 4: "it's  <|endoftext|>\n\n x", 5: "中" * 50}
     out = packing.pack(docs([(i, t, "en") for i, t in texts.items()]), JSON, capacity=64).collect()
     check_packing(out, 64)
@@ -111,12 +110,15 @@ def test_pieces_carry_the_library_ids(docs):
 
 def test_op5_ids_equal_the_library_on_control_characters():
     tokenizer = Tokenizer.from_file(JSON)
-    tokenizer.encode_special_tokens = True
     marks = [*"\x1c\x1d\x1e\x1f\x85\xa0", "\u2028", "\u3000", " ", ",", "--", "a", "7", "\n"]
     texts = EDGE + hard_texts() + ["\x1c,", "\x1f--", " \x1d.", "a\x1e\x1e b"]
     texts += ["".join(random.Random(i).choices(marks, k=30)) for i in range(300)]
     together = packing.LibraryEncoder(JSON)
     ids, bounds, _, _ = together.encode(pa.array(texts))
+    for i, t in enumerate(texts):
+        assert ids[bounds[i] : bounds[i + 1]].tolist() == tokenizer.encode(t, add_special_tokens=False).ids, repr(t)
+    tokenizer.encode_special_tokens = True
+    ids, bounds, _, _ = packing.LibraryEncoder(JSON, plain=True).encode(pa.array(texts))
     for i, t in enumerate(texts):
         assert ids[bounds[i] : bounds[i + 1]].tolist() == tokenizer.encode(t).ids, repr(t)
 
