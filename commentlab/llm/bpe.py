@@ -28,7 +28,6 @@ import heapq
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -38,7 +37,7 @@ from commentlab.llm import common
 
 OTHER, LETTER, NUMBER, SPACE = 0, 1, 2, 3
 # Distinct tokens that a worker remembers.
-CACHE = 1_000_000
+CACHE = 800_000
 # Bytes of text encoded at a time.
 TEXT_BYTES = 1 << 21
 
@@ -250,7 +249,7 @@ class Encoder:
         self._clear()
 
     def _clear(self) -> None:
-        self.known = pa.array([], pa.binary())
+        self.known: dict[bytes, int] = {}
         self.ids = np.zeros(0, np.int32)
         self.ends = np.zeros(1, np.int64)  # ends[i] is where the ids of token i - 1 end
 
@@ -259,26 +258,28 @@ class Encoder:
         merged = self.merger.merge(new)
         return np.concatenate(merged), np.array([len(x) for x in merged], np.int64)
 
-    def _learn(self, new: pa.Array) -> None:
-        merged, lengths = self._merged(new.to_pylist())
-        self.known = pa.concat_arrays([self.known, new])
+    def _learn(self, new: list[bytes]) -> None:
+        merged, lengths = self._merged(new)
+        self.known.update(zip(new, range(len(self.known), len(self.known) + len(new)), strict=True))
         self.ids = np.concatenate([self.ids, merged.astype(np.int32)])
         self.ends = np.concatenate([self.ends, self.ends[-1] + np.cumsum(lengths)])
 
     def _codes(self, tokens: pa.Array) -> np.ndarray:
         """Number of each token among the known ones, after learning the new ones."""
         told = tokens.dictionary_encode()
-        distinct = told.dictionary
+        data, offsets = common.text_bytes(told.dictionary)
+        data, places = data.tobytes(), offsets.tolist()
+        words = [data[a:b] for a, b in zip(places, places[1:], strict=False)]
         if len(self.known) > CACHE:
             self._clear()
-        found = pc.index_in(distinct, value_set=self.known)
-        if found.null_count:
+        codes = list(map(self.known.get, words))
+        if None in codes:
             n = len(self.known)
-            fresh = found.is_null()
-            self._learn(distinct.filter(fresh))
-            found = np.array(found.fill_null(-1))
-            found[np.asarray(fresh)] = np.arange(n, len(self.known))
-        return np.asarray(found)[np.asarray(told.indices)]
+            fresh = [i for i, code in enumerate(codes) if code is None]
+            self._learn([words[i] for i in fresh])
+            for i, at in enumerate(fresh, n):
+                codes[at] = i
+        return np.array(codes, np.int64)[np.asarray(told.indices)]
 
     def encode(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """Ids of all texts, the texts' bounds in them (n + 1), ids per token, tokens' places."""
