@@ -281,6 +281,14 @@ class Encoder:
                 codes[at] = i
         return np.array(codes, np.int64)[np.asarray(told.indices)]
 
+    def _spelled(self, data: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of the slices of ``data`` that begin at ``starts``, and how many each has."""
+        cuts = np.append(starts, len(data)).astype(np.int64)
+        tokens = pa.Array.from_buffers(pa.large_binary(), len(starts), [None, pa.py_buffer(cuts), pa.py_buffer(data)])
+        codes = self._codes(tokens.cast(pa.binary()) if len(data) < 1 << 31 else tokens)
+        begin, per = self.ends[codes], self.ends[codes + 1] - self.ends[codes]
+        return self.ids[gather(begin, per)], per
+
     def encode(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """Ids of all texts, the texts' bounds in them (n + 1), ids per token, tokens' places."""
         data, offsets = common.text_bytes(column)
@@ -293,11 +301,7 @@ class Encoder:
         starts = boundaries(cp, first, self.kinds)
         if not len(starts):
             return np.zeros(0, np.int32), np.zeros(len(column) + 1, np.int64), np.zeros(0, np.int64), starts
-        cuts = np.append(at[starts], len(data)).astype(np.int64)
-        tokens = pa.Array.from_buffers(pa.large_binary(), len(starts), [None, pa.py_buffer(cuts), pa.py_buffer(data)])
-        codes = self._codes(tokens.cast(pa.binary()) if len(data) < 1 << 31 else tokens)
-        begin, per = self.ends[codes], self.ends[codes + 1] - self.ends[codes]
-        ids = self.ids[gather(begin, per)]
+        ids, per = self._spelled(data, at[starts])
         of_text = np.searchsorted(starts, first)
         bounds = np.concatenate([[0], np.cumsum(per)])[of_text]
         return ids, bounds, per, starts
