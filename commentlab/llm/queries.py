@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from commentlab.llm import (
-    alignment, bpe, common, html_text, jaccard, langid, packing, quality, token_files, toxicity, urls, vectors,
+    alignment, bpe, common, html_text, jaccard, langid, packing, phrases, quality, token_files, toxicity, urls, vectors,
 )
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -162,6 +162,43 @@ def op11_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return alignment.digests(_table(spark, sf_dir, "documents"), *paths)
 
 
+@query
+def op12_phrase_mining(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.collocations(_table(spark, sf_dir, "documents"))
+
+
+SQL["op12_phrase_mining"] = r"""
+WITH pieces AS (
+  SELECT coalesce(lang, 'und') AS lang, unnest(string_split_regex(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS p
+  FROM documents),
+spelled AS (SELECT lang, regexp_extract_all(p, '[^\x20\x09]+') AS w FROM pieces),
+totals AS (SELECT lang, CAST(sum(len(w)) AS BIGINT) AS n FROM spelled GROUP BY lang HAVING sum(len(w)) > 0),
+places AS (SELECT lang, w, unnest(range(1, len(w) + 1)) AS i FROM spelled),
+grams AS (
+  SELECT lang, w[i : i + k - 1] AS g, count(*) AS f
+  FROM places, (VALUES (1), (2), (3), (4)) t(k) WHERE i + k - 1 <= len(w) GROUP BY ALL HAVING count(*) >= 30),
+cuts AS (
+  SELECT lang, g, f AS a, unnest(range(1, len(g))) AS k FROM grams WHERE len(g) > 1),
+scored AS (
+  SELECT c.lang, c.g, c.a, c.k, x.f AS l, y.f AS r,
+    CAST(CAST(c.a AS HUGEINT) * 2000000 // (x.f + y.f) AS BIGINT) AS score
+  FROM cuts c JOIN grams x ON x.lang = c.lang AND x.g = c.g[1 : c.k]
+  JOIN grams y ON y.lang = c.lang AND y.g = c.g[c.k + 1 : len(c.g)]),
+weakest AS (
+  SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, g ORDER BY score, k) = 1),
+inside AS (
+  SELECT lang, g, f, s, m FROM grams, (VALUES (1), (2), (3)) u(s), (VALUES (2), (3)) v(m)
+  WHERE m < len(g) AND s + m - 1 <= len(g)),
+longer AS (SELECT lang, g[s : s + m - 1] AS g, max(f) AS within FROM inside GROUP BY ALL),
+kept AS (
+  SELECT w.*, array_to_string(w.g, ' ') AS phrase FROM weakest w LEFT JOIN longer o ON o.lang = w.lang AND o.g = w.g
+  WHERE o.within IS NULL OR 100 * CAST(o.within AS HUGEINT) < 80 * CAST(w.a AS HUGEINT)),
+placed AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM kept)
+SELECT p.lang, rank, phrase, a, l, r, n, score FROM placed p JOIN totals t ON t.lang = p.lang WHERE rank <= 2000
+"""
+
+
 @query
 def op13_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.round_trip(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))

@@ -58,7 +58,7 @@ def test_the_rest_does_not_import_the_subpackage():
         "import commentlab.queries, commentlab.plans.train, commentlab.plans.evaluate, commentlab.plans.external\n"
         "assert not any(m.startswith('commentlab.llm') for m in sys.modules)\n"
         "import __spark_entry__ as e; q = e.queries()\n"
-        "assert sum(n.startswith('op') and n[2].isdigit() for n in q) == 12 and 'pipeline' in q\n"
+        "assert sum(n.startswith('op') and n[2].isdigit() for n in q) == 13 and 'pipeline' in q\n"
     )
     subprocess.run([sys.executable, "-c", code], cwd=ROOT, check=True)
 
