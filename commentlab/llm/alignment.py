@@ -36,13 +36,15 @@ from pyspark.sql import functions as F
 from sentencepiece import SentencePieceProcessor
 
 from commentlab.llm import common
-from commentlab.llm.bpe import TEXT_BYTES, Encoder, gather
+from commentlab.llm.bpe import Encoder, gather
 from commentlab.llm.packing import LibraryEncoder
 from commentlab.session import materialise
 
 # Bytes of a long text that one task tokenises, and fragments that are composed at a time.
 PART = 1 << 16
 FAN = 8
+# Bytes of text aligned at a time.
+TEXT_BYTES = 1 << 20
 # Tokens whose groups are written out at a time.
 TOKENS = 1 << 18
 BLANK = "▁"

@@ -37,7 +37,7 @@ from commentlab.llm import common
 
 OTHER, LETTER, NUMBER, SPACE = 0, 1, 2, 3
 # Distinct tokens that a worker remembers.
-CACHE = 800_000
+CACHE = 400_000
 # Bytes of text encoded at a time.
 TEXT_BYTES = 1 << 21
 

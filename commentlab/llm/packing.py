@@ -58,8 +58,8 @@ class LibraryEncoder(Encoder):
         self.width = np.zeros(self.tokenizer.get_vocab_size(), np.int64)  # bytes of each id
         for token, i in self.tokenizer.get_vocab(with_added_tokens=False).items():
             self.width[i] = len(token)  # byte-level vocabularies spell a byte as a character
-        self.whole = None if plain else Tokenizer.from_file(path)
-        self.added = [] if plain else [t.content for t in self.whole.get_added_tokens_decoder().values()]
+        self.path, self.whole = path, None
+        self.added = [] if plain else [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.ascii_space = frozenset(i for i in range(128) if self.kinds[i] == SPACE)
         self._clear()
 
@@ -71,6 +71,7 @@ class LibraryEncoder(Encoder):
             held |= np.asarray(pc.match_substring(column, token).fill_null(False))
         if not held.any():
             return ids, bounds, per, starts
+        self.whole = self.whole or Tokenizer.from_file(self.path)
         own = np.split(ids, bounds[1:-1])
         for i in np.flatnonzero(held).tolist():
             found = self.whole.encode(column[i].as_py(), add_special_tokens=False).ids

@@ -20,7 +20,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -36,7 +36,7 @@ TOP = 2000
 COVERED = 80
 UNKNOWN = "und"
 # Bytes of text in a chunk.
-CHUNK = 1 << 24
+CHUNK = 1 << 23
 # Side of a tile, how many pairs make it dense, and coordinates kept before they are merged.
 TILE = 1024
 DENSE = TILE * TILE // 16
@@ -129,55 +129,65 @@ def _array(values: np.ndarray, kind: pa.DataType) -> pa.Array:
 
 
 def chunks(docs: DataFrame, lang: str, text: str) -> DataFrame:
-    """chunk, langs, words, counts, seq: the distinct words of a chunk, and its texts as their numbers."""
+    """The texts as chunks: a row chunk, known, seq with the texts as numbers of the chunk's ``known``
+    distinct words, and a row chunk, local, lang, word, n for each of these; other columns are NULL."""
 
-    def work(some: pa.RecordBatch) -> pa.RecordBatch:
+    def work(some: pa.RecordBatch) -> tuple[np.ndarray, pa.Array, pa.Array, np.ndarray]:
+        """The sequence, and the language, the bytes and the count of each distinct word."""
         data, offsets = common.text_bytes(some.column(1))
         data = LOWER[data]
-        gap = np.concatenate([GAP[data], [True]])
+        solid = ~GAP[data]
         head = np.zeros(len(data) + 1, bool)
         head[offsets] = True
-        gone = np.concatenate([[True], gap[:-1]]) | head  # what stands before is no part of the word
-        starts = np.flatnonzero(~gap & gone)
-        ends = np.flatnonzero(~gap & np.concatenate([gap[1:] | head[1:], [True]])) + 1
-        # Arrow slices lie side by side: words and what parts them in turn
-        cuts = np.stack([starts, ends], axis=1).ravel()
-        told = _slices(data, cuts).dictionary_encode()
+        starts = np.flatnonzero(solid & (head[:-1] | ~np.concatenate([[False], solid[:-1]])))
+        ends = np.flatnonzero(solid & (head[1:] | ~np.concatenate([solid[1:], [False]]))) + 1
+        # the bytes of the words lie side by side once the gaps are gone
+        sides = np.concatenate([[0], np.cumsum(ends - starts)])
+        told = pa.Array.from_buffers(
+            pa.large_binary(), len(starts), [None, pa.py_buffer(sides), pa.py_buffer(data[solid])]
+        )
+        told = (told.cast(pa.binary()) if len(data) < 1 << 31 else told).dictionary_encode()
         word = np.asarray(told.indices)
         of_text = np.searchsorted(offsets, starts, side="right") - 1
         langs = some.column(0).fill_null(UNKNOWN).dictionary_encode()
         code = np.asarray(langs.indices).astype(np.int64)[of_text] * len(told.dictionary) + word
-        distinct, seq, counts = np.unique(code, return_inverse=True, return_counts=True)
-        breaks = np.concatenate([[0], np.cumsum(BREAK[data])])
+        size = len(langs.dictionary) * len(told.dictionary)
+        if size < 4 * len(code):  # as many cells as words: counted in place
+            cells = np.bincount(code, minlength=size)
+            distinct = np.flatnonzero(cells)
+            counts, number = cells[distinct], np.zeros(size, np.int32)
+            number[distinct] = np.arange(len(distinct))
+            seq = number[code]
+        else:
+            distinct, seq, counts = np.unique(code, return_inverse=True, return_counts=True)
+        breaks = np.searchsorted(np.flatnonzero(BREAK[data]), starts)
         parted = np.zeros(len(starts), bool)
-        parted[1:] = (breaks[starts[1:]] != breaks[starts[:-1]]) | (of_text[1:] != of_text[:-1])
+        parted[1:] = (breaks[1:] != breaks[:-1]) | (of_text[1:] != of_text[:-1])
         out = np.full(len(starts) + int(parted.sum()), -1, np.int32)
         out[np.arange(len(starts)) + np.cumsum(parted)] = seq
         of_lang, of_word = (pa.array(x) for x in divmod(distinct, max(1, len(told.dictionary))))
-        lists = [
-            pa.ListArray.from_arrays(pa.array([0, len(distinct)], pa.int32()), x)
-            for x in (langs.dictionary.take(of_lang), told.dictionary.take(of_word).cast(pa.string()))
-        ]
-        return pa.record_batch(
-            [*lists, _array(counts, pa.int64()), _array(out, pa.int32())], names=["langs", "words", "counts", "seq"]
-        )
+        return out, langs.dictionary.take(of_lang), told.dictionary.take(of_word).cast(pa.string()), counts
 
+    def run(batches):
+        # numbers that no other task gives
+        chunk = TaskContext.get().partitionId() << 33
+        for batch in batches:
+            for some in common.chunks(batch, 1, CHUNK):
+                seq, langs, words, counts = work(some)
+                n = len(counts)
+                one = [pa.array([chunk]), pa.nulls(1, pa.int64()), pa.nulls(1, pa.string()), pa.nulls(1, pa.string()), pa.nulls(1, pa.int64())]
+                yield pa.record_batch([*one, pa.array([n], pa.int32()), _array(seq, pa.int32())], names=names)
+                for at in range(0, n, 1 << 16):
+                    k = min(1 << 16, n - at)
+                    own = [pa.array(np.full(k, chunk)), pa.array(np.arange(at, at + k)), langs.slice(at, k), words.slice(at, k)]
+                    rest = [pa.nulls(k, pa.int32()), pa.nulls(k, pa.list_(pa.int32()))]
+                    yield pa.record_batch([*own, pa.array(counts[at : at + k], pa.int64()), *rest], names=names)
+                chunk += 1
+
+    names = ["chunk", "local", "lang", "word", "n", "known", "seq"]
     rows = docs.select(F.col(lang).cast("string").alias("lang"), F.col(text).alias("text"))
-    schema = "langs array<string>, words array<string>, counts array<long>, seq array<int>"
-    found = common.map_chunks(rows, "text", work, schema, CHUNK)
-    return materialise(found.withColumn("chunk", F.monotonically_increasing_id()), "chunks")
-
-
-def _slices(data: np.ndarray, cuts: np.ndarray) -> pa.Array:
-    """The byte strings between the cuts 0 and 1, 2 and 3, and so on."""
-    starts, size = cuts[::2], cuts[1::2] - cuts[::2]
-    ends = np.concatenate([[0], np.cumsum(size)]).astype(np.int64)
-    kept = np.zeros(len(data) + 1, np.int8)
-    kept[starts] += 1
-    kept[cuts[1::2]] -= 1
-    own = data[np.cumsum(kept[:-1]).astype(bool)]
-    whole = pa.Array.from_buffers(pa.large_binary(), len(starts), [None, pa.py_buffer(ends), pa.py_buffer(own)])
-    return whole.cast(pa.binary()) if len(own) < 1 << 31 else whole
+    schema = "chunk long, local long, lang string, word string, n long, known int, seq array<int>"
+    return materialise(rows.mapInArrow(run, schema), "chunks")
 
 
 def ranked(counts: DataFrame, order: list[Column], name: str) -> DataFrame:
@@ -198,10 +208,7 @@ def _renumbered(chunk_rows: DataFrame, asked: DataFrame, table: DataFrame, on: l
     answers = asked.join(table.select(*on, "id"), on).groupBy("chunk").agg(
         F.collect_list("local").alias("locals"), F.collect_list("id").alias("ids")
     )
-    columns = [c for c in chunk_rows.columns if c not in ("chunk", "ids", "langs", "words", "counts")]
-    # the ids a chunk had before are of no use after it
-    rows = chunk_rows.select("chunk", *columns, *[F.size(c).alias("known") for c in ("ids", "words") if c in chunk_rows.columns])
-    joined = rows.join(answers, "chunk").select("chunk", "known", "seq", "locals", "ids")
+    joined = chunk_rows.select("chunk", "known", "seq").join(answers, "chunk").select("chunk", "known", "seq", "locals", "ids")
 
     def run(batches):
         for batch in batches:
@@ -210,11 +217,12 @@ def _renumbered(chunk_rows: DataFrame, asked: DataFrame, table: DataFrame, on: l
                 seq, local, ids = (np.asarray(batch.column(c)[k].values) for c in (2, 3, 4))
                 order = np.argsort(local)
                 out = _squeezed(renumber(known, seq, local[order]))
+                own = [batch.column(0).slice(k, 1), pa.array([len(ids)], pa.int32())]
                 yield pa.record_batch(
-                    [batch.column(0).slice(k, 1), _array(out, pa.int32()), _array(ids[order], pa.int64())], names=["chunk", "seq", "ids"]
+                    [*own, _array(out, pa.int32()), _array(ids[order], pa.int64())], names=["chunk", "known", "seq", "ids"]
                 )
 
-    return materialise(joined.mapInArrow(run, "chunk long, seq array<int>, ids array<long>"), name)
+    return materialise(joined.mapInArrow(run, "chunk long, known int, seq array<int>, ids array<long>"), name)
 
 
 def _word_numbers(known: int, seq: np.ndarray, local: np.ndarray) -> np.ndarray:
@@ -272,15 +280,14 @@ def frequent_phrases(docs: DataFrame, least: int = LEAST, lang: str = "lang", te
     """(words, phrases, totals): lang, word, f, id of the frequent words; ids (an array of word ids)
     and f of the frequent phrases of 2 to 4 words; lang and n, the number of all words."""
     coded = chunks(docs, lang, text)
-    entry = F.explode(F.arrays_zip("langs", "words", "counts")).alias("e")
-    entries = coded.select(entry).select("e.langs", "e.words", "e.counts").toDF("lang", "word", "n")
+    entries = coded.filter(F.col("local").isNotNull())
     totals = entries.groupBy("lang").agg(F.sum("n").alias("n"))
     counts = entries.groupBy("lang", "word").agg(F.sum("n").alias("f")).filter(F.col("f") >= least)
     words = ranked(counts, [F.desc("f"), F.col("lang"), F.col("word")], "words")
 
-    asked = coded.select("chunk", F.posexplode(F.arrays_zip("langs", "words")).alias("local", "e"))
-    asked = asked.select("chunk", "local", F.col("e.langs").alias("lang"), F.col("e.words").alias("word"))
-    by_word = _renumbered(coded, asked, words, ["lang", "word"], _word_numbers, "by_word")
+    texts = coded.filter(F.col("known").isNotNull())
+    asked = entries.select("chunk", "local", "lang", "word")
+    by_word = _renumbered(texts, asked, words, ["lang", "word"], _word_numbers, "by_word")
 
     two = _counted(by_word, _two).filter(F.col("f") >= least).select("i", "j", "f")
     pairs = ranked(two, [F.desc("f"), F.col("i"), F.col("j")], "pairs")
@@ -297,7 +304,7 @@ def frequent_phrases(docs: DataFrame, least: int = LEAST, lang: str = "lang", te
                     chunk = pa.array(np.full(len(some), batch.column(0)[k].as_py()), pa.int64())
                     yield pa.record_batch([chunk, pa.array(some), pa.array(ids[i]), pa.array(ids[j])], names=["chunk", "local", "i", "j"])
 
-    asked = by_word.mapInArrow(ask, "chunk long, local long, i long, j long")
+    asked = by_word.select("chunk", "seq", "ids").mapInArrow(ask, "chunk long, local long, i long, j long")
     by_pair = _renumbered(by_word, asked, pairs, ["i", "j"], _pair_numbers, "by_pair")
     more = materialise(_counted(by_pair, _three_and_four).filter(F.col("f") >= least), "longer")
 

@@ -40,7 +40,7 @@ from commentlab.llm.packing import END, LibraryEncoder
 from commentlab.session import new_path
 
 # Bytes of text that a shard is meant to hold, and ids that it holds at most (or one document).
-SHARD_BYTES = 1 << 26
+SHARD_BYTES = 1 << 25
 SHARD_IDS = 1 << 25
 MAGIC = b"EFTOKENS"
 # magic, range, number in the range, documents, ids, bytes of an id, NULL ids, lowest document id
