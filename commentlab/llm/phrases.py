@@ -8,6 +8,10 @@ counts. Pairs that are frequent are ranked and numbered again, and stand for two
 round: two overlapping pairs are a phrase of three words, two pairs side by side one of four. A
 frequent phrase has frequent parts only, so nothing else is looked at.
 
+Before a round, tasks count into a fixed number of slots by hash, up to the least frequency that
+matters; slots that stay below it hold no frequent word or pair, which are then left alone. Slots
+share, so this only thins the rows out; counts are taken of the words and pairs themselves.
+
 No table is held whole by a task or the driver: a chunk asks by a join for the ids of its own
 distinct words and pairs, and gets them back as one row. A word or pair is one row per chunk
 however often it occurs there, so no key holds much of any shuffle.
@@ -36,12 +40,14 @@ TOP = 2000
 COVERED = 80
 UNKNOWN = "und"
 # Bytes of text in a chunk.
-CHUNK = 1 << 23
+CHUNK = 1 << 21
+# Slots, and how many of them are summed together.
+WORD_SLOTS, PAIR_SLOTS, BLOCK = 1 << 22, 1 << 23, 1 << 16
 # Side of a tile, how many pairs make it dense, and coordinates kept before they are merged.
 TILE = 1024
 DENSE = TILE * TILE // 16
-MERGE = 1 << 21
-DENSE_TILES = 12
+MERGE = 1 << 20
+DENSE_TILES = 6
 
 BREAK = np.zeros(256, bool)
 BREAK[[*b".,;:!?", *range(0x0A, 0x0E)]] = True
@@ -128,12 +134,48 @@ def _array(values: np.ndarray, kind: pa.DataType) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array([0, len(values)], pa.int32()), pa.array(values, kind))
 
 
-def chunks(docs: DataFrame, lang: str, text: str) -> DataFrame:
-    """The texts as chunks: a row chunk, known, seq with the texts as numbers of the chunk's ``known``
-    distinct words, and a row chunk, local, lang, word, n for each of these; other columns are NULL."""
+def heavy_slots(rows: DataFrame, slots_of, size: int, least: int) -> np.ndarray:
+    """Which of ``size`` slots hold ``least`` or more, packed to bits; ``slots_of(batch)`` gives
+    arrays of slots and counts. A task sends one small number for each slot."""
+    kind = np.uint8 if least < 1 << 8 else np.uint32
+    most = min(least, (1 << 32) - 1)
+
+    def run(batches):
+        counts = np.zeros(size, np.int64)
+        for batch in batches:
+            for slots, n in slots_of(batch):
+                counts += np.bincount(slots, n, size).astype(np.int64)
+                np.minimum(counts, most, out=counts)
+        for at in range(0, size, BLOCK):
+            own = counts[at : at + BLOCK].astype(kind).tobytes()
+            yield pa.record_batch([pa.array([at // BLOCK], pa.int32()), pa.array([own], pa.binary())], names=["block", "counts"])
+
+    def add(table: pa.Table) -> pa.Table:
+        total = sum(np.frombuffer(x.as_py(), kind).astype(np.int64) for x in table.column("counts"))
+        bits = np.packbits(total >= least).tobytes()
+        return pa.table({"block": table.column("block").slice(0, 1), "bits": pa.array([bits], pa.binary())})
+
+    found = rows.mapInArrow(run, "block int, counts binary").groupBy("block").applyInArrow(add, "block int, bits binary").toArrow()
+    parts = dict(zip(found.column("block").to_pylist(), found.column("bits").to_pylist(), strict=True))
+    width = min(BLOCK, size) // 8
+    return np.frombuffer(b"".join(parts.get(i, bytes(width)) for i in range(-(-size // BLOCK))), np.uint8)
+
+
+def _slots(hashes: np.ndarray, size: int) -> np.ndarray:
+    return (hashes & np.uint64(size - 1)).astype(np.int64)
+
+
+def _heavy(bits: np.ndarray, slots: np.ndarray) -> np.ndarray:
+    return (bits[slots >> 3] >> (7 - (slots & 7)).astype(np.uint8) & 1).astype(bool)
+
 
-    def work(some: pa.RecordBatch) -> tuple[np.ndarray, pa.Array, pa.Array, np.ndarray]:
-        """The sequence, and the language, the bytes and the count of each distinct word."""
+def chunks(docs: DataFrame, lang: str, text: str, least: int) -> DataFrame:
+    """The texts as chunks: a row chunk, known, seq with the texts as numbers of ``known`` words, which
+    are all that may be frequent; a row chunk, local, lang, word, n for each of these; and a row chunk,
+    lang, n with the number of all words, whose ``local`` is -1. Other columns are NULL."""
+
+    def work(some: pa.RecordBatch) -> tuple:
+        """The sequence, and the language, the bytes, the count and the slot of each distinct word."""
         data, offsets = common.text_bytes(some.column(1))
         data = LOWER[data]
         solid = ~GAP[data]
@@ -165,31 +207,63 @@ def chunks(docs: DataFrame, lang: str, text: str) -> DataFrame:
         parted[1:] = (breaks[1:] != breaks[:-1]) | (of_text[1:] != of_text[:-1])
         out = np.full(len(starts) + int(parted.sum()), -1, np.int32)
         out[np.arange(len(starts)) + np.cumsum(parted)] = seq
-        of_lang, of_word = (pa.array(x) for x in divmod(distinct, max(1, len(told.dictionary))))
-        return out, langs.dictionary.take(of_lang), told.dictionary.take(of_word).cast(pa.string()), counts
+        of_lang, of_word = divmod(distinct, max(1, len(told.dictionary)))
+        powers = common.Powers()
+        of_words, of_langs = (_hashes(x.dictionary, powers) for x in (told, langs))
+        slots = _slots(common.mix(of_words[of_word] + np.uint64(3) * of_langs[of_lang]), WORD_SLOTS)
+        return out, langs.dictionary.take(pa.array(of_lang)), told.dictionary.take(pa.array(of_word)), counts, slots
+
+    def slots_of(batch):
+        for some in common.chunks(batch, 1, CHUNK):
+            *_, counts, slots = work(some)
+            yield slots, counts
 
     def run(batches):
         # numbers that no other task gives
         chunk = TaskContext.get().partitionId() << 33
         for batch in batches:
             for some in common.chunks(batch, 1, CHUNK):
-                seq, langs, words, counts = work(some)
+                seq, langs, words, counts, slots = work(some)
+                sums = pa.table({"lang": langs, "n": pa.array(counts, pa.int64())}).group_by("lang").aggregate([("n", "sum")])
+                keep = _heavy(bits, slots)
+                number = np.full(len(keep) + 1, -1, np.int32)  # the last one answers for -1
+                number[:-1][keep] = np.arange(int(keep.sum()))
+                langs, words, counts = langs.filter(pa.array(keep)), words.filter(pa.array(keep)).cast(pa.string()), counts[keep]
                 n = len(counts)
-                one = [pa.array([chunk]), pa.nulls(1, pa.int64()), pa.nulls(1, pa.string()), pa.nulls(1, pa.string()), pa.nulls(1, pa.int64())]
-                yield pa.record_batch([*one, pa.array([n], pa.int32()), _array(seq, pa.int32())], names=names)
+                one = {"known": pa.array([n], pa.int32()), "seq": _array(_squeezed(number[seq]), pa.int32())}
+                yield line(1, chunk, **one)
+                yield line(len(sums), chunk, local=pa.array(np.full(len(sums), -1)), lang=_one(sums, "lang"), n=_one(sums, "n_sum"))
                 for at in range(0, n, 1 << 16):
                     k = min(1 << 16, n - at)
-                    own = [pa.array(np.full(k, chunk)), pa.array(np.arange(at, at + k)), langs.slice(at, k), words.slice(at, k)]
-                    rest = [pa.nulls(k, pa.int32()), pa.nulls(k, pa.list_(pa.int32()))]
-                    yield pa.record_batch([*own, pa.array(counts[at : at + k], pa.int64()), *rest], names=names)
+                    own = {"lang": langs.slice(at, k), "word": words.slice(at, k), "n": pa.array(counts[at : at + k], pa.int64())}
+                    yield line(k, chunk, local=pa.array(np.arange(at, at + k)), **own)
                 chunk += 1
 
-    names = ["chunk", "local", "lang", "word", "n", "known", "seq"]
+    kinds = {
+        "chunk": pa.int64(), "local": pa.int64(), "lang": pa.string(), "word": pa.string(), "n": pa.int64(),
+        "known": pa.int32(), "seq": pa.list_(pa.int32()),
+    }
+
+    def line(rows: int, chunk: int, **columns) -> pa.RecordBatch:
+        columns["chunk"] = pa.array(np.full(rows, chunk))
+        return pa.record_batch([columns.get(c, pa.nulls(rows, kind)) for c, kind in kinds.items()], names=list(kinds))
+
     rows = docs.select(F.col(lang).cast("string").alias("lang"), F.col(text).alias("text"))
+    bits = heavy_slots(rows, slots_of, WORD_SLOTS, least)
     schema = "chunk long, local long, lang string, word string, n long, known int, seq array<int>"
     return materialise(rows.mapInArrow(run, schema), "chunks")
 
 
+def _one(table: pa.Table, column: str) -> pa.Array:
+    """A short column as one array."""
+    return pa.array(table.column(column).to_pylist(), table.schema.field(column).type)
+
+
+def _hashes(words: pa.Array, powers: common.Powers) -> np.ndarray:
+    data, offsets = common.text_bytes(words)
+    return common.word_hashes(data, offsets[:-1], offsets[1:], powers)
+
+
 def ranked(counts: DataFrame, order: list[Column], name: str) -> DataFrame:
     """``counts`` with ids 0, 1, 2, ... in ``order``, numbered by sorted ranges."""
     sorted_rows = materialise(counts.orderBy(*order).withColumn("_pos", F.monotonically_increasing_id()), name)
@@ -243,8 +317,13 @@ def _pair_numbers(known: int, seq: np.ndarray, local: np.ndarray) -> np.ndarray:
     return np.where(local[at] == code, at, -1).astype(np.int32)
 
 
-def _counted(chunk_rows: DataFrame, pairs_of) -> DataFrame:
-    """size, i, j, n: counts of the pairs ``pairs_of(seq)`` gives by size, summed over all chunks."""
+def _pair_slots(i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    return _slots(common.mix(i.astype(np.uint64) * np.uint64(common.BASE) + j.astype(np.uint64)), PAIR_SLOTS)
+
+
+def _counted(chunk_rows: DataFrame, pairs_of, bits: np.ndarray | None = None) -> DataFrame:
+    """size, i, j, f: counts of the pairs ``pairs_of(seq)`` gives by size, summed over all chunks;
+    of those in ``bits``, if given."""
 
     def run(batches):
         counts: dict[int, TileCounts] = {}
@@ -255,6 +334,9 @@ def _counted(chunk_rows: DataFrame, pairs_of) -> DataFrame:
                     counts.setdefault(size, TileCounts()).add(ids[a], ids[b])
         for size, own in counts.items():
             i, j, n = own.counted()
+            if bits is not None:
+                keep = _heavy(bits, _pair_slots(i, j))
+                i, j, n = i[keep], j[keep], n[keep]
             for at in range(0, len(i), 1 << 17):
                 some = slice(at, at + (1 << 17))
                 columns = [pa.array(np.full(len(i[some]), size, np.int32)), *[pa.array(x[some]) for x in (i, j, n)]]
@@ -279,9 +361,9 @@ def _three_and_four(seq: np.ndarray) -> dict:
 def frequent_phrases(docs: DataFrame, least: int = LEAST, lang: str = "lang", text: str = "text"):
     """(words, phrases, totals): lang, word, f, id of the frequent words; ids (an array of word ids)
     and f of the frequent phrases of 2 to 4 words; lang and n, the number of all words."""
-    coded = chunks(docs, lang, text)
-    entries = coded.filter(F.col("local").isNotNull())
-    totals = entries.groupBy("lang").agg(F.sum("n").alias("n"))
+    coded = chunks(docs, lang, text, least)
+    entries = coded.filter(F.col("local") >= 0)
+    totals = coded.filter(F.col("local") == -1).groupBy("lang").agg(F.sum("n").alias("n"))
     counts = entries.groupBy("lang", "word").agg(F.sum("n").alias("f")).filter(F.col("f") >= least)
     words = ranked(counts, [F.desc("f"), F.col("lang"), F.col("word")], "words")
 
@@ -289,7 +371,15 @@ def frequent_phrases(docs: DataFrame, least: int = LEAST, lang: str = "lang", te
     asked = entries.select("chunk", "local", "lang", "word")
     by_word = _renumbered(texts, asked, words, ["lang", "word"], _word_numbers, "by_word")
 
-    two = _counted(by_word, _two).filter(F.col("f") >= least).select("i", "j", "f")
+    def slots_of(batch):
+        for k in range(batch.num_rows):
+            seq, ids = (np.asarray(batch.column(c)[k].values) for c in (0, 1))
+            a, b = _two(seq)[2]
+            slots = _pair_slots(ids[a], ids[b])
+            yield slots, None
+
+    bits = heavy_slots(by_word.select("seq", "ids"), slots_of, PAIR_SLOTS, least)
+    two = _counted(by_word, _two, bits).filter(F.col("f") >= least).select("i", "j", "f")
     pairs = ranked(two, [F.desc("f"), F.col("i"), F.col("j")], "pairs")
 
     def ask(batches):
@@ -298,6 +388,7 @@ def frequent_phrases(docs: DataFrame, least: int = LEAST, lang: str = "lang", te
                 seq, ids = (np.asarray(batch.column(c)[k].values) for c in (1, 2))
                 code = _pair_codes(len(ids), seq)
                 code = np.unique(code[code >= 0])
+                code = code[_heavy(bits, _pair_slots(*(ids[x] for x in divmod(code, max(1, len(ids))))))]
                 for at in range(0, len(code), 1 << 17):
                     some = code[at : at + (1 << 17)]
                     i, j = divmod(some, len(ids))

@@ -8,7 +8,8 @@ every 256th of those bits is kept, so that a boundary is found by a look at one
 at the few words behind it (select), with no table of 64-bit offsets. Document ids, which rise as
 well, are coded the same way.
 
-Shards are ranges of the document id. Their bounds are quantiles of the ids alone; rows of an id
+A shard is small enough to be read as one value by an executor of 3 GB; larger executors can have
+larger ones. Shards are ranges of the document id. Their bounds are quantiles of the ids alone; rows of an id
 that spans several ranges are dealt over all of them, so an id that holds many of the rows is no
 task's burden, and a range that holds more ids than a file may is written as several files. Tasks
 write through Spark's own committed writer, so a lost executor leaves no half file. A manifest
@@ -35,13 +36,14 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from commentlab.llm import common
-from commentlab.llm.bpe import TEXT_BYTES
 from commentlab.llm.packing import END, LibraryEncoder
 from commentlab.session import new_path
 
+# Bytes of text encoded at a time.
+TEXT_BYTES = 1 << 20
 # Bytes of text that a shard is meant to hold, and ids that it holds at most (or one document).
-SHARD_BYTES = 1 << 25
-SHARD_IDS = 1 << 25
+SHARD_BYTES = 1 << 24
+SHARD_IDS = 1 << 24
 MAGIC = b"EFTOKENS"
 # magic, range, number in the range, documents, ids, bytes of an id, NULL ids, lowest document id
 HEAD = "<8sqqqqqqq"
