@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window as W
 
 from commentlab.scale import join_small
@@ -57,13 +58,13 @@ def error_type(y_true: Column, y_pred: Column) -> Column:
     return F.when((y_true == 0) & (y_pred == 1), "FP").when((y_true == 1) & (y_pred == 0), "FN")
 
 
-def surrogate_id(df: DataFrame, group: list[str], position: str, out: str = "id") -> DataFrame:
-    """Ordinals 0..n-1 per group in the order of a unique ``position``, dense or sparse.
+def numbered(df: DataFrame, group: list[str], order: list[str], out: str) -> DataFrame:
+    """Ordinals 0..n-1 per group in the order of columns that are unique within it.
 
-    Rows are sorted by ranges of group and position, so no group is sorted in one task, and
-    stored as they lie. How many rows of a group each range holds gives its first ordinal there.
+    Rows are sorted by ranges of group and order, so no group is sorted in one task, and stored
+    as they lie. How many rows of a group each range holds gives its first ordinal there.
     """
-    ordered = df.repartitionByRange(*group, position).sortWithinPartitions(*group, position)
+    ordered = df.repartitionByRange(*group, *order).sortWithinPartitions(*group, *order)
     ordered = materialise(ordered.withColumn("_pos", F.monotonically_increasing_id()), "ordered")
     # The upper bits of the number name the range.
     placed = ordered.withColumn("_part", F.shiftright("_pos", 33))
@@ -75,5 +76,34 @@ def surrogate_id(df: DataFrame, group: list[str], position: str, out: str = "id"
         .drop("_n")
     )
     ordinal = F.col("_start") + F.col("_pos") - F.col("_first")
-    numbered = join_small(placed, starts, [*group, "_part"])
-    return numbered.select(*df.columns, ordinal.alias(out))
+    return join_small(placed, starts, [*group, "_part"]).select(*df.columns, ordinal.alias(out))
+
+
+# Rows of a group that one task numbers.
+NUMBERED = 1_000_000
+
+
+def surrogate_id(df: DataFrame, group: list[str], position: str, out: str = "id") -> DataFrame:
+    """Ordinals 0..n-1 per group in the order of a unique ``position``, dense or sparse.
+
+    Quantiles of the position cut large groups into ranges of even size. How many rows of a group
+    each range holds gives its first ordinal there, and the rows of a range are numbered together.
+    """
+    kind = df.schema[position].dataType
+    if not isinstance(kind, T.NumericType) or isinstance(kind, T.DecimalType):
+        return numbered(df, group, [position], out)
+    largest = df.groupBy(*group).count().agg(F.max("count"), F.sum("count")).first()
+    if (largest[0] or 0) <= NUMBERED:
+        order = W.partitionBy(*group).orderBy(position)
+        return df.select("*", (F.row_number().over(order) - 1).cast("long").alias(out))
+    parts = -(-largest[1] // (NUMBERED // 2))
+    shares = [i / parts for i in range(1, parts)]
+    bounds = df.agg(F.percentile_approx(position, shares, 20 * parts)).first()[0]
+    bounds = sorted(set(bounds))
+    marked = df.withColumn("_range", F.array_size(F.filter(F.lit(bounds), lambda b: b <= F.col(position))))
+    before = W.partitionBy(*group).orderBy("_range").rowsBetween(W.unboundedPreceding, -1)
+    starts = marked.groupBy(*group, "_range").agg(F.count("*").alias("_n"))
+    starts = starts.select(*group, "_range", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
+    inside = F.row_number().over(W.partitionBy(*group, "_range").orderBy(position)) - 1
+    placed = join_small(marked.withColumn("_inside", inside), starts, [*group, "_range"])
+    return placed.select(*df.columns, (F.col("_start") + F.col("_inside")).alias(out))

@@ -1,34 +1,33 @@
-"""Term statistics, vocabulary and TF-IDF vectors per language."""
+"""Term statistics, vocabulary and TF-IDF vectors per language.
+
+A text is analysed once: its distinct terms and their counts are stored as one row (``counted``),
+and vocabulary, vectors and scores read that. Terms meet their vocabulary entry by a join.
+"""
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark import keyword_only
-from pyspark.ml import PipelineModel, Transformer
-from pyspark.ml.feature import CountVectorizer, ElementwiseProduct, Normalizer
-from pyspark.ml.linalg import Vectors, VectorUDT
-from pyspark.ml.param.shared import HasInputCol, HasOutputCol
-from pyspark.ml.util import DefaultParamsReadable, DefaultParamsWritable
-from pyspark.sql import DataFrame
+from pyspark.ml.linalg import VectorUDT
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window as W
 
-from commentlab.scale import bounded, join_small, top_k
-from commentlab.session import materialise
+from commentlab.functions.columns import numbered
+from commentlab.scale import CAPPED_ROWS, join_capped, join_small, top_k, within
+from commentlab.session import materialise, new_path
 
 # Settings of the TF-IDF features.
 MIN_DF, MAX_DF, MAX_FEATURES = 3, 0.95, 200_000
-# Between language and term in a vocabulary of several languages; no token contains it.
-MARK = "\x01"
-# A vocabulary is capped per language; this many terms in all are held on every executor.
-MAX_VOCABULARY = 2_000_000
+NO_TERMS = "empty vocabulary: no terms left after the frequency limits"
 
 
-def term_counts(df: DataFrame, grams: str, keep: list[str]) -> DataFrame:
-    """One row per (input row, term) with its count ``tf``, without a shuffle.
+def _runs(df: DataFrame, grams: str, keep: list[str]) -> tuple[DataFrame, Column]:
+    """Rows, and on them the distinct terms of each with their count ``tf``, without a shuffle.
 
-    The terms of a row are sorted in place and their runs measured.
+    The terms of a row are sorted in place and their runs measured. What explodes the runs must do
+    so in the expression: a filter on a column of them would be pushed below and repeat the work.
     """
     g, at = F.col("_sorted"), F.col("_starts")
     n = F.size(g)
@@ -44,22 +43,36 @@ def term_counts(df: DataFrame, grams: str, keep: list[str]) -> DataFrame:
             (F.coalesce(F.get(at, j + 1), n) - p).alias("tf"),
         ),
     )
-    return (
-        df.select(*keep, F.sort_array(grams).alias("_sorted"))
-        .withColumn("_starts", F.filter(positions, starts_run))
-        .select(*keep, F.explode(runs).alias("_run"))
-        .select(*keep, "_run.*")
-    )
+    rows = df.select(*keep, F.sort_array(grams).alias("_sorted"))
+    return rows.withColumn("_starts", F.filter(positions, starts_run)), runs
+
+
+def long_form(stored: DataFrame, keep: list[str]) -> DataFrame:
+    """``keep``, term, tf: one row per distinct term of a row with ``terms``."""
+    return stored.select(*keep, F.explode("terms").alias("_run")).select(*keep, "_run.*")
+
+
+def term_counts(df: DataFrame, grams: str, keep: list[str]) -> DataFrame:
+    """One row per (input row, term) with its count ``tf``, without a shuffle."""
+    rows, runs = _runs(df, grams, keep)
+    return rows.select(*keep, F.explode(runs).alias("_run")).select(*keep, "_run.*")
+
+
+def counted(df: DataFrame, grams: str, keep: list[str], partition_by: list[str] | None = None) -> DataFrame:
+    """``keep``, terms and a number ``_row`` of every row, written once for all that reads them."""
+    rows, runs = _runs(df, grams, keep)
+    rows = rows.select(*keep, runs.alias("terms")).withColumn("_row", F.monotonically_increasing_id())
+    return materialise(rows, "terms_of_rows", partition_by)
 
 
 def term_stats(df: DataFrame, grams: str, keys: list[str] | None = None) -> DataFrame:
     """Document and corpus frequency per (lang, term), combined map-side by term."""
     keys = keys or ["lang"]
-    return (
-        term_counts(df, grams, keys)
-        .groupBy(*keys, "term")
-        .agg(F.count("*").alias("df"), F.sum("tf").cast("long").alias("cf"))
-    )
+    return _stats(term_counts(df, grams, keys), keys)
+
+
+def _stats(long: DataFrame, keys: list[str]) -> DataFrame:
+    return long.groupBy(*keys, "term").agg(F.count("*").alias("df"), F.sum("tf").cast("long").alias("cf"))
 
 
 def vocabulary(
@@ -70,16 +83,24 @@ def vocabulary(
     max_features: int = MAX_FEATURES,
 ) -> DataFrame:
     """lang, term, df, cf, n_docs of the kept terms: the most frequent ones per language,
-    ties by term.
-
-    The text is analysed once: what the frequency limits leave is written and read again. A
-    histogram over the counts finds the count at which a language's cap falls, so that only
-    terms with that count or more are ranked.
-    """
+    ties by term."""
     sizes = df.groupBy("lang").agg(F.count("*").alias("n_docs"))
-    frequent = term_stats(df, grams).filter(F.col("df") >= min_df)
+    return _kept_terms(term_stats(df, grams), sizes, min_df, max_df, max_features)
+
+
+def vocabulary_of(
+    stored: DataFrame, min_df: int = MIN_DF, max_df: float = MAX_DF, max_features: int = MAX_FEATURES
+) -> DataFrame:
+    """The vocabulary of rows that are ``counted`` already."""
+    sizes = stored.groupBy("lang").agg(F.count("*").alias("n_docs"))
+    return _kept_terms(_stats(long_form(stored, ["lang"]), ["lang"]), sizes, min_df, max_df, max_features)
+
+
+def _kept_terms(stats: DataFrame, sizes: DataFrame, min_df: int, max_df: float, max_features: int) -> DataFrame:
+    """What the limits leave is written and read again. A histogram over the counts finds the count
+    at which a language's cap falls, so that only terms with that count or more are ranked."""
     kept = materialise(
-        join_small(frequent, sizes, ["lang"]).filter(
+        join_small(stats.filter(F.col("df") >= min_df), sizes, ["lang"]).filter(
             F.col("df") <= F.lit(max_df) * F.col("n_docs")
         ),
         "terms",
@@ -102,101 +123,133 @@ def inverse_frequency(n_docs, df):
     return F.log((1 + n_docs) / (1 + df)) + 1
 
 
-def _log_values(vectors: pa.Array) -> pa.Array:
-    """1 + ln(value) for the stored values of a batch of sparse vectors."""
-    values = vectors.field("values")
-    flat = pa.array(1.0 + np.log(values.values.to_numpy()))
-    logged = pa.ListArray.from_arrays(values.offsets, flat, type=values.type)
-    parts = [logged if f.name == "values" else vectors.field(f.name) for f in vectors.type]
-    return pa.StructArray.from_arrays(parts, fields=list(vectors.type))
+def indexed(terms: DataFrame) -> DataFrame:
+    """lang, term, idf and index (0, 1, ... per language, frequent terms first) of a vocabulary.
 
+    Numbers come from sorted ranges of (lang, rank), so no language is numbered by one task.
+    """
+    idf = inverse_frequency(F.col("n_docs"), F.col("df")).alias("idf")
+    rows = terms.select("lang", "term", idf, (-F.col("cf")).alias("_rank"))
+    placed = numbered(rows, ["lang"], ["_rank", "term"], "index")
+    return materialise(placed.select("lang", "term", "idf", F.col("index").cast("int").alias("index")), "indexed")
 
-class SublinearCounts(
-    Transformer, HasInputCol, HasOutputCol, DefaultParamsReadable, DefaultParamsWritable
-):
-    """Replaces each count of a sparse vector by 1 + ln(count), whole batches at a time.
 
-    Only the vectors visit Python; the other columns stay where they are.
-    """
+def _weight() -> Column:
+    return (1 + F.log("tf")) * F.col("idf")
 
-    @keyword_only
-    def __init__(self, *, inputCol: str | None = None, outputCol: str | None = None):
-        super().__init__()
-        self._set(**self._input_kwargs)
 
-    def _transform(self, dataset: DataFrame) -> DataFrame:
-        logged = F.arrow_udf(_log_values, VectorUDT())
-        return dataset.withColumn(self.getOutputCol(), logged(self.getInputCol()))
+def _normed(rows: DataFrame) -> DataFrame:
+    """``rows`` with ``_w`` over the norm of its ``_row``; lines of a row lie side by side."""
+    kept = [c for c in rows.columns if c not in ("_row", "_w")]
 
+    def normed(table: pa.Table, starts: np.ndarray) -> pa.RecordBatch:
+        w = table.column("_w").to_numpy()
+        norm = np.sqrt(np.add.reduceat(w * w, starts))
+        weight = pa.array(w / np.repeat(norm, np.diff(starts, append=len(w))))
+        whole = table.select(kept).append_column("weight", weight).combine_chunks()
+        return whole.to_batches()[0]
 
-def vectorizer(terms: DataFrame, grams: str = "grams", features: str = "features") -> PipelineModel:
-    """Stages that turn a term array into an L2-normed TF-IDF vector.
+    def run(batches):
+        carried = None  # the lines of a row that may go on in the next batch
+        for batch in batches:
+            table = pa.Table.from_batches([batch])
+            table = table if carried is None else pa.concat_tables([carried, table])
+            row = table.column("_row").to_numpy()
+            starts = np.flatnonzero(np.concatenate([row[:1] == row[:1], row[1:] != row[:-1]]))
+            if len(starts) > 1:
+                yield normed(table.slice(0, starts[-1]), starts[:-1])
+            carried = table.slice(starts[-1]) if len(starts) else None
+        if carried is not None:
+            yield normed(carried, np.zeros(1, np.int64))
 
-    ``terms`` holds term, df and n_docs; it is capped per language by ``vocabulary``, and its
-    size is checked here, as the driver and the executors keep it.
-    """
-    weight = inverse_frequency(F.col("n_docs"), F.col("df")).alias("idf")
-    rows = terms.select("term", weight).limit(MAX_VOCABULARY + 1).toArrow()
-    if rows.num_rows == 0:
-        raise ValueError("empty vocabulary: no terms left after the frequency limits")
-    if rows.num_rows > MAX_VOCABULARY:
-        raise ValueError(f"more than {MAX_VOCABULARY} terms: lower max_features")
-    listed = terms.sparkSession.createDataFrame(rows)
-    one_each = listed.select(F.array("term").alias(grams))
-    counter = CountVectorizer(
-        inputCol=grams, outputCol="_counts", vocabSize=rows.num_rows, minDF=1.0
-    ).fit(one_each)
-    idf = dict(zip(rows.column("term").to_pylist(), rows.column("idf").to_pylist()))
-    weights = Vectors.dense([idf[term] for term in counter.vocabulary])
-    return PipelineModel(
-        [
-            counter,
-            SublinearCounts(inputCol="_counts", outputCol="_logged"),
-            ElementwiseProduct(scalingVec=weights, inputCol="_logged", outputCol="_weighted"),
-            Normalizer(p=2.0, inputCol="_weighted", outputCol=features),
-        ]
-    )
+    fields = [f for f in rows.schema if f.name in kept]
+    return rows.mapInArrow(run, T.StructType([*fields, T.StructField("weight", T.DoubleType())]))
 
 
-def _tfidf_by_join(df: DataFrame, grams: str, terms: DataFrame, keep: list[str]) -> DataFrame:
-    """The same through a shuffle; a stored number stands for each row."""
-    df = materialise(df.withColumn("_row", F.monotonically_increasing_id()), "grams")
-    fields = list(dict.fromkeys([*keep, "lang", "_row"]))
-    found = join_small(term_counts(df, grams, fields), terms, ["lang", "term"])
-    idf = inverse_frequency(F.col("n_docs"), F.col("df"))
-    weighted = found.withColumn("_w", (1 + F.log("tf")) * idf)
+def tfidf_of(stored: DataFrame, terms: DataFrame, keep: list[str]) -> DataFrame:
+    """Long form of the vectors of ``counted`` rows: keep, term, weight.
+
+    Where the terms can be broadcast the lines of a row stay side by side and are normed where they
+    are; where they are shuffled, a second shuffle brings them together again.
+    """
+    long = long_form(stored, list(dict.fromkeys([*keep, "lang", "_row"])))
+    idf = inverse_frequency(F.col("n_docs"), F.col("df")).alias("idf")
+    terms = materialise(terms.select("lang", "term", idf), "idf")
+    held = within(terms, CAPPED_ROWS)
+    found = join_capped(long, terms, ["lang", "term"], held=held)
+    weighted = found.select("_row", *keep, "term", _weight().alias("_w"))
+    if held:
+        return _normed(weighted)
     norm = F.sqrt(F.sum(F.col("_w") * F.col("_w")).over(W.partitionBy("_row")))
     return weighted.select(*keep, "term", (F.col("_w") / norm).alias("weight"))
 
 
 def tfidf_terms(df: DataFrame, grams: str, terms: DataFrame, keep: list[str]) -> DataFrame:
-    """Long form of the vectors of all languages: keep, term, weight.
+    """Long form of the vectors of all languages: keep, term, weight; one pass serves all."""
+    stored = counted(df, grams, list(dict.fromkeys([*keep, "lang"])))
+    return tfidf_of(stored, terms, keep)
+
+
+def matched(stored: DataFrame, terms: DataFrame, keep: list[str]) -> DataFrame:
+    """``keep``, ``_row`` and, where a term is in ``terms``, its columns and weight ``_w``.
 
-    Terms are marked with their language, so one pass serves every language, and a row's
-    weights are normed inside the row instead of by a shuffle on its id. A vocabulary of too
-    many languages to hold is joined instead, which gives the same rows.
+    Every row keeps at least one line, also one without a known term.
     """
-    terms = terms.select("lang", "term", "df", "n_docs")
-    held = bounded(terms, MAX_VOCABULARY)
-    if held is None:
-        return _tfidf_by_join(df, grams, terms, keep)
-    lang = F.coalesce("lang", F.lit(MARK))
-    marked = held.withColumn("term", F.concat(lang, F.lit(MARK), F.col("term")))
-    stages = vectorizer(marked, "_marked", "_vector")
-    own = F.transform(F.col(grams), lambda t: F.concat(lang, F.lit(MARK), t))
-    vectors = stages.transform(df.select(*keep, own.alias("_marked")))
-    order = stages.stages[0].vocabulary
-    names = df.sparkSession.createDataFrame(
-        pa.table(
-            {
-                "_index": pa.array(range(len(order)), pa.int32()),
-                "term": [term.rsplit(MARK, 1)[1] for term in order],
-            }
-        )
-    )
-    plain = F.unwrap_udt("_vector")
-    weights = F.arrays_zip(
-        plain["indices"].alias("_index"), plain["values"].alias("weight")
-    )
-    long = vectors.select(*keep, F.explode(weights).alias("_w")).select(*keep, "_w.*")
-    return long.join(F.broadcast(names), "_index").select(*keep, "term", "weight")
+    fields = list(dict.fromkeys([*keep, "lang", "_row"]))
+    long = stored.select(*fields, F.posexplode_outer("terms").alias("_at", "_run"))
+    long = long.select(*fields, "_at", "_run.*")
+    found = join_capped(long, terms, ["lang", "term"], "left").withColumn("_w", _weight())
+    return found.filter(F.col("idf").isNotNull() | (F.coalesce("_at", F.lit(0)) == 0))
+
+
+VECTOR = "struct<type:tinyint,size:int,indices:array<int>,values:array<double>>"
+
+
+def vectors(stored: DataFrame, terms: DataFrame, keep: list[str], out: str = "features") -> DataFrame:
+    """``keep`` and the L2-normed TF-IDF vector of each ``counted`` row, written once by language.
+
+    ``terms`` is ``indexed``. The vectors are put together in the JVM and read back as such.
+    """
+    fields = list(dict.fromkeys(["lang", *keep]))
+    entry = F.when(F.col("idf").isNotNull(), F.struct("index", "_w"))
+    rows = matched(stored, terms, fields).groupBy("_row", *fields).agg(F.sort_array(F.collect_list(entry)).alias("_e"))
+    sizes = terms.groupBy("lang").agg(F.count("*").cast("int").alias("_size"))
+    norm = F.sqrt(F.aggregate("_e", F.lit(0.0), lambda a, x: a + x["_w"] * x["_w"]))
+    vector = F.struct(
+        F.lit(0).cast("tinyint").alias("type"),
+        F.col("_size").alias("size"),
+        F.transform("_e", lambda x: x["index"]).alias("indices"),
+        F.transform("_e", lambda x: x["_w"] / F.col("_norm")).alias("values"),
+    ).cast(VECTOR)
+    sized = join_small(rows, sizes, ["lang"]).withColumn("_norm", norm)
+    placed = sized.select("_row", *fields, vector.alias(out))
+    path = new_path(stored.sparkSession, "vectors")
+    placed.hint("rebalance", "lang").write.partitionBy("lang").parquet(path)
+    schema = T.StructType([T.StructField(f.name, VectorUDT()) if f.name == out else f for f in placed.schema])
+    return stored.sparkSession.read.schema(schema).parquet(path).select("_row", *keep, out)
+
+
+class TermVectors:
+    """The terms of one language as indices of a vector: ``transform`` turns ``grams`` into one."""
+
+    def __init__(self, terms: DataFrame):
+        self.terms = indexed(terms.withColumn("lang", F.lit(None).cast("string")))
+        self.size = self.terms.count()
+        if not self.size:
+            raise ValueError(NO_TERMS)
+
+    def transform(self, df: DataFrame, grams: str = "grams", out: str = "features") -> DataFrame:
+        """``df`` with the vectors; the rows and their vectors are written once."""
+        return with_vectors(df, grams, self.terms, out)
+
+
+def with_vectors(df: DataFrame, grams: str, terms: DataFrame, out: str = "features") -> DataFrame:
+    """``df`` with the vector of each row by the ``indexed`` terms of one language, without a name."""
+    kept = materialise(df.withColumn("_row_of", F.monotonically_increasing_id()), "rows")
+    stored = counted(kept.withColumn("lang", F.lit(None).cast("string")), grams, ["lang", "_row_of"])
+    return kept.join(vectors(stored, terms, ["_row_of"], out).drop("_row"), "_row_of").drop("_row_of")
+
+
+def vectorizer(terms: DataFrame) -> TermVectors:
+    """``terms`` holds term, df, cf and n_docs of one language."""
+    return TermVectors(terms)

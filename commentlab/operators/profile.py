@@ -17,10 +17,12 @@ CHUNK = 1 << 23
 WHOLE_BYTES = 64 << 20
 
 
-def profile_table(df: DataFrame) -> DataFrame:
+def profile_table(df: DataFrame, key: list[str] | None = None, n: int = 0, width: int = 80) -> DataFrame:
     """One row per column: position, dtype, rows, nulls, and the mean of numeric columns.
 
-    The mean of a 0/1 label is its positive rate. All columns come from one aggregation.
+    The mean of a 0/1 label is its positive rate. With a ``key`` there are also ``examples``, the
+    beginnings of the column's values in up to ``n`` rows: of each ``n``-th of the rows, dealt by a
+    hash of the key, the one with the least hash. All columns come from one aggregation.
     """
     numeric = {f.name for f in df.schema.fields if isinstance(f.dataType, T.NumericType)}
 
@@ -35,8 +37,17 @@ def profile_table(df: DataFrame) -> DataFrame:
             mean.alias("mean"),
         )
 
-    cells = [cell(i, name, kind) for i, (name, kind) in enumerate(df.dtypes)]
-    return df.agg(F.array(*cells).alias("_cells")).select(F.explode("_cells").alias("c")).select("c.*")
+    cells = F.array(*[cell(i, name, kind) for i, (name, kind) in enumerate(df.dtypes)])
+    if not key:
+        return df.agg(cells.alias("_cells")).select(F.explode("_cells").alias("c")).select("c.*")
+    digest = F.md5(F.concat_ws(":", *key))
+    share = F.conv(F.substring(digest, 1, 8), 16, 10).cast("long") % n
+    row = F.to_json(F.struct(*[F.substring(F.col(c).cast("string"), 1, width).alias(c) for c in df.columns]))
+    picks = [F.min(F.when(share == i, F.struct(digest.alias("h"), row.alias("row")))).alias(f"_{i}") for i in range(n)]
+    rows = F.transform(F.array(*[F.col(f"_{i}.row") for i in range(n)]), lambda x: F.from_json(x, "map<string,string>"))
+    one = df.agg(cells.alias("_cells"), *picks).select("_cells", F.filter(rows, lambda x: x.isNotNull()).alias("_rows"))
+    own = F.transform("_rows", lambda x: x[F.col("c.column")]).alias("examples")
+    return one.select(F.explode("_cells").alias("c"), "_rows").select("c.*", own)
 
 
 def example_rows(df: DataFrame, n: int = 5) -> DataFrame:

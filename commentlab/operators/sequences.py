@@ -2,18 +2,22 @@
 
 from __future__ import annotations
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from commentlab.operators.features import MARK, MAX_VOCABULARY
 from commentlab.scale import bounded, join_small
 from commentlab.session import materialise
 
 # Sequence length and the ids of padding and of unknown words.
 LENGTH, PAD, UNKNOWN, FIRST_WORD = 128, 0, 1, 2
+# Between language and word in a table of several languages; no word contains it.
+MARK = "\x01"
+# Words up to which the table is held by every executor.
+MAX_VOCABULARY = 2_000_000
 
 
 def parse_array(text: Column) -> Column:
@@ -28,20 +32,25 @@ def word_ids(terms: DataFrame) -> DataFrame:
 
 
 def _look_up(rows: DataFrame, words: DataFrame) -> DataFrame:
-    """Word ids in place of ``_tokens``, batch by batch against a shared word table."""
+    """Word ids in place of ``_tokens``, batch by batch against a shared word table.
+
+    A worker makes the table of a broadcast once and keeps it for all its tasks; a batch asks it
+    for its distinct words.
+    """
     lang = F.coalesce("lang", F.lit(MARK))
     table = words.select(F.concat(lang, F.lit(MARK), "term").alias("word"), "word_id").toArrow()
-    shared = rows.sparkSession.sparkContext.broadcast(
-        (table.column("word").combine_chunks(), table.column("word_id").combine_chunks())
-    )
+    shared = rows.sparkSession.sparkContext.broadcast([table])
 
     def ids_of(tokens: pa.Array) -> pa.Array:
-        words, ids = shared.value
-        found = pc.index_in(tokens.flatten(), value_set=words)
-        known = pc.fill_null(pc.take(ids, found), UNKNOWN).cast(pa.int32())
+        if isinstance(shared.value[0], pa.Table):
+            words, ids = (shared.value[0].column(c).to_pylist() for c in ("word", "word_id"))
+            shared.value[0] = dict(zip(words, ids, strict=True))
+        known = shared.value[0]
+        told = tokens.flatten().dictionary_encode()
+        distinct = np.array([known.get(w, UNKNOWN) for w in told.dictionary.to_pylist()], np.int32)
         lengths = pc.fill_null(pc.list_value_length(tokens), 0).to_numpy(zero_copy_only=False)
         offsets = pa.array([0, *lengths.cumsum()], pa.int32())
-        return pa.ListArray.from_arrays(offsets, known)
+        return pa.ListArray.from_arrays(offsets, pa.array(distinct[np.asarray(told.indices)]))
 
     marked = F.transform("_tokens", lambda t: F.concat(lang, F.lit(MARK), t))
     return rows.withColumn("_ids", F.arrow_udf(ids_of, "array<int>")(marked))

@@ -3,17 +3,31 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
-from functools import reduce
-
-from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from commentlab.functions.columns import DEFAULT_THRESHOLD
 from commentlab.functions.text import analyze, clean_text, remove_stopwords, stopword_table
-from commentlab.operators.features import MAX_DF, MAX_FEATURES, MIN_DF, vocabulary
+from commentlab.operators.features import (
+    MAX_DF,
+    MAX_FEATURES,
+    MIN_DF,
+    NO_TERMS,
+    counted,
+    indexed,
+    vectors,
+    vocabulary_of,
+)
 from commentlab.operators.metrics import language_metrics
-from commentlab.operators.model import MAX_ITER, fit_language, score
+from commentlab.operators.model import (
+    MAX_ITER,
+    LanguageModel,
+    check_classes,
+    fit_vectors,
+    language_model,
+    model_tables,
+    scores,
+)
 from commentlab.operators.threshold import apply_thresholds, best_threshold, for_languages
 from commentlab.scale import literal_table, spread
 from commentlab.session import materialise, run_each
@@ -28,6 +42,7 @@ from commentlab.sources.writers import (
 # The languages and the run name used when none are given.
 LANGUAGES = ["en", "es", "fr", "de", "it", "pt", "ru", "tr"]
 RUN_TAG = "baseline"
+TOLERANCE = 1e-6
 SUMMARY = [
     "val_roc_auc", "val_f1", "val_precision", "val_recall",
     "test_roc_auc", "test_f1", "test_precision", "test_recall",
@@ -36,7 +51,7 @@ SUMMARY = [
 
 @dataclass
 class Run:
-    models: dict[str, PipelineModel]
+    models: dict[str, LanguageModel]
     errors: dict[str, str]
     scored: DataFrame
     thresholds: DataFrame
@@ -46,12 +61,16 @@ class Run:
 
 
 def prepare(splits: DataFrame, use_stopwords: bool, languages: list[str]) -> DataFrame:
-    """Cleaned text, written once and partitioned so that each language and split is read alone."""
-    cleaned = splits.withColumn("comment_text", clean_text(F.col("comment_text")))
+    """lang, split, id, toxic and the counted terms of each text, analysed once for the whole run.
+
+    Written partitioned, so that each language and split is read alone.
+    """
+    cleaned = spread(splits).withColumn("comment_text", clean_text(F.col("comment_text")))
     if use_stopwords:
         words = stopword_table(splits.sparkSession, languages)
         cleaned = remove_stopwords(cleaned, "comment_text", words)
-    return materialise(cleaned, "cleaned", ["lang", "split"])
+    grams = analyze(cleaned, "comment_text", "grams")
+    return counted(grams, "grams", ["lang", "split", "id", "toxic"], ["lang", "split"])
 
 
 def evaluate(scored: DataFrame, thresholds: DataFrame) -> DataFrame:
@@ -60,47 +79,47 @@ def evaluate(scored: DataFrame, thresholds: DataFrame) -> DataFrame:
 
 
 def fit_all(
-    cleaned: DataFrame,
+    stored: DataFrame,
     languages: list[str],
     min_df: int = MIN_DF,
     max_df: float = MAX_DF,
     max_features: int = MAX_FEATURES,
     max_iter: int = MAX_ITER,
     parallelism: int = 4,
-) -> tuple[dict[str, PipelineModel], dict[str, str]]:
+) -> tuple[dict[str, LanguageModel], dict[str, str]]:
     """Models by language, and why the others failed.
 
-    Vocabulary and class counts of all languages come from one job each; the fits are
+    Vocabulary, class counts and vectors of all languages come from one job each; the fits are
     distributed jobs of their own, a few of them under way at a time.
     """
-    grams = analyze(spread(cleaned), "comment_text", "grams")
-    train = grams.filter(F.col("split") == "train")
-    terms = materialise(
-        vocabulary(train, "grams", min_df, max_df, max_features), "vocabulary", ["lang"]
-    )
+    train = stored.filter((F.col("split") == "train") & F.col("lang").isin(languages))
+    terms = indexed(vocabulary_of(train, min_df, max_df, max_features))
+    found = terms.groupBy("lang").agg(F.count("*").alias("n_terms"))
+    classes = train.groupBy("lang").agg(F.count("*").alias("n"), F.count_if(F.col("toxic") == 1).alias("n_pos"))
     counts = {
-        r["lang"]: (r["n"], r["n_pos"])
-        for r in cleaned.filter((F.col("split") == "train") & F.col("lang").isin(languages))
-        .groupBy("lang")
-        .agg(F.count("*").alias("n"), F.count_if(F.col("toxic") == 1).alias("n_pos"))
-        .collect()
+        r["lang"]: (r["n"], r["n_pos"], r["n_terms"] or 0)
+        for r in classes.join(found, "lang", "left").collect()
     }
+    rows = vectors(train, terms, ["lang", "toxic"])
 
-    def fit(lang: str) -> PipelineModel:
-        n, n_pos = counts.get(lang, (0, 0))
+    def fit(lang: str) -> LanguageModel:
+        n, n_pos, n_terms = counts.get(lang, (0, 0, 0))
         if n == 0:
             raise FileNotFoundError(f"no training rows for {lang}")
+        check_classes(n, n_pos)
+        if n_terms == 0:
+            raise ValueError(NO_TERMS)
         own = F.col("lang") == lang
-        rows = train.filter(own).select("toxic", "grams")
-        return fit_language(rows, terms.filter(own), n, n_pos, max_iter=max_iter)
+        fitted = fit_vectors(rows.filter(own).select("toxic", "features"), n, n_pos, "toxic", max_iter, TOLERANCE)
+        return language_model(terms.filter(own), fitted)
 
-    def attempt(lang: str) -> tuple[str, PipelineModel | None, str | None]:
+    def attempt(lang: str) -> tuple[str, LanguageModel | None, str | None]:
         try:
             return lang, fit(lang), None
         except Exception as error:  # one language's failure must not stop the others
             return lang, None, str(error)
 
-    done = run_each(cleaned.sparkSession, attempt, languages, parallelism)
+    done = run_each(stored.sparkSession, attempt, languages, parallelism)
     return (
         {lang: model for lang, model, _ in done if model is not None},
         {lang: error for lang, _, error in done if error is not None},
@@ -108,13 +127,13 @@ def fit_all(
 
 
 def score_splits(
-    cleaned: DataFrame, models: dict[str, PipelineModel], splits: tuple[str, ...] = ("val", "test")
+    stored: DataFrame, models: dict[str, LanguageModel], splits: tuple[str, ...] = ("val", "test")
 ) -> DataFrame:
-    """lang, split, id, y_true, y_prob of the given splits under each language's model."""
-    wanted = cleaned.filter(F.col("split").isin(*splits))
-    grams = analyze(wanted, "comment_text", "grams").select("lang", "split", "id", "toxic", "grams")
-    parts = [score(grams.filter(F.col("lang") == lang), m) for lang, m in models.items()]
-    return reduce(DataFrame.unionByName, parts).withColumnRenamed("toxic", "y_true")
+    """lang, split, id, y_true, y_prob of the given splits under each language's model, in one pass."""
+    terms, intercepts = model_tables(models, stored)
+    wanted = stored.filter(F.col("split").isin(*splits))
+    found = scores(wanted, materialise(terms, "model_terms"), intercepts, ["lang", "split", "id", "toxic"])
+    return found.withColumnRenamed("toxic", "y_true")
 
 
 def summarise(
@@ -146,17 +165,16 @@ def train_and_predict(
     """The whole run over (lang, split, id, comment_text, toxic) rows.
 
     ``errors`` names languages that already failed to load. With ``find_threshold`` off every
-    language is cut at 0.5.
+    language is cut at 0.5. Where no language can be trained, the summary has an error for each
+    and the other tables have their columns and no rows.
     """
     languages = unique(languages)
     failed = dict(errors or {})
     todo = [lang for lang in languages if lang not in failed]
-    cleaned = prepare(splits.filter(F.col("lang").isin(todo)), use_stopwords, todo)
-    models, unfit = fit_all(cleaned, todo, **fit_options)
+    stored = prepare(splits.filter(F.col("lang").isin(todo)), use_stopwords, todo)
+    models, unfit = fit_all(stored, todo, **fit_options)
     failed |= unfit
-    if not models:
-        raise RuntimeError(f"no language could be trained: {failed}")
-    scored = materialise(score_splits(cleaned, models), "scored", ["lang", "split"])
+    scored = materialise(score_splits(stored, models), "scored", ["lang", "split"])
     val = scored.filter(F.col("split") == "val")
     if find_threshold:
         thresholds = for_languages(best_threshold(val, ["lang"]), list(models))

@@ -70,11 +70,13 @@ comments AS (
 )"""
 
 
-def scored(spark: SparkSession, sf_dir: str, times: int = 7919, span: int = 700) -> DataFrame:
+def scored(
+    spark: SparkSession, sf_dir: str, times: int = 7919, span: int = 700, keep: tuple[str, ...] = ()
+) -> DataFrame:
     """lang, id, y_true and a made-up score that follows the label and has ties."""
     score = ((F.col("id") * times) % span + (1000 - span) * F.col("toxic")).cast("double") / 1000
     return comments(spark, sf_dir).select(
-        "lang", "id", F.col("toxic").alias("y_true"), score.alias("y_prob"), "quality", "n_chars"
+        "lang", "id", F.col("toxic").alias("y_true"), score.alias("y_prob"), "quality", "n_chars", *keep
     )
 
 

@@ -40,8 +40,8 @@ def _(spark, sf):
 SELECT id, lang, term, round(w / norm, 6) AS weight FROM weighted JOIN norms USING (id)""",
 )
 def _(spark, sf):
-    rows = analyzed(spark, sf)
-    long = f.tfidf_terms(rows, "grams", f.vocabulary(rows, "grams"), ["id", "lang"])
+    rows = f.counted(analyzed(spark, sf), "grams", ["id", "lang"])
+    long = f.tfidf_of(rows, f.vocabulary_of(rows), ["id", "lang"])
     return long.select("id", "lang", "term", six("weight").alias("weight"))
 
 

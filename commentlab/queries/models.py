@@ -160,7 +160,7 @@ def _(spark, sf):
     """
     cleaned, models, errors = _fitted(spark, sf)
     sizes = [
-        (lang, models[lang].stages[-1].numFeatures if lang in models else None, errors.get(lang))
+        (lang, models[lang].n_features if lang in models else None, errors.get(lang))
         for lang in sorted({*models, *errors})
     ]
     sizes = literal_table(spark, sizes, "lang string, n_features int, error string")

@@ -134,9 +134,8 @@ SELECT lang, error_type, category, count(*) AS n FROM named GROUP BY ALL""",
 )
 def _(spark, sf):
     words = literal_table(spark, LEXICON, "lang string, category string, word string")
-    errors = tag_errors(predictions(spark, sf)).select("lang", "id", "y_true", "error_type")
-    texts = comments(spark, sf).select("lang", "id", "comment_text")
-    return error_categories(errors.join(texts, ["lang", "id"]), words)
+    errors = tag_errors(predictions(spark, sf, keep=("comment_text",)))
+    return error_categories(errors.select("lang", "id", "y_true", "error_type", "comment_text"), words)
 
 
 TUNED = f"""

@@ -9,6 +9,7 @@ from commentlab.operators.errors import tag_errors
 from commentlab.operators.metrics import metrics_report
 from commentlab.operators.sampling import error_sample, split_rows
 from commentlab.operators.threshold import apply_thresholds, best_threshold, for_languages
+from commentlab.plans.evaluate import evaluation_status
 from commentlab.plans.train import evaluate, summarise
 from commentlab.queries.base import (
     COMMENTS,
@@ -217,16 +218,48 @@ PROFILED = {
 def _profile_sql() -> str:
     rows = " UNION ALL ".join(
         f"""SELECT {i} AS position, '{c}' AS "column", '{kind}' AS dtype, count(*) AS n_rows,
-  count(*) - count({c}) AS n_null, {'NULL::DOUBLE' if kind == 'string' else f'round(avg({c}), 6)'} AS mean
+  count(*) - count({c}) AS n_null, {'NULL::DOUBLE' if kind == 'string' else f'round(avg({c}), 6)'} AS mean,
+  (SELECT string_agg(left(CAST({c} AS VARCHAR), 80), ' | ' ORDER BY part) FROM picked) AS examples
 FROM comments"""
         for i, (c, kind) in enumerate(PROFILED.items())
     )
-    return f"WITH {COMMENTS} {rows}"
+    return f"""WITH {COMMENTS}, dealt AS (
+  SELECT *, CAST(('0x' || substr(md5(CAST(id AS VARCHAR)), 1, 8)) AS BIGINT) % 3 AS part FROM comments
+), picked AS (
+  SELECT * FROM dealt QUALIFY row_number() OVER (PARTITION BY part ORDER BY md5(CAST(id AS VARCHAR))) = 1
+) {rows}"""
 
 
 @query("profile_table", _profile_sql())
 def _(spark, sf):
-    return p.profile_table(comments(spark, sf)).withColumn("mean", six("mean"))
+    told = p.profile_table(comments(spark, sf), ["id"], 3).withColumn("mean", six("mean"))
+    return told.withColumn("examples", F.array_join("examples", " | "))
+
+
+FAULTY = f"""{scored_sql()}, faulty AS (
+  SELECT lang, CASE WHEN lang = 'fr' AND id % 10 = 0 THEN 7 ELSE y_true END AS y_true, y_prob,
+    CASE WHEN lang = 'de' AND id % 2 = 0 THEN 0.25::DOUBLE ELSE 0.75::DOUBLE END AS best_threshold
+  FROM scored
+)"""
+
+
+@query(
+    "evaluation_status",
+    f"""WITH {FAULTY}
+SELECT lang AS language, 'found' AS status, count(*) AS n_rows, count(*) FILTER (y_true NOT IN (0, 1)) AS n_invalid,
+  count(DISTINCT best_threshold) AS n_thresholds
+FROM faulty WHERE lang IS NOT NULL GROUP BY lang
+UNION ALL SELECT 'xx', 'missing', 0, 0, 0""",
+)
+def _(spark, sf):
+    """Stored files with faults, and a language that has none."""
+    lang, label = F.col("lang"), F.col("y_true")
+    threshold = F.when((lang == "de") & (F.col("id") % 2 == 0), 0.25).otherwise(0.75)
+    wrong = F.when((lang == "fr") & (F.col("id") % 10 == 0), 7).otherwise(label)
+    rows = scored(spark, sf).filter(lang.isNotNull()).select("lang", "id", wrong.alias("y_true"), "y_prob", threshold.alias("best_threshold"))
+    folder, known = new_path(spark, "faulty"), languages(comments(spark, sf))
+    w.write_prediction_files(rows.withColumn("y_pred", F.lit(0)), folder, "baseline", known)
+    return evaluation_status(spark, folder, "baseline", [*known, "xx"])
 
 
 @query(

@@ -11,6 +11,7 @@ from commentlab.operators.features import vocabulary
 from commentlab.operators.sequences import pack_sequences, parse_array, word_ids
 from commentlab.queries.base import documents, query, table
 from commentlab.scale import literal_table, spread
+from commentlab.session import materialise
 
 WORD = r"[\p{L}\p{N}_]"
 SPACE = r"[\t-\r\x1c-\x20\x{85}\p{Z}]"
@@ -193,7 +194,7 @@ FROM analyzed a LEFT JOIN packed p ON a.id = p.id""",
 def _(spark, sf):
     lowered = F.lower(t.clean_text(F.col("comment_text")))
     words = documents(spark, sf).withColumn("w", t.tokenize(strip_accents(lowered)))
-    rows = words.select("id", "lang", "w")
+    rows = materialise(words.select("id", "lang", "w"), "tokens")
     packed = pack_sequences(rows, "w", word_ids(vocabulary(rows, "w")))
     return packed.select(
         "id",

@@ -13,6 +13,8 @@ from pyspark.sql.window import Window as W
 SMALL_ROWS = 50_000
 # The same in bytes, for tables with long rows.
 SMALL_BYTES = 256 << 20
+# Rows up to which a capped table with short rows is broadcast.
+CAPPED_ROWS = 2_000_000
 # Spark prunes row_number() <= k before the shuffle up to this k
 # (spark.sql.optimizer.windowGroupLimitThreshold).
 GROUP_LIMIT = 1_000
@@ -44,6 +46,26 @@ def bounded(small: DataFrame, max_rows: int = SMALL_ROWS) -> DataFrame | None:
         probe.unpersist()
 
 
+def within(small: DataFrame, max_rows: int, max_bytes: int = SMALL_BYTES) -> bool:
+    """Whether ``small`` has at most so many rows and bytes; measured where the rows are."""
+    size = F.sum(F.octet_length(F.to_json(F.struct("*"))))
+    rows, size = small.limit(max_rows + 1).agg(F.count("*"), size).first()
+    return rows <= max_rows and (size or 0) <= max_bytes
+
+
+def join_capped(
+    big: DataFrame, small: DataFrame, on: list[str], how: str = "inner", held: bool | None = None
+) -> DataFrame:
+    """Join ``big`` with a table that its maker caps, such as a vocabulary.
+
+    Measured to be within ``CAPPED_ROWS`` and ``SMALL_BYTES`` (or told so by ``held``) it is
+    broadcast; beyond that both sides are shuffled, the smaller one as hash tables, and adaptive
+    execution splits hot keys. The rows are the same. NULL keys match each other.
+    """
+    held = within(small, CAPPED_ROWS) if held is None else held
+    return same_keys(big, F.broadcast(small) if held else small.hint("shuffle_hash"), on, how)
+
+
 def join_small(
     big: DataFrame,
     small: DataFrame,
@@ -62,15 +84,16 @@ def join_small(
     """
     local = bounded(small, max_rows)
     if local is not None:
-        return _join_null_safe(big, F.broadcast(local), on, how)
+        return same_keys(big, F.broadcast(local), on, how)
     salted = big.withColumn("_salt", F.pmod(F.xxhash64(*big.columns), F.lit(salts)))
     copies = small.withColumn(
         "_salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(salts - 1).cast("long")))
     )
-    return _join_null_safe(salted, copies, [*on, "_salt"], how).drop("_salt")
+    return same_keys(salted, copies, [*on, "_salt"], how).drop("_salt")
 
 
-def _join_null_safe(big: DataFrame, small: DataFrame, on: list[str], how: str) -> DataFrame:
+def same_keys(big: DataFrame, small: DataFrame, on: list[str], how: str = "inner") -> DataFrame:
+    """A join on equal keys in which NULL equals NULL."""
     theirs = {key: f"_small_{key}" for key in on}
     same = [F.col(key).eqNullSafe(F.col(other)) for key, other in theirs.items()]
     joined = big.join(small.withColumnsRenamed(theirs), reduce(Column.__and__, same), how)

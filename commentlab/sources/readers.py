@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterable
 from functools import reduce
+from urllib.parse import urlparse
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window as W
@@ -66,6 +68,61 @@ def read_csv(
     return blank_missing(with_ordinal(raw) if need_id and "id" not in raw.columns else raw)
 
 
+def _columns(spark: SparkSession, path: str, fmt: str, multiline: bool) -> T.StructType | FileNotFoundError:
+    try:
+        raw = scan_csv(spark, path, multiline) if fmt == "csv" else _found(lambda: spark.read.format(fmt).load(path), path)
+        return raw.schema
+    except FileNotFoundError as error:
+        return error
+
+
+def _place_of(paths: dict[str, str]) -> Column:
+    """The place that a row's file belongs to, from the end of its path; the longest end counts."""
+    decoded = F.url_decode(F.replace(F.col("_metadata.file_path"), F.lit("+"), F.lit("%2B")))
+    name = F.regexp_replace(decoded, r"/part-[^/]*$", "")
+    place = F.lit(None).cast("string")
+    for path, value in sorted(paths.items(), key=lambda item: len(urlparse(item[0]).path)):
+        place = F.when(name.endswith(urlparse(path).path.rstrip("/")), F.lit(value)).otherwise(place)
+    return place
+
+
+def scan_places(
+    spark: SparkSession,
+    paths: dict[str, str],
+    fmt: str = "csv",
+    multiline: bool = True,
+    need_id: bool = False,
+    thresholds: bool = False,
+) -> tuple[list[DataFrame], dict[str, FileNotFoundError]]:
+    """Tables of many paths, each row with the ``_place`` that ``paths`` gives its path, and the
+    missing paths. Files of one header are one scan; headers are read a few at a time. With
+    ``thresholds`` rows also get the ``_first_threshold`` of their place where that decides."""
+    listed = list(paths)
+    found = dict(zip(listed, run_each(spark, lambda path: _columns(spark, path, fmt, multiline), listed)))
+    missing = {path: x for path, x in found.items() if isinstance(x, FileNotFoundError)}
+    alike: dict[str, list[str]] = {}
+    for path, schema in found.items():
+        if path not in missing:
+            alike.setdefault(schema.json(), []).append(path)
+    tables = []
+    for own in alike.values():
+        schema = found[own[0]]
+        reader = spark.read.schema(schema)
+        if fmt == "csv":
+            reader = reader.option("header", True).option("multiLine", multiline).option("quote", '"').option("escape", '"')
+        place = _place_of({path: paths[path] for path in own})
+        scan = reader.format(fmt).load(own)
+        if need_id and "id" not in scan.columns:
+            table = with_ordinal(scan, place=place)
+        else:
+            table = scan.select("*", place.alias("_place"))
+        if thresholds and _by_first_row(scan.columns):
+            firsts = _first_of(scan, place)
+            table = join_small(table, firsts, ["_place"])
+        tables.append(blank_missing(table) if fmt == "csv" else table)
+    return tables, missing
+
+
 def read_table(
     spark: SparkSession, path: str, fmt: str = "csv", need_id: bool = False, multiline: bool = True
 ) -> DataFrame:
@@ -83,29 +140,47 @@ def csv_to_parquet(spark: SparkSession, source: str, target: str, multiline: boo
     read_csv(spark, source, multiline, need_id=True).hint("rebalance").write.parquet(target)
 
 
-def with_ordinal(scan: DataFrame, out: str = "id") -> DataFrame:
+def with_ordinal(scan: DataFrame, out: str = "id", place: Column | None = None) -> DataFrame:
     """Ordinals 0..n-1 in the order of the files and of the rows in them.
 
     Takes a plain file scan. The size of each file block gives the first ordinal of the next,
-    so rows are numbered where they are read.
+    so rows are numbered where they are read. With a ``place`` of each row, which is added as
+    ``_place``, the files of every place are numbered on their own.
     """
     placed = scan.select(
         "*",
+        (F.lit(None).cast("string") if place is None else place).alias("_place"),
         F.col("_metadata.file_path").alias("_file"),
         F.col("_metadata.file_block_start").alias("_block"),
         F.monotonically_increasing_id().alias("_pos"),
     )
-    before = W.orderBy("_file", "_block").rowsBetween(W.unboundedPreceding, -1)
+    own = W.partitionBy("_place") if place is not None else W
+    before = own.orderBy("_file", "_block").rowsBetween(W.unboundedPreceding, -1)
     blocks = (
-        placed.groupBy("_file", "_block")
+        placed.groupBy("_place", "_file", "_block")
         .agg(F.min("_pos").alias("_first"), F.count("*").alias("_n"))
         .withColumn("_start", F.coalesce(F.sum("_n").over(before), F.lit(0)))
-        .drop("_n")
+        .drop("_n", "_place")
     )
     ordinal = F.col("_start") + F.col("_pos") - F.col("_first")
+    kept = scan.columns if place is None else [*scan.columns, "_place"]
     # One row per block of 128 MB or so: still a small side for a very large table.
     return join_small(placed, blocks, ["_file", "_block"], max_rows=1_000_000).select(
-        *scan.columns, ordinal.alias(out)
+        *kept, ordinal.alias(out)
+    )
+
+
+def _as_split(df: DataFrame, lang: Column, split: Column, text_col: str, label_col: str, what: str) -> DataFrame:
+    if text_col not in df.columns:
+        raise KeyError(f"no text column {text_col} in {what}: {df.columns}")
+    if label_col not in df.columns:
+        df = df.withColumn(label_col, F.lit(UNLABELLED))
+    return df.select(
+        lang.alias("lang"),
+        split.alias("split"),
+        F.col("id").cast("string").alias("id"),
+        F.col(text_col).cast("string").alias("comment_text"),
+        F.col(label_col).cast("double").cast("int").alias("toxic"),
     )
 
 
@@ -122,17 +197,7 @@ def load_split(
     """lang, split, id, text, label of one split; labels default to -1, ids to ordinals."""
     path = f"{folder}/{lang}/{split}.{fmt}"
     df = read_table(spark, path, fmt, need_id=True, multiline=multiline)
-    if text_col not in df.columns:
-        raise KeyError(f"no text column {text_col} in {path}: {df.columns}")
-    if label_col not in df.columns:
-        df = df.withColumn(label_col, F.lit(UNLABELLED))
-    return df.select(
-        F.lit(lang).alias("lang"),
-        F.lit(split).alias("split"),
-        F.col("id").cast("string").alias("id"),
-        F.col(text_col).cast("string").alias("comment_text"),
-        F.col(label_col).cast("double").cast("int").alias("toxic"),
-    )
+    return _as_split(df, F.lit(lang), F.lit(split), text_col, label_col, path)
 
 
 def load_splits(
@@ -148,29 +213,23 @@ def load_splits(
 ) -> tuple[DataFrame, dict[str, str]]:
     """All splits of all languages, and the languages left out with the reason.
 
-    A missing file raises when ``strict``; otherwise it leaves its whole language out. Headers
-    are read a few files at a time.
+    A missing file raises when ``strict``; otherwise it leaves its whole language out, and if that
+    holds for all of them the table is empty. Files with the same columns are one scan, whose rows
+    know their language and split by their path.
     """
-    names = list(splits)
-
-    def load(lang: str) -> list[DataFrame] | FileNotFoundError:
-        try:
-            return [
-                load_split(spark, folder, lang, split, text_col, label_col, fmt, multiline)
-                for split in names
-            ]
-        except FileNotFoundError as error:
-            return error
-
-    wanted = unique(languages)
-    found = dict(zip(wanted, run_each(spark, load, wanted)))
-    missing = {lang: str(x) for lang, x in found.items() if isinstance(x, FileNotFoundError)}
-    if strict and missing:
-        raise next(x for x in found.values() if isinstance(x, FileNotFoundError))
-    parts = [df for lang, dfs in found.items() if lang not in missing for df in dfs]
-    if not parts:
-        raise FileNotFoundError(f"no complete language under {folder}")
-    return reduce(DataFrame.unionByName, parts), missing
+    names, wanted = list(splits), unique(languages)
+    paths = {f"{folder}/{lang}/{split}.{fmt}": json.dumps([lang, split]) for lang in wanted for split in names}
+    tables, lost = scan_places(spark, paths, fmt, multiline, need_id=True)
+    missing: dict[str, str] = {}
+    for path, error in lost.items():
+        if strict:
+            raise error
+        missing.setdefault(json.loads(paths[path])[0], str(error))
+    lang, split = (F.get_json_object("_place", f"$[{i}]") for i in (0, 1))
+    parts = [_as_split(df, lang, split, text_col, label_col, folder) for df in tables]
+    none = spark.createDataFrame([], "lang string, split string, id string, comment_text string, toxic int")
+    loaded = reduce(DataFrame.unionByName, parts) if parts else none
+    return loaded.filter(~F.col("lang").isin(list(missing))) if missing else loaded, missing
 
 
 def unique(languages: Iterable[str]) -> list[str]:
@@ -212,11 +271,28 @@ def languages_of_names(names: DataFrame, run_tag: str) -> DataFrame:
     )
 
 
+def _first_of(scan: DataFrame, place: Column) -> DataFrame:
+    """_place and ``_first_threshold``, the stored threshold in the first row of the place's files.
+
+    Takes a plain file scan; the order is that of the files, their blocks and the rows in them.
+    """
+    at = F.struct(
+        F.col("_metadata.file_path").alias("file"),
+        F.col("_metadata.file_block_start").alias("block"),
+        F.monotonically_increasing_id().alias("pos"),
+    )
+    told = F.struct(F.col("best_threshold").cast("string").alias("t"))
+    marked = scan.select(place.alias("_place"), told.alias("_t"), at.alias("_at"))
+    firsts = marked.groupBy("_place").agg(F.min_by("_t", "_at").alias("_f"))
+    first = F.col("_f.t")
+    return firsts.select("_place", F.when(~first.isin(MISSING), first).alias("_first_threshold"))
+
+
 def resolve_predictions(df: DataFrame) -> DataFrame:
     """Columns under their role names: y_true, y_prob, y_pred, best_threshold, and the rest.
 
-    Without a decision column, the stored threshold decides, or 0.5 if there is none. Stored
-    thresholds are constant per file, so each row's own one is the file's.
+    Without a decision column, the stored threshold decides, or 0.5 if there is none: that of the
+    file's first row where it is given as ``_first_threshold``, otherwise the row's own.
     """
     label = F.col(pick_column(df.columns, LABEL_NAMES)).cast("double").cast("int")
     score = F.col(pick_column(df.columns, SCORE_NAMES)).cast("double")
@@ -225,9 +301,10 @@ def resolve_predictions(df: DataFrame) -> DataFrame:
         threshold = stored_threshold(F.col("best_threshold"))
     else:
         threshold = F.lit(DEFAULT_THRESHOLD)
-    made = F.col(decision).cast("double").cast("int") if decision else binarize(score, threshold)
+    rule = stored_threshold(F.col("_first_threshold")) if "_first_threshold" in df.columns else threshold
+    made = F.col(decision).cast("double").cast("int") if decision else binarize(score, rule)
     roles = {"y_true": label, "y_prob": score, "y_pred": made, "best_threshold": threshold}
-    rest = [c for c in df.columns if c not in roles]
+    rest = [c for c in df.columns if c not in roles and c != "_first_threshold"]
     return df.select(*rest, *[c.alias(name) for name, c in roles.items()])
 
 
@@ -272,7 +349,11 @@ def load_predictions(
     many tasks with ``multiline`` off.
     """
     if fmt != "csv":
-        table = read_table(spark, folder, fmt).filter(F.col("run_tag") == run_tag)
+        table = read_table(spark, folder, fmt)
+        if _by_first_row(table.columns):
+            place = F.to_json(F.struct("run_tag", "lang"))
+            table = join_small(table.withColumn("_place", place), _first_of(table, place), ["_place"]).drop("_place")
+        table = table.filter(F.col("run_tag") == run_tag)
         if languages:
             table = table.filter(F.col("lang").isin(unique(languages)))
             if strict:
@@ -284,33 +365,34 @@ def load_predictions(
     if not languages:
         found = languages_of_names(file_names(spark, folder), run_tag)
         languages = [r["lang"] for r in found.collect()]
-    parts = []
-    for lang in choose_languages(languages):
-        path = f"{folder}/{run_tag}_{lang}.csv"
-        try:
-            df = resolve_predictions(read_csv(spark, path, multiline, need_id=True))
-        except FileNotFoundError:
-            if strict:
-                raise
-            continue
-        parts.append(
-            df.drop("run_tag", "lang")
-            .withColumn("id", F.col("id").cast("string"))
-            .withColumns({"run_tag": F.lit(run_tag), "lang": F.lit(lang)})
-        )
+    paths = {f"{folder}/{run_tag}_{lang}.csv": lang for lang in choose_languages(languages)}
+    tables, lost = scan_places(spark, paths, "csv", multiline, need_id=True, thresholds=True)
+    if strict and lost:
+        raise next(iter(lost.values()))
+    parts = [
+        resolve_predictions(df.drop("run_tag", "lang").withColumnRenamed("_place", "lang"))
+        .withColumn("id", F.col("id").cast("string"))
+        .withColumn("run_tag", F.lit(run_tag))
+        for df in tables
+    ]
     if not parts:
         raise FileNotFoundError(f"no predictions of {run_tag} under {folder}")
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
 
 
+def _by_first_row(columns: list[str]) -> bool:
+    """Whether decisions are still to be made by a stored threshold."""
+    return "best_threshold" in columns and pick_column(columns, DECISION_NAMES, required=False) is None
+
+
 def translated_union(
     spark: SparkSession, manifest: dict[str, str], fmt: str = "csv", multiline: bool = True
 ) -> DataFrame:
     """The corpora of a manifest lang -> path under one another, tagged with their language."""
-    parts = [
-        read_table(spark, path, fmt, multiline=multiline).withColumn("lang", F.lit(lang))
-        for lang, path in manifest.items()
-    ]
+    tables, missing = scan_places(spark, {path: lang for lang, path in manifest.items()}, fmt, multiline)
+    if missing:
+        raise next(iter(missing.values()))
+    parts = [df.drop("lang").withColumnRenamed("_place", "lang") for df in tables]
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
 
 

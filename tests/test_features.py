@@ -2,12 +2,14 @@
 
 import math
 from collections import Counter
+from pathlib import Path
 
 import numpy as np
 import pytest
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
+from commentlab import scale
 from commentlab.operators import features as f
 
 
@@ -90,7 +92,8 @@ def test_long_form_and_vectors(df, corpus):
         n = next(iter(kept[lang].values()))[1]
         docs = {w: d for w, (d, _) in kept[lang].items()}
         stages = f.vectorizer(vocab.filter(F.col("lang") == lang))
-        order = stages.stages[0].vocabulary
+        order = {r["index"]: r["term"] for r in stages.terms.collect()}
+        assert sorted(order) == list(range(len(order)))
         vectors = stages.transform(df.filter(F.col("lang") == lang))
         for r in vectors.select("id", "grams", vector_to_array("features").alias("v")).collect():
             want = weights_of(r["grams"], docs, n)
@@ -98,16 +101,22 @@ def test_long_form_and_vectors(df, corpus):
             assert {order[i]: x for i, x in enumerate(r["v"]) if x} == pytest.approx(want)
 
 
-def test_long_form_of_a_vocabulary_too_large_to_hold(df, monkeypatch):
+def test_a_vocabulary_beyond_the_bound_is_shuffled(df, monkeypatch):
     vocab = f.vocabulary(df, "grams", 2, 0.9)
 
     def weights():
-        long = f.tfidf_terms(df, "grams", vocab, ["id", "lang"]).collect()
-        return {(r["id"], r["lang"], r["term"]): r["weight"] for r in long}
+        long = f.tfidf_terms(df, "grams", vocab, ["id", "lang"])
+        plan = long._jdf.queryExecution().executedPlan().toString()
+        return {(r["id"], r["lang"], r["term"]): r["weight"] for r in long.collect()}, "ShuffledHashJoin" in plan
 
-    held = weights()
-    monkeypatch.setattr(f, "MAX_VOCABULARY", 3)
-    assert weights() == pytest.approx(held) and held
+    held, by_shuffle = weights()
+    assert not by_shuffle and vocab.count() > 10
+    for module in (f, scale):
+        monkeypatch.setattr(module, "CAPPED_ROWS", 10)
+    shuffled, by_shuffle = weights()
+    assert by_shuffle and shuffled == pytest.approx(held) and held
+    stages = f.vectorizer(vocab.filter("lang = 'en'"))
+    assert stages.transform(df.filter("lang = 'en'")).count() == 100 and stages.size > 10
 
 
 def test_unseen_terms_and_empty_rows(spark, df):
@@ -121,7 +130,5 @@ def test_empty_vocabulary(df):
         f.vectorizer(f.vocabulary(df, "grams", min_df=10_000))
 
 
-def test_vocabulary_size_is_checked(df, monkeypatch):
-    monkeypatch.setattr(f, "MAX_VOCABULARY", 3)
-    with pytest.raises(ValueError, match="lower max_features"):
-        f.vectorizer(f.vocabulary(df, "grams"))
+def test_no_vocabulary_on_the_driver():
+    assert not any(word in Path(f.__file__).read_text() for word in ("toArrow", "collect()", "CountVectorizer"))

@@ -115,8 +115,13 @@ def test_stopwords_and_fixed_threshold(splits):
 
 
 def test_nothing_trainable(splits):
-    with pytest.raises(RuntimeError, match="no language"):
-        train_and_predict(splits, ["zz"])
+    run = train_and_predict(splits, ["zz", "it"])
+    errors = {r["language"]: r["error"] for r in run.summary.collect()}
+    assert "no training rows" in errors["zz"] and "both classes" in errors["it"]
+    assert run.predictions.count() == run.thresholds.count() == 0 and not run.models
+    learnt = train_and_predict(splits, ["es"], max_iter=5)
+    for name in ("scored", "thresholds", "predictions", "metrics", "summary"):
+        assert getattr(run, name).dtypes == getattr(learnt, name).dtypes
 
 
 def test_languages_that_failed_to_load(splits):

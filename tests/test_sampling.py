@@ -1,10 +1,12 @@
 """Splits, samples and surrogate ids."""
 
 import hashlib
+import uuid
 
 import pytest
 from pyspark.sql import functions as F
 
+from commentlab.functions import columns
 from commentlab.functions.columns import surrogate_id
 from commentlab.operators import sampling as s
 from commentlab.operators.errors import error_categories, tag_errors, union_errors
@@ -163,3 +165,54 @@ def test_error_categories_both_ways(spark, rows_of, monkeypatch):
     assert rows_of(error_categories(errors, lexicon)) == want
     monkeypatch.setattr("commentlab.operators.errors.bounded", lambda df: None)
     assert rows_of(error_categories(errors, lexicon)) == want
+
+
+def jobs_of(spark, work):
+    """How many Spark jobs ``work`` starts."""
+    group = str(uuid.uuid4())
+    spark.sparkContext.setJobGroup(group, group)
+    try:
+        work()
+        return len(spark.sparkContext.statusTracker().getJobIdsForGroup(group))
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+
+
+def test_few_jobs(spark, skewed):
+    assert jobs_of(spark, lambda: s.split_rows(skewed, ["lang"]).collect()) <= 6
+    assert jobs_of(spark, lambda: s.stratified_sample(skewed, ["toxic"], cap=100).collect()) <= 8
+
+
+def test_many_groups_give_the_same_rows(spark, skewed, rows_of, monkeypatch):
+    gaps = skewed.withColumn("lang", F.when(F.col("id") % 7 > 0, F.col("lang")))
+    gaps = gaps.withColumn("id", F.when(F.col("id") % 11 > 0, F.col("id")))
+
+    def both():
+        split = s.split_rows(gaps, ["lang", "toxic"], tie=["toxic"])
+        sample = s.stratified_sample(gaps, ["lang", "toxic"], cap=333, fraction=0.3)
+        return rows_of(split), rows_of(sample)
+
+    few = both()
+    assert len(few[0]) == 5000 and len(few[1]) >= 300
+    monkeypatch.setattr(s, "MAX_LINES", 0)
+    assert both() == few
+    monkeypatch.setattr(s, "MAX_GROUPS", 1)
+    assert both() == few
+
+
+def test_empty_tables(skewed):
+    none = skewed.filter("id < 0")
+    assert s.split_rows(none, ["lang"]).count() == s.stratified_sample(none, ["toxic"]).count() == 0
+    assert surrogate_id(none, ["lang"], "id", "n").count() == 0
+
+
+@pytest.mark.parametrize("pos", ["id * 5 + 1", "xxhash64(id)", "if(id < 5999, id, 1L << 62)", "id / 3", "cast(id as string)"])
+def test_large_groups_are_numbered_by_ranges(spark, pos, monkeypatch):
+    monkeypatch.setattr(columns, "NUMBERED", 100)
+    lang = F.when(F.col("id") % 10 > 0, "a").when(F.col("id") % 20 == 0, "b")
+    df = spark.range(6000).select(F.expr(pos).alias("pos"), lang.alias("lang"), F.lit("wide").alias("text"))
+    groups = {}
+    for r in surrogate_id(df, ["lang"], "pos").collect():
+        groups.setdefault(r["lang"], []).append((r["pos"], r["id"]))
+    assert {k: len(v) for k, v in groups.items()} == {"a": 5400, "b": 300, None: 300}
+    assert all([i for _, i in sorted(g)] == list(range(len(g))) for g in groups.values())
