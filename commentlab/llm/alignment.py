@@ -44,9 +44,11 @@ from commentlab.session import materialise
 PART = 1 << 16
 FAN = 8
 # Bytes of text aligned at a time.
-TEXT_BYTES = 1 << 20
+TEXT_BYTES = 1 << 19
 # Tokens whose groups are written out at a time.
-TOKENS = 1 << 18
+TOKENS = 1 << 17
+# Words that a worker remembers for each vocabulary.
+CACHE = 250_000
 BLANK = "▁"
 
 
@@ -148,6 +150,7 @@ class Aligner:
 
     def __init__(self, byte_path: str, piece_path: str):
         self.a, self.b = LibraryEncoder(byte_path, plain=True), PieceEncoder(piece_path)
+        self.a.cache = self.b.cache = CACHE
 
     def fragments(self, column: pa.Array, lo: np.ndarray | None = None, hi: np.ndarray | None = None):
         """(ids, bounds, sizes, bounds) of A and of B, and which texts are not spelled back.

@@ -242,7 +242,9 @@ def gather(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
 
 
 class Encoder:
-    """Encodes text columns; tokens seen before are looked up."""
+    """Encodes text columns; tokens seen before are looked up, up to ``cache`` of them."""
+
+    cache = CACHE
 
     def __init__(self, ranks: dict[bytes, int]):
         self.kinds, self.merger = character_classes(), Merger(ranks)
@@ -270,7 +272,7 @@ class Encoder:
         data, offsets = common.text_bytes(told.dictionary)
         data, places = data.tobytes(), offsets.tolist()
         words = [data[a:b] for a, b in zip(places, places[1:], strict=False)]
-        if len(self.known) > CACHE:
+        if len(self.known) > self.cache:
             self._clear()
         codes = list(map(self.known.get, words))
         if None in codes:
