@@ -36,6 +36,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from commentlab.llm import common
@@ -316,9 +317,18 @@ def near_duplicates(
     docs: DataFrame, doc_id: str = "doc_id", text: str = "text", k: int = 5, num: int = 80, den: int = 100
 ) -> DataFrame:
     """doc_id, n_shingles, component_id of every row; links where den * shared >= num * union."""
+    return classified(docs, doc_id, text, k, num, den).select("doc_id", F.col("n").alias("n_shingles"), "component_id")
+
+
+def classified(
+    docs: DataFrame, doc_id: str = "doc_id", text: str = "text", k: int = 5, num: int = 80, den: int = 100,
+    hot: np.ndarray | None = None,
+) -> DataFrame:
+    """doc_id, n, class, group, component_id of every row: its set, the class of a linked group that
+    names the group, and the least id of the group. Rows without words or id have no class."""
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
     kind = dict(rows.dtypes)["doc_id"]
-    hot = np.packbits(frequent_shingles(rows, k))
+    hot = np.packbits(frequent_shingles(rows, k)) if hot is None else hot
 
     class Describe:
         @staticmethod
@@ -393,12 +403,14 @@ def near_duplicates(
         classes.select(F.col("class").alias("node"), "least_id"), "node"
     )
     roots = linked.groupBy("root").agg(F.min("least_id").alias("component_id"))
-    linked = linked.join(roots, "root").select(F.col("node").alias("class"), "component_id")
+    linked = linked.join(roots, "root").select(F.col("node").alias("class"), F.col("root").alias("group"), "component_id")
     named = classes.select("class", "least_id").join(linked, "class", "left")
-    named = named.select("class", F.coalesce("component_id", "least_id").alias("component_id"))
-    return told.join(named, "class", "left").select(
-        "doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id")
+    named = named.select(
+        "class", F.coalesce("group", "class").alias("group"), F.coalesce("component_id", "least_id").alias("component_id")
     )
+    # rows without a class ask nothing
+    lone = told.filter("class is null").select("doc_id", "n", "class", F.col("class").alias("group"), F.col("doc_id").alias("component_id"))
+    return there.join(named, "class").select("doc_id", "n", "class", "group", "component_id").unionByName(lone)
 
 
 def _class_ids(sets: list[np.ndarray]) -> np.ndarray:
@@ -406,18 +418,49 @@ def _class_ids(sets: list[np.ndarray]) -> np.ndarray:
     return np.frombuffer(b"".join(hashlib.blake2b(x.tobytes(), digest_size=8).digest() for x in sets), np.int64)
 
 
+def with_class(rows: DataFrame, text: str, hot: np.ndarray, k: int = 5) -> DataFrame:
+    """``rows`` with ``_class``, the class that ``classified`` gives the row; NULL without words."""
+
+    class Work:
+        @staticmethod
+        def prepare():
+            shingles = Shingles(k, np.unpackbits(hot).astype(bool))
+
+            def work(part):
+                sets = shingles.sets(part.column(at))
+                empty = np.array([not len(x) for x in sets], bool)
+                return pa.record_batch([*part.columns, pa.array(_class_ids(sets), mask=empty)], names=[*part.schema.names, "_class"])
+
+            return work
+
+    at = rows.columns.index(text)
+    schema = T.StructType([*rows.schema, T.StructField("_class", T.LongType())])
+    return common.map_chunks(rows, text, Work, schema)
+
+
 def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", **how) -> DataFrame:
-    """``docs`` with one row of each group of near duplicates: the one with the least id.
+    """``docs`` with one row of each group of near duplicates: one with the group's least id.
 
-    Of repeated rows of that id one stays. Rows without words or without an id all stay.
+    Rows without words or without an id all stay. Where several rows have one id, rows are told
+    apart by their sets: of the rows of that id and set that stands for its group one stays, and
+    rows of the id that belong to other groups are judged there.
     """
-    found = near_duplicates(docs, doc_id, text, **how)
-    found = materialise(found.filter("doc_id is not null").select("doc_id", "component_id", "n_shingles"), "near")
-    gone = found.filter("doc_id <> component_id").select(F.col("doc_id").alias(doc_id)).distinct()
-    again = found.filter("n_shingles > 0").groupBy("doc_id").count().filter("count > 1")
+    k = how.get("k", 5)
+    hot = np.packbits(frequent_shingles(docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")), k))
+    found = classified(docs, doc_id, text, hot=hot, **how).filter("doc_id is not null")
+    found = materialise(found.select("doc_id", "class", "group", "component_id"), "near")
+    again = found.groupBy("doc_id").count().filter("count > 1")
     again = materialise(again.select(F.col("doc_id").alias(doc_id)), "repeated")
-    kept = common.semi_by_id(docs, gone, doc_id, "left_anti")
+    gone = found.filter("doc_id <> component_id").select(F.col("doc_id").alias(doc_id)).distinct()
     if again.isEmpty():
-        return kept
-    once = common.semi_by_id(kept, again, doc_id).dropDuplicates([doc_id])
-    return common.semi_by_id(kept, again, doc_id, "left_anti").unionByName(once)
+        return common.semi_by_id(docs, gone, doc_id, "left_anti")
+    gone = common.semi_by_id(gone, again, doc_id, "left_anti")
+    single = common.semi_by_id(common.semi_by_id(docs, gone, doc_id, "left_anti"), again, doc_id, "left_anti")
+    # the set that stands for a group, of those that its least id has
+    stands = found.filter("doc_id = component_id and class is not null").groupBy("doc_id", "group").agg(F.min("class").alias("class"))
+    stands = stands.select(F.col("doc_id").alias(doc_id), F.col("class").alias("_class"))
+    # rows without an id are in no semi join
+    told = with_class(common.semi_by_id(docs, again, doc_id), text, hot, k)
+    lone = told.filter("_class is null")
+    there = told.dropDuplicates([doc_id, "_class"]).join(stands, [doc_id, "_class"], "left_semi")
+    return single.unionByName(lone.drop("_class")).unionByName(there.select(*docs.columns))

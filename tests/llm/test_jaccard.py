@@ -110,6 +110,24 @@ def test_keep_one(docs):
     assert sorted((r["doc_id"] is None, r["doc_id"]) for r in kept.collect()) == [(False, 1), (False, 1), (False, 2), (False, 9), (True, None)]
 
 
+def test_keep_one_with_repeated_ids(docs):
+    """An id with several texts: each text is judged in its own group, and none is lost."""
+    a, b, c = (prose(80, i) for i in (1, 2, 3))
+    rows = [(1, a, "en"), (5, a, "en"), (5, b, "en"), (7, a, "en")]
+    kept = jaccard.keep_one(docs(rows))
+    assert sorted((r["doc_id"], r["text"]) for r in kept.collect()) == [(1, a), (5, b)]
+    assert kept.columns == docs(rows).columns
+    rows += [(1, c, "en"), (1, a, "en"), (5, None, "en"), (5, "", "en"), (None, a, "en"), (None, None, None), (9, c, "en"), (3, "", "en")]
+    near = " ".join([*b.split(" ")[:-1], "other"])
+    rows += [(5, near, "en"), (8, near, "en")]
+    kept = sorted(((r["doc_id"], r["text"]) for r in jaccard.keep_one(docs(rows)).collect()), key=repr)
+    fives = [x for i, x in kept if i == 5 and x]
+    assert len(fives) == 1 and fives[0] in (b, near)
+    rest = [x for x in kept if not (x[0] == 5 and x[1])]
+    want = [(1, a), (1, c), (5, None), (5, ""), (None, a), (None, None), (3, "")]
+    assert rest == sorted(want, key=repr)
+
+
 def test_points_bound_the_overlap():
     rng = np.random.default_rng(1)
     for _ in range(50):

@@ -63,5 +63,18 @@ def test_the_rest_does_not_import_the_subpackage():
     subprocess.run([sys.executable, "-c", code], cwd=ROOT, check=True)
 
 
-def test_no_query_names_outside_tables():
-    assert set(common.__dict__) >= {"components", "map_chunks"}
+def test_entry_point_without_what_the_subpackage_needs():
+    code = (
+        "import sys; sys.modules['public_tokenizers'] = None\n"
+        "import __spark_entry__ as e; from commentlab.queries import REGISTRY\n"
+        "assert set(e.queries()) == set(REGISTRY) and set(e.oracle_sql()) <= set(REGISTRY)\n"
+    )
+    subprocess.run([sys.executable, "-c", code], cwd=ROOT, check=True)
+
+
+def test_pipeline_loses_no_text_of_a_repeated_id(spark, docs, tmp_path):
+    a, b = prose(80, 1), prose(80, 2)
+    rows = docs([(1, a, "en"), (5, a, "en"), (5, b, "en"), (7, a, "en"), (None, b, None), (None, None, None)])
+    kept = corpus_pipeline.drop_near_duplicates(spark, rows, str(tmp_path))
+    got = sorted(((r["doc_id"], r["text"]) for r in kept.collect()), key=repr)
+    assert got == sorted([(1, a), (5, b), (None, b), (None, None)], key=repr)
