@@ -8,13 +8,11 @@ counts. Pairs that are frequent are ranked and numbered again, and stand for two
 round: two overlapping pairs are a phrase of three words, two pairs side by side one of four. A
 frequent phrase has frequent parts only, so nothing else is looked at.
 
-Before a round, tasks count into a fixed number of slots by hash, up to the least frequency that
-matters; slots that stay below it hold no frequent word or pair, which are then left alone. Slots
-share, so this only thins the rows out; counts are taken of the words and pairs themselves.
-
-No table is held whole by a task or the driver: a chunk asks by a join for the ids of its own
-distinct words and pairs, and gets them back as one row. A word or pair is one row per chunk
-however often it occurs there, so no key holds much of any shuffle.
+Tables of frequent words and pairs are measured. Up to a bound they go to every worker, who numbers
+its texts with them. Beyond it no table is held whole by a task or the driver: a chunk asks by a join
+for the ids of its own distinct words and pairs, and gets them back as one row. The rows are the same.
+A word or pair is one row per task or chunk however often it occurs there, so no key holds much of
+any shuffle.
 
 Defined results: a NULL text is empty; a NULL language is ``und``; repeated rows and rows with NULL
 ids count as rows; an empty table gives no rows. Columns other than text and language are not read.
@@ -30,7 +28,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from commentlab.llm import common
-from commentlab.scale import top_k
+from commentlab.scale import top_k, within
 from commentlab.session import materialise
 
 LEAST = 30
@@ -41,8 +39,8 @@ COVERED = 80
 UNKNOWN = "und"
 # Bytes of text in a chunk.
 CHUNK = 1 << 21
-# Slots, and how many of them are summed together.
-WORD_SLOTS, PAIR_SLOTS, BLOCK = 1 << 22, 1 << 23, 1 << 16
+# Words and their bytes, and pairs, up to which every worker holds the table.
+HELD_WORDS, HELD_BYTES, HELD_PAIRS = 500_000, 32 << 20, 2_000_000
 # Side of a tile, how many pairs make it dense, and coordinates kept before they are merged.
 TILE = 1024
 DENSE = TILE * TILE // 16
@@ -134,113 +132,119 @@ def _array(values: np.ndarray, kind: pa.DataType) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array([0, len(values)], pa.int32()), pa.array(values, kind))
 
 
-def heavy_slots(rows: DataFrame, slots_of, size: int, least: int) -> np.ndarray:
-    """Which of ``size`` slots hold ``least`` or more, packed to bits; ``slots_of(batch)`` gives
-    arrays of slots and counts. A task sends one small number for each slot."""
-    kind = np.uint8 if least < 1 << 8 else np.uint32
-    most = min(least, (1 << 32) - 1)
+def _parsed(some: pa.RecordBatch) -> tuple[np.ndarray, pa.Array, pa.Array, np.ndarray]:
+    """The texts of a chunk as numbers of its distinct words, -1 between phrases; and the language,
+    the bytes and the count of each of these words."""
+    data, offsets = common.text_bytes(some.column(1))
+    data = LOWER[data]
+    solid = ~GAP[data]
+    head = np.zeros(len(data) + 1, bool)
+    head[offsets] = True
+    starts = np.flatnonzero(solid & (head[:-1] | ~np.concatenate([[False], solid[:-1]])))
+    ends = np.flatnonzero(solid & (head[1:] | ~np.concatenate([solid[1:], [False]]))) + 1
+    # the bytes of the words lie side by side once the gaps are gone
+    sides = np.concatenate([[0], np.cumsum(ends - starts)])
+    told = pa.Array.from_buffers(
+        pa.large_binary(), len(starts), [None, pa.py_buffer(sides), pa.py_buffer(data[solid])]
+    )
+    told = (told.cast(pa.binary()) if len(data) < 1 << 31 else told).dictionary_encode()
+    word = np.asarray(told.indices)
+    of_text = np.searchsorted(offsets, starts, side="right") - 1
+    langs = some.column(0).fill_null(UNKNOWN).dictionary_encode()
+    code = np.asarray(langs.indices).astype(np.int64)[of_text] * len(told.dictionary) + word
+    size = len(langs.dictionary) * len(told.dictionary)
+    if size < 4 * len(code):  # as many cells as words: counted in place
+        cells = np.bincount(code, minlength=size)
+        distinct = np.flatnonzero(cells)
+        counts, number = cells[distinct], np.zeros(size, np.int32)
+        number[distinct] = np.arange(len(distinct))
+        seq = number[code]
+    else:
+        distinct, seq, counts = np.unique(code, return_inverse=True, return_counts=True)
+    breaks = np.searchsorted(np.flatnonzero(BREAK[data]), starts)
+    parted = np.zeros(len(starts), bool)
+    parted[1:] = (breaks[1:] != breaks[:-1]) | (of_text[1:] != of_text[:-1])
+    out = np.full(len(starts) + int(parted.sum()), -1, np.int32)
+    out[np.arange(len(starts)) + np.cumsum(parted)] = seq
+    of_lang, of_word = (pa.array(x) for x in divmod(distinct, max(1, len(told.dictionary))))
+    return out, langs.dictionary.take(of_lang), told.dictionary.take(of_word), counts
+
+
+def _texts(docs: DataFrame, lang: str, text: str) -> DataFrame:
+    return docs.select(F.col(lang).cast("string").alias("lang"), F.col(text).alias("text"))
+
+
+def word_counts(docs: DataFrame, least: int) -> DataFrame:
+    """lang, word, f of the frequent words, and with a NULL word the number of a language's words.
+
+    A task adds its chunks up before anything is shuffled.
+    """
 
     def run(batches):
-        counts = np.zeros(size, np.int64)
+        held, size = [], 0
         for batch in batches:
-            for slots, n in slots_of(batch):
-                counts += np.bincount(slots, n, size).astype(np.int64)
-                np.minimum(counts, most, out=counts)
-        for at in range(0, size, BLOCK):
-            own = counts[at : at + BLOCK].astype(kind).tobytes()
-            yield pa.record_batch([pa.array([at // BLOCK], pa.int32()), pa.array([own], pa.binary())], names=["block", "counts"])
-
-    def add(table: pa.Table) -> pa.Table:
-        total = sum(np.frombuffer(x.as_py(), kind).astype(np.int64) for x in table.column("counts"))
-        bits = np.packbits(total >= least).tobytes()
-        return pa.table({"block": table.column("block").slice(0, 1), "bits": pa.array([bits], pa.binary())})
-
-    found = rows.mapInArrow(run, "block int, counts binary").groupBy("block").applyInArrow(add, "block int, bits binary").toArrow()
-    parts = dict(zip(found.column("block").to_pylist(), found.column("bits").to_pylist(), strict=True))
-    width = min(BLOCK, size) // 8
-    return np.frombuffer(b"".join(parts.get(i, bytes(width)) for i in range(-(-size // BLOCK))), np.uint8)
-
-
-def _slots(hashes: np.ndarray, size: int) -> np.ndarray:
-    return (hashes & np.uint64(size - 1)).astype(np.int64)
-
-
-def _heavy(bits: np.ndarray, slots: np.ndarray) -> np.ndarray:
-    return (bits[slots >> 3] >> (7 - (slots & 7)).astype(np.uint8) & 1).astype(bool)
-
-
-def chunks(docs: DataFrame, lang: str, text: str, least: int) -> DataFrame:
-    """The texts as chunks: a row chunk, known, seq with the texts as numbers of ``known`` words, which
-    are all that may be frequent; a row chunk, local, lang, word, n for each of these; and a row chunk,
-    lang, n with the number of all words, whose ``local`` is -1. Other columns are NULL."""
-
-    def work(some: pa.RecordBatch) -> tuple:
-        """The sequence, and the language, the bytes, the count and the slot of each distinct word."""
-        data, offsets = common.text_bytes(some.column(1))
-        data = LOWER[data]
-        solid = ~GAP[data]
-        head = np.zeros(len(data) + 1, bool)
-        head[offsets] = True
-        starts = np.flatnonzero(solid & (head[:-1] | ~np.concatenate([[False], solid[:-1]])))
-        ends = np.flatnonzero(solid & (head[1:] | ~np.concatenate([solid[1:], [False]]))) + 1
-        # the bytes of the words lie side by side once the gaps are gone
-        sides = np.concatenate([[0], np.cumsum(ends - starts)])
-        told = pa.Array.from_buffers(
-            pa.large_binary(), len(starts), [None, pa.py_buffer(sides), pa.py_buffer(data[solid])]
-        )
-        told = (told.cast(pa.binary()) if len(data) < 1 << 31 else told).dictionary_encode()
-        word = np.asarray(told.indices)
-        of_text = np.searchsorted(offsets, starts, side="right") - 1
-        langs = some.column(0).fill_null(UNKNOWN).dictionary_encode()
-        code = np.asarray(langs.indices).astype(np.int64)[of_text] * len(told.dictionary) + word
-        size = len(langs.dictionary) * len(told.dictionary)
-        if size < 4 * len(code):  # as many cells as words: counted in place
-            cells = np.bincount(code, minlength=size)
-            distinct = np.flatnonzero(cells)
-            counts, number = cells[distinct], np.zeros(size, np.int32)
-            number[distinct] = np.arange(len(distinct))
-            seq = number[code]
-        else:
-            distinct, seq, counts = np.unique(code, return_inverse=True, return_counts=True)
-        breaks = np.searchsorted(np.flatnonzero(BREAK[data]), starts)
-        parted = np.zeros(len(starts), bool)
-        parted[1:] = (breaks[1:] != breaks[:-1]) | (of_text[1:] != of_text[:-1])
-        out = np.full(len(starts) + int(parted.sum()), -1, np.int32)
-        out[np.arange(len(starts)) + np.cumsum(parted)] = seq
-        of_lang, of_word = divmod(distinct, max(1, len(told.dictionary)))
-        powers = common.Powers()
-        of_words, of_langs = (_hashes(x.dictionary, powers) for x in (told, langs))
-        slots = _slots(common.mix(of_words[of_word] + np.uint64(3) * of_langs[of_lang]), WORD_SLOTS)
-        return out, langs.dictionary.take(pa.array(of_lang)), told.dictionary.take(pa.array(of_word)), counts, slots
-
-    def slots_of(batch):
-        for some in common.chunks(batch, 1, CHUNK):
-            *_, counts, slots = work(some)
-            yield slots, counts
+            for some in common.chunks(batch, 1, CHUNK):
+                _, langs, words, counts = _parsed(some)
+                one = pa.table({"lang": langs, "word": words, "n": pa.array(counts, pa.int64())})
+                held, size = [*held, one], size + len(one)
+                if size > MERGE and len(held) > 1:
+                    held = [_sums(pa.concat_tables(held), ["lang", "word"])]
+                    size = len(held[0]) // 2
+        if held:
+            every = _sums(pa.concat_tables(held), ["lang", "word"])
+            total = _sums(every, ["lang"]).append_column("word", pa.nulls(_sums(every, ["lang"]).num_rows, pa.binary()))
+            for table in (every, total.select(every.column_names)):
+                yield from table.set_column(1, "word", table.column("word").cast(pa.string())).to_batches(1 << 16)
+
+    partial = docs.mapInArrow(run, "lang string, word string, n long")
+    counts = partial.groupBy("lang", "word").agg(F.sum("n").alias("f"))
+    return materialise(counts.filter(F.col("word").isNull() | (F.col("f") >= least)), "counts")
+
+
+def _sums(table: pa.Table, by: list[str]) -> pa.Table:
+    return table.group_by(by).aggregate([("n", "sum")]).rename_columns([*by, "n"])
+
+
+def _chunk_line(chunk: int, seq: np.ndarray, ids: np.ndarray) -> pa.RecordBatch:
+    columns = [pa.array([chunk]), pa.array([len(ids)], pa.int32()), _array(_squeezed(seq), pa.int32()), _array(ids, pa.int64())]
+    return pa.record_batch(columns, names=["chunk", "known", "seq", "ids"])
+
+
+LINE = "chunk long, known int, seq array<int>, ids array<long>"
+
+
+def numbered_here(docs: DataFrame, words: DataFrame) -> DataFrame:
+    """chunk, known, seq, ids: the texts of each chunk as places in ``ids``, its frequent words; with a
+    table of words small enough for every worker, who turns it into a dictionary once."""
+    table = words.select("lang", F.col("word").cast("binary").alias("word"), "id").toArrow()
+    shared = docs.sparkSession.sparkContext.broadcast([table])
 
     def run(batches):
-        # numbers that no other task gives
+        if isinstance(shared.value[0], pa.Table):
+            known: dict[str, dict[bytes, int]] = {}
+            columns = (shared.value[0].column(c).to_pylist() for c in ("lang", "word", "id"))
+            for lang, word, i in zip(*columns, strict=True):
+                known.setdefault(lang, {})[word] = i
+            shared.value[0] = known
+        known = shared.value[0]
         chunk = TaskContext.get().partitionId() << 33
         for batch in batches:
             for some in common.chunks(batch, 1, CHUNK):
-                seq, langs, words, counts, slots = work(some)
-                sums = pa.table({"lang": langs, "n": pa.array(counts, pa.int64())}).group_by("lang").aggregate([("n", "sum")])
-                keep = _heavy(bits, slots)
-                number = np.full(len(keep) + 1, -1, np.int32)  # the last one answers for -1
-                number[:-1][keep] = np.arange(int(keep.sum()))
-                langs, words, counts = langs.filter(pa.array(keep)), words.filter(pa.array(keep)).cast(pa.string()), counts[keep]
-                n = len(counts)
-                one = {"known": pa.array([n], pa.int32()), "seq": _array(_squeezed(number[seq]), pa.int32())}
-                yield line(1, chunk, **one)
-                yield line(len(sums), chunk, local=pa.array(np.full(len(sums), -1)), lang=_one(sums, "lang"), n=_one(sums, "n_sum"))
-                for at in range(0, n, 1 << 16):
-                    k = min(1 << 16, n - at)
-                    own = {"lang": langs.slice(at, k), "word": words.slice(at, k), "n": pa.array(counts[at : at + k], pa.int64())}
-                    yield line(k, chunk, local=pa.array(np.arange(at, at + k)), **own)
+                seq, langs, words, _ = _parsed(some)
+                pairs = zip(langs.to_pylist(), words.to_pylist(), strict=True)
+                ids = np.array([known.get(lang, {}).get(word, -1) for lang, word in pairs], np.int64)
+                number = np.full(len(ids) + 1, -1, np.int32)  # the last one answers for -1
+                number[:-1][ids >= 0] = np.arange(int((ids >= 0).sum()))
+                yield _chunk_line(chunk, number[seq], ids[ids >= 0])
                 chunk += 1
 
+    return materialise(docs.mapInArrow(run, LINE), "by_word")
+
+
+def numbered_there(docs: DataFrame, words: DataFrame) -> DataFrame:
+    """The same by a join, for a table of any size: a chunk asks for the ids of its own words."""
     kinds = {
-        "chunk": pa.int64(), "local": pa.int64(), "lang": pa.string(), "word": pa.string(), "n": pa.int64(),
+        "chunk": pa.int64(), "local": pa.int64(), "lang": pa.string(), "word": pa.string(),
         "known": pa.int32(), "seq": pa.list_(pa.int32()),
     }
 
@@ -248,20 +252,24 @@ def chunks(docs: DataFrame, lang: str, text: str, least: int) -> DataFrame:
         columns["chunk"] = pa.array(np.full(rows, chunk))
         return pa.record_batch([columns.get(c, pa.nulls(rows, kind)) for c, kind in kinds.items()], names=list(kinds))
 
-    rows = docs.select(F.col(lang).cast("string").alias("lang"), F.col(text).alias("text"))
-    bits = heavy_slots(rows, slots_of, WORD_SLOTS, least)
-    schema = "chunk long, local long, lang string, word string, n long, known int, seq array<int>"
-    return materialise(rows.mapInArrow(run, schema), "chunks")
-
-
-def _one(table: pa.Table, column: str) -> pa.Array:
-    """A short column as one array."""
-    return pa.array(table.column(column).to_pylist(), table.schema.field(column).type)
-
+    def run(batches):
+        # numbers that no other task gives
+        chunk = TaskContext.get().partitionId() << 33
+        for batch in batches:
+            for some in common.chunks(batch, 1, CHUNK):
+                seq, langs, words, counts = _parsed(some)
+                n = len(counts)
+                yield line(1, chunk, known=pa.array([n], pa.int32()), seq=_array(seq, pa.int32()))
+                for at in range(0, n, 1 << 16):
+                    k = min(1 << 16, n - at)
+                    own = {"lang": langs.slice(at, k), "word": words.slice(at, k).cast(pa.string())}
+                    yield line(k, chunk, local=pa.array(np.arange(at, at + k)), **own)
+                chunk += 1
 
-def _hashes(words: pa.Array, powers: common.Powers) -> np.ndarray:
-    data, offsets = common.text_bytes(words)
-    return common.word_hashes(data, offsets[:-1], offsets[1:], powers)
+    coded = materialise(docs.mapInArrow(run, "chunk long, local long, lang string, word string, known int, seq array<int>"), "chunks")
+    asked = coded.filter(F.col("local").isNotNull()).select("chunk", "local", "lang", "word")
+    texts = coded.filter(F.col("known").isNotNull())
+    return _renumbered(texts, asked, words, ["lang", "word"], _word_numbers, "by_word")
 
 
 def ranked(counts: DataFrame, order: list[Column], name: str) -> DataFrame:
@@ -290,13 +298,9 @@ def _renumbered(chunk_rows: DataFrame, asked: DataFrame, table: DataFrame, on: l
                 known = batch.column(1)[k].as_py()
                 seq, local, ids = (np.asarray(batch.column(c)[k].values) for c in (2, 3, 4))
                 order = np.argsort(local)
-                out = _squeezed(renumber(known, seq, local[order]))
-                own = [batch.column(0).slice(k, 1), pa.array([len(ids)], pa.int32())]
-                yield pa.record_batch(
-                    [*own, _array(out, pa.int32()), _array(ids[order], pa.int64())], names=["chunk", "known", "seq", "ids"]
-                )
+                yield _chunk_line(batch.column(0)[k].as_py(), renumber(known, seq, local[order]), ids[order])
 
-    return materialise(joined.mapInArrow(run, "chunk long, known int, seq array<int>, ids array<long>"), name)
+    return materialise(joined.mapInArrow(run, LINE), name)
 
 
 def _word_numbers(known: int, seq: np.ndarray, local: np.ndarray) -> np.ndarray:
@@ -317,26 +321,19 @@ def _pair_numbers(known: int, seq: np.ndarray, local: np.ndarray) -> np.ndarray:
     return np.where(local[at] == code, at, -1).astype(np.int32)
 
 
-def _pair_slots(i: np.ndarray, j: np.ndarray) -> np.ndarray:
-    return _slots(common.mix(i.astype(np.uint64) * np.uint64(common.BASE) + j.astype(np.uint64)), PAIR_SLOTS)
-
-
-def _counted(chunk_rows: DataFrame, pairs_of, bits: np.ndarray | None = None) -> DataFrame:
-    """size, i, j, f: counts of the pairs ``pairs_of(seq)`` gives by size, summed over all chunks;
-    of those in ``bits``, if given."""
+def _counted(chunk_rows: DataFrame, pairs_of) -> DataFrame:
+    """size, i, j, f: counts of the pairs of ids that ``pairs_of(seq, ids)`` gives by size, summed over
+    all chunks."""
 
     def run(batches):
         counts: dict[int, TileCounts] = {}
         for batch in batches:
             for k in range(batch.num_rows):
                 seq, ids = (np.asarray(batch.column(c)[k].values) for c in (0, 1))
-                for size, (a, b) in pairs_of(seq).items():
-                    counts.setdefault(size, TileCounts()).add(ids[a], ids[b])
+                for size, (i, j) in pairs_of(seq, ids).items():
+                    counts.setdefault(size, TileCounts()).add(i, j)
         for size, own in counts.items():
             i, j, n = own.counted()
-            if bits is not None:
-                keep = _heavy(bits, _pair_slots(i, j))
-                i, j, n = i[keep], j[keep], n[keep]
             for at in range(0, len(i), 1 << 17):
                 some = slice(at, at + (1 << 17))
                 columns = [pa.array(np.full(len(i[some]), size, np.int32)), *[pa.array(x[some]) for x in (i, j, n)]]
@@ -346,41 +343,40 @@ def _counted(chunk_rows: DataFrame, pairs_of, bits: np.ndarray | None = None) ->
     return partial.groupBy("size", "i", "j").agg(F.sum("n").alias("f"))
 
 
-def _two(seq: np.ndarray) -> dict:
+def _two(seq: np.ndarray, ids: np.ndarray) -> dict:
     both = (seq[:-1] >= 0) & (seq[1:] >= 0)
-    return {2: (seq[:-1][both], seq[1:][both])}
+    return {2: (ids[seq[:-1][both]], ids[seq[1:][both]])}
 
 
-def _three_and_four(seq: np.ndarray) -> dict:
+def _three_and_four(seq: np.ndarray, ids: np.ndarray) -> dict:
     """Pairs that overlap in a word, and pairs side by side with a frequent one across."""
     both = (seq[:-1] >= 0) & (seq[1:] >= 0)
     three = both[:-1] & both[1:]
-    return {3: (seq[:-1][both], seq[1:][both]), 4: (seq[:-2][three], seq[2:][three])}
+    return {3: (ids[seq[:-1][both]], ids[seq[1:][both]]), 4: (ids[seq[:-2][three]], ids[seq[2:][three]])}
 
 
-def frequent_phrases(docs: DataFrame, least: int = LEAST, lang: str = "lang", text: str = "text"):
-    """(words, phrases, totals): lang, word, f, id of the frequent words; ids (an array of word ids)
-    and f of the frequent phrases of 2 to 4 words; lang and n, the number of all words."""
-    coded = chunks(docs, lang, text, least)
-    entries = coded.filter(F.col("local") >= 0)
-    totals = coded.filter(F.col("local") == -1).groupBy("lang").agg(F.sum("n").alias("n"))
-    counts = entries.groupBy("lang", "word").agg(F.sum("n").alias("f")).filter(F.col("f") >= least)
-    words = ranked(counts, [F.desc("f"), F.col("lang"), F.col("word")], "words")
+def longer_here(by_word: DataFrame, pairs: DataFrame) -> DataFrame:
+    """size, i, j, f of phrases of three and four words as pairs of pair ids; with a table of pairs
+    small enough for every worker, as sorted arrays."""
+    table = pairs.select("i", "j", "id").toArrow()
+    i, j, number = (np.asarray(table.column(c)).astype(np.int64) for c in ("i", "j", "id"))
+    wide = int(j.max()) + 1 if len(j) else 1
+    order = np.argsort(i * wide + j)
+    shared = by_word.sparkSession.sparkContext.broadcast(((i * wide + j)[order], number[order], wide))
+
+    def pairs_of(seq: np.ndarray, ids: np.ndarray) -> dict:
+        codes, numbers, wide = shared.value
+        a, b = (np.where(x >= 0, ids[x], -1) if len(ids) else x for x in (seq[:-1], seq[1:]))
+        code = np.where((a < 0) | (b < 0) | (b >= wide), -1, a * wide + b)
+        at = np.minimum(np.searchsorted(codes, code), len(codes) - 1)
+        # places in the sorted table stand for the pairs
+        return _three_and_four(np.where(codes[at] == code, at, -1) if len(codes) else np.full(len(code), -1), numbers)
+
+    return _counted(by_word, pairs_of)
 
-    texts = coded.filter(F.col("known").isNotNull())
-    asked = entries.select("chunk", "local", "lang", "word")
-    by_word = _renumbered(texts, asked, words, ["lang", "word"], _word_numbers, "by_word")
-
-    def slots_of(batch):
-        for k in range(batch.num_rows):
-            seq, ids = (np.asarray(batch.column(c)[k].values) for c in (0, 1))
-            a, b = _two(seq)[2]
-            slots = _pair_slots(ids[a], ids[b])
-            yield slots, None
-
-    bits = heavy_slots(by_word.select("seq", "ids"), slots_of, PAIR_SLOTS, least)
-    two = _counted(by_word, _two, bits).filter(F.col("f") >= least).select("i", "j", "f")
-    pairs = ranked(two, [F.desc("f"), F.col("i"), F.col("j")], "pairs")
+
+def longer_there(by_word: DataFrame, pairs: DataFrame) -> DataFrame:
+    """The same by a join, for a table of any size: a chunk asks for the ids of its own pairs."""
 
     def ask(batches):
         for batch in batches:
@@ -388,7 +384,6 @@ def frequent_phrases(docs: DataFrame, least: int = LEAST, lang: str = "lang", te
                 seq, ids = (np.asarray(batch.column(c)[k].values) for c in (1, 2))
                 code = _pair_codes(len(ids), seq)
                 code = np.unique(code[code >= 0])
-                code = code[_heavy(bits, _pair_slots(*(ids[x] for x in divmod(code, max(1, len(ids))))))]
                 for at in range(0, len(code), 1 << 17):
                     some = code[at : at + (1 << 17)]
                     i, j = divmod(some, len(ids))
@@ -396,8 +391,23 @@ def frequent_phrases(docs: DataFrame, least: int = LEAST, lang: str = "lang", te
                     yield pa.record_batch([chunk, pa.array(some), pa.array(ids[i]), pa.array(ids[j])], names=["chunk", "local", "i", "j"])
 
     asked = by_word.select("chunk", "seq", "ids").mapInArrow(ask, "chunk long, local long, i long, j long")
-    by_pair = _renumbered(by_word, asked, pairs, ["i", "j"], _pair_numbers, "by_pair")
-    more = materialise(_counted(by_pair, _three_and_four).filter(F.col("f") >= least), "longer")
+    return _counted(_renumbered(by_word, asked, pairs, ["i", "j"], _pair_numbers, "by_pair"), _three_and_four)
+
+
+def frequent_phrases(docs: DataFrame, least: int = LEAST, lang: str = "lang", text: str = "text"):
+    """(words, phrases, totals): lang, word, f, id of the frequent words; ids (an array of word ids)
+    and f of the frequent phrases of 2 to 4 words; lang and n, the number of all words."""
+    texts = _texts(docs, lang, text)
+    counts = word_counts(texts, least)
+    totals = counts.filter(F.col("word").isNull()).select("lang", F.col("f").alias("n"))
+    words = ranked(counts.filter(F.col("word").isNotNull()), [F.desc("f"), F.col("lang"), F.col("word")], "words")
+    number = numbered_here if within(words.select("lang", "word"), HELD_WORDS, HELD_BYTES) else numbered_there
+    by_word = number(texts, words)
+
+    two = _counted(by_word, _two).filter(F.col("f") >= least).select("i", "j", "f")
+    pairs = ranked(two, [F.desc("f"), F.col("i"), F.col("j")], "pairs")
+    longer = longer_here if within(pairs.select("id"), HELD_PAIRS) else longer_there
+    more = materialise(longer(by_word, pairs).filter(F.col("f") >= least), "longer")
 
     def ends(side):
         return pairs.select(F.col("id").alias(side), F.array("i", "j").alias(f"{side}_words"))

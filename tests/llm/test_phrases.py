@@ -68,9 +68,10 @@ def test_chunks_and_tiles_change_nothing(docs, monkeypatch):
     monkeypatch.setattr(phrases, "DENSE", 3)
     monkeypatch.setattr(phrases, "DENSE_TILES", 2)
     monkeypatch.setattr(phrases, "MERGE", 10)
-    monkeypatch.setattr(phrases, "WORD_SLOTS", 1 << 4)
-    monkeypatch.setattr(phrases, "PAIR_SLOTS", 1 << 5)
-    monkeypatch.setattr(phrases, "BLOCK", 1 << 3)
+    assert collected(phrases.collocations(docs(rows), 3, 1000)) == brute(rows, 3, 1000)
+    # tables too large to be held
+    monkeypatch.setattr(phrases, "HELD_WORDS", 1)
+    monkeypatch.setattr(phrases, "HELD_PAIRS", 1)
     assert collected(phrases.collocations(docs(rows), 3, 1000)) == brute(rows, 3, 1000)
 
 
