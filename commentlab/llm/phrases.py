@@ -41,11 +41,11 @@ UNKNOWN = "und"
 CHUNK = 1 << 21
 # Words and their bytes, and pairs, up to which every worker holds the table.
 HELD_WORDS, HELD_BYTES, HELD_PAIRS = 500_000, 32 << 20, 2_000_000
-# Side of a tile, how many pairs make it dense, and coordinates kept before they are merged.
+# Side of a tile, how many pairs make it dense, and coordinates kept before they are sent.
 TILE = 1024
 DENSE = TILE * TILE // 16
 MERGE = 1 << 20
-DENSE_TILES = 6
+DENSE_TILES = 4
 
 BREAK = np.zeros(256, bool)
 BREAK[[*b".,;:!?", *range(0x0A, 0x0E)]] = True
@@ -93,30 +93,33 @@ class TileCounts:
         part = _merged(i, j, n)
         self.sparse.append(part)
         self.held += len(part[0])
-        if self.held > MERGE and len(self.sparse) > 1:
-            self.sparse = [_merged(*(np.concatenate(x) for x in zip(*self.sparse, strict=True)))]
-            # merging again pays when as much has come in anew
-            self.held = min(len(self.sparse[0][0]), MERGE // 2)
+
+    def drained(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """i, j, n of the sparse pairs, which are then forgotten."""
+        parts, self.sparse, self.held = self.sparse, [], 0
+        return _merged(*(np.concatenate(x) for x in zip(*parts, strict=True))) if parts else (np.zeros(0, np.int64),) * 3
 
     def counted(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """i, j, n of all pairs."""
-        parts = list(self.sparse)
+        """i, j, n of all pairs that are not drained."""
+        parts = [self.drained()]
         for (x, y), counts in self.dense.items():
             cell = np.flatnonzero(counts)
             parts.append((x * TILE + cell // TILE, y * TILE + cell % TILE, counts[cell]))
-        if not parts:
-            return (np.zeros(0, np.int64),) * 3
         return _merged(*(np.concatenate(x) for x in zip(*parts, strict=True)))
 
 
 def _merged(i: np.ndarray, j: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Sorted coordinates, each once, with the sum of its counts."""
+    if not len(i):
+        return i, j, n
     wide = int(j.max()) + 1
     if int(i.max()) + 1 < (1 << 62) // wide:
         code = i * wide + j
         order = np.argsort(code)
-    else:
-        order = np.lexsort((j, i))
+        code, n = code[order], n[order]
+        first = np.flatnonzero(np.concatenate([[True], code[1:] != code[:-1]]))
+        return *divmod(code[first], wide), np.add.reduceat(n, first)
+    order = np.lexsort((j, i))
     i, j, n = i[order], j[order], n[order]
     first = np.flatnonzero(np.concatenate([[True], (i[1:] != i[:-1]) | (j[1:] != j[:-1])]))
     return i[first], j[first], np.add.reduceat(n, first)
@@ -325,19 +328,24 @@ def _counted(chunk_rows: DataFrame, pairs_of) -> DataFrame:
     """size, i, j, f: counts of the pairs of ids that ``pairs_of(seq, ids)`` gives by size, summed over
     all chunks."""
 
+    def lines(size: int, i: np.ndarray, j: np.ndarray, n: np.ndarray):
+        for at in range(0, len(i), 1 << 17):
+            some = slice(at, at + (1 << 17))
+            columns = [pa.array(np.full(len(i[some]), size, np.int32)), *[pa.array(x[some]) for x in (i, j, n)]]
+            yield pa.record_batch(columns, names=["size", "i", "j", "n"])
+
     def run(batches):
         counts: dict[int, TileCounts] = {}
         for batch in batches:
             for k in range(batch.num_rows):
                 seq, ids = (np.asarray(batch.column(c)[k].values) for c in (0, 1))
                 for size, (i, j) in pairs_of(seq, ids).items():
-                    counts.setdefault(size, TileCounts()).add(i, j)
+                    own = counts.setdefault(size, TileCounts())
+                    own.add(i, j)
+                    if own.held > MERGE:
+                        yield from lines(size, *own.drained())
         for size, own in counts.items():
-            i, j, n = own.counted()
-            for at in range(0, len(i), 1 << 17):
-                some = slice(at, at + (1 << 17))
-                columns = [pa.array(np.full(len(i[some]), size, np.int32)), *[pa.array(x[some]) for x in (i, j, n)]]
-                yield pa.record_batch(columns, names=["size", "i", "j", "n"])
+            yield from lines(size, *own.counted())
 
     partial = chunk_rows.select("seq", "ids").mapInArrow(run, "size int, i long, j long, n long")
     return partial.groupBy("size", "i", "j").agg(F.sum("n").alias("f"))

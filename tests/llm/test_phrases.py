@@ -90,7 +90,11 @@ def test_tiles_count_pairs(ids, top, monkeypatch):
         i, j = ((rng.zipf(1.3, 3000) * top) % ids for _ in range(2))
         counts.add(i, j)
         want.update(zip(i.tolist(), j.tolist(), strict=True))
+        if counts.held > 5000:
+            for a, b, c in zip(*(x.tolist() for x in counts.drained()), strict=True):
+                want[a, b] -= c
     i, j, n = counts.counted()
+    want = +want
     assert dict(zip(zip(i.tolist(), j.tolist(), strict=True), n.tolist(), strict=True)) == want
     assert len(phrases.TileCounts().counted()[0]) == 0
 
