@@ -4,10 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 from pyspark.sql.window import Window as W
 
-from commentlab.scale import join_small
+from commentlab.scale import join_small, same_keys
 from commentlab.session import materialise
 
 # Accepted column names per role, in order of preference. "prediction" and
@@ -79,31 +78,19 @@ def numbered(df: DataFrame, group: list[str], order: list[str], out: str) -> Dat
     return join_small(placed, starts, [*group, "_part"]).select(*df.columns, ordinal.alias(out))
 
 
-# Rows of a group that one task numbers.
+# Keys up to which ordinals are broadcast to the rows.
 NUMBERED = 1_000_000
 
 
 def surrogate_id(df: DataFrame, group: list[str], position: str, out: str = "id") -> DataFrame:
     """Ordinals 0..n-1 per group in the order of a unique ``position``, dense or sparse.
 
-    Quantiles of the position cut large groups into ranges of even size. How many rows of a group
-    each range holds gives its first ordinal there, and the rows of a range are numbered together.
+    The keys alone are numbered, and up to ``NUMBERED`` of them sent to the rows, which stay where
+    they are. Beyond that the rows are sorted by ranges and numbered as they lie.
     """
-    kind = df.schema[position].dataType
-    if not isinstance(kind, T.NumericType) or isinstance(kind, T.DecimalType):
+    keys = df.select(*group, position)
+    if keys.count() > NUMBERED:
         return numbered(df, group, [position], out)
-    largest = df.groupBy(*group).count().agg(F.max("count"), F.sum("count")).first()
-    if (largest[0] or 0) <= NUMBERED:
-        order = W.partitionBy(*group).orderBy(position)
-        return df.select("*", (F.row_number().over(order) - 1).cast("long").alias(out))
-    parts = -(-largest[1] // (NUMBERED // 2))
-    shares = [i / parts for i in range(1, parts)]
-    bounds = df.agg(F.percentile_approx(position, shares, 20 * parts)).first()[0]
-    bounds = sorted(set(bounds))
-    marked = df.withColumn("_range", F.array_size(F.filter(F.lit(bounds), lambda b: b <= F.col(position))))
-    before = W.partitionBy(*group).orderBy("_range").rowsBetween(W.unboundedPreceding, -1)
-    starts = marked.groupBy(*group, "_range").agg(F.count("*").alias("_n"))
-    starts = starts.select(*group, "_range", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
-    inside = F.row_number().over(W.partitionBy(*group, "_range").orderBy(position)) - 1
-    placed = join_small(marked.withColumn("_inside", inside), starts, [*group, "_range"])
-    return placed.select(*df.columns, (F.col("_start") + F.col("_inside")).alias(out))
+    order = W.partitionBy(*group).orderBy(position)
+    ordinals = materialise(keys.select("*", (F.row_number().over(order) - 1).cast("long").alias(out)), "ordinals")
+    return same_keys(df, F.broadcast(ordinals), [*group, position]).select(*df.columns, out)

@@ -32,15 +32,17 @@ def local_session(cpus: int | str = "*", shuffle_partitions: int = 8, **conf: st
 
 
 def work_dir(spark: SparkSession) -> str:
-    """The shared folder named by ``spark.checkpoint.dir``.
+    """The shared folder named by ``spark.checkpoint.dir``, or given to ``setCheckpointDir``.
 
-    Only a local-mode session without that setting gets a folder of its own; on a cluster
+    Only a local-mode session without either gets a folder of its own; on a cluster
     a machine-local folder would not survive the loss of its machine.
     """
     shared = spark.conf.get("spark.checkpoint.dir", None)
     if shared:
         return shared.rstrip("/")
     sc = spark.sparkContext
+    if given := sc.getCheckpointDir():
+        return given.rstrip("/")
     if not sc.master.startswith("local"):
         raise RuntimeError("set spark.checkpoint.dir to a folder that every executor can reach")
     if sc.applicationId not in _local_dirs:
@@ -54,6 +56,13 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{work_dir(spark)}/commentlab/{app}/{name}-{uuid.uuid4().hex}"
 
 
+def clear_work(spark: SparkSession) -> None:
+    """Delete the intermediates of this application, once nothing that reads them is needed."""
+    sc = spark.sparkContext
+    folder = sc._jvm.org.apache.hadoop.fs.Path(f"{work_dir(spark)}/commentlab/{sc.applicationId}")
+    folder.getFileSystem(sc._jsc.hadoopConfiguration()).delete(folder, True)
+
+
 def run_each(spark: SparkSession, work: Callable, items: list, parallelism: int = 4) -> list:
     """``work(item)`` for each item, a few Spark jobs under way at a time."""
     with ThreadPoolExecutor(max_workers=max(1, parallelism)) as pool:

@@ -2,6 +2,7 @@
 
 import hashlib
 import json
+import re
 from pathlib import Path
 
 import pandas as pd
@@ -203,3 +204,103 @@ def test_packing_both_ways(spark, rows_of):
     assert got[4]["input_word_ids"] == [1] * 127 + [9] and sum(got[4]["input_mask"]) == 128
     assert all(x["all_segment_id"] == [0] * 128 for x in got.values())
     assert rows_of(pack_sequences(rows, "w", ids, max_words=2)) == rows_of(pack_sequences(rows, "w", ids))
+
+
+def scans(df):
+    return len(re.findall(r"\bRelation \[", df._jdf.queryExecution().optimizedPlan().toString()))
+
+
+def test_files_of_one_header_are_one_scan(spark, tmp_path, rows_of):
+    """Twelve files with the same columns, one of them a folder, in one scan; other headers apart."""
+    want = []
+    for lang in ("en", "pt-br", "x y", "z+%20"):
+        for split in r.SPLITS:
+            texts = [f"{lang} {split} {i}" for i in range(3)]
+            path = tmp_path / lang / f"{split}.csv"
+            if (lang, split) == ("en", "val"):
+                spark.createDataFrame([(t, 1) for t in texts], "comment_text string, toxic int").repartition(1).write.option("header", True).csv(str(path))
+            else:
+                put(path, comment_text=texts, toxic=[1] * 3)
+            want += [(lang, split, str(i), t, 1) for i, t in enumerate(texts)]
+    loaded, missing = r.load_splits(spark, str(tmp_path), ["en", "pt-br", "x y", "z+%20"])
+    assert rows_of(loaded) == sorted(want, key=repr) and not missing
+    with_ids = loaded._jdf.queryExecution().optimizedPlan().toString()
+    assert "Union" not in with_ids and scans(loaded) == 1
+    put(tmp_path / "it/test.csv", id=["a"], toxic=[0], comment_text=["other order"])
+    both, _ = r.load_splits(spark, str(tmp_path), ["it", "en"], ["test"])
+    assert scans(both) == 2
+    assert ("it", "test", "a", "other order", 0) in rows_of(both) and both.count() == 4
+
+
+def test_no_complete_language(spark, tmp_path):
+    none, missing = r.load_splits(spark, str(tmp_path), ["en", "es"], strict=False)
+    assert none.count() == 0 and none.columns == r.SPLIT_COLUMNS and set(missing) == {"en", "es"}
+
+
+@pytest.mark.parametrize("fmt", ["csv", "parquet"])
+def test_the_first_row_of_a_file_gives_its_threshold(spark, tmp_path, fmt):
+    """Mixed thresholds make one decision rule, and still show as mixed."""
+    cells = {"a": ["0.2", "0.95", "0.95"], "b": ["0.95", "0.2", None], "c": [None, "0.2", "0.2"], "d": ["x", "0.9", "0.9"]}
+    rows = pd.DataFrame(
+        [(lang, i, 1, 0.6, cell) for lang, own in cells.items() for i, cell in enumerate(own)],
+        columns=["lang", "id", "y_true", "y_prob", "best_threshold"],
+    )
+    if fmt == "csv":
+        for lang, own in rows.groupby("lang"):
+            put(tmp_path / f"run_{lang}.csv", **own.drop(columns="lang"))
+    else:
+        table = spark.createDataFrame(rows.astype({"best_threshold": object}), "lang string, id int, y_true int, y_prob double, best_threshold string")
+        table.coalesce(1).withColumn("run_tag", F.lit("run")).write.partitionBy("run_tag", "lang").parquet(f"{tmp_path}/t")
+    got = r.load_predictions(spark, str(tmp_path) if fmt == "csv" else f"{tmp_path}/t", "run", fmt=fmt)
+    decisions = {}
+    for x in got.collect():
+        decisions.setdefault(x["lang"], set()).add(x["y_pred"])
+    assert decisions == {"a": {1}, "b": {0}, "c": {0}, "d": {1}}
+    assert {x["lang"] for x in r.inconsistent_thresholds(got, ["lang"]).collect()} == {"a", "b", "c", "d"}
+
+
+def test_files_are_written_once_and_moved(spark, tmp_path):
+    rows = spark.range(90).select(
+        F.element_at(F.array(F.lit("en"), F.lit("a b"), F.lit("z/1%")), (F.col("id") % 3 + 1).cast("int")).alias("place"), "id"
+    )
+    for _ in range(2):  # a second write replaces the first
+        w.write_places(rows, f"{tmp_path}/out", F.col("place"), ["en", "a b", "z/1%", "none"], "csv", ["place"])
+    for place, n in (("en", 30), ("a b", 30), ("z/1%", 30), ("none", 0)):
+        found = r.scan_csv(spark, f"{tmp_path}/out/{place}")
+        assert found.count() == n and (n == 0 or found.columns == ["id"])
+    assert not list(Path(f"{tmp_path}/out").glob("_staging*"))
+    with pytest.raises(ValueError, match="without a file"):
+        w.write_places(rows, f"{tmp_path}/out", F.col("place"), ["en"], "csv", ["place"])
+    assert r.scan_csv(spark, f"{tmp_path}/out/en").count() == 30 and not list(Path(f"{tmp_path}/out").glob("_staging*"))
+
+
+def test_example_rows_are_the_same_on_every_run(spark):
+    df = spark.range(1000).select("id", F.when(F.col("id") % 2 == 0, F.concat(F.lit("t"), "id")).alias("t"), F.lit("x" * 100).alias("long"))
+    first = {x["column"]: x["examples"] for x in p.profile_table(df, ["id"], 4).collect()}
+    again = {x["column"]: x["examples"] for x in p.profile_table(df.repartition(7), ["id"], 4).collect()}
+    assert first == again and len(first["id"]) == 4 and first["long"] == ["x" * 80] * 4
+    assert all(t is None or t == f"t{i}" for i, t in zip(first["id"], first["t"]))
+    assert p.profile_table(df.limit(0), ["id"], 4).first()["examples"] == []
+
+
+def test_status_is_in_the_report(spark, tmp_path):
+    put(tmp_path / "run_en.csv", id=range(4), y_true=[0, 1, 1, 7], y_prob=[0.1, 0.9, 0.8, 0.5], y_pred=[0, 1, 1, 0], best_threshold=[0.5] * 4)
+    put(tmp_path / "run_es.csv", id=range(2), y_true=[0, 1], y_prob=[0.1, 0.9], y_pred=[0, 1], best_threshold=[0.5, 0.6])
+    put(tmp_path / "run_it.csv", id=range(2), y_true=[0, 1], y_prob=[0.1, 0.9], y_pred=[0, 1], best_threshold=[0.5, 0.5])
+    report, _ = evaluate_run(spark, str(tmp_path), "run", configured=["en", "es", "it", "xx"], multiline=False)
+    status = {x["language"]: x["status"] for x in report.collect()}
+    assert status == {
+        "en": "1 invalid rows", "es": "2 thresholds", "it": "complete", "macro": "missing: xx", "micro": "missing: xx"
+    }
+    report, _ = evaluate_run(spark, str(tmp_path), "run", ["it"], configured=["en"])
+    assert {x["language"]: x["status"] for x in report.collect()} == {"it": "complete", "macro": "complete", "micro": "complete"}
+
+
+def test_intermediates_can_be_cleared(spark):
+    from commentlab.session import clear_work, materialise, new_path
+
+    materialise(spark.range(3), "x").count()
+    folder = Path(new_path(spark, "y")).parent
+    assert folder.exists()
+    clear_work(spark)
+    assert not folder.exists()

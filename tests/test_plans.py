@@ -58,3 +58,10 @@ def test_score_then_evaluate(spark, folder, tmp_path):
     assert {r["language"]: r["status"] for r in status.collect()} == {"en": "found", "tr": "missing"}
     with pytest.raises(FileNotFoundError):
         score_folder(spark, str(folder), by_suffix(), ["en", "it"], "outside")
+
+
+def test_empty_folder_gives_a_summary_of_errors(spark, tmp_path):
+    run = train_folder(spark, str(tmp_path), ["en", "es"], f"{tmp_path}/p", f"{tmp_path}/m")
+    assert {r["language"]: "not found" in r["error"] for r in run.summary.collect()} == {"en": True, "es": True}
+    stored = read_csv(spark, f"{tmp_path}/m/baseline_results_summary.csv")
+    assert stored.count() == 2 and run.predictions.count() == 0

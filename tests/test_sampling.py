@@ -207,8 +207,9 @@ def test_empty_tables(skewed):
 
 
 @pytest.mark.parametrize("pos", ["id * 5 + 1", "xxhash64(id)", "if(id < 5999, id, 1L << 62)", "id / 3", "cast(id as string)"])
-def test_large_groups_are_numbered_by_ranges(spark, pos, monkeypatch):
-    monkeypatch.setattr(columns, "NUMBERED", 100)
+@pytest.mark.parametrize("held", [100, 10_000])
+def test_large_groups_are_numbered_by_ranges(spark, pos, held, monkeypatch):
+    monkeypatch.setattr(columns, "NUMBERED", held)
     lang = F.when(F.col("id") % 10 > 0, "a").when(F.col("id") % 20 == 0, "b")
     df = spark.range(6000).select(F.expr(pos).alias("pos"), lang.alias("lang"), F.lit("wide").alias("text"))
     groups = {}
