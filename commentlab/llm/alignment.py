@@ -48,7 +48,7 @@ TEXT_BYTES = 1 << 19
 # Tokens whose groups are written out at a time.
 TOKENS = 1 << 17
 # Words that a worker remembers for each vocabulary.
-CACHE = 250_000
+CACHE = 150_000
 BLANK = "▁"
 
 
@@ -428,6 +428,7 @@ def link_counts(told: DataFrame, size: int) -> np.ndarray:
     """How often each code occurs in ``links``; ``size`` numbers, bounded by the vocabularies."""
 
     def count(batches):
+        common.forget()
         total = np.zeros(size, np.int64)
         for batch in batches:
             total += np.bincount(np.asarray(batch.column(0).flatten()), minlength=size)
@@ -467,6 +468,7 @@ def digests(
     shared = docs.sparkSession.sparkContext.broadcast((counts, best))
 
     def look_up(batches):
+        common.forget()
         counts, best = shared.value
         for batch in batches:
             for some in common.chunks(batch, 4, TOKENS):

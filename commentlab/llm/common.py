@@ -30,6 +30,12 @@ def kept(key: Hashable, make: Callable):
     return held[key]
 
 
+def forget() -> None:
+    """Drops what the worker keeps, in tasks that need the room and none of it."""
+    sys.modules.pop("_commentlab_kept", None)
+    pa.default_memory_pool().release_unused()
+
+
 def fold(doc_id: str | Column, n: int) -> Column:
     """crc32 of the id as text, modulo ``n``; NULL for a NULL id."""
     column = F.col(doc_id) if isinstance(doc_id, str) else doc_id
