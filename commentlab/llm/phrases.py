@@ -44,7 +44,7 @@ HELD_WORDS, HELD_BYTES, HELD_PAIRS = 500_000, 32 << 20, 2_000_000
 # Side of a tile, how many pairs make it dense, and coordinates kept before they are sent.
 TILE = 1024
 DENSE = TILE * TILE // 16
-MERGE = 1 << 20
+MERGE = 1 << 18
 DENSE_TILES = 4
 
 BREAK = np.zeros(256, bool)
