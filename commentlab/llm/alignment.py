@@ -328,17 +328,30 @@ def aligned(
     return found.unionByName(_long_texts(long, byte_path, piece_path, part))
 
 
-class Pairs:
-    """A number for every pair of tokens that can end together."""
+class Numbers:
+    """A number for every pair of tokens that can end together; small, and sent with the tasks."""
 
-    def __init__(self, byte_path: str, piece_path: str):
-        a, (b, single) = byte_tokens(byte_path), piece_tokens(piece_path)
+    def __init__(self, a: list[bytes], b: list[bytes], single: np.ndarray):
         self.single = single
         self.a_size, self.b_size = (np.array([len(t) for t in x], np.int64) for x in (a, b))
         self.a_start = np.cumsum(self.a_size) - self.a_size
         self.b_start = self.a_size.sum() + np.cumsum(self.b_size) - self.b_size
         self.singles = int(self.a_size.sum() + self.b_size.sum())
         self.n = self.singles + len(a)
+
+    def codes(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        x, y = self.a_size[a], self.b_size[b]
+        out = np.where(x >= y, self.a_start[a] + y, self.b_start[b] + x) - 1
+        return np.where(self.single[b], self.singles + a, out).astype(np.int32)
+
+
+class Pairs(Numbers):
+    """The numbers and the pairs they stand for, for the driver."""
+
+    def __init__(self, byte_path: str, piece_path: str):
+        a, (b, single) = byte_tokens(byte_path), piece_tokens(piece_path)
+        super().__init__(a, b, single)
+        self.numbers = Numbers(a, b, single)
         a_ids = {t: i for i, t in enumerate(a) if t}
         b_ids = {t: i for i, t in enumerate(b) if t and not single[i]}
         bytes_ids = {t: i for i, t in enumerate(b) if single[i]}
@@ -348,13 +361,8 @@ class Pairs:
         self.a_of = np.array(self.a_of + list(range(len(a))), np.int64)
         self.b_of = np.array(self.b_of + [bytes_ids.get(t[-1:], -1) for t in a], np.int64)
 
-    def codes(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-        x, y = self.a_size[a], self.b_size[b]
-        out = np.where(x >= y, self.a_start[a] + y, self.b_start[b] + x) - 1
-        return np.where(self.single[b], self.singles + a, out).astype(np.int32)
-
 
-def _links(a: np.ndarray, b: np.ndarray, a_sizes: np.ndarray, b_sizes: np.ndarray, pairs: Pairs) -> np.ndarray:
+def _links(a: np.ndarray, b: np.ndarray, a_sizes: np.ndarray, b_sizes: np.ndarray, pairs: Numbers) -> np.ndarray:
     """Codes of the tokens that end each group."""
     return pairs.codes(a[np.cumsum(a_sizes) - 1], b[np.cumsum(b_sizes) - 1])
 
@@ -387,19 +395,18 @@ def _flat(some: pa.RecordBatch):
     return out
 
 
-def _told(rows: DataFrame, text: str, find, byte_path: str, piece_path: str, limit: int) -> DataFrame:
+def _told(rows: DataFrame, text: str, find, pairs: Numbers, limit: int) -> DataFrame:
     """doc_id, n_a, n_b, groups_sha256 and the codes of the links of each row."""
+    many = max(len(pairs.a_size), len(pairs.b_size))
 
     def tables():
-        pairs = Pairs(byte_path, piece_path)
-        many = max(len(pairs.a_size), len(pairs.b_size))
         said = [b"%d%s" % (i, mark) for i in range(many) for mark in (b",", b"|", b";")]
-        return pairs, np.frombuffer(b"".join(said), np.uint8), np.concatenate([[0], np.cumsum([len(x) for x in said])])
+        return np.frombuffer(b"".join(said), np.uint8), np.concatenate([[0], np.cumsum([len(x) for x in said])])
 
     class Work:
         @staticmethod
         def prepare():
-            pairs, digits, place = common.kept(("pairs", byte_path, piece_path), tables)
+            digits, place = common.kept(("decimals", many), tables)
             groups_of = find()
 
             def work(some):
@@ -431,7 +438,8 @@ def link_counts(told: DataFrame, size: int) -> np.ndarray:
         common.forget()
         total = np.zeros(size, np.int64)
         for batch in batches:
-            total += np.bincount(np.asarray(batch.column(0).flatten()), minlength=size)
+            for some in common.chunks(batch, 0, TOKENS):
+                total += np.bincount(np.asarray(some.column(0).flatten()), minlength=size)
         code = np.flatnonzero(total)
         yield pa.record_batch([pa.array(code, pa.int32()), pa.array(total[code])], names=["code", "n"])
 
@@ -456,9 +464,9 @@ def digests(
         return lambda some: _closed(aligner.fragments(_led(some.column(1)))[0])
 
     pairs = Pairs(byte_path, piece_path)
-    told = _told(short, "text", encoder, byte_path, piece_path, TEXT_BYTES)
+    told = _told(short, "text", encoder, pairs.numbers, TEXT_BYTES)
     composed = _long_texts(long, byte_path, piece_path, part)
-    told = told.unionByName(_told(composed, "a_ids", lambda: _flat, byte_path, piece_path, TOKENS))
+    told = told.unionByName(_told(composed, "a_ids", lambda: _flat, pairs.numbers, TOKENS))
     told = materialise(told, "links")
     counts = link_counts(told, pairs.n)
     real = pairs.b_of >= 0
@@ -488,7 +496,7 @@ def digests(
 def pair_counts(aligned_rows: DataFrame, byte_path: str, piece_path: str) -> DataFrame:
     """a_id, b_id, n: how many links of the corpus hold each pair; as many rows as pairs occur."""
     pairs = Pairs(byte_path, piece_path)
-    told = _told(aligned_rows, "a_ids", lambda: _flat, byte_path, piece_path, TOKENS)
+    told = _told(aligned_rows, "a_ids", lambda: _flat, pairs.numbers, TOKENS)
     counts = link_counts(told, pairs.n)
     code = np.flatnonzero(counts)
     table = pa.table({"a_id": pairs.a_of[code].astype(np.int32), "b_id": pairs.b_of[code].astype(np.int32), "n": counts[code]})
