@@ -41,7 +41,8 @@ def work_dir(spark: SparkSession) -> str:
     if shared:
         return shared.rstrip("/")
     sc = spark.sparkContext
-    if given := sc.getCheckpointDir():
+    given = getattr(sc, "getCheckpointDir", lambda: None)()
+    if given:
         return given.rstrip("/")
     if not sc.master.startswith("local"):
         raise RuntimeError("set spark.checkpoint.dir to a folder that every executor can reach")
