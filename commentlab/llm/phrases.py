@@ -22,6 +22,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -218,24 +219,29 @@ LINE = "chunk long, known int, seq array<int>, ids array<long>"
 
 def numbered_here(docs: DataFrame, words: DataFrame) -> DataFrame:
     """chunk, known, seq, ids: the texts of each chunk as places in ``ids``, its frequent words; with a
-    table of words small enough for every worker, who turns it into a dictionary once."""
-    table = words.select("lang", F.col("word").cast("binary").alias("word"), "id").toArrow()
-    shared = docs.sparkSession.sparkContext.broadcast([table])
+    table of words small enough for every worker."""
+    table = words.select("lang", F.col("word").cast("binary").alias("word"), "id").toArrow().sort_by("lang")
+    names = table.column("lang").to_pylist()
+    cuts = [0, *(i for i in range(1, len(names)) if names[i] != names[i - 1]), len(names)]
+    word_column, id_column = (pa.concat_arrays(table.column(c).chunks) if len(names) else pa.array([]) for c in ("word", "id"))
+    known = {
+        names[a]: (word_column.slice(a, b - a), np.asarray(id_column.slice(a, b - a))) for a, b in zip(cuts, cuts[1:], strict=False) if b > a
+    }
+    shared = docs.sparkSession.sparkContext.broadcast(known)
 
     def run(batches):
-        if isinstance(shared.value[0], pa.Table):
-            known: dict[str, dict[bytes, int]] = {}
-            columns = (shared.value[0].column(c).to_pylist() for c in ("lang", "word", "id"))
-            for lang, word, i in zip(*columns, strict=True):
-                known.setdefault(lang, {})[word] = i
-            shared.value[0] = known
-        known = shared.value[0]
+        known = shared.value
         chunk = TaskContext.get().partitionId() << 33
         for batch in batches:
             for some in common.chunks(batch, 1, CHUNK):
                 seq, langs, words, _ = _parsed(some)
-                pairs = zip(langs.to_pylist(), words.to_pylist(), strict=True)
-                ids = np.array([known.get(lang, {}).get(word, -1) for lang, word in pairs], np.int64)
+                ids = np.full(len(words), -1, np.int64)
+                for lang in pc.unique(langs).to_pylist():
+                    if lang in known:
+                        own = np.flatnonzero(np.asarray(pc.equal(langs, lang)))
+                        found = pc.index_in(words.take(pa.array(own)), value_set=known[lang][0])
+                        hit = np.asarray(found.is_valid())
+                        ids[own[hit]] = known[lang][1][np.asarray(found.drop_null())]
                 number = np.full(len(ids) + 1, -1, np.int32)  # the last one answers for -1
                 number[:-1][ids >= 0] = np.arange(int((ids >= 0).sum()))
                 yield _chunk_line(chunk, number[seq], ids[ids >= 0])
