@@ -44,7 +44,7 @@ from commentlab.session import materialise
 PART = 1 << 16
 FAN = 8
 # Bytes of text aligned at a time.
-TEXT_BYTES = 1 << 19
+TEXT_BYTES = 1 << 18
 # Tokens whose groups are written out at a time.
 TOKENS = 1 << 17
 # Words that a worker remembers for each vocabulary.
