@@ -205,24 +205,31 @@ def matched(stored: DataFrame, terms: DataFrame, keep: list[str]) -> DataFrame:
 VECTOR = "struct<type:tinyint,size:int,indices:array<int>,values:array<double>>"
 
 
-def vectors(stored: DataFrame, terms: DataFrame, keep: list[str], out: str = "features") -> DataFrame:
-    """``keep`` and the L2-normed TF-IDF vector of each ``counted`` row, written once by language.
-
-    ``terms`` is ``indexed``. The vectors are put together in the JVM and read back as such.
-    """
+def assembled(stored: DataFrame, terms: DataFrame, keep: list[str], out: str = "features") -> DataFrame:
+    """_row, lang, ``keep`` and the fields of the L2-normed TF-IDF vector of each ``counted`` row."""
     fields = list(dict.fromkeys(["lang", *keep]))
     entry = F.when(F.col("idf").isNotNull(), F.struct("index", "_w"))
-    rows = matched(stored, terms, fields).groupBy("_row", *fields).agg(F.sort_array(F.collect_list(entry)).alias("_e"))
+    # A norm folded over the entries would be pushed into their division and worked out for each of them.
+    rows = matched(stored, terms, fields).groupBy("_row", *fields).agg(
+        F.sort_array(F.collect_list(entry)).alias("_e"), F.sqrt(F.sum(F.col("_w") * F.col("_w"))).alias("_norm")
+    )
     sizes = terms.groupBy("lang").agg(F.count("*").cast("int").alias("_size"))
-    norm = F.sqrt(F.aggregate("_e", F.lit(0.0), lambda a, x: a + x["_w"] * x["_w"]))
     vector = F.struct(
         F.lit(0).cast("tinyint").alias("type"),
         F.col("_size").alias("size"),
         F.transform("_e", lambda x: x["index"]).alias("indices"),
         F.transform("_e", lambda x: x["_w"] / F.col("_norm")).alias("values"),
     ).cast(VECTOR)
-    sized = join_small(rows, sizes, ["lang"]).withColumn("_norm", norm)
-    placed = sized.select("_row", *fields, vector.alias(out))
+    sized = join_small(rows, sizes, ["lang"])
+    return sized.select("_row", *fields, vector.alias(out))
+
+
+def vectors(stored: DataFrame, terms: DataFrame, keep: list[str], out: str = "features") -> DataFrame:
+    """``keep`` and the L2-normed TF-IDF vector of each ``counted`` row, written once by language.
+
+    ``terms`` is ``indexed``. The vectors are put together in the JVM and read back as such.
+    """
+    placed = assembled(stored, terms, keep, out)
     path = new_path(stored.sparkSession, "vectors")
     placed.hint("rebalance", "lang").write.partitionBy("lang").parquet(path)
     schema = T.StructType([T.StructField(f.name, VectorUDT()) if f.name == out else f for f in placed.schema])

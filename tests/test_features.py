@@ -119,6 +119,13 @@ def test_a_vocabulary_beyond_the_bound_is_shuffled(df, monkeypatch):
     assert stages.transform(df.filter("lang = 'en'")).count() == 100 and stages.size > 10
 
 
+def test_the_norm_of_a_vector_is_worked_out_once(df):
+    stored = f.counted(df, "grams", ["id", "lang"])
+    rows = f.assembled(stored, f.indexed(f.vocabulary(df, "grams", 2, 0.9)), ["id"])
+    plan = rows._jdf.queryExecution().optimizedPlan().toString()
+    assert "transform(" in plan and "aggregate(" not in plan
+
+
 def test_unseen_terms_and_empty_rows(spark, df):
     stages = f.vectorizer(f.vocabulary(df, "grams").filter("lang = 'en'"))
     rows = spark.createDataFrame([(["nope"],), ([],)], "grams array<string>")
