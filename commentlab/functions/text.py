@@ -18,6 +18,7 @@ from commentlab.scale import join_small, literal_table
 # The character classes and patterns of the cleaning rules.
 WORD = r"[\p{L}\p{N}_]"
 SPACE = r"[\t-\r\x1c-\x20\x85\p{Z}]"
+ODD_SPACE = r"[\t-\r\x1c-\x1f\x85\p{Z}&&[^\x20]]"
 NOT_SPACE = r"[^\t-\r\x1c-\x20\x85\p{Z}]"
 URL = rf"http{NOT_SPACE}+|www\.{NOT_SPACE}+"
 MENTION = rf"@{WORD}+"
@@ -54,7 +55,8 @@ def remove_hashtags(text: Column) -> Column:
 
 
 def squeeze_spaces(text: Column) -> Column:
-    return F.trim(F.regexp_replace(text, SPACE + "+", " "))
+    """Runs of spaces become one; a lone plain space, as between most words, is no match."""
+    return F.trim(F.regexp_replace(text, rf"{ODD_SPACE}{SPACE}*| {SPACE}+", " "))
 
 
 def clean_text(
@@ -119,7 +121,11 @@ def with_grams(df: DataFrame, tokens: str, out: str) -> DataFrame:
     return df.withColumn(out, F.concat(words, bigrams))
 
 
-def analyze(df: DataFrame, text_col: str, out: str) -> DataFrame:
-    """The vectorizer's analyzer on cleaned text: lowercase, strip accents, words, pairs."""
+def analyze(df: DataFrame, text_col: str, out: str, pairs: bool = True) -> DataFrame:
+    """The vectorizer's analyzer on cleaned text: lowercase, strip accents, words, pairs.
+
+    Without ``pairs`` it stops at the words, for what pairs them itself as it counts.
+    """
     lowered = F.lower(F.coalesce(F.col(text_col), F.lit("")))
-    return with_grams(df.withColumn(out, tokenize(strip_accents(lowered))), out, out)
+    words = df.withColumn(out, tokenize(strip_accents(lowered)))
+    return with_grams(words, out, out) if pairs else words

@@ -2,12 +2,18 @@
 
 A text is analysed once: its distinct terms and their counts are stored as one row (``counted``),
 and vocabulary, vectors and scores read that. Terms meet their vocabulary entry by a join.
+
+Tasks count numbers instead of strings: the terms of some rows are numbered, a pair of adjacent
+words is a pair of numbers, and only what is distinct becomes a string again.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.ml.linalg import VectorUDT
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -20,6 +26,10 @@ from commentlab.session import materialise, new_path
 
 # Settings of the TF-IDF features.
 MIN_DF, MAX_DF, MAX_FEATURES = 3, 0.95, 200_000
+# Elements of arrays that a task handles at a time; a longer row is handled alone.
+CHUNK = 1 << 18
+# Lines of counts that a task adds up before it sends them on.
+MERGE = 1 << 19
 NO_TERMS = "empty vocabulary: no terms left after the frequency limits"
 
 
@@ -58,34 +68,155 @@ def term_counts(df: DataFrame, grams: str, keep: list[str]) -> DataFrame:
     return rows.select(*keep, F.explode(runs).alias("_run")).select(*keep, "_run.*")
 
 
-def counted(df: DataFrame, grams: str, keep: list[str], partition_by: list[str] | None = None) -> DataFrame:
-    """``keep``, terms and a number ``_row`` of every row, written once for all that reads them."""
-    rows, runs = _runs(df, grams, keep)
-    rows = rows.select(*keep, runs.alias("terms")).withColumn("_row", F.monotonically_increasing_id())
-    return materialise(rows, "terms_of_rows", partition_by)
+def _slices(batch: pa.RecordBatch, at: int) -> Iterator[pa.RecordBatch]:
+    """Slices of ``batch`` of at most ``CHUNK`` elements in the arrays of a column, or one row."""
+    ends = np.cumsum(_sizes(batch.column(at)))
+    start = 0
+    while start < batch.num_rows:
+        base = ends[start - 1] if start else 0
+        stop = max(start + 1, int(np.searchsorted(ends, base + CHUNK, side="right")))
+        yield batch.slice(start, stop - start)
+        start = stop
 
 
-def term_stats(df: DataFrame, grams: str, keys: list[str] | None = None) -> DataFrame:
-    """Document and corpus frequency per (lang, term), combined map-side by term."""
-    keys = keys or ["lang"]
-    return _stats(term_counts(df, grams, keys), keys)
+def _sizes(column: pa.Array) -> np.ndarray:
+    return np.asarray(pc.fill_null(pc.list_value_length(column), 0)).astype(np.int64)
+
+
+def _coded(column: pa.Array, pairs: bool) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+    """The distinct terms of arrays of words, and of each occurrence its row and the term's number.
+
+    With ``pairs`` the pairs of adjacent words, joined by one space, are terms too.
+    """
+    sizes = _sizes(column)
+    row = np.repeat(np.arange(len(sizes)), sizes)
+    told = column.flatten().dictionary_encode("encode")
+    words, code = told.dictionary, np.asarray(told.indices).astype(np.int64)
+    if not pairs:
+        return words, row, code
+    n, at = max(1, len(words)), np.flatnonzero(row[1:] == row[:-1])
+    both, number = np.unique(code[at] * n + code[at + 1], return_inverse=True)
+    first, second = (words.take(pa.array(x)) for x in divmod(both, n))
+    terms = pa.concat_arrays([words, pc.binary_join_element_wise(first, second, " ")])
+    return terms, np.concatenate([row, row[at]]), np.concatenate([code, len(words) + number])
+
+
+def _runs_of(column: pa.Array, pairs: bool) -> tuple[pa.Array, np.ndarray, np.ndarray, np.ndarray]:
+    """The distinct terms, and row, number and ``tf`` of each distinct term of a row, by rows."""
+    terms, row, code = _coded(column, pairs)
+    n = max(1, len(terms))
+    key, tf = np.unique(row * n + code, return_counts=True)
+    return terms, key // n, key % n, tf
+
+
+def counted(
+    df: DataFrame, grams: str, keep: list[str], partition_by: list[str] | None = None, pairs: bool = False
+) -> DataFrame:
+    """``keep``, terms and a number ``_row`` of every row, written once for all that reads them.
+
+    With ``pairs`` the column ``grams`` holds words, and pairs of adjacent ones are terms as well.
+    """
+    terms = T.ArrayType(T.StructType([T.StructField("term", T.StringType()), T.StructField("tf", T.IntegerType())]))
+    rows = df.select(*keep, grams)
+
+    def run(batches):
+        for batch in batches:
+            for some in _slices(batch, len(keep)):
+                names, row, code, tf = _runs_of(some.column(len(keep)), pairs)
+                runs = pa.StructArray.from_arrays([names.take(pa.array(code)), pa.array(tf, pa.int32())], ["term", "tf"])
+                ends = pa.array(np.searchsorted(row, np.arange(some.num_rows + 1)), pa.int32())
+                columns = [*some.columns[: len(keep)], pa.ListArray.from_arrays(ends, runs)]
+                yield pa.RecordBatch.from_arrays(columns, names=[*keep, "terms"])
+
+    schema = T.StructType([*rows.schema.fields[: len(keep)], T.StructField("terms", terms)])
+    told = rows.mapInArrow(run, schema).withColumn("_row", F.monotonically_increasing_id())
+    return materialise(told, "terms_of_rows", partition_by)
 
 
-def _stats(long: DataFrame, keys: list[str]) -> DataFrame:
+def term_stats(df: DataFrame, grams: str, keys: list[str] | None = None, pairs: bool = False) -> DataFrame:
+    """Document and corpus frequency per (lang, term), combined map-side by term.
+
+    With ``pairs`` the column ``grams`` holds words, and pairs of adjacent ones are terms as well.
+    """
+    keys = keys or ["lang"]
+    if pairs:
+        return _summed(df.select(*keys, grams), keys, lambda column: _runs_of(column, True))
+    long = term_counts(df, grams, keys)
     return long.groupBy(*keys, "term").agg(F.count("*").alias("df"), F.sum("tf").cast("long").alias("cf"))
 
 
+def _stored_runs(column: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray, np.ndarray]:
+    """What ``_runs_of`` gives, of the terms of ``counted`` rows."""
+    sizes = _sizes(column)
+    term, tf = column.flatten().flatten()
+    told = term.dictionary_encode("encode")
+    return told.dictionary, np.repeat(np.arange(len(sizes)), sizes), np.asarray(told.indices).astype(np.int64), np.asarray(tf)
+
+
+def _groups(some: pa.RecordBatch, n_keys: int) -> tuple[np.ndarray, np.ndarray]:
+    """The number of each row's group of equal first columns, and a row of each group."""
+    group = np.zeros(some.num_rows, np.int64)
+    first = np.zeros(min(1, some.num_rows), np.int64)
+    for column in some.columns[:n_keys]:
+        told = column.dictionary_encode("encode")
+        code = group * max(1, len(told.dictionary)) + np.asarray(told.indices)
+        _, first, group = np.unique(code, return_index=True, return_inverse=True)
+    return group, first
+
+
+def _added(lines: list[pa.Table], keys: list[str]) -> pa.Table:
+    """Lines of equal keys and term as one."""
+    by = [*keys, "term"]
+    sums = pa.concat_tables(lines).group_by(by, use_threads=False).aggregate([("df", "sum"), ("cf", "sum")])
+    return sums.select([*by, "df_sum", "cf_sum"]).rename_columns([*by, "df", "cf"])
+
+
+def _summed(rows: DataFrame, keys: list[str], runs: Callable) -> DataFrame:
+    """keys, term, df, cf from rows of keys and what ``runs`` reads; added up in tasks, then between them."""
+    n = len(keys)
+
+    def lines(some: pa.RecordBatch) -> pa.Table:
+        terms, row, code, tf = runs(some.column(n))
+        group, first = _groups(some, n)
+        size = max(1, len(terms))
+        key, number = np.unique(group[row] * size + code, return_inverse=True)
+        counts = [np.bincount(number, minlength=len(key)), np.bincount(number, tf, len(key)).astype(np.int64)]
+        of = pa.array(first[key // size])
+        columns = [*[c.take(of) for c in some.columns[:n]], terms.take(pa.array(key % size)), *map(pa.array, counts)]
+        return pa.table(columns, names=[*keys, "term", "df", "cf"])
+
+    def run(batches):
+        held, size = [], 0
+        for batch in batches:
+            for some in _slices(batch, n):
+                held.append(lines(some))
+                size += len(held[-1])
+                if size > MERGE:
+                    held = [_added(held, keys)]
+                    size = len(held[0])
+                    if size > MERGE // 2:
+                        yield from held.pop().to_batches(1 << 16)
+                        size = 0
+        if held:
+            yield from _added(held, keys).to_batches(1 << 16)
+
+    kinds = [T.StructField("term", T.StringType()), *[T.StructField(c, T.LongType()) for c in ("df", "cf")]]
+    partial = rows.mapInArrow(run, T.StructType([*rows.schema.fields[:n], *kinds]))
+    return partial.groupBy(*keys, "term").agg(F.sum("df").alias("df"), F.sum("cf").alias("cf"))
+
+
 def vocabulary(
     df: DataFrame,
     grams: str,
     min_df: int = MIN_DF,
     max_df: float = MAX_DF,
     max_features: int = MAX_FEATURES,
+    pairs: bool = False,
 ) -> DataFrame:
     """lang, term, df, cf, n_docs of the kept terms: the most frequent ones per language,
-    ties by term."""
+    ties by term. With ``pairs`` the column ``grams`` holds words, see ``term_stats``."""
     sizes = df.groupBy("lang").agg(F.count("*").alias("n_docs"))
-    return _kept_terms(term_stats(df, grams), sizes, min_df, max_df, max_features)
+    return _kept_terms(term_stats(df, grams, pairs=pairs), sizes, min_df, max_df, max_features)
 
 
 def vocabulary_of(
@@ -93,7 +224,7 @@ def vocabulary_of(
 ) -> DataFrame:
     """The vocabulary of rows that are ``counted`` already."""
     sizes = stored.groupBy("lang").agg(F.count("*").alias("n_docs"))
-    return _kept_terms(_stats(long_form(stored, ["lang"]), ["lang"]), sizes, min_df, max_df, max_features)
+    return _kept_terms(_summed(stored.select("lang", "terms"), ["lang"], _stored_runs), sizes, min_df, max_df, max_features)
 
 
 def _kept_terms(stats: DataFrame, sizes: DataFrame, min_df: int, max_df: float, max_features: int) -> DataFrame:

@@ -69,8 +69,8 @@ def prepare(splits: DataFrame, use_stopwords: bool, languages: list[str]) -> Dat
     if use_stopwords:
         words = stopword_table(splits.sparkSession, languages)
         cleaned = remove_stopwords(cleaned, "comment_text", words)
-    grams = analyze(cleaned, "comment_text", "grams")
-    return counted(grams, "grams", ["lang", "split", "id", "toxic"], ["lang", "split"])
+    words = analyze(cleaned, "comment_text", "words", pairs=False)
+    return counted(words, "words", ["lang", "split", "id", "toxic"], ["lang", "split"], pairs=True)
 
 
 def evaluate(scored: DataFrame, thresholds: DataFrame) -> DataFrame:

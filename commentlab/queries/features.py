@@ -23,12 +23,12 @@ TERMS = f"""
 
 @query("term_stats", f"WITH {TERMS} SELECT lang, term, df, cf FROM terms")
 def _(spark, sf):
-    return f.term_stats(analyzed(spark, sf), "grams")
+    return f.term_stats(analyzed(spark, sf, pairs=False), "grams", pairs=True)
 
 
 @query("vocabulary", f"WITH {TERMS} SELECT lang, term, df, cf, n_docs FROM vocab")
 def _(spark, sf):
-    return f.vocabulary(analyzed(spark, sf), "grams")
+    return f.vocabulary(analyzed(spark, sf, pairs=False), "grams", pairs=True)
 
 
 @query(
@@ -40,7 +40,7 @@ def _(spark, sf):
 SELECT id, lang, term, round(w / norm, 6) AS weight FROM weighted JOIN norms USING (id)""",
 )
 def _(spark, sf):
-    rows = f.counted(analyzed(spark, sf), "grams", ["id", "lang"])
+    rows = f.counted(analyzed(spark, sf, pairs=False), "grams", ["id", "lang"], pairs=True)
     long = f.tfidf_of(rows, f.vocabulary_of(rows), ["id", "lang"])
     return long.select("id", "lang", "term", six("weight").alias("weight"))
 

@@ -119,9 +119,9 @@ words AS (
 )"""
 
 
-def analyzed(spark, sf) -> DataFrame:
+def analyzed(spark, sf, pairs: bool = True) -> DataFrame:
     clean = documents(spark, sf).withColumn("comment_text", t.clean_text(F.col("comment_text")))
-    return t.analyze(clean, "comment_text", "grams").select("id", "lang", "grams")
+    return t.analyze(clean, "comment_text", "grams", pairs).select("id", "lang", "grams")
 
 
 @query(

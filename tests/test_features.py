@@ -10,6 +10,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
 from commentlab import scale
+from commentlab.functions.text import with_grams
 from commentlab.operators import features as f
 
 
@@ -126,6 +127,23 @@ def test_the_norm_of_a_vector_is_worked_out_once(df):
     assert "transform(" in plan and "aggregate(" not in plan
 
 
+def test_words_are_paired_where_they_are_counted(spark, corpus, rows_of, monkeypatch):
+    odd = [(200, None, ["w1", "w2", "w1", "w2"]), (201, None, ["w1"]), (202, "en", None), (202, "en", []), (203, "en", ["w1"] * 9)]
+    words = spark.createDataFrame(corpus + odd, "id int, lang string, words array<string>")
+    grams = with_grams(words.na.drop(subset=["words"]), "words", "grams")
+    want = rows_of(f.term_stats(grams, "grams", ["lang"]))
+    by_row = rows_of(f.term_counts(grams, "grams", ["id", "lang"]))
+    for chunk, merge in ((1 << 18, 1 << 19), (7, 20)):
+        monkeypatch.setattr(f, "CHUNK", chunk)
+        monkeypatch.setattr(f, "MERGE", merge)
+        assert rows_of(f.term_stats(words, "words", ["lang"], pairs=True)) == want
+        stored = f.counted(words, "words", ["id", "lang"], pairs=True)
+        assert rows_of(f.long_form(stored, ["id", "lang"])) == by_row
+        assert stored.count() == words.count() == stored.select("_row").distinct().count()
+        assert rows_of(f.vocabulary_of(stored, 1, 1.0)) == rows_of(f.vocabulary(words, "words", 1, 1.0, pairs=True))
+        assert rows_of(f.vocabulary_of(stored, 1, 1.0).select("lang", "term", "df", "cf")) == want
+
+
 def test_unseen_terms_and_empty_rows(spark, df):
     stages = f.vectorizer(f.vocabulary(df, "grams").filter("lang = 'en'"))
     rows = spark.createDataFrame([(["nope"],), ([],)], "grams array<string>")
