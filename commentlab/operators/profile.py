@@ -71,16 +71,23 @@ def _digest(path: str) -> str:
 
 
 def _empty_files(spark: SparkSession, folder: str, pattern: str) -> DataFrame:
-    """The files without bytes, which readers leave out; listed by the driver, as Spark lists too."""
+    """The files without bytes, which readers leave out; listed by the driver, as Spark lists too.
+
+    Folders are listed one by one: a recursive listing asks for the permissions of every file, for
+    which a local file system starts a process each.
+    """
     root = spark._jvm.org.apache.hadoop.fs.Path(folder)
-    listing = root.getFileSystem(spark._jsc.hadoopConfiguration()).listFiles(root, True)
+    system = root.getFileSystem(spark._jsc.hadoopConfiguration())
     matches = spark._jvm.org.apache.hadoop.fs.GlobFilter(pattern)
-    rows = []
-    while listing.hasNext():
-        status = listing.next()
-        path = status.getPath()
-        if status.getLen() == 0 and matches.accept(path) and not path.getName().startswith(("_", ".")):
-            rows.append((path.toString(), 0, status.getModificationTime(), hashlib.sha256().hexdigest()))
+    rows, left = [], [root]
+    while left:
+        for status in system.listStatus(left.pop()):
+            if status.isDirectory():
+                left.append(status.getPath())
+            elif status.getLen() == 0:
+                path = status.getPath()
+                if matches.accept(path) and not path.getName().startswith(("_", ".")):
+                    rows.append((path.toString(), 0, status.getModificationTime(), hashlib.sha256().hexdigest()))
     found = spark.createDataFrame(rows, "path string, size_bytes long, modified long, sha256 string")
     return found.withColumn("modified", F.timestamp_millis("modified"))
 

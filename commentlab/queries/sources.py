@@ -262,6 +262,10 @@ def _(spark, sf):
     return evaluation_status(spark, folder, "baseline", [*known, "xx"])
 
 
+# Files that one task writes, about.
+FILES_A_TASK = 250
+
+
 @query(
     "profile_files",
     """SELECT s_suppkey, CAST(strlen(s_name) + 1 AS BIGINT) AS size_bytes, sha256(concat(s_name, chr(10))) AS sha256
@@ -271,7 +275,9 @@ def _(spark, sf):
     """Digests of one written file per supplier."""
     folder = new_path(spark, "files")
     names = table(spark, sf, "supplier").select("s_suppkey", "s_name")
-    names.repartition("s_suppkey").write.partitionBy("s_suppkey").text(folder)
+    # a given number of tasks: by their few bytes all rows would be one task's, which writes file after file
+    tasks = max(spark.sparkContext.defaultParallelism, names.count() // FILES_A_TASK)
+    names.repartition(tasks, "s_suppkey").write.partitionBy("s_suppkey").text(folder)
     files = p.profile_files(spark, folder, "*.txt")
     key = F.regexp_extract("path", r"s_suppkey=(\d+)/", 1).cast("long")
     return files.select(key.alias("s_suppkey"), "size_bytes", "sha256")

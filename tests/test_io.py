@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from commentlab.operators import profile as p
 from commentlab.operators.sequences import pack_sequences, parse_array
 from commentlab.plans.evaluate import evaluate_run
+from commentlab.queries import REGISTRY
 from commentlab.sources import readers as r
 from commentlab.sources import writers as w
 
@@ -173,6 +174,15 @@ def test_profiles(spark, tmp_path):
             assert x["sha256"] == hashlib.sha256(data).hexdigest() and x["modified"] is not None
 
 
+def test_profiled_files_are_written_by_several_tasks(spark, tmp_path):
+    names = spark.range(40).selectExpr("id AS s_suppkey", "concat('name ', id) AS s_name")
+    names.coalesce(1).write.parquet(f"{tmp_path}/supplier.parquet")
+    files = REGISTRY["profile_files"].run(spark, str(tmp_path))
+    want = {(i, len(f"name {i}\n"), hashlib.sha256(f"name {i}\n".encode()).hexdigest()) for i in range(40)}
+    assert {tuple(x) for x in files.collect()} == want
+    assert len({path.rsplit("/", 1)[1].split("-")[1] for path in files.inputFiles()}) > 1
+
+
 def test_large_csv_over_many_tasks(spark, tmp_path, rows_of):
     put(tmp_path / "en/train.csv", comment_text=["a\nb", 'say "hi"', None], toxic=[0, 1, 0])
     r.csv_to_parquet(spark, f"{tmp_path}/en/train.csv", f"{tmp_path}/en/train.parquet")
