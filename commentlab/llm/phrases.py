@@ -45,7 +45,7 @@ HELD_WORDS, HELD_BYTES, HELD_PAIRS = 500_000, 32 << 20, 2_000_000
 # Side of a tile, how many pairs make it dense, and coordinates kept before they are sent.
 TILE = 1024
 DENSE = TILE * TILE // 16
-MERGE = 1 << 18
+MERGE = 1 << 19
 DENSE_TILES = 4
 
 BREAK = np.zeros(256, bool)
@@ -191,7 +191,7 @@ def word_counts(docs: DataFrame, least: int) -> DataFrame:
                 _, langs, words, counts = _parsed(some)
                 one = pa.table({"lang": langs, "word": words, "n": pa.array(counts, pa.int64())})
                 held, size = [*held, one], size + len(one)
-                if size > MERGE and len(held) > 1:
+                if size > MERGE // 2 and len(held) > 1:
                     held = [_sums(pa.concat_tables(held), ["lang", "word"])]
                     size = len(held[0]) // 2
         if held:
@@ -199,6 +199,8 @@ def word_counts(docs: DataFrame, least: int) -> DataFrame:
             total = _sums(every, ["lang"]).append_column("word", pa.nulls(_sums(every, ["lang"]).num_rows, pa.binary()))
             for table in (every, total.select(every.column_names)):
                 yield from table.set_column(1, "word", table.column("word").cast(pa.string())).to_batches(1 << 16)
+            del held, every, total, table
+        common.release()
 
     partial = docs.mapInArrow(run, "lang string, word string, n long")
     counts = partial.groupBy("lang", "word").agg(F.sum("n").alias("f"))
@@ -246,6 +248,8 @@ def numbered_here(docs: DataFrame, words: DataFrame) -> DataFrame:
                 number[:-1][ids >= 0] = np.arange(int((ids >= 0).sum()))
                 yield _chunk_line(chunk, number[seq], ids[ids >= 0])
                 chunk += 1
+                del seq, langs, words, ids, number
+        common.release()
 
     return materialise(docs.mapInArrow(run, LINE), "by_word")
 
@@ -332,7 +336,11 @@ def _pair_numbers(known: int, seq: np.ndarray, local: np.ndarray) -> np.ndarray:
 
 def _counted(chunk_rows: DataFrame, pairs_of) -> DataFrame:
     """size, i, j, f: counts of the pairs of ids that ``pairs_of(seq, ids)`` gives by size, summed over
-    all chunks."""
+    all chunks.
+
+    A task adds up ``MERGE`` coordinates at a time itself. They are dealt out before Spark sums them,
+    else each map task would hold a hash table of all of its pairs beside the worker's arrays.
+    """
 
     def lines(size: int, i: np.ndarray, j: np.ndarray, n: np.ndarray):
         for at in range(0, len(i), 1 << 17):
@@ -350,11 +358,12 @@ def _counted(chunk_rows: DataFrame, pairs_of) -> DataFrame:
                     own.add(i, j)
                     if own.held > MERGE:
                         yield from lines(size, *own.drained())
-        for size, own in counts.items():
-            yield from lines(size, *own.counted())
+        for size in list(counts):
+            yield from lines(size, *counts.pop(size).counted())
+        common.release()
 
     partial = chunk_rows.select("seq", "ids").mapInArrow(run, "size int, i long, j long, n long")
-    return partial.groupBy("size", "i", "j").agg(F.sum("n").alias("f"))
+    return partial.repartition("size", "i", "j").groupBy("size", "i", "j").agg(F.sum("n").alias("f"))
 
 
 def _two(seq: np.ndarray, ids: np.ndarray) -> dict:

@@ -75,6 +75,14 @@ def test_chunks_and_tiles_change_nothing(docs, monkeypatch):
     assert collected(phrases.collocations(docs(rows), 3, 1000)) == brute(rows, 3, 1000)
 
 
+def test_pairs_are_dealt_out_before_spark_sums_them(spark):
+    chunks = spark.createDataFrame([(0, 2, [0, 1, -1, 0, 1], [7, 9])], phrases.LINE)
+    counts = phrases._counted(chunks, phrases._two)
+    assert [tuple(r) for r in counts.collect()] == [(2, 7, 9, 2)]
+    map_side = counts._jdf.queryExecution().executedPlan().toString().split("Exchange")[-1]
+    assert "MapInArrow" in map_side and "HashAggregate" not in map_side
+
+
 def test_one_word_and_long_texts(docs):
     rows = [(1, "buffalo " * 5000, "en"), (2, "x" * 100_000, "en"), (3, "Ab cD. " * 40, "en")]
     assert collected(phrases.collocations(docs(rows), 30, 10)) == brute(rows, 30, 10)
