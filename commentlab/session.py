@@ -59,8 +59,13 @@ def new_path(spark: SparkSession, name: str) -> str:
 
 def clear_work(spark: SparkSession) -> None:
     """Delete the intermediates of this application, once nothing that reads them is needed."""
+    discard(spark, f"{work_dir(spark)}/commentlab/{spark.sparkContext.applicationId}")
+
+
+def discard(spark: SparkSession, path: str) -> None:
+    """Delete one folder of intermediates that nothing will read again."""
     sc = spark.sparkContext
-    folder = sc._jvm.org.apache.hadoop.fs.Path(f"{work_dir(spark)}/commentlab/{sc.applicationId}")
+    folder = sc._jvm.org.apache.hadoop.fs.Path(path)
     folder.getFileSystem(sc._jsc.hadoopConfiguration()).delete(folder, True)
 
 

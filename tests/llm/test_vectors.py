@@ -78,6 +78,46 @@ def test_near_vectors(table, monkeypatch, small):
         assert r["kept"] == (r["vec_id"] == root or r["vec_id"] is None)
 
 
+@pytest.mark.parametrize("held", [100, 1000])
+def test_near_vectors_of_many_blocks(table, monkeypatch, held):
+    """Cells and blocks cut, a cell over several blocks, several jobs; in 64 dimensions a few directions are compared first."""
+    for name, value in {"PER_PIVOT": 12, "LEAST_HELD": held, "HELD": held, "PAIRS": 40, "BLOCK": 16, "BRIEF": 4}.items():
+        monkeypatch.setattr(vectors, name, value)
+    rng = np.random.default_rng(4)
+    rows = clusters(60, seed=5) + ODD
+    base = rng.normal(size=(40, 12))
+    for i in range(160):
+        v = base[rng.integers(40)] * (1 + i % 3) + rng.normal(size=12) * 0.12
+        rows.append((1000 + i, [float(np.float32(x)) for x in v], int(i % 4 == 0)))
+    rows += [(2000 + i, [1.0] * 12, 7) for i in range(30)]
+    out = vectors.near_vectors(table(rows)).collect()
+    assert len(out) == len(rows)
+    want = brute_links(rows)
+    assert sum(n > 0 for n, _ in want.values()) > 100
+    for r in out:
+        n, root = want.get(r["vec_id"], (0, r["vec_id"]))
+        assert (r["n_links"], r["component_id"]) == (n, root)
+
+
+def test_near_vectors_are_stored_once(spark, table, monkeypatch):
+    """However many cells a vector may have partners in; intermediates were over eight times the vectors."""
+    import os
+
+    from commentlab.session import work_dir
+
+    monkeypatch.setattr(vectors, "PER_PIVOT", 100)
+    monkeypatch.setattr(vectors, "discard", lambda spark, path: None, raising=False)
+    x = np.random.default_rng(6).normal(size=(2000, 64)).astype(np.float32)
+    rows = table([(i, v, 0) for i, v in enumerate(x.tolist())])
+
+    def stored():
+        return sum(os.path.getsize(f"{d}/{f}") for d, _, files in os.walk(work_dir(spark)) for f in files if f.endswith(".parquet"))
+
+    before = stored()
+    assert vectors.near_vectors(rows).count() == 2000
+    assert stored() - before < 2.5 * x.nbytes
+
+
 def test_scaled_and_extreme_vectors_link(table):
     rows = [(1, [1e30, 1e30], 0), (2, [1e-30, 1e-30], 0), (3, [1.0, -1.0], 0), (4, [2.0, 2.0], 0), (4, [2.0, 2.0], 0)]
     out = {r["vec_id"]: (r["n_links"], r["component_id"], r["kept"]) for r in vectors.near_vectors(table(rows)).collect()}
